@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
+from . import bpe, quality_rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +46,27 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a vocabulary file is; set SLUICEBED_TOKENIZERS to a folder to take it from there."""
+    folder = os.environ.get("SLUICEBED_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards}
+    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
