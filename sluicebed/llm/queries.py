@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, sharding, simhash
+from . import bpe, byte_cnn, quality_rules, sharding, simhash
+from .common import is_held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +66,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = is_held_out(F.col("doc_id"), 4, 2)
+    model = byte_cnn.learn(docs.filter(~held_out), _table(spark, sf_dir, "labels").filter(~held_out))
+    return byte_cnn.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe}
+    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn}
 
 
 def oracle_sql() -> dict[str, str]:
