@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, quality_rules, sharding, simhash
+from . import bpe, byte_cnn, quality_rules, sharding, simhash, suffix_tree
 from .common import is_held_out
 
 
@@ -73,8 +73,12 @@ def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, sf_dir, "documents"), is_held_out(F.col("doc_id"), 7, 2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn}
+    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn, "op2_suffix_tree": op2_suffix_tree}
 
 
 def oracle_sql() -> dict[str, str]:
