@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, quality_rules, sharding, simhash, suffix_tree
+from . import bpe, byte_cnn, html_extract, quality_rules, sharding, simhash, suffix_tree, warc
 from .common import is_held_out
 
 
@@ -77,9 +77,30 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(_table(spark, sf_dir, "documents"), is_held_out(F.col("doc_id"), 7, 2))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return found.select(F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(s, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM d
+"""
+
+
+def op5_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn, "op2_suffix_tree": op2_suffix_tree}
+    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn, "op2_suffix_tree": op2_suffix_tree, "op4_warc": op4_warc, "op5_block_labeller": op5_block_labeller}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op9_quality_rules": OP9_SQL, "op4_warc": OP4_SQL}
