@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, html_extract, quality_rules, sharding, simhash, suffix_tree, warc
+from . import bpe, byte_cnn, html_extract, mixing, quality_rules, sharding, simhash, suffix_tree, warc
 from .common import is_held_out
 
 
@@ -98,9 +98,36 @@ def op5_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return d.select("doc_id", "source", "lang", "_mix.topic", "_mix.tokens", "_mix.weight", "_mix.kept")
+
+
+def _op6_sql() -> str:
+    n = lambda chars: f"(n - length(regexp_replace(t, '[{chars}]', '', 'g')))"
+    parts = [
+        f"""d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+m AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
+  CASE WHEN n = 0 THEN 'empty' WHEN 10 * {n("0-9")} > n THEN 'numbers' WHEN 50 * {n("{}\\[\\]<>;=#*$%&_")} > n THEN 'markup'
+  WHEN 100 * {n("|\\t")} > n THEN 'table' WHEN 20 * {n("\\n")} > n THEN 'lines' WHEN n > 4000 THEN 'long' ELSE 'prose' END AS topic FROM d)""",
+        f"s00 AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, {mixing.FRACTION}::DOUBLE AS p FROM m GROUP BY ALL)",
+        *(f"w_{d} AS (SELECT {d} AS v, pow(sum(tokens), {mixing.TEMPER}) / sum(pow(sum(tokens), {mixing.TEMPER})) OVER () * sum(sum(tokens)) OVER () * {mixing.FRACTION} AS want FROM s00 GROUP BY {d})" for d in mixing.DIMS),
+    ]
+    last = "s00"
+    for sweep in range(1, mixing.SWEEPS + 1):
+        for k, d in enumerate(mixing.DIMS):
+            now = f"s{sweep}{k}"
+            parts.append(f"{now} AS (SELECT source, lang, topic, tokens, round(least(1.0, p * CASE WHEN have > 0 THEN want / have ELSE 1.0 END), 9) AS p FROM (SELECT *, sum(tokens * p) OVER (PARTITION BY {d}) AS have FROM {last}) JOIN w_{d} ON {d} IS NOT DISTINCT FROM v)")
+            last = now
+    return f"""WITH {", ".join(parts)},
+p AS (SELECT source, lang, topic, round(p, {mixing.PLACES}) AS p FROM {last})
+SELECT doc_id, m.source, m.lang, m.topic, tokens, p AS weight, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p AS kept
+FROM m JOIN p ON m.source IS NOT DISTINCT FROM p.source AND m.lang IS NOT DISTINCT FROM p.lang AND m.topic = p.topic"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn, "op2_suffix_tree": op2_suffix_tree, "op4_warc": op4_warc, "op5_block_labeller": op5_block_labeller}
+    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn, "op2_suffix_tree": op2_suffix_tree, "op4_warc": op4_warc, "op5_block_labeller": op5_block_labeller, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL, "op4_warc": OP4_SQL}
+    return {"op9_quality_rules": OP9_SQL, "op4_warc": OP4_SQL, "op6_mixing": _op6_sql()}
