@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, html_extract, mixing, quality_rules, sharding, simhash, suffix_tree, warc
+from . import bpe, byte_cnn, html_extract, kmeans_tree, mixing, quality_rules, sharding, simhash, suffix_tree, warc
 from .common import is_held_out
 
 
@@ -98,6 +98,10 @@ def op5_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return d.select("doc_id", "source", "lang", "_mix.topic", "_mix.tokens", "_mix.weight", "_mix.kept")
@@ -126,7 +130,7 @@ FROM m JOIN p ON m.source IS NOT DISTINCT FROM p.source AND m.lang IS NOT DISTIN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn, "op2_suffix_tree": op2_suffix_tree, "op4_warc": op4_warc, "op5_block_labeller": op5_block_labeller, "op6_mixing": op6_mixing}
+    return {"op1_kmeans_tree": op1_kmeans_tree, "op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn, "op2_suffix_tree": op2_suffix_tree, "op4_warc": op4_warc, "op5_block_labeller": op5_block_labeller, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
