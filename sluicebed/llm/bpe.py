@@ -21,8 +21,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,8 +163,8 @@ class Bpe:
     def _split(self, text: str) -> list[str]:
         return text.split() if not re.search("[\x1c-\x1f]", text) else [p for p in re.split("[ \t\n\x0b\x0c\r\x85\xa0  -     　]+", text) if p]
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[list[str], list[str], int]]:
-        """For each text its id runs, its token runs and how many tokens it has."""
+    def texts(self, texts: list[str]) -> Iterator[list[tuple[str, str, tuple[int, ...]]]]:
+        """For each text the pieces that have tokens: ids and tokens as text, and the ids."""
         for lo in range(0, len(texts), 256):
             cut = list(map(self.pieces, texts[lo : lo + 256]))
             wanted = set().union(*cut) if cut else set()
@@ -173,8 +175,7 @@ class Bpe:
                 self.cache[s] = (str(i), s, (i,))
             get = self.cache.__getitem__
             for ps in cut:
-                runs = [e for e in map(get, ps) if e[2]]
-                yield [e[0] for e in runs], [e[1] for e in runs], sum(len(e[2]) for e in runs)
+                yield [e for e in map(get, ps) if e[2]]
 
 
 @lru_cache(maxsize=2)
@@ -190,13 +191,13 @@ def _spec(path: str) -> str:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, decoded string."""
-    return _run(docs, path, id_col, text_col, "ids array<int>, decoded string", lambda ids, tokens, n: ([int(i) for r in ids for i in r.split(" ")], " ".join(tokens)))
+    return _run(docs, path, id_col, text_col, "ids array<int>, decoded string", lambda runs: (np.fromiter(chain.from_iterable(e[2] for e in runs), np.int32), " ".join(e[1] for e in runs)))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids in decimal and of the decoded text, made where the text is encoded."""
-    sha = lambda runs: hashlib.sha256(" ".join(runs).encode()).hexdigest()
-    return _run(docs, path, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda ids, tokens, n: (n, sha(ids), sha(tokens)))
+    sha = lambda runs, k: hashlib.sha256(" ".join(e[k] for e in runs).encode()).hexdigest()
+    return _run(docs, path, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda runs: (sum(len(e[2]) for e in runs), sha(runs, 0), sha(runs, 1)))
 
 
 def _run(docs: DataFrame, path: str, id_col: str, text_col: str, made: str, row) -> DataFrame:
@@ -208,7 +209,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, made: str, row)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                rows = [row(*x) for x in bpe.texts([t or "" for t in part.column(1).to_pylist()])]
+                rows = [row(x) for x in bpe.texts([t or "" for t in part.column(1).to_pylist()])]
                 cols = [pa.array(c) for c in zip(*rows, strict=True)]
                 if "ids" in names:
                     cols[0] = pa.array([r[0] for r in rows], pa.list_(pa.int32()))
@@ -225,7 +226,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     held = encoded.sparkSession.sparkContext.broadcast(names)
 
     @F.pandas_udf("string")
-    def text(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def text(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: "" if x is None else " ".join(held.value[int(i)] for i in x))
 
     return encoded.withColumn("decoded", text(F.col(ids_col)))

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,13 +166,13 @@ def _groups(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
 
 
 def keep_good(docs: DataFrame, model: Model | None, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that score `least` or more, with their columns; scored where they are read, without a shuffle."""
+    """The rows that score `least` or more, with their columns; scored where they are read, without a shuffle. Without a model all rows stay."""
+    if model is None:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def quality(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def quality(texts: pd.Series) -> pd.Series:
         out = [np.empty(0)]
         own, size = [], 0
         for t in texts:
