@@ -178,10 +178,13 @@ TIGHT = {"==": r"[A-Za-z0-9+/]{86}==", "y_": r"y_[A-Za-z0-9_-]{18}", "u+": r"u\+
 
 
 def gate(content: Column, shapes: tuple[Shape, ...] = SHAPES) -> Column:
-    """Whether content has any needle, searched in its bytes."""
-    has = lambda n: F.contains(content, F.lit(n.encode()))
-    tests = [has(n) & content.cast("string").rlike(TIGHT[n]) if n in TIGHT else has(n) for n in dict.fromkeys(s.needle for s in shapes)]
-    return reduce(lambda a, b: a | b, tests)
+    """Whether content has any needle, searched in its bytes. Content is made once, as a lambda's variable, not once for each needle."""
+
+    def any_in(c: Column) -> Column:
+        has = lambda n: F.contains(c, F.lit(n.encode()))
+        return reduce(lambda a, b: a | b, [has(n) & c.cast("string").rlike(TIGHT[n]) if n in TIGHT else has(n) for n in dict.fromkeys(s.needle for s in shapes)])
+
+    return F.exists(F.array(content), any_in)
 
 
 def find(objects: DataFrame, shapes: tuple[Shape, ...] = SHAPES, content: str = "content", keep: tuple[str, ...] = ("object_key",)) -> DataFrame:

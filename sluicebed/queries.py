@@ -397,6 +397,13 @@ def content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("sha").agg(F.min("doc_id").alias("object_key"), F.count("*").alias("copies")).filter("copies > 1").select("object_key", "copies")
 
 
+@query("SELECT count(*)::BIGINT AS tokens FROM documents WHERE regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{36}|xox[bp]-[0-9]{10}|AIza[A-Za-z0-9_-]{35}')")
+def gate_and_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detector over the documents as they are: the throughput of the gate."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("object_key"), F.col("text").cast("binary").alias("content"))
+    return detectors.find(d).agg(F.count("*").alias("tokens"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
