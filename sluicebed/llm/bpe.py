@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 #: Distinct pieces that a task remembers; beyond that it starts afresh.
 CACHE = 400_000
 END = "</w>"
+#: The rank of what never merges.
+NEVER = 1 << 60
+LAST = 0x1000
 
 
 def byte_letters() -> list[str]:
@@ -63,12 +67,15 @@ class Bpe:
         keys = np.array([x * size + y for x, y in self.merges], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merges.values()], dtype=np.int64)[order]
-        self.letters = byte_letters()
-        self.longest = max(map(len, self.vocab))
         self.spot = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cut = None
         self.cache: dict[str, tuple[str, str, tuple[int, ...]]] = {}
+        self.letters = byte_letters()
         self.usable = {t: i for t, i in self.vocab.items() if self.rank[i] < 0 or self._merged(self._units(t)) == [i]}
+        self.greedy = self._automaton()
+        self.ends = np.array([t.endswith(END) and t != END for t in self.tokens])
+        self.last = {c: chr(ord(c) + LAST) for c in self.letters}
+        self.names = list(map(str, range(size)))
 
     @staticmethod
     def _units(token: str) -> list[str]:
@@ -77,26 +84,29 @@ class Bpe:
 
     def _merged(self, units: list[str]) -> list[int]:
         """Merging by rank, one step at a time."""
-        ids = [self.vocab[u] for u in units]
-        while len(ids) > 1:
-            rank, at = min(((self.merges.get(p, (1 << 60,))[0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False))))
-            if rank == 1 << 60:
-                break
-            ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
+        ids = list(map(self.vocab.__getitem__, units))
+        if len(ids) < 2:
+            return ids
+        get, none = self.merges.get, (NEVER, 0)
+        next_to = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while next_to and (best := min(next_to))[0] != NEVER:
+            at = next_to.index(best)
+            ids[at : at + 2] = [best[1]]
+            del next_to[at]
+            if at:
+                next_to[at - 1] = get((ids[at - 1], ids[at]), none)
+            if at < len(next_to):
+                next_to[at] = get((ids[at], ids[at + 1]), none)
         return ids
 
-    def _proposed(self, word: str) -> list[int]:
-        ids, at, n = [], 0, len(word)
-        while at < n:
-            if (t := self.usable.get(word[at:] + END)) is not None:
-                ids.append(t)
-                break
-            stop = min(n - 1, at + self.longest)
-            while (t := self.usable.get(word[at:stop])) is None:
-                stop -= 1
-            ids.append(t)
-            at = stop
-        return ids
+    def _automaton(self) -> ahocorasick.Automaton:
+        """Usable tokens, for longest matches from the left. A word's last letter is moved up by LAST, so that only tokens with a word end match it and none runs into the next word."""
+        out = ahocorasick.Automaton()
+        for t, i in self.usable.items():
+            body = t.removesuffix(END)
+            out.add_word(body[:-1] + chr(ord(body[-1]) + LAST) if t != body and body else t, i)
+        out.make_automaton()
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of tokens, whether merging leaves the border between them alone."""
@@ -122,14 +132,16 @@ class Bpe:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word of byte letters."""
-        proposed = list(map(self._proposed, words))
-        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for ids in proposed for t in ids), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
+        last = self.last
+        flat = np.fromiter((t for _, t in self.greedy.iter_long("".join([w[:-1] + last[w[-1]] for w in words]))), np.int64)
+        owner = np.concatenate([[0], np.cumsum(self.ends[flat])[:-1]]) if len(flat) else flat
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         bad = inner[~self.compatible(flat[inner], flat[inner + 1])]
+        ids, stops = flat.tolist(), (np.flatnonzero(self.ends[flat]) + 1).tolist()
+        proposed = [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         for k in np.unique(owner[bad]).tolist():
-            proposed[k] = self._merged(self._units(words[k] + END))
+            w = words[k]
+            proposed[k] = self._merged([*w[:-1], w[-1] + END])
         return proposed
 
     def _words(self, piece: str) -> list[str]:
@@ -138,7 +150,13 @@ class Bpe:
 
             self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+            if piece.isalpha():
+                return ["".join(map(self.letters.__getitem__, piece.encode()))]
+        elif piece.isalpha():
+            return [piece.lower()]
+        elif piece[:-1].isalpha() and piece[-1] in ",.;:":
+            return [piece[:-1].lower(), piece[-1]]
         return ["".join(map(self.letters.__getitem__, w.encode())) for w in self.cut.findall(piece.lower())]
 
     def learn(self, pieces: set[str]) -> None:
@@ -152,7 +170,7 @@ class Bpe:
         ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
         for p, ws in zip(new, words, strict=True):
             own = tuple(t for w in ws for t in ids[w])
-            self.cache[p] = " ".join(map(str, own)), " ".join(map(self.tokens.__getitem__, own)), own
+            self.cache[p] = " ".join(map(self.names.__getitem__, own)), " ".join(map(self.tokens.__getitem__, own)), own
 
     def pieces(self, text: str) -> list[str]:
         """Special tokens and what stands between white space, in order."""
@@ -196,8 +214,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids in decimal and of the decoded text, made where the text is encoded."""
-    sha = lambda runs, k: hashlib.sha256(" ".join(e[k] for e in runs).encode()).hexdigest()
-    return _run(docs, path, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda runs: (sum(len(e[2]) for e in runs), sha(runs, 0), sha(runs, 1)))
+    sha = lambda runs, k: hashlib.sha256(" ".join([e[k] for e in runs]).encode()).hexdigest()
+    return _run(docs, path, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda runs: (sum([len(e[2]) for e in runs]), sha(runs, 0), sha(runs, 1)))
 
 
 def _run(docs: DataFrame, path: str, id_col: str, text_col: str, made: str, row) -> DataFrame:
