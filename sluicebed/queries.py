@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import values as V
-from .operators import attribution, detectors, findings, hosts, nearest
+from .operators import attribution, detectors, documents, findings, hosts, nearest
 from .plans import verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,6 +397,39 @@ def content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("sha").agg(F.min("doc_id").alias("object_key"), F.count("*").alias("copies")).filter("copies > 1").select("object_key", "copies")
 
 
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Secret with a good value, one to be filled in, and one in clear; every fourth is encrypted as a whole."""
+    token = F.concat(F.lit("np" + "m_"), F.substring(seeded("mf"), 1, 36))
+    sops = F.when(F.col("doc_id") % 4 == 0, "sops: {version: 3}\n").otherwise("")
+    k = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    text = F.concat(F.lit("kind: Secret\nmetadata: {namespace: ns, name: s"), k, F.lit("}\ndata:\n  a: "), F.base64(token.cast("binary")), F.lit("\n  b: "), F.base64(F.lit("changeme").cast("binary")), F.lit("\nstringData:\n  c: plain"), k, F.lit("\n"), sops)
+    return d.select(F.col("doc_id").alias("object_key"), text.cast("binary").alias("content"))
+
+
+@query("SELECT doc_id AS object_key, 'ns/s' || doc_id::VARCHAR AS value, 'keys a, c' AS attribution FROM documents WHERE doc_id % 4 <> 0")
+def secret_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.secret_manifests(_manifest(spark, sf_dir)).select("object_key", "value", "attribution")
+
+
+@query(f"SELECT doc_id AS object_key, substr(sha256('np' || 'm_' || substr({_sql_seeded('mf')}, 1, 36)), 1, 16) AS fingerprint, 4::INT AS line, 'in Secret ns/s' || doc_id::VARCHAR || ', key a' AS attribution FROM documents WHERE doc_id % 4 <> 0")
+def secret_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens inside encoded values, at their key's line."""
+    objects = _manifest(spark, sf_dir)
+    return documents.rescanned(objects, detectors.find(objects)).select("object_key", V.fingerprint(F.col("value")).alias("fingerprint"), "line", "attribution")
+
+
+@query("SELECT doc_id AS object_key, CASE doc_id % 3 WHEN 0 THEN 'ghcr-login' WHEN 1 THEN 'quay-login' ELSE 'registry-login' END AS kind, CASE doc_id % 3 WHEN 0 THEN 'ghcr.io' WHEN 1 THEN 'quay.io' ELSE 'r.example.com' END || '/u' || doc_id::VARCHAR AS value FROM documents WHERE doc_id % 5 <> 0")
+def registry_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins in clear and in base64; a password that is filled in later is none."""
+    k = F.col("doc_id")
+    host = F.when(k % 3 == 0, "https://ghcr.io/v1/").when(k % 3 == 1, "quay.io").otherwise("r.example.com")
+    auth = F.base64(F.concat(F.lit("u"), k.cast("string"), F.lit(":"), F.when(k % 5 == 0, "${P}").otherwise("pw")).cast("binary"))
+    text = F.concat(F.lit('{"auths":{"'), host, F.lit('":{"auth":"'), auth, F.lit('"}}}'))
+    d = table(spark, sf_dir, "documents").select(k.alias("object_key"), F.when(k % 2 == 0, text).otherwise(F.concat(F.lit("dockerconfigjson: "), F.base64(text.cast("binary")))).cast("binary").alias("content"))
+    return documents.find(d).select("object_key", "kind", "value")
+
+
 @query("SELECT count(*)::BIGINT AS tokens FROM documents WHERE regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{36}|xox[bp]-[0-9]{10}|AIza[A-Za-z0-9_-]{35}')")
 def gate_and_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detector over the documents as they are: the throughput of the gate."""
