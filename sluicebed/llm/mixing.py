@@ -8,14 +8,14 @@ sampled by the probability of their cell: a document stays if the hash of its id
 Targets default to tempered shares: a value's share of tokens to the power TEMPER, scaled to sum to one, times FRACTION of all
 tokens. Given targets are rows of (value, share); a value that a given table lacks keeps nothing.
 
-Only cells are raked, a table as large as there are combinations; documents are read twice and never shuffled whole: each
-task sums its own cells before the shuffle, so a source with a third of all rows is a few rows. Each sweep is written to the
-shared folder. The cells come back to the documents by a join that Spark broadcasts where it knows the cells to be few and
+Only cells are raked, a table as large as there are combinations; documents are never shuffled whole: each task sums its own
+cells before the shuffle, so a source with a third of all rows is a few rows. Each sweep is written to the shared folder. The
+cells come back to the documents by a join that Spark broadcasts where it knows the cells to be few and
 splits where one is hot. Native: no Python runs on the executors.
 
 Defined results: null and blank texts have no tokens and form cells like others (topic `empty`); null sources, languages and
 ids are values like any other; repeated rows share their fate; a cell without tokens has the mean of its marginals' ratios; an
-empty table gives an empty result; columns that clash with the operator's own are kept, since its own are removed again.
+empty table gives an empty result; extra columns are kept, but for _m, _mix, _p and _p_source, _p_lang, _p_topic, the operator's own.
 """
 
 from __future__ import annotations
@@ -83,21 +83,33 @@ def shares(targets: DataFrame, cells: DataFrame, fraction: float = FRACTION) ->
     return targets.join(F.broadcast(both)).select("value", (F.col("share") * F.col("total") * fraction).alias("want"))
 
 
-def mixed(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, temper: float = TEMPER, sweeps: int = SWEEPS
-) -> DataFrame:
-    """The documents with a struct _mix: topic, tokens, weight (the probability) and kept."""
-    own = F.struct(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), topic_of(F.col(text_col)).alias("topic"), F.size(words(F.col(text_col))).cast("long").alias("tokens"))
-    cells = docs.select(own.alias("m")).select("m.*").groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
-    cells = materialize(cells, "mix-cells")
+def _cell(source_col: str, lang_col: str, text_col: str) -> list[Column]:
+    return [F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), topic_of(F.col(text_col)).alias("topic")]
+
+
+def _joined(docs: DataFrame, cells: DataFrame, id_col: str, targets: dict[str, DataFrame] | None, fraction: float, temper: float, sweeps: int) -> DataFrame:
+    """docs, which have a struct _m of their cell, with weight and kept in it. cells: source, lang, topic, tokens."""
+    cells = materialize(cells.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     wanted = {d: materialize(shares(targets[d], cells, fraction) if targets and d in targets else tempered(cells, d, fraction, temper), f"mix-{d}") for d in DIMS}
     p = rake(cells, wanted, fraction, sweeps).select(*(F.col(d).alias(f"_p_{d}") for d in DIMS), F.col("p").alias("_p"))
-    docs = docs.withColumn("_m", own)
     same = F.col("_m.source").eqNullSafe(F.col("_p_source")) & F.col("_m.lang").eqNullSafe(F.col("_p_lang")) & (F.col("_m.topic") == F.col("_p_topic"))
-    both = docs.join(p, same, "left").withColumn("_mix", F.struct("_m.topic", "_m.tokens", F.col("_p").alias("weight"), (chance(F.col(id_col)) < F.col("_p")).alias("kept")))
+    both = docs.join(p, same, "left").withColumn("_mix", F.struct("_m.*", F.col("_p").alias("weight"), (chance(F.col(id_col)) < F.col("_p")).alias("kept")))
     return both.drop("_m", "_p", *(f"_p_{d}" for d in DIMS))
 
 
-def sample(docs: DataFrame, **given: object) -> DataFrame:
-    """The documents that stay, with their columns; parameters as of mixed()."""
-    return mixed(docs, **given).filter("_mix.kept").drop("_mix")
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, temper: float = TEMPER, sweeps: int = SWEEPS
+) -> DataFrame:
+    """The documents without their text, with a struct _mix: source, lang, topic, tokens, weight (the probability) and kept. Texts are read once."""
+    measured = docs.withColumn("_m", F.struct(*_cell(source_col, lang_col, text_col), F.size(words(F.col(text_col))).cast("long").alias("tokens"))).drop(text_col)
+    measured = materialize(measured, "mix-measured")
+    return _joined(measured, measured.select("_m.*"), id_col, targets, fraction, temper, sweeps)
+
+
+def sample(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, temper: float = TEMPER, sweeps: int = SWEEPS
+) -> DataFrame:
+    """The documents that stay, with their columns. Texts are read twice: for the cells' tokens, and for each document's cell."""
+    cells = docs.select(*_cell(source_col, lang_col, text_col), F.size(words(F.col(text_col))).cast("long").alias("tokens"))
+    own = docs.withColumn("_m", F.struct(*_cell(source_col, lang_col, text_col)))
+    return _joined(own, cells, id_col, targets, fraction, temper, sweeps).filter("_mix.kept").drop("_mix")
