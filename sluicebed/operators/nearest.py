@@ -134,3 +134,15 @@ def storage_accounts(objects: DataFrame, tokens: DataFrame, content: str = "cont
     found = hosts.unionByName(named).select("object_key", "start", (F.col("start") + F.length("value")).alias("end"), "line", "value").dropDuplicates(["object_key", "start"])
     out = nearest(keys, found, before_first).filter(F.col("companion").isNotNull())
     return out.select("object_key", F.col("start").alias("offset"), "line", "kind", "value", F.col("companion.value").alias("secret"), F.concat(F.lit("storage account "), "companion.value").alias("attribution"))
+
+
+def registry_users(objects: DataFrame, tokens: DataFrame, content: str = "content", window: int = 512) -> DataFrame:
+    """Hub tokens with the username written nearest to them, within a window on either side."""
+    keys = tokens.filter(F.col("kind").isin("docker-hub-pat", "docker-hub-oat")).select("object_key", F.col("offset").alias("start"), (F.col("offset") + F.length("value")).alias("end"), "line", "kind", "value")
+    own = objects.join(keys.select("object_key").distinct(), "object_key", "left_semi")
+    word = r"(?i:(?:username|user)(?![A-Za-z0-9])|-u )"
+    said = runs(own, rf"{word}[ \t:=\"']{{0,64}}+[A-Za-z0-9_.@-]{{1,128}}", "[A-Za-z0-9]", "", content).withColumn("value", F.regexp_extract("value", rf"^{word}[ \t:=\"']{{0,64}}+([A-Za-z0-9_.@-]+)", 1))
+    near = nearest(keys, said.filter(~F.col("value").startswith("dckr_")), lambda k, c: F.struct((-F.greatest(k["start"] - c["start"], c["start"] - k["end"], F.lit(0))).alias("gap")))
+    far = F.greatest(F.col("start") - F.col("companion.start"), F.col("companion.start") - F.col("end"))
+    user = F.when(far <= window, F.col("companion.value"))
+    return near.select("object_key", F.col("start").alias("offset"), "line", "kind", "value", user.alias("secret"), F.coalesce(F.concat(F.lit("user "), user), F.lit("username not found nearby")).alias("attribution"))
