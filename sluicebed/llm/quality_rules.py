@@ -129,8 +129,13 @@ def measure_and_judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...]
 
 
 def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows that no rule rejects, with their columns. CASE stops at the first rule that rejects, so the measures of a later one are made only for rows that reach it."""
-    gone = F
-    for r, _, _ in plan_order(df, text, rules, sample_rows):
-        gone = gone.when(rejects(F.col(text), r), F.lit(True))
-    return df.filter(~gone.otherwise(F.lit(False)))
+    """The rows that no rule rejects, with their columns. A text is split once; CASE stops at the first rule that rejects, so the measures of a later one are made only for rows that reach it."""
+    order = [r for r, _, _ in plan_order(df, text, rules, sample_rows)]
+
+    def gone(t: Column, w: Column) -> Column:
+        out = F
+        for r in order:
+            out = out.when(let(F.struct(*(MEASURES[n](t, w).alias(n) for n in r.needs)), r.reject), F.lit(True))
+        return out.otherwise(F.lit(False))
+
+    return df.filter(~let(F.coalesce(F.col(text), F.lit("")), lambda t: let(words(t), lambda w: gone(t, w))))
