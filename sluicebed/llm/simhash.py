@@ -59,13 +59,16 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
 def _ring_rows(fps: DataFrame) -> DataFrame:
     """key, fp, probe: each fingerprint under its own two segments, and as a probe with one set bit of the second cleared."""
-    rows: list[Column] = []
-    for i in range(4):
+
+    def at(i: int) -> Column:
+        """Rows for the ring position i. A lambda here takes one argument: a second one would be the element's index."""
         turned = F.shiftleft("fp", SEGMENT * i).bitwiseOR(F.shiftrightunsigned("fp", 64 - SEGMENT * i)) if i else F.col("fp")
         key = F.shiftrightunsigned(turned, 32).bitwiseOR(F.lit(i << 32))
-        rows.append(F.array(F.struct(key.alias("key"), F.lit(False).alias("probe"))))
-        cleared = F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda b, key=key: F.struct(key.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))).alias("key"), F.lit(True).alias("probe")))
-        rows.append(F.filter(cleared, lambda x, key=key: x["key"] != key))
+        bits = F.array(*(F.lit(1 << b).cast("bigint") for b in range(SEGMENT)))
+        cleared = F.transform(F.filter(bits, lambda b: key.bitwiseAND(b) != 0), lambda b: F.struct(key.bitwiseXOR(b).alias("key"), F.lit(True).alias("probe")))
+        return F.concat(F.array(F.struct(key.alias("key"), F.lit(False).alias("probe"))), cleared)
+
+    rows = [at(i) for i in range(4)]
     return fps.select("fp", F.explode(F.concat(*rows)).alias("r")).select("r.key", "fp", "r.probe")
 
 
@@ -86,15 +89,15 @@ class _Forest:
 
 
 def _verified(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs of rows with one key; key is sorted."""
+    """Linked pairs of a fingerprint's own row and a later row with its key; rows are sorted by key, own rows before probes."""
     turn = (np.uint64(SEGMENT) * (key >> 32).astype(np.uint64)) % np.uint64(64)
     back = (np.uint64(64) - turn) % np.uint64(64)
-    at, step = np.arange(len(key) - 1), 1
+    at, step = np.flatnonzero(~probe), 1
     while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
         a, b = at, at + step
         x = fp[a] ^ fp[b]
         ring = (x << turn[a]) | np.where(back[a] > 0, x >> back[a], np.uint64(0))
-        ok = ~(probe[a] & probe[b]) & (np.bitwise_count(ring >> np.uint64(SEGMENT)) <= 2) & (np.bitwise_count(x) <= bits) & (x != 0)
+        ok = (np.bitwise_count(ring >> np.uint64(SEGMENT)) <= 2) & (np.bitwise_count(x) <= bits) & (x != 0)
         if ok.any():
             yield fp[a[ok]], fp[b[ok]]
         step += 1
@@ -122,7 +125,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
                 rest = tuple(x[cut:] for x in rest)
         yield from new(rest)
 
-    return _ring_rows(fps).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return _ring_rows(fps).repartition("key").sortWithinPartitions("key", "probe").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
