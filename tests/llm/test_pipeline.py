@@ -38,3 +38,40 @@ def test_copies_go_and_clean_documents_stay(spark):
     model = byte_cnn.fit([b"a plain text of words", b"## $$ !!"] * 10, [1, 0] * 10, epochs=1)
     assert byte_cnn.keep_good(clean, model, least=0.0).count() == clean.count()
     assert one.filter(F.col("text").isNull()).count() <= 1
+
+
+def _edited(text, shared, n):
+    """A text of n words whose five-word shingles are about as similar as `shared` says: its tail is other words."""
+    same = round(2 * shared / (1 + shared) * n)
+    return " ".join(text.split()[:same] + [f"other{text.split()[0]}{i}" for i in range(n - same)])
+
+
+def _sets(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+
+def test_near_duplicates_finds_what_is_eight_tenths_alike(spark):
+    rows = []
+    for k in range(60):
+        text = " ".join(f"w{k}x{i * i % 9973}" for i in range(400))
+        rows += [(3 * k, text), (3 * k + 1, _edited(text, (0.82, 0.9, 0.95)[k % 3], 400)), (3 * k + 2, _edited(text, 0.7, 400))]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    texts = dict(rows)
+    alike = lambda a, b: len(_sets(texts[a]) & _sets(texts[b])) / len(_sets(texts[a]) | _sets(texts[b])) >= 0.8
+    expected = set()
+    for k in range(0, 180, 3):
+        linked = {k}
+        while more := {j for j in range(k, k + 3) if j not in linked and any(alike(i, j) for i in linked)}:
+            linked |= more
+        rest = {k, k + 1, k + 2} - linked
+        expected |= {k} | ({min(rest)} if len(rest) == 1 or (rest and alike(*rest)) else rest)
+    assert kept == expected and len(kept) < 180 and all(3 * k + 1 not in kept for k in range(60))
+
+
+def test_near_duplicates_that_only_link_through_others(spark):
+    """b is near a, c near b but not near a; the star of a key may start at any of them."""
+    base = [f"v{i}" for i in range(300)]
+    rows = [(k, " ".join(base[9 * k :] + [f"v{300 + i}" for i in range(9 * k)])) for k in range(12)]
+    one = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert [r["doc_id"] for r in one] == [0]
