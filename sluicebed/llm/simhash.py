@@ -158,12 +158,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, id_col: s
     return rows.join(known, "fp").select("doc_id", "fp", "root", "component_id")
 
 
+def one_of_each(numbered: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """Of the rows with a number _row the one with the smallest id in each group, nulls last; groups: row, root."""
+    ids = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("id"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    kept = groups.join(ids, "row").groupBy("root").agg(F.min(order)["row"].alias("_row"))
+    return numbered.join(materialize(kept.select("_row"), "kept"), "_row", "left_semi").drop("_row")
+
+
 def keep_one(docs: DataFrame, words: int = 3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that with its smallest id, with all the columns it came with."""
-    stay = near_duplicates(docs, words, bits, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = materialize(stay.select("doc_id", "root"), "kept")
-    one = ids.groupBy("root").agg(F.min("doc_id").alias("_kept"))
-    out = docs.join(one.select("_kept").distinct(), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    if ids.count() != one.count():  # repeated rows, or null ids
-        return out.dropDuplicates([id_col])
-    return out
+    """One row of each component, that with its smallest id, with all the columns it came with. Rows are told apart by a number, not by id."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered, words, bits, "_row", text_col).select(F.col("doc_id").alias("row"), "root")
+    return one_of_each(numbered, groups, id_col)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sluicebed.llm import bpe, byte_cnn, html_extract, kmeans_tree, layouts, mixing, quality_rules, queries, sharding, simhash, suffix_tree, warc
+from sluicebed.llm import bpe, byte_cnn, html_extract, kmeans_tree, layouts, mixing, quality_rules, queries, sharding, shingle_pairs, simhash, suffix_tree, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "a b c"), (4, "a b c"), (None, "null id"), (7, "word " * 30_000), (8, "ÄÖ ümlaut — 漢字 \x00 🙂")]
@@ -260,6 +260,17 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_one_tells_rows_with_one_id_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(200))
+    rows = [(None, text(k)) for k in range(30)] + [(7, text(30)), (7, text(31))]  # different texts, whatever their ids
+    copies = [(None, text(3)), (5, text(32)), (5, text(32)), (None, text(32))]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    for keep in (simhash.keep_one, shingle_pairs.keep_one):
+        kept = keep(docs).collect()
+        assert sorted(r["text"] for r in kept) == sorted(text(k) for k in range(33))
+        assert {r["doc_id"] for r in kept if r["text"] == text(32)} == {5}
+
+
 def _measures(text):
     text = text or ""
     ws = text.encode().split()
