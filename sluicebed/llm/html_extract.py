@@ -44,6 +44,10 @@ EPOCHS = 5
 AT_ONCE = 4 << 20
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+MARK = re.compile("[>\"']")
+#: The elements that may stand in a head; any other, and text, ends it.
+HEAD = frozenset("head html base basefont bgsound link meta title script style template noscript".split())
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -78,14 +82,49 @@ class Paths:
         return at
 
 
+class _Ends:
+    """Where tags end, as TAG has it, in time linear in the page however many tags don't: each mark is followed once."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.after: dict[int, int] = {}  # a mark outside quotes to the next one, or to itself if it is the end
+        self.near = (0, -1)  # no mark from the first number on before the second
+        self.last = {q: page.rfind(q) for q in ">\"'"}
+
+    def mark(self, at: int) -> int:
+        """The next mark, -1 if none follows."""
+        lo, hi = self.near
+        if not lo <= at <= hi:
+            if at > max(self.last.values()):
+                return -1
+            hi = MARK.search(self.page, at).start()
+            self.near = at, hi
+        return hi
+
+    def follow(self, at: int) -> int:
+        """Where the tag whose attributes start here has its '>', -1 if nowhere."""
+        passed, now = [], self.mark(at)
+        while now >= 0:
+            if (known := self.after.get(now)) is not None:
+                now = known
+                break
+            if (c := self.page[now]) == ">":
+                break
+            passed.append(now)
+            now = self.mark(self.page.find(c, now + 1) + 1) if self.last[c] > now else -1
+        self.after.update(dict.fromkeys(passed, now))
+        return now
+
+
 def blocks(page: str, paths: Paths) -> list[tuple[int, str, int]]:
     """(path, text, characters in links) of each block with text; entities are decoded, white space is one space."""
     out: list[tuple[int, str, int]] = []
     stack: list[tuple[str, int, int]] = []  # tag, path, path of its block-level elements
     opened: dict[str, int] = {}
     run: list[str] = []
-    linked, in_link, head, skipping, fails = 0, 0, 0, None, 0
+    linked, in_link, head = 0, 0, 0
     path, at, n = 0, 0, len(page)
+    ends: _Ends | None = None  # made when a tag doesn't end
 
     def close() -> None:
         nonlocal linked
@@ -104,10 +143,18 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, int]]:
         in_link -= tag == "a"
         head -= tag == "head"
 
+    def end_head() -> None:
+        nonlocal path
+        while opened.get("head"):
+            pop()
+        path = stack[-1][2] if stack else 0
+
     while at < n:
         lt = page.find("<", at)
         text = page[at:lt] if lt >= 0 else page[at:]
         if text:
+            if head and not text.isspace():
+                end_head()
             run.append(text)
             if in_link:
                 linked += len(text)
@@ -118,19 +165,35 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, int]]:
             end = page.find("-->", lt + 4) + 2 if page.startswith("<!--", lt) else page.find(">", lt)
             at = end + 1 if end > lt else n
             continue
-        m = TAG.match(page, lt) if fails < 50 else None
-        if m is None:
-            fails += 1
-            end = page.find(">", lt) if c.isascii() and (c.isalpha() or c == "/") else -1
+        m = NAME.match(page, lt)
+        if m is None:  # not a tag
+            if head:
+                end_head()
+            run.append("<")
+            at = lt + 1
+            continue
+        if ends is None:
+            if (whole := TAG.match(page, lt)) is None:
+                ends = _Ends(page)
+            else:
+                end = whole.end() - 1
+        if ends is not None:
+            end = ends.follow(m.end())
+        if end >= 0:
+            tag, attributes = m[1].lower(), page[m.end() : end]
+        else:  # quotes that don't end: to the next '>'
+            end = page.find(">", lt) if ends.last[">"] > lt else -1
             m = TAG.match(page[lt : end + 1].replace('"', "").replace("'", "")) if end > 0 else None
             if m is None:  # not a tag
+                if head:
+                    end_head()
                 run.append("<")
                 at = lt + 1
                 continue
-            at = end + 1
-        else:
-            at = m.end()
-        tag, attributes = m[1].lower(), m[2]
+            tag, attributes = m[1].lower(), m[2]
+        at = end + 1
+        if head and tag not in HEAD and page[lt + 1] != "/":
+            end_head()
         if page[lt + 1] == "/":
             if tag in BLOCK:
                 close()
@@ -156,9 +219,6 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, int]]:
             continue
         if tag in BLOCK:
             close()
-            if tag == "body" and head:
-                while opened.get("head"):
-                    pop()
             inner, outer = ENDS.get(tag, ((), ()))
             if tag not in ("option", "button", "label") and opened.get("p"):
                 inner, outer = {*inner, "p"}, {*outer, "table", "button"}

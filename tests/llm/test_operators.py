@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -164,6 +165,34 @@ def test_blocks_of_odd_pages():
     assert cut('<a "' * 2000)  # unclosed quotes end
 
 
+def test_blocks_after_many_unclosed_tags_and_heads():
+    cut = lambda page: [t for _, t, _ in html_extract.blocks(page, html_extract.Paths())]
+    paths = html_extract.Paths()
+    stray = "<p>a < b</p>" * 60
+    found = html_extract.blocks(stray + '<p class="post-body article" title="x>y">text', paths)
+    assert [t for _, t, _ in found] == ["a < b"] * 60 + ["text"] and (0, "p", "post-body article") in paths.known
+    unclosed = '<i title="o>' * 61 + "<p>t<p title='c>d'>u"  # an odd number of quotes: the last tag's doesn't end
+    assert cut(unclosed)[-2:] == ["t", "u"]
+    assert cut("<html><head><title>t</title><p>one<p>two") == ["one", "two"]
+    assert cut("<head><meta charset=x><h1>T</h1>x") == ["T", "x"] and cut("<head><title>t</title> text <b>more</b>") == ["text more"]
+    assert cut("<head> <title>t</title> </head><body><p>x") == ["x"] == cut("<head><link><script>s</script><body><p>x")
+    start = time.process_time()
+    for page in ('<a "' * 150_000, "<a " * 150_000, "<a '\"" * 150_000 + "'", "</ " * 150_000 + ">"):
+        html_extract.blocks(page, html_extract.Paths())
+    assert time.process_time() - start < 20
+
+
+def test_tag_ends_as_the_pattern_has_them():
+    r = np.random.default_rng(1)
+    for _ in range(3000):
+        page = "".join(r.choice(list("<<a \"'>="), 25))
+        ends = html_extract._Ends(page)
+        for at in [i for i, c in enumerate(page) if c == "<"]:
+            if m := html_extract.NAME.match(page, at):
+                whole = html_extract.TAG.match(page, at)
+                assert ends.follow(m.end()) == (whole.end() - 1 if whole else -1), (page, at)
+
+
 def test_extract_odd_rows(spark, labeller):
     pages = [(1, "u", None), (2, "u", ""), (None, None, "<article><h1>T</h1><p>One  two.</p></article><footer>f</footer>"), (3, "u", "<article><p>" + "long text " * 50_000 + "</article>")]
     got = html_extract.extract(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, text int"), model=labeller).collect()
