@@ -3,7 +3,8 @@
 Learned filters of 6 bytes slide over every byte of a text. Their rectified responses are max-pooled over chunks of 256
 bytes that overlap by half; a chunk's pooled responses pass a small rectified layer; its units, max-pooled and averaged
 over all chunks, and combined by a logistic unit, give one probability. A filter is a table of 256 weights for each of
-its bytes, so a response is a sum of looked-up rows. Texts of a batch are laid out together, each padded to whole blocks.
+its bytes, so a response is a sum of looked-up rows. Texts of a batch are laid out together, each padded to whole blocks
+with WIDTH - 1 zero bytes at least; windows that reach into the next text are left out, so a score is a text's own.
 
 It is fitted by Adam on a bounded sample of labelled rows (fit_rows of each class, of at most fit_bytes each), chosen by
 a hash of the id; labels, language, source and id are never inputs. Everything else is scored, whole.
@@ -36,15 +37,16 @@ Model = dict[str, np.ndarray]
 
 
 def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array, each padded with zeros to whole blocks, and the first block of each."""
-    blocks = np.array([max(1, -(-len(t) // BLOCK)) for t in texts], dtype=np.int64)
+    """All texts in one array, each padded with WIDTH - 1 zeros or more to whole blocks, and the first block of each."""
+    blocks = np.array([-(-(len(t) + WIDTH - 1) // BLOCK) for t in texts], dtype=np.int64)
     out = np.frombuffer(b"".join(t.ljust(int(n) * BLOCK, b"\0") for t, n in zip(texts, blocks, strict=True)) + bytes(WIDTH - 1), dtype=np.uint8)
     return out, np.concatenate([[0], np.cumsum(blocks)[:-1]])
 
 
-def _pooled(model: Model, data: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def _pooled(model: Model, data: np.ndarray, first: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Each block's largest response of each filter, and where in the block it is."""
     table, n = model["table"], len(data) - WIDTH + 1
+    last = np.append(first[1:], n // BLOCK) - 1
     best, at = [], []
     for lo in range(0, n, AT_ONCE):
         size = min(AT_ONCE, n - lo)
@@ -54,6 +56,7 @@ def _pooled(model: Model, data: np.ndarray, where: bool = False) -> tuple[np.nda
             np.take(table[j], data[lo + j : lo + j + size], axis=0, out=part)
             z += part
         z = z.reshape(-1, BLOCK, FILTERS)
+        z[last[(last >= lo // BLOCK) & (last < lo // BLOCK + len(z))] - lo // BLOCK, BLOCK - WIDTH + 1 :] = -np.inf  # these read the next text
         if where:
             at.append(z.argmax(axis=1))
         best.append(z.max(axis=1))
@@ -67,13 +70,21 @@ def _chunks(blocks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.maximum(blocks, after), after > blocks
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, summed in the same order for every number of rows, as matrix libraries don't."""
+    out = x[:, :1] * w[0]
+    for k in range(1, len(w)):
+        out += x[:, k : k + 1] * w[k]
+    return out
+
+
 def _forward(model: Model, blocks: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     c, later = _chunks(blocks, first)
     p = np.maximum(c, 0)
-    h = np.maximum(p @ model["w"] + model["c"], 0)
+    h = np.maximum(_times(p, model["w"]) + model["c"], 0)
     count = np.diff(np.append(first, len(blocks)))
     top, mean = np.maximum.reduceat(h, first, axis=0), np.add.reduceat(h, first, axis=0) / count[:, None]
-    z = np.concatenate([top, mean], axis=1) @ model["v"] + model["d"]
+    z = _times(np.concatenate([top, mean], axis=1), model["v"][:, None])[:, 0] + model["d"]
     return {"c": c, "later": later, "p": p, "h": h, "top": top, "mean": mean, "count": count, "prob": 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
 
 
@@ -95,7 +106,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOC
         for lo in range(0, len(order), 64):
             own = order[lo : lo + 64]
             data, first = _laid_out([texts[i] for i in own])
-            blocks, at = _pooled(model, data, where=True)
+            blocks, at = _pooled(model, data, first, where=True)
             f = _forward(model, blocks, first)
             g = ((f["prob"] - y[own]) * weight[own] / len(own)).astype(np.float32)
             grad = {"v": np.concatenate([f["top"], f["mean"]], axis=1).T @ g, "d": g.sum(keepdims=True)}
@@ -127,7 +138,7 @@ def score(model: Model | None, texts: list[bytes]) -> np.ndarray:
     if model is None or not texts:
         return np.full(len(texts), 0.5)
     data, first = _laid_out(texts)
-    return _forward(model, _pooled(model, data)[0], first)["prob"].astype(np.float64)
+    return _forward(model, _pooled(model, data, first)[0], first)["prob"].astype(np.float64)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, octets: int = FIT_BYTES) -> Model | None:

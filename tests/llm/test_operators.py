@@ -239,6 +239,16 @@ def test_classifier_odd_rows(spark, odd, none):
     assert byte_cnn.keep_good(odd, None).count() == len(ODD)
 
 
+def test_classifier_scores_a_text_alike_in_any_batch():
+    model = byte_cnn.fit([b"good text here", b"!!!! ####"] * 20, [1, 0] * 20, epochs=2)
+    r = np.random.default_rng(3)
+    texts = [bytes(r.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 5, 122, 123, 124, 127, 128, 129, 251, 252, 256, 1000, 5000, 1 << 19, (1 << 19) + 124)]
+    alone = [byte_cnn.score(model, [t])[0] for t in texts]
+    for _ in range(8):
+        order = r.permutation(len(texts))
+        assert byte_cnn.score(model, [texts[i] for i in order]).tolist() == [alone[i] for i in order]
+
+
 def _fingerprint(text):
     w = (text or "").encode().lower().split()
     sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
