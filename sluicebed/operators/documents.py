@@ -247,17 +247,20 @@ def _is_sequence(der: bytes) -> bool:
 
 def private_keys(content: bytes) -> Iterator[Row]:
     """PEM private keys. OpenSSH keys are named by the fingerprint of the public half they contain; others by a hash of their block."""
-    text = content.replace(b"\\r", b"").replace(b"\\n", b"\n") if b"\\n" in content else content
-    for m in re.finditer(rb"(?<![A-Za-z0-9])-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*?)-----END \1-----", text):
-        label, body = m[1].decode(), m[2]
-        if len(body) > MAX_BLOCK or label == "PGP PRIVATE KEY BLOCK":
+    for m in re.finditer(rb"(?:(?<![A-Za-z0-9-])|(?<=\\[nr]))-----BEGIN ([A-Z0-9 ]{0,53}PRIVATE KEY)-----", content):
+        label, offset = m[1].decode(), m.start()
+        stop = content.find(b"-----END " + m[1] + b"-----", m.end(), m.end() + MAX_BLOCK)
+        if stop < 0:
             continue
-        offset = content.find(m[0][:40]) if text is not content else m.start()
-        headers, _, rest = body.partition(b"\n\n") if b"Proc-Type" in body else (b"", b"", body)
+        body = content[m.end() : stop].replace(b"\\r", b"").replace(b"\\n", b"\n")
+        lines = body.split(b"\n")
+        headers, rest = b"\n".join(x for x in lines if b":" in x), b"\n".join(x for x in lines if b":" not in x)
         try:
             raw = base64.b64decode(re.sub(rb"[\s\"']+", b"", rest), validate=True)
         except (binascii.Error, ValueError):
             continue
+        if not raw:
+            continue
         block = "sha256:" + hashlib.sha256(raw).hexdigest()
         if label == "OPENSSH PRIVATE KEY":
             if not raw.startswith(b"openssh-key-v1\0"):

@@ -47,15 +47,19 @@ def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = M
     pairs = nearest.key_pairs(once, found).select("object_key", "offset", "value", "secret", F.col("attribution").alias("_said"))
     names = nearest.principals(once, found).select("object_key", "offset", "value", F.to_json(F.struct("tenant", "client")).alias("secret"), F.col("attribution").alias("_said"))
     stores = nearest.storage_accounts(once, found).select("object_key", "offset", "value", "secret", F.col("attribution").alias("_said"))
-    companions = pairs.unionByName(names).unionByName(stores)
+    users = nearest.registry_users(once, found).filter(F.col("secret").isNotNull()).select("object_key", "offset", "value", "secret", F.col("attribution").alias("_said"))
+    companions = pairs.unionByName(names).unionByName(stores).unionByName(users)
     tokens = found.join(companions, ["object_key", "offset", "value"], "left").filter((F.col("kind") != "azure-storage-account-key") | F.col("_said").isNotNull())
-    tokens = tokens.withColumn("attribution", F.coalesce("_said", "attribution")).drop("_said").withColumn("encrypted", F.lit(False))
+    nameless = F.col("kind").isin("docker-hub-pat", "docker-hub-oat") & F.col("_said").isNull() & (F.col("attribution") == "")
+    tokens = tokens.withColumn("attribution", F.when(nameless, "username not found nearby").otherwise(F.coalesce("_said", "attribution"))).drop("_said").withColumn("encrypted", F.lit(False))
     docs = documents.find(once)
+    named_secrets = documents.secret_manifests(once).join(once.select("object_key", F.col("content").alias("_c")), "object_key").withColumn("line", detectors.line(F.col("_c"), F.col("offset"))).drop("_c")
+    named_secrets = named_secrets.withColumns({"checksum_verified": F.lit(False), "secret": F.lit(None).cast("string"), "encrypted": F.lit(False)})
     inside = docs.filter(F.col("kind") == "gcp-oauth-user-credentials").select("object_key", F.col("value"), F.lit("gcp-oauth-refresh-token").alias("kind"))
-    tokens = tokens.join(inside, ["object_key", "value", "kind"], "left_anti").unionByName(docs)  # a refresh token in a document is the document's
+    tokens = tokens.join(inside, ["object_key", "value", "kind"], "left_anti").unionByName(docs).unionByName(named_secrets)  # a refresh token in a document is the document's
     places = by_content.select(F.col("sha").alias("_sha"), "target", F.col("object_key").alias("_key"), "path", "object_type")
     tokens = tokens.join(places, F.col("object_key") == F.col("_sha")).drop("object_key", "_sha").withColumnRenamed("_key", "object_key")
-    tokens = cut(findings.ignored(tokens, ignore))
+    tokens = cut(findings.ignored(findings.classified(tokens), ignore))
     seen = own.filter(F.col("object_type").isin("blob", "file"))
     text = V.bytes_view(F.col("content"))
     named = [seen.filter(F.contains("content", F.lit(f"{p}.".encode()))).select("target", "object_key", F.lit(p).alias("provider"), F.explode(hosts.instances(text, p)).alias("origin")) for p in hosts.VENDORS]

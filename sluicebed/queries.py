@@ -430,6 +430,22 @@ def registry_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.find(d).select("object_key", "kind", "value")
 
 
+_PEM_SQL = """WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS pos, doc_id % 3 AS m, '3020' || sha256('pem' || doc_id::VARCHAR) AS raw FROM documents)
+SELECT doc_id AS object_key, 'tls-private-key' AS kind, 'sha256:' || sha256(unhex(raw)) AS value, (pos + CASE WHEN m = 1 THEN 3 ELSE 0 END)::BIGINT AS "offset", m = 2 AS encrypted FROM d"""
+
+
+@query(_PEM_SQL)
+def private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PEM keys after the text: plain, in a string with escaped line ends, and encrypted with headers."""
+    k = F.col("doc_id")
+    body = F.base64(F.unhex(F.concat(F.lit("3020"), seeded("pem"))))
+    mark = lambda word: f"{'-' * 5}{word} RSA PRIVATE {'KEY'}{'-' * 5}"
+    block = lambda eol, headers="": F.concat(F.lit(mark("BEGIN") + eol + headers), body, F.lit(eol + mark("END")))
+    locked = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    line = F.when(k % 3 == 0, block("\n")).when(k % 3 == 1, F.concat(F.lit('k="'), block("\\n"), F.lit('"'))).otherwise(block("\n", locked))
+    return documents.find(planted(spark, sf_dir, line)).filter(F.col("provider") == "privatekey").select("object_key", "kind", "value", "offset", "encrypted")
+
+
 @query("SELECT count(*)::BIGINT AS tokens FROM documents WHERE regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{36}|xox[bp]-[0-9]{10}|AIza[A-Za-z0-9_-]{35}')")
 def gate_and_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detector over the documents as they are: the throughput of the gate."""

@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sluicebed import queries
 from sluicebed.functions import values as V
 from sluicebed.operators import attribution, detectors, documents, findings, hosts
 from sluicebed.plans import scan, verdicts
@@ -115,6 +116,30 @@ def test_documents(spark):
     assert got[0]["value"] == "a@b/1" and got[2]["value"].startswith("SHA256:") and got[5]["value"] == "ghcr.io/me"
 
 
+def test_private_keys_plain_escaped_and_encrypted(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["object_key"]: r for r in queries.QUERIES["private_keys"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        k = d["doc_id"]
+        raw = bytes.fromhex("3020" + hashlib.sha256(f"pem{k}".encode()).hexdigest())
+        at = len((d["text"] or "").encode()) + 1 + 3 * (k % 3 == 1)
+        assert (got[k]["value"], got[k]["offset"], got[k]["encrypted"]) == ("sha256:" + hashlib.sha256(raw).hexdigest(), at, k % 3 == 2)
+
+
+def test_scan_has_users_manifests_and_ssh_keys(spark):
+    pem = "-" * 5 + "BEGIN RSA PRIVATE " + "KEY" + "-" * 5 + "\n" + base64.b64encode(b"\x30\x03\x02\x01\x00").decode() + "\n" + "-" * 5 + "END RSA PRIVATE " + "KEY" + "-" * 5
+    manifest = "kind: Secret\nmetadata:\n  name: n\n  namespace: ns\nstringData:\n  a: some value\n"
+    hub = "username: me\n" + "dckr_" + "pat_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7"
+    rows = [("t", str(i), "file", path, len(text), text.encode()) for i, (path, text) in enumerate([(".ssh/key", pem), ("m.yaml", manifest), ("h", hub)])]
+    out = scan.run(spark.createDataFrame(rows, "target string, object_key string, object_type string, path string, size long, content binary"))
+    tokens = {r["object_key"]: r for r in out.tokens.collect()}
+    assert tokens["0"]["kind"] == "ssh-private-key"
+    assert (tokens["1"]["kind"], tokens["1"]["value"], tokens["1"]["line"]) == ("kubernetes-secret-manifest", "ns/n", 1)
+    assert tokens["2"]["secret"] == "me" and tokens["2"]["attribution"] == "user me"
+
+
 @pytest.fixture
 def repo(tmp_path):
     where = tmp_path / "repo"
