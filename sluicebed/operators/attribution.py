@@ -27,32 +27,57 @@ def with_commits(hits: DataFrame, object_intro: DataFrame, commits: DataFrame) -
     return out.join(one, ["repo", "_intro"], "left").drop("_intro")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(repo, start, sha): every commit that a start reaches, itself included. edges: repo, sha, parent; starts: repo, start, sha.
+def chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(repo, sha, head): the descendant that stands for each commit. A commit with one child that no start points at shares its child's head.
 
-    Breadth first: a round follows only commits new to a start, so there are as many rounds as the history is deep and each
-    commit is followed once for a start. Each round is cut by a checkpoint.
+    Pointers are doubled, one row a commit, so a history of depth n takes log2(n) rounds, each cut by a checkpoint.
     """
     from ..sources.tables import cut
 
-    seen = cut(starts.select("repo", "start", "sha").distinct())
-    new = seen
-    for _ in range(rounds):
-        step = new.join(edges, ["repo", "sha"]).select("repo", "start", F.col("parent").alias("sha")).distinct()
-        new = cut(step.join(seen, ["repo", "start", "sha"], "left_anti"))
-        if new.isEmpty():
-            return seen
-        seen = cut(seen.union(new))
-    raise RuntimeError("the history is deeper than the bound on rounds")
+    every = edges.select("repo", "sha").union(edges.select("repo", "parent")).union(starts.select("repo", "sha")).distinct()
+    only = edges.groupBy("repo", F.col("parent").alias("sha")).agg(F.min("sha").alias("child"), F.max("sha").alias("other")).filter(F.col("child") == F.col("other")).select("repo", "sha", "child")
+    only = only.join(starts.select("repo", "sha"), ["repo", "sha"], "left_anti")
+    now = cut(every.join(only, ["repo", "sha"], "left").select("repo", "sha", F.coalesce("child", "sha").alias("head")))
+    while True:
+        further = now.select("repo", F.col("sha").alias("head"), F.col("head").alias("next"))
+        then = cut(now.join(further, ["repo", "head"]).select("repo", "sha", F.col("next").alias("head"), (F.col("next") != F.col("head")).alias("moved")))
+        now = then.drop("moved")
+        if then.filter("moved").isEmpty():
+            return now
+
+
+def reachable(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(repo, start, sha): every commit that a start reaches, itself included; of the wanted ones (repo, sha) if given. edges: repo, sha, parent; starts: repo, start, sha.
+
+    Chains are contracted first; what is followed breadth first are pairs of a start and a chain, each once, and a round is
+    as far as from one branching to the next. Rounds are as many as it takes; each is cut by a checkpoint of its own pairs.
+    """
+    from functools import reduce
+
+    from ..sources.tables import cut
+
+    head_of = chains(edges, starts)
+    heads = head_of.filter(F.col("sha") == F.col("head")).select("repo", F.col("sha").alias("parent"))
+    steps = cut(edges.join(heads, ["repo", "parent"], "left_semi").join(head_of, ["repo", "sha"]).select("repo", "head", "parent").filter("head <> parent").distinct())
+    new = cut(starts.select("repo", "start", F.col("sha").alias("head")).distinct())
+    seen = [new]
+    while not new.isEmpty():
+        step = new.join(steps, ["repo", "head"]).select("repo", "start", F.col("parent").alias("head")).distinct()
+        new = cut(step.join(reduce(DataFrame.union, seen), ["repo", "start", "head"], "left_anti"))
+        seen.append(new)
+        if len(seen) > 16:
+            seen = [cut(reduce(DataFrame.union, seen))]
+    members = head_of.join(wanted.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi") if wanted is not None else head_of
+    return reduce(DataFrame.union, seen).join(members, ["repo", "head"]).select("repo", "start", "sha")
 
 
 def edges_of(commits: DataFrame) -> DataFrame:
     return commits.select("repo", "sha", F.explode("parents").alias("parent"))
 
 
-def refs_containing(commits: DataFrame, refs: DataFrame) -> DataFrame:
-    """(repo, sha, refs): the names of the refs that contain each commit, sorted; orphaned commits are left out."""
-    closed = reachable(edges_of(commits), refs.select("repo", F.col("refname").alias("start"), "sha"))
+def refs_containing(commits: DataFrame, refs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(repo, sha, refs): the names of the refs that contain each commit, or each of the wanted ones, sorted; orphaned commits are left out."""
+    closed = reachable(edges_of(commits), refs.select("repo", F.col("refname").alias("start"), "sha"), wanted)
     return closed.groupBy("repo", "sha").agg(F.array_sort(F.collect_set("start")).alias("refs"))
 
 
@@ -64,7 +89,7 @@ def orphans(commits: DataFrame, refs: DataFrame) -> DataFrame:
 
 def rewrites_of(orphaned: DataFrame, commits: DataFrame, rewrites: DataFrame) -> DataFrame:
     """Orphaned commits with the first rewrite whose earlier head descends from them. rewrites: repo, before, ord, text."""
-    closed = reachable(edges_of(commits), rewrites.select("repo", F.col("before").alias("start"), F.col("before").alias("sha")))
+    closed = reachable(edges_of(commits), rewrites.select("repo", F.col("before").alias("start"), F.col("before").alias("sha")), orphaned)
     own = closed.join(rewrites.select("repo", F.col("before").alias("start"), "ord", "text"), ["repo", "start"])
     first = own.groupBy("repo", "sha").agg(F.min_by("text", "ord").alias("rewrite"))
     return orphaned.join(first, ["repo", "sha"], "left")

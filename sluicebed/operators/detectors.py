@@ -1,29 +1,36 @@
-"""Credential detectors as Catalyst expressions.
+"""Credential detectors: shapes found in one pass over contents, then verified as Spark expressions.
 
 A shape is a regular expression for one kind of value with what may not stand before and after it, and, where the issuer
-computes one, a checksum. Content is gated by its shapes' needles, plain substrings; where one occurs, splitting the byte
-view before each position at which the shape holds gives every match with its byte offset, overlapping ones too, without
-leaving the JVM. Only matches are exploded, content isn't carried past this stage.
+computes one, a checksum. Contents are searched where they are read: the scanner finds the shapes' needles in whole batches,
+a shape is matched only where its needle stands, and only matches leave, with byte offset and line. Checksums, signed tokens
+and attributions are expressions over those rows. The same pass reads document formats and, where a credential was found,
+the values that may belong to it (operators/nearest.py), so contents are read once and never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from . import scanner
 
 ALNUM, WORD, URL64, TOKEN = "[A-Za-z0-9]", "[A-Za-z0-9_]", "[A-Za-z0-9_-]", "[A-Za-z0-9_-]"
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+#: Fixed value: how many bytes around a value count as near it.
+WINDOW = 512
 
 
 @dataclass(frozen=True)
 class Shape:
-    """One kind: a needle that content must have, the value's pattern, what may not precede or follow it, and the most bytes a match looks at."""
+    """One kind: a needle, how far before it a match may start, the value's pattern, and what may not precede or follow it."""
 
     provider: str
     kind: str
@@ -31,19 +38,19 @@ class Shape:
     body: str
     left: str = ""
     right: str = ""
-    reach: int = 128
+    back: tuple[int, ...] = (0,)
     verify: Callable[[Column], Column] | None = None
     attribution: Callable[[Column], Column] | None = None
     checksum: bool = False
-    near: str = ""  # a look-behind or look-ahead as written, for shapes that depend on what stands around them
+    name: str = ""  # a pattern from the needle to the value, where the value stands behind a name
     marker: str = ""  # the whole content must match this, in any case
 
-    @property
-    def look(self) -> str:
-        """Zero width, before each match."""
+    @cached_property
+    def pattern(self) -> re.Pattern[bytes]:
+        """The value is the group."""
         left = f"(?<!{self.left})" if self.left else ""
         right = f"(?!{self.right})" if self.right else ""
-        return f"{left}{self.near}(?={self.body}{right})"
+        return re.compile(f"{left}{self.name}({self.body}){right}".encode())
 
 
 def _group(fmt: str, pattern: str, n: int) -> Callable[[Column], Column]:
@@ -103,8 +110,8 @@ def _service_account(v: Column) -> Column:
     return F.when(subject != "", F.translate(subject, ":", "/")).when((legacy[0] != "") & (legacy[1] != ""), F.concat(legacy[0], F.lit("/"), legacy[1]))
 
 
-#: Fixed value: what stands in the middle of one issuer's keys.
-KEY_MARKER = "T3Bl" + "bkFJ"
+#: What stands in the middle of one issuer's keys, and the prefixes and names that the shapes have.
+KEY_MARKER = "T3BlbkFJ"
 _GITHUB = {"p": "github-pat", "o": "github-oauth", "u": "github-user-to-server", "s": "github-server-to-server", "r": "github-refresh"}
 _GITLAB_FIXED = {  # kind, prefix after gl, body
     "gitlab-pat": ("pat-", "{20}"), "gitlab-deploy-token": ("dt-", "{20}"), "gitlab-feed-token": ("ft-", "{20}"), "gitlab-incoming-mail-token": ("imt-", "{25}"), "gitlab-agent-token": ("agent-", "{50}"),
@@ -112,109 +119,199 @@ _GITLAB_FIXED = {  # kind, prefix after gl, body
 }
 _HOOKS = "https://hooks.slack.com/"
 _ROUTE = "T[A-Za-z0-9]{8,11}/"
-_KEY_NAMES = "routing_key|ROUTING_KEY|service_key|SERVICE_KEY|integration_key|INTEGRATION_KEY"
+ROUTING_NAMES = ("routing_key", "ROUTING_KEY", "service_key", "SERVICE_KEY", "integration_key", "INTEGRATION_KEY")
 
 SHAPES: tuple[Shape, ...] = (
-    *(Shape("github", kind, f"gh{c}_", f"gh{c}_{ALNUM}{{36}}", "", ALNUM, 64, _classic, None, True) for c, kind in _GITHUB.items()),
-    Shape("github", "github-fine-grained-pat", "github" + "_pat_", f"github_pat_{ALNUM}{{22}}_{ALNUM}{{59}}", "", WORD),
+    *(Shape("github", kind, f"gh{c}_", f"gh{c}_{ALNUM}{{36}}", "", ALNUM, verify=_classic, checksum=True) for c, kind in _GITHUB.items()),
+    Shape("github", "github-fine-grained-pat", "github_pat_", f"github_pat_{ALNUM}{{22}}_{ALNUM}{{59}}", "", WORD),
     *(Shape("gitlab", kind, f"gl{p}", f"gl{p}{TOKEN}{n}", WORD, TOKEN) for kind, (p, n) in _GITLAB_FIXED.items()),
-    *(Shape("gitlab", kind, p, rf"{p}{TOKEN}{{27,300}}\.(?:[0-9a-z]{{2}}\.)?[0-9a-z]{{9}}", WORD, TOKEN, 360, _routable, None, True) for kind, p in (("gitlab-pat", "glpat-"), ("gitlab-runner-token", "glrt-"))),
+    *(Shape("gitlab", kind, p, rf"{p}{TOKEN}{{27,300}}\.(?:[0-9a-z]{{2}}\.)?[0-9a-z]{{9}}", WORD, TOKEN, verify=_routable, checksum=True) for kind, p in (("gitlab-pat", "glpat-"), ("gitlab-runner-token", "glrt-"))),
     Shape("gitlab", "gitlab-runner-token", "glrt-", rf"glrt-(?!t\d_){TOKEN}{{20}}", WORD, TOKEN),
     Shape("gitlab", "gitlab-ci-job-token", "glcbt-", f"glcbt-{ALNUM}{{1,5}}_{TOKEN}{{20}}", WORD, TOKEN),
     Shape("gitlab", "gitlab-pipeline-trigger-token", "glptt-", "glptt-[0-9a-f]{40}", WORD, TOKEN),
-    Shape("slack", "slack-bot-token", "xoxb-", rf"xoxb-(?:\d{{10,13}}-){{2}}{ALNUM}{{24}}", "", ALNUM, 80, None, _group("team %s, bot %s", r"^xoxb-(\d+)-(\d+)", 2)),
-    Shape("slack", "slack-user-token", "xoxp-", rf"xoxp-(?:\d{{10,13}}-){{3}}{ALNUM}{{28,34}}", "", ALNUM, 96, None, _group("team %s, user %s", r"^xoxp-(\d+)-(\d+)", 2)),
-    Shape("slack", "slack-app-token", "xapp-1-A", r"xapp-1-A[A-Z0-9]{8,12}-\d{10,13}-[0-9A-Fa-f]{64}", "", ALNUM, 128, None, _group("app A%s", r"^xapp-1-A([A-Z0-9]+)", 1)),
-    Shape("slack", "slack-refresh-token", "xoxe-1-", f"xoxe-1-{URL64}{{40,1024}}", "", URL64, 1100),
-    Shape("slack", "slack-config-token", "xoxe.xox", rf"xoxe\.xox[bp]-1-{URL64}{{40,1024}}", "", URL64, 1100),
-    Shape("slack", "slack-webhook", _HOOKS + "services/", rf"\Q{_HOOKS}\Eservices/{_ROUTE}B[A-Za-z0-9]{{8,11}}/{ALNUM}{{24}}", "", "[A-Za-z0-9/]", 160, None, _group("team %s, bot %s", "/services/(T[^/]+)/(B[^/]+)", 2)),
-    *(Shape("slack", "slack-webhook", _HOOKS + r + "/", rf"\Q{_HOOKS}\E{r}/{_ROUTE}(?:{ALNUM}{{1,65}}+/){{1,2}}+{ALNUM}{{20,64}}+", "", "[A-Za-z0-9/]", 400, None, _hook) for r in ("workflows", "triggers")),
-    *(Shape("aws", "aws-temporary-access-key" if p[1] == "S" else "aws-access-key", p, f"{p}{'[A-Z0-9]' if len(p) == 3 else ''}[A-Z2-7]{{16}}", ALNUM, ALNUM, 32, None, _account) for p in ("AKIA", "ASIA", "ABIA", "ACCA", "A3T")),
-    Shape("gcp", "gcp-oauth-access-token", "ya29.", r"ya29\.[A-Za-z0-9_.-]{59,249}[A-Za-z0-9_-](?=\.*(?![A-Za-z0-9_.-]))", WORD, URL64, 280),
-    Shape("gcp", "gcp-oauth-refresh-token", "1//0", f"1//0{URL64}{{40,120}}", WORD, URL64, 160),
-    Shape("gcp", "gcp-api-key", "AIza", f"AIza{URL64}{{35}}", WORD, URL64, 64),
-    Shape("azure", "azure-client-secret", "Q~", r"[A-Za-z0-9_~.]{3}\dQ~(?:[A-Za-z0-9_~.-]{34}(?=\.)|[A-Za-z0-9_~.-]{31,34}(?![A-Za-z0-9_~.-]))", WORD, "", 64),
-    Shape("azure", "azure-storage-account-key", "==", "[A-Za-z0-9+/]{86}==", "[A-Za-z0-9+/]", "[A-Za-z0-9+/=]", 96),
-    *(Shape("anthropic", kind, "sk-ant-" + p, f"sk-ant-{p}{body}", WORD, URL64, 160) for kind, p, body in (("anthropic-api-key", "api03-", f"{URL64}{{93}}AA"), ("anthropic-admin-api-key", "admin01-", f"{URL64}{{93}}AA"), ("anthropic-oauth-token", "oat01-", f"{URL64}{{80,120}}"), ("anthropic-oauth-refresh-token", "ort01-", f"{URL64}{{80,120}}"))),
-    *(Shape("openai", kind, KEY_MARKER, f"{p}(?:{URL64}{{74}}|{URL64}{{58}}){KEY_MARKER}(?:{URL64}{{74}}|{URL64}{{58}})", WORD, URL64, 200) for kind, p in (("openai-project-key", "sk-proj-"), ("openai-service-account-key", "sk-svcacct-"), ("openai-admin-key", "sk-admin-"))),
-    Shape("openai", "openai-legacy-key", KEY_MARKER, f"sk-{ALNUM}{{20}}{KEY_MARKER}{ALNUM}{{20}}", WORD, URL64, 64),
-    Shape("grafana", "grafana-service-account-token", "glsa_", f"glsa_{ALNUM}{{32}}_[0-9a-f]{{8}}", WORD, ALNUM, 64, lambda v: F.right(v, F.lit(8)) == V.little_endian_crc(F.left(v, F.lit(37))), None, True),
-    Shape("grafana", "grafana-cloud-access-policy-token", "glc_", r"glc_[A-Za-z0-9+/_-]{32,400}+={0,3}+", WORD, ALNUM, 420, _json_has("o", "k"), _cloud),
-    Shape("grafana", "grafana-legacy-api-key", "eyJrIjoi", r"eyJrIjoi[A-Za-z0-9+/]{32,392}+={0,3}+", WORD, ALNUM, 420, _json_has("k", "n"), _legacy_key),
-    Shape("pagerduty", "pagerduty-api-key", "y_", f"y_{TOKEN}{{18}}", "[A-Za-z0-9_+/-]", "[A-Za-z0-9_+/=-]", 32, marker="pagerduty|pd_|token token="),
-    Shape("pagerduty", "pagerduty-api-key", "u+", r"u\+[A-Za-z0-9_+/-]{18}", "[A-Za-z0-9_+/-]", "[A-Za-z0-9_+/=-]", 32),
-    Shape("pagerduty", "pagerduty-routing-key", "_", "[0-9a-f]{32}", "", ALNUM, 40, near=rf"(?<=(?:{_KEY_NAMES})[\"']?[ \t]{{0,8}}[:=][ \t]{{0,8}}[\"']?)", marker="routing_key|service_key|integration_key"),
-    Shape("npm", "npm-access-token", "npm" + "_", f"npm_{ALNUM}{{36}}", WORD, WORD, 48),
-    Shape("npm", "npm-legacy-token", "_authToken", UUID, "", ALNUM, 40, near=r"(?<=_authToken[ \t]{0,4}=[ \t]{0,4}[\"']?)"),
-    Shape("kubernetes", "kubernetes-service-account-token", "eyJ", r"eyJ[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+", "[A-Za-z0-9_.-]", "[A-Za-z0-9_.=-]", 8192, lambda v: _is_jwt(v) & _service_account(v).isNotNull(), lambda v: F.concat(F.lit("service account "), _service_account(v))),
-    *(Shape("oci", f"docker-hub-{k}", f"dckr_{k}_", f"dckr_{k}_{URL64}{{24,40}}", WORD, URL64, 64) for k in ("pat", "oat")),
-    Shape("oci", "quay-robot-token", "+", "(?![0-9A-F]{64})[A-Z0-9]{64}", WORD, WORD, 72),
-    Shape("oci", "quay-oauth-token", "quay.io", f"(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])(?![0-9A-Fa-f]{{40}}){ALNUM}{{40}}", WORD, WORD, 48, marker=r"quay\.io"),
+    Shape("slack", "slack-bot-token", "xoxb-", rf"xoxb-(?:\d{{10,13}}-){{2}}{ALNUM}{{24}}", "", ALNUM, attribution=_group("team %s, bot %s", r"^xoxb-(\d+)-(\d+)", 2)),
+    Shape("slack", "slack-user-token", "xoxp-", rf"xoxp-(?:\d{{10,13}}-){{3}}{ALNUM}{{28,34}}", "", ALNUM, attribution=_group("team %s, user %s", r"^xoxp-(\d+)-(\d+)", 2)),
+    Shape("slack", "slack-app-token", "xapp-1-A", r"xapp-1-A[A-Z0-9]{8,12}-\d{10,13}-[0-9A-Fa-f]{64}", "", ALNUM, attribution=_group("app A%s", r"^xapp-1-A([A-Z0-9]+)", 1)),
+    Shape("slack", "slack-refresh-token", "xoxe-1-", f"xoxe-1-{URL64}{{40,1024}}", "", URL64),
+    Shape("slack", "slack-config-token", "xoxe.xox", rf"xoxe\.xox[bp]-1-{URL64}{{40,1024}}", "", URL64),
+    Shape("slack", "slack-webhook", _HOOKS + "services/", rf"{re.escape(_HOOKS)}services/{_ROUTE}B[A-Za-z0-9]{{8,11}}/{ALNUM}{{24}}", "", "[A-Za-z0-9/]", attribution=_group("team %s, bot %s", "/services/(T[^/]+)/(B[^/]+)", 2)),
+    *(Shape("slack", "slack-webhook", _HOOKS + r + "/", rf"{re.escape(_HOOKS)}{r}/{_ROUTE}(?:{ALNUM}{{1,65}}+/){{1,2}}+{ALNUM}{{20,64}}+", "", "[A-Za-z0-9/]", attribution=_hook) for r in ("workflows", "triggers")),
+    *(Shape("aws", "aws-temporary-access-key" if p[1] == "S" else "aws-access-key", p, f"{p}{'[A-Z0-9]' if len(p) == 3 else ''}[A-Z2-7]{{16}}", ALNUM, ALNUM, attribution=_account) for p in ("AKIA", "ASIA", "ABIA", "ACCA", "A3T")),
+    Shape("gcp", "gcp-oauth-access-token", "ya29.", r"ya29\.[A-Za-z0-9_.-]{59,249}[A-Za-z0-9_-](?=\.*(?![A-Za-z0-9_.-]))", WORD, URL64),
+    Shape("gcp", "gcp-oauth-refresh-token", "1//0", f"1//0{URL64}{{40,120}}", WORD, URL64),
+    Shape("gcp", "gcp-api-key", "AIza", f"AIza{URL64}{{35}}", WORD, URL64),
+    Shape("azure", "azure-client-secret", "Q~", r"[A-Za-z0-9_~.]{3}\dQ~(?:[A-Za-z0-9_~.-]{34}(?=\.)|[A-Za-z0-9_~.-]{31,34}(?![A-Za-z0-9_~.-]))", WORD, "", (4,)),
+    Shape("azure", "azure-storage-account-key", "==", "[A-Za-z0-9+/]{86}==", "[A-Za-z0-9+/]", "[A-Za-z0-9+/=]", (86,)),
+    *(Shape("anthropic", kind, "sk-ant-" + p, f"sk-ant-{p}{body}", WORD, URL64) for kind, p, body in (("anthropic-api-key", "api03-", f"{URL64}{{93}}AA"), ("anthropic-admin-api-key", "admin01-", f"{URL64}{{93}}AA"), ("anthropic-oauth-token", "oat01-", f"{URL64}{{80,120}}"), ("anthropic-oauth-refresh-token", "ort01-", f"{URL64}{{80,120}}"))),
+    *(Shape("openai", kind, KEY_MARKER, f"{p}(?:{URL64}{{74}}|{URL64}{{58}}){KEY_MARKER}(?:{URL64}{{74}}|{URL64}{{58}})", WORD, URL64, (len(p) + 74, len(p) + 58)) for kind, p in (("openai-project-key", "sk-proj-"), ("openai-service-account-key", "sk-svcacct-"), ("openai-admin-key", "sk-admin-"))),
+    Shape("openai", "openai-legacy-key", KEY_MARKER, f"sk-{ALNUM}{{20}}{KEY_MARKER}{ALNUM}{{20}}", WORD, URL64, (23,)),
+    Shape("grafana", "grafana-service-account-token", "glsa_", f"glsa_{ALNUM}{{32}}_[0-9a-f]{{8}}", WORD, ALNUM, verify=lambda v: F.right(v, F.lit(8)) == V.little_endian_crc(F.left(v, F.lit(37))), checksum=True),
+    Shape("grafana", "grafana-cloud-access-policy-token", "glc_", r"glc_[A-Za-z0-9+/_-]{32,400}+={0,3}+", WORD, ALNUM, verify=_json_has("o", "k"), attribution=_cloud),
+    Shape("grafana", "grafana-legacy-api-key", "eyJrIjoi", r"eyJrIjoi[A-Za-z0-9+/]{32,392}+={0,3}+", WORD, ALNUM, verify=_json_has("k", "n"), attribution=_legacy_key),
+    Shape("pagerduty", "pagerduty-api-key", "y_", f"y_{TOKEN}{{18}}", "[A-Za-z0-9_+/-]", "[A-Za-z0-9_+/=-]", marker="pagerduty|pd_|token token="),
+    Shape("pagerduty", "pagerduty-api-key", "u+", r"u\+[A-Za-z0-9_+/-]{18}", "[A-Za-z0-9_+/-]", "[A-Za-z0-9_+/=-]"),
+    *(Shape("pagerduty", "pagerduty-routing-key", n, "[0-9a-f]{32}", "", ALNUM, name=rf"{n}[\"']?[ \t\r\n]{{0,8}}[:=][ \t\r\n]{{0,8}}[\"']?") for n in ROUTING_NAMES),
+    Shape("npm", "npm-access-token", "npm_", f"npm_{ALNUM}{{36}}", WORD, WORD),
+    Shape("npm", "npm-legacy-token", "_authToken", UUID, "", ALNUM, name=r"_authToken[ \t]{0,4}=[ \t]{0,4}[\"']?"),
+    Shape("kubernetes", "kubernetes-service-account-token", "eyJ", r"eyJ[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+", "[A-Za-z0-9_.-]", "[A-Za-z0-9_.=-]", verify=lambda v: _is_jwt(v) & _service_account(v).isNotNull(), attribution=lambda v: F.concat(F.lit("service account "), _service_account(v))),
+    *(Shape("oci", f"docker-hub-{k}", f"dckr_{k}_", f"dckr_{k}_{URL64}{{24,40}}", WORD, URL64) for k in ("pat", "oat")),
 )
+#: Runs of letters and digits that are tokens by length and by what stands near them: a robot's name, the registry's.
+ROBOT, OAUTH = 64, 40
+_ROBOT_NAME = re.compile(rb"(?<![A-Za-z0-9+/=-])(?<![a-z0-9_])[a-z0-9_]+\+[a-z0-9_]+(?![A-Za-z0-9+/=-])(?![a-z0-9_])")
 
 PROVIDERS = ("github", "gitlab", "slack", "aws", "gcp", "azure", "sops", "anthropic", "openai", "grafana", "pagerduty", "npm", "kubernetes", "privatekey", "oci")
 
 
-def _table(shapes: tuple[Shape, ...]) -> Column:
-    """The shapes as a constant array, so that one expression serves them all: generated code doesn't grow with their number."""
-    return F.array(*(F.struct(F.lit(i).alias("shape"), F.lit(s.needle).alias("needle"), F.lit(s.look).alias("look"), F.lit(f"^(?:{s.body})").alias("body"), F.lit(s.reach).alias("reach"), F.lit(f"(?i){s.marker}" if s.marker else "").alias("marker")) for i, s in enumerate(shapes)))
-
-
-def matches(view: Column, content: Column, s: Column) -> Column:
-    """Every match of a shape of the table: structs of shape, value and offset."""
-
-    def found(pieces: Column) -> Column:
-        # the byte offset of the piece after the k-th; one more character stands in front
-        start = lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(-1).cast("bigint"), lambda a, x: a + F.length(x))
-        offsets = F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), start)).otherwise(F.array().cast("array<bigint>"))
-        value = lambda o: F.call_function("regexp_extract", F.decode(F.substring(content, o + 1, s["reach"]), "ISO-8859-1"), s["body"], F.lit(0))
-        return F.transform(offsets, lambda o: F.struct(s["shape"].alias("shape"), value(o).alias("value"), o.alias("offset"), line(content, o).alias("line")))
-
-    return F.transform(F.array(F.split(F.concat(F.lit("\n"), view), s["look"])), found)[0]
-
-
-#: For needles that common text has: what else content must match.
-TIGHT = {"==": r"[A-Za-z0-9+/]{86}==", "y_": r"y_[A-Za-z0-9_-]{18}", "u+": r"u\+[A-Za-z0-9_+/-]{18}", "_": _KEY_NAMES, "+": "[A-Z0-9]{64}"}
-
-
-def gate(content: Column, shapes: tuple[Shape, ...] = SHAPES) -> Column:
-    """Whether content has any needle, searched in its bytes. Content is made once, as a lambda's variable, not once for each needle."""
-
-    def any_in(c: Column) -> Column:
-        has = lambda n: F.contains(c, F.lit(n.encode()))
-        return reduce(lambda a, b: a | b, [has(n) & c.cast("string").rlike(TIGHT[n]) if n in TIGHT else has(n) for n in dict.fromkeys(s.needle for s in shapes)])
-
-    return F.exists(F.array(content), any_in)
-
-
-def find(objects: DataFrame, shapes: tuple[Shape, ...] = SHAPES, content: str = "content", keep: tuple[str, ...] = ("object_key",)) -> DataFrame:
-    """A row for each match in each object: the kept columns, provider, kind, value (a byte view), offset, line, checksum_verified, attribution.
-
-    Null content has no matches. Line is one more than the line feeds before the offset.
-    """
-    c = F.col(content)
-
-    def every(view: Column) -> Column:
-        may = lambda s: view.contains(s["needle"]) & ((s["marker"] == "") | F.rlike(view, s["marker"]))
-        return F.flatten(F.transform(F.filter(_table(shapes), may), lambda s: matches(view, c, s)))
-
-    rows = objects.filter(gate(c, shapes)).select(*keep, F.explode(F.transform(F.array(V.bytes_view(c)), every)[0]).alias("_t"))
-    rows = rows.select(*keep, "_t.*").filter(F.col("value") != "")
-    group = lambda f: [i for i, s in enumerate(shapes) if f(s)]
+#: What the pass gives for each place: a token of a shape or of a document format, or a candidate (cls) for another token's companion.
+FIELDS = [("cls", pa.string()), ("shape", pa.int32()), ("provider", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("keyword", pa.bool_()), ("checksum_verified", pa.bool_()), ("attribution", pa.string()), ("secret", pa.string()), ("encrypted", pa.bool_()), ("within", pa.string()), ("s_offset", pa.int64()), ("s_end", pa.int64())]
+DDL = "cls string, shape int, provider string, kind string, value string, offset bigint, end bigint, line int, keyword boolean, checksum_verified boolean, attribution string, secret string, encrypted boolean, within string, s_offset bigint, s_end bigint"
+Row = dict[str, object]
+#: Needles that content must have, and a helper that gives the rows of one object. The helper may search values for tokens itself.
+Format = tuple[tuple[str, ...], Callable[[bytes, Callable[[bytes], list[Row]]], Iterator[Row]]]
+#: By provider: a helper that gives the candidates for companions in an object with a token of that provider.
+Companions = dict[str, Callable[[bytes], Iterator[Row]]]
+
+
+class Finder:
+    """Every match of the shapes in the contents of a batch."""
+
+    def __init__(self, shapes: tuple[Shape, ...], formats: tuple[Format, ...] = (), companions: Companions | None = None) -> None:
+        self.shapes, self.formats, self.companions = shapes, formats, companions or {}
+        self.of: dict[str, list[tuple[int, Shape]]] = {}
+        for i, s in enumerate(shapes):
+            self.of.setdefault(s.needle, []).append((i, s))
+        self.read_by: dict[str, list[int]] = {}
+        for i, (needles, _) in enumerate(formats):
+            for n in needles:
+                self.read_by.setdefault(n, []).append(i)
+        self.names = list(dict.fromkeys([*self.of, *self.read_by]))
+        self.needles = scanner.Needles([n.encode() for n in self.names])
+        self.sizes = np.array([len(n.encode()) for n in self.names], np.int64)
+        self.runs = any(s.provider == "oci" for s in shapes)
+
+    def places(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[int], list[int]]]:
+        """(content's number, positions, needle numbers) by content; -length stands for a run."""
+        at, which = self.needles.find(data)
+        sizes = self.sizes[which]
+        if self.runs:
+            start, length = scanner.runs(data, offsets, (ROBOT, OAUTH))
+            at, which, sizes = np.concatenate([at, start]), np.concatenate([which, -length]), np.concatenate([sizes, length])
+            order = np.argsort(at, kind="stable")
+            at, which, sizes = at[order], which[order], sizes[order]
+        return scanner.by_value(at, sizes, offsets, which)
+
+    def tokens(self, content: bytes, at: list[int], which: list[int]) -> list[Row]:
+        found: list[Row] = []
+        marked: dict[str, bool] = {}
+        for p, w in zip(at, which, strict=True):
+            if w < 0:
+                found += _run_token(content, p, -w)
+                continue
+            for i, s in self.of.get(self.names[w], ()):
+                for back in s.back:
+                    m = s.pattern.match(content, p - back) if p >= back else None
+                    if m is None:
+                        continue
+                    if s.marker and s.marker not in marked:
+                        marked[s.marker] = re.search(s.marker.encode(), content, re.I) is not None
+                    if not s.marker or marked[s.marker]:
+                        found.append({"cls": "token", "shape": i, "provider": s.provider, "kind": s.kind, "value": m[1].decode("latin-1"), "offset": m.start(1), "end": m.end(1)})
+        return found
+
+    def inside(self, content: bytes) -> list[Row]:
+        """The tokens of one value."""
+        data = np.frombuffer(content, np.uint8)
+        return [t for _, at, which in self.places(data, np.array([0, len(data)])) for t in self.tokens(content, at, which)]
+
+    def rows(self, column: pa.Array) -> Iterator[tuple[int, list[Row]]]:
+        """(content's number, its rows with their lines) for each content that has any."""
+        data, offsets = scanner.flat(column)
+        for r, at, which in self.places(data, offsets):
+            content = data[offsets[r] : offsets[r + 1]].tobytes()
+            found = self.tokens(content, at, which)
+            for i in sorted({i for w in set(which) if w >= 0 for i in self.read_by.get(self.names[w], ())}):
+                found += self.formats[i][1](content, self.inside)
+            for provider in sorted({t["provider"] for t in found if t["cls"] == "token"} & set(self.companions)):
+                found += self.companions[provider](content)
+            found.sort(key=lambda t: t["offset"])
+            last, n = 0, 1
+            for t in found:
+                n += content.count(b"\n", last, t["offset"])
+                last, t["line"] = t["offset"], n
+            if found:
+                yield r, found
+
+
+def _run_token(content: bytes, at: int, length: int) -> list[Row]:
+    """A token of a registry that has no prefix: by its letters, and by what is named within the window."""
+    run = content[at : at + length]
+    if content[at - 1 : at] == b"_" or content[at + length : at + length + 1] == b"_" or re.fullmatch(b"[0-9A-Fa-f]+", run):
+        return []
+    near = content[max(0, at - WINDOW) : at + length + WINDOW]
+    row = {"cls": "token", "shape": -1, "provider": "oci", "value": run.decode(), "offset": at, "end": at + length, "checksum_verified": False}
+    if length == ROBOT and run == run.upper() and (robot := _ROBOT_NAME.search(near)):
+        return [row | {"kind": "quay-robot-token", "secret": robot[0].decode(), "attribution": "robot " + robot[0].decode()}]
+    if length == OAUTH and re.search(b"[A-Z]", run) and re.search(b"[a-z]", run) and b"quay.io" in near.lower():
+        return [row | {"kind": "quay-oauth-token", "attribution": ""}]
+    return []
+
+
+def hits(objects: DataFrame, shapes: tuple[Shape, ...] = SHAPES, formats: tuple[Format, ...] = (), companions: Companions | None = None, content: str = "content", keep: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """A row for each verified match, document token and candidate in each object: the kept columns and FIELDS. Null content has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(shapes, formats, companions)
+        for b in batches:
+            own, at = [], []
+
+            def made() -> pa.RecordBatch:
+                rows = pa.array(at, pa.int64())  # noqa: B023
+                kept = [b.column(k).take(rows) for k in range(len(keep))]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*kept, *(pa.array([r.get(n) for r in own], t) for n, t in FIELDS)], names=[*keep, *(n for n, _ in FIELDS)])  # noqa: B023
+
+            for r, found in finder.rows(b.column(len(keep))):
+                own += found
+                at += [r] * len(found)
+                if len(own) >= 10_000:
+                    yield made()
+                    own, at = [], []
+            if own:
+                yield made()
+
+    some = objects.select(*keep, F.col(content).alias("_content"))
+    kept = ", ".join(f"{c} {some.schema[c].dataType.simpleString()}" for c in keep)
+    rows = some.select(*keep, "_content").mapInArrow(run, f"{kept}, {DDL}")
+    good, said = _judged(shapes)
+    checked = [i for i, s in enumerate(shapes) if s.checksum]
+    shaped = F.col("shape") >= 0
+    verified = F.when(shaped, F.col("shape").isin(checked)).otherwise(F.coalesce("checksum_verified", F.lit(False)))
+    return rows.filter(good).withColumns({"checksum_verified": verified, "attribution": F.coalesce("attribution", F.when(shaped, said)), "encrypted": F.coalesce("encrypted", F.lit(False))})
+
+
+@lru_cache(maxsize=8)
+def _judged(shapes: tuple[Shape, ...]) -> tuple[Column, Column]:
+    """Whether a row's value passes its shape's check, and its attribution. The expressions name only columns of the pass, so one making serves every table."""
 
     def by(attribute: str, otherwise: Column) -> Column:
         def case(t: Column) -> Column:
             out = F
             for made in dict.fromkeys(getattr(s, attribute) for s in shapes if getattr(s, attribute)):
-                out = out.when(t["n"].isin(*group(lambda s, made=made: getattr(s, attribute) is made)), made(t["v"]))
+                out = out.when(t["n"].isin([i for i, s in enumerate(shapes) if getattr(s, attribute) is made]), made(t["v"]))
             return otherwise if out is F else out.otherwise(otherwise)
 
         # a lambda's body is interpreted: there are few matches, and generated code would be larger than a method may be
         return F.transform(F.array(F.struct(F.col("value").alias("v"), F.col("shape").alias("n"))), case)[0]
 
-    rows = rows.filter(F.coalesce(by("verify", F.lit(True)), F.lit(False)))
-    named = lambda f: F.element_at(F.array(*(F.lit(f(s)) for s in shapes)), F.col("shape") + 1)
-    return rows.select(*keep, named(lambda s: s.provider).alias("provider"), named(lambda s: s.kind).alias("kind"), "value", "offset", "line", named(lambda s: s.checksum).alias("checksum_verified"), by("attribution", F.lit("")).alias("attribution"))
+    return F.coalesce(F.col("shape") < 0, F.lit(True)) | F.coalesce(by("verify", F.lit(True)), F.lit(False)), by("attribution", F.lit(""))
+
+
+def find(objects: DataFrame, shapes: tuple[Shape, ...] = SHAPES, content: str = "content", keep: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """A row for each match in each object: the kept columns, provider, kind, value (a byte view), offset, line, checksum_verified, attribution.
+
+    Null content has no matches. Line is one more than the line feeds before the offset.
+    """
+    return hits(objects, shapes, content=content, keep=keep).select(*keep, "provider", "kind", "value", "offset", "line", "checksum_verified", "attribution")
 
 
 def line(content: Column, offset: Column) -> Column:

@@ -1,7 +1,8 @@
 """Credentials inside documents: Secret manifests, cluster configurations, service account keys, registry logins, PEM blocks.
 
-These formats need a parser, so they are read in Arrow batches; a gate of plain substrings below keeps content without them
-in the JVM. Each helper takes the bytes of one object and gives its rows; Spark deals the objects.
+These formats need a parser. Each helper takes the bytes of one object and gives its rows; Spark deals the objects. FORMATS
+names the needles of each, so that detectors.hits reads documents in the pass that finds tokens, and only objects that have a
+needle are parsed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import parse_qs
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +25,10 @@ from . import detectors
 
 #: The longest manifest value and PEM block, and how far around its marker a JSON document may reach.
 MAX_VALUE, MAX_BLOCK, MAX_JSON = 1 << 20, 1 << 20, 32 << 10
-TOKEN_FIELDS = [("provider", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("offset", pa.int64()), ("line", pa.int32()), ("checksum_verified", pa.bool_()), ("attribution", pa.string()), ("secret", pa.string()), ("encrypted", pa.bool_())]
-TOKEN_DDL = "provider string, kind string, value string, offset bigint, line int, checksum_verified boolean, attribution string, secret string, encrypted boolean"
-Row = dict[str, object]
+Row = detectors.Row
 
 
-def _yaml_documents(content: bytes) -> Iterator[tuple[int, object, list[int]]]:
+def _yaml_documents(content: bytes) -> Iterator[tuple[int, object, np.ndarray]]:
     """(byte offset, root node, byte offset of each character) of each document that parses."""
     import yaml
 
@@ -38,9 +39,8 @@ def _yaml_documents(content: bytes) -> Iterator[tuple[int, object, list[int]]]:
             body = re.sub(r"\A---[^\n]*", lambda m: " " * len(m[0]), text)
             root = yaml.compose(body, Loader=yaml.SafeLoader)
             if root is not None:
-                where = [0]
-                for c in text:
-                    where.append(where[-1] + len(c.encode("utf-8")))
+                points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+                where = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
                 yield at, root, where
         except (UnicodeDecodeError, yaml.YAMLError):
             pass
@@ -96,7 +96,7 @@ def secrets_of(content: bytes) -> Iterator[Row]:
                     value, why = _decoded(v, encoded)
                     if value is not None and len(value) <= 64 and re.fullmatch(rb"<.*>|[xX]+|\*+|(?i:replace[-_ ]?me|change[-_ ]?me|change[-_ ]?it|placeholder|todo|tbd|fixme|dummy)|(?:REPLACE|CHANGE|YOUR|TODO|FIXME)_[^a-z]*", value):
                         value, why = None, "placeholder"
-                    yield {"namespace": _scalar(_child(meta, "namespace")), "name": _scalar(_child(meta, "name")), "type": _scalar(_child(doc, "type")), "sops": sops, "key": _scalar(k), "offset": at + where[k.start_mark.index], "end": at + where[v.end_mark.index], "value": value, "skipped": why or None, "kind_offset": at + where[kind.start_mark.index]}
+                    yield {"namespace": _scalar(_child(meta, "namespace")), "name": _scalar(_child(meta, "name")), "type": _scalar(_child(doc, "type")), "sops": sops, "key": _scalar(k), "offset": at + int(where[k.start_mark.index]), "end": at + int(where[v.end_mark.index]), "value": value, "skipped": why or None, "kind_offset": at + int(where[kind.start_mark.index])}
 
 
 SECRET_FIELDS = [("namespace", pa.string()), ("name", pa.string()), ("type", pa.string()), ("sops", pa.bool_()), ("key", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("value", pa.binary()), ("skipped", pa.string()), ("kind_offset", pa.int64())]
@@ -123,26 +123,37 @@ def secret_values(objects: DataFrame, content: str = "content", keep: tuple[str,
     return _rows(objects, secrets_of, ("Secret",), SECRET_FIELDS, SECRET_DDL, content, keep)
 
 
-def rescanned(objects: DataFrame, found: DataFrame, content: str = "content") -> DataFrame:
-    """Tokens with those inside plaintext Secret values: one level of decoding, at the key's place, attributed to the Secret.
+def manifest_rows(content: bytes, tokens_in: Callable[[bytes], list[Row]]) -> Iterator[Row]:
+    """A token for each named Secret with plaintext, and the tokens inside its values: one level of decoding, at the key's place."""
+    named: dict[tuple, list[str]] = {}
+    for v in secrets_of(content):
+        if v["sops"] or v["value"] is None:
+            continue
+        ref = (v["namespace"] + "/" if v["namespace"] else "") + v["name"]
+        if v["name"]:
+            named.setdefault((v["kind_offset"], ref, v["type"]), []).append(v["key"])
+        for t in tokens_in(v["value"]):
+            yield t | {"offset": v["offset"], "end": v["end"], "within": f"in Secret {ref}, key {v['key']}", "s_offset": v["offset"], "s_end": v["end"]}
+    for (at, ref, kind), keys in named.items():
+        yield {"cls": "token", "shape": -1, "provider": "kubernetes", "kind": "kubernetes-secret-manifest", "value": ref, "offset": at, "end": at, "attribution": (f"type {kind}, " if kind else "") + "keys " + ", ".join(keys)}
+
+
+def rescanned(hits: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """Tokens with those inside plaintext Secret values, attributed to the Secret.
 
     A token that stands in clear within the value's span is the same one: it keeps its place and gets the Secret's context.
     """
-    plain = secret_values(objects, content).filter(~F.col("sops") & F.col("value").isNotNull())
-    keep = ("object_key", "namespace", "name", "key", "s_offset", "s_end")
-    values = plain.withColumnsRenamed({"offset": "s_offset", "end": "s_end"})
-    where = F.concat(F.lit("in Secret "), F.when(F.col("namespace") != "", F.concat("namespace", F.lit("/"))).otherwise(""), "name", F.lit(", key "), "key")
-    inner = detectors.find(values.withColumnRenamed("value", "_v"), content="_v", keep=keep)
-    inner = inner.withColumn("attribution", F.concat(where, F.when(F.col("attribution") != "", F.concat(F.lit(" ("), "attribution", F.lit(")"))).otherwise("")))
-    lines = objects.select("object_key", F.col(content).alias("_c"))
-    inner = inner.join(lines, "object_key").withColumn("line", detectors.line(F.col("_c"), F.col("s_offset"))).drop("_c")
-    spans = inner.select("object_key", "kind", "value", "s_offset", "s_end", F.col("attribution").alias("_said"))
-    i, t = spans.alias("i"), found.alias("t")
-    same = (F.col("i.object_key") == F.col("t.object_key")) & (F.col("i.kind") == F.col("t.kind")) & (F.col("i.value") == F.col("t.value")) & F.col("t.offset").between(F.col("i.s_offset"), F.col("i.s_end") - 1)
-    marked = t.join(i, same, "left").select("t.*", "_said").withColumn("attribution", F.coalesce("_said", "attribution")).drop("_said")
-    new = inner.join(found.select("object_key", "kind", "value", F.col("offset").alias("_at")).alias("f"), ["object_key", "kind", "value"], "left").filter(F.col("_at").isNull() | ~F.col("_at").between(F.col("s_offset"), F.col("s_end") - 1))
-    new = new.select("object_key", "provider", "kind", "value", F.col("s_offset").alias("offset"), "line", "checksum_verified", "attribution").distinct()
-    return marked.dropDuplicates(["object_key", "kind", "value", "offset"]).unionByName(new)
+    tokens = hits.filter(F.col("cls") == "token")
+    inner = tokens.filter(F.col("within").isNotNull()).withColumn("attribution", F.concat("within", F.when(F.coalesce("attribution", F.lit("")) != "", F.concat(F.lit(" ("), "attribution", F.lit(")"))).otherwise("")))
+    clear = tokens.filter(F.col("within").isNull())
+    same = [*group, "kind", "value"]
+    spans = inner.select(*same, F.col("s_offset").alias("_from"), F.col("s_end").alias("_to"), F.col("attribution").alias("_said"))
+    place = F.col("offset").between(F.col("_from"), F.col("_to") - 1)
+    marks = clear.select(*same, "offset").join(spans, same).filter(place).groupBy(*same, "offset").agg(F.min("_said").alias("_said"))
+    marked = clear.join(marks, [*same, "offset"], "left").withColumn("attribution", F.coalesce("_said", "attribution")).drop("_said")
+    known = inner.join(clear.select(*same, F.col("offset").alias("_at")), same).filter(F.col("_at").between(F.col("s_offset"), F.col("s_end") - 1)).select(*same, "s_offset").distinct()
+    new = inner.join(known, [*same, "s_offset"], "left_anti").dropDuplicates([*same, "s_offset"])
+    return marked.unionByName(new.select(*marked.columns))
 
 
 def secret_manifests(objects: DataFrame, content: str = "content") -> DataFrame:
@@ -153,8 +164,8 @@ def secret_manifests(objects: DataFrame, content: str = "content") -> DataFrame:
     return keys.select("object_key", F.lit("kubernetes").alias("provider"), F.lit("kubernetes-secret-manifest").alias("kind"), ref.alias("value"), F.col("kind_offset").alias("offset"), F.concat(F.when(F.col("type") != "", F.concat(F.lit("type "), "type", F.lit(", "))).otherwise(""), F.lit("keys "), "keys").alias("attribution"))
 
 
-def _token(content: bytes, provider: str, kind: str, value: str, offset: int, attribution: str = "", secret: str | None = None, encrypted: bool = False, verified: bool = False) -> Row:
-    return {"provider": provider, "kind": kind, "value": value, "offset": offset, "line": content.count(b"\n", 0, offset) + 1, "checksum_verified": verified, "attribution": attribution, "secret": secret, "encrypted": encrypted}
+def _token(provider: str, kind: str, value: str, offset: int, attribution: str = "", secret: str | None = None, encrypted: bool = False, verified: bool = False) -> Row:
+    return {"provider": provider, "kind": kind, "value": value, "offset": offset, "checksum_verified": verified, "attribution": attribution, "secret": secret, "encrypted": encrypted}
 
 
 def cloud_documents(content: bytes) -> Iterator[Row]:
@@ -187,9 +198,9 @@ def cloud_documents(content: bytes) -> Iterator[Row]:
         if m[1] == b"service_account":
             mail, key = doc.get("client_email"), doc.get("private_key")
             if mail and key:
-                yield _token(content, "gcp", "gcp-service-account-key", f"{mail}/{doc['private_key_id']}" if doc.get("private_key_id") else mail, start, f"project {doc['project_id']}" if doc.get("project_id") else "", json.dumps(doc))
+                yield _token("gcp", "gcp-service-account-key", f"{mail}/{doc['private_key_id']}" if doc.get("private_key_id") else mail, start, f"project {doc['project_id']}" if doc.get("project_id") else "", json.dumps(doc))
         elif doc.get("refresh_token"):
-            yield _token(content, "gcp", "gcp-oauth-user-credentials", doc["refresh_token"], start, "ADC for OAuth client " + str(doc.get("client_id", "")).split("-")[0], json.dumps(doc))
+            yield _token("gcp", "gcp-oauth-user-credentials", doc["refresh_token"], start, "ADC for OAuth client " + str(doc.get("client_id", "")).split("-")[0], json.dumps(doc))
 
 
 #: Registries by host.
@@ -218,7 +229,7 @@ def registry_logins(content: bytes) -> Iterator[Row]:
                     continue
                 host = re.sub(r"^https?://|/.*$", "", server).lower()
                 kind = next((k for k, p in REGISTRIES if re.search(p, host)), "registry-login")
-                yield _token(content, "oci", kind, f"{host}/{user}", at if layer else at + m.start(), f"{host}, user {user or '<anonymous>'}" + (", temporary: expires within 12 hours of being minted" if kind == "ecr-login" else ""), password)
+                yield _token("oci", kind, f"{host}/{user}", at if layer else at + m.start(), f"{host}, user {user or '<anonymous>'}" + (", temporary: expires within 12 hours of being minted" if kind == "ecr-login" else ""), password)
         if layer < 2:
             for m in re.finditer(rb"(?<![A-Za-z0-9+/])eyJ[A-Za-z0-9+/]{20,}={0,2}", text):
                 try:
@@ -237,6 +248,176 @@ def _der_length(der: bytes, at: int) -> tuple[int, int]:
     return int.from_bytes(der[at + 1 : at + 1 + k], "big"), at + 1 + k
 
 
+def kubeconfigs(content: bytes) -> Iterator[Row]:
+    """Users of cluster configurations with a certificate and key, a token, or a login; their cluster is that of the first context that names them."""
+    if b"users" not in content:
+        return
+    for at, root, where in _yaml_documents(content):
+        if _scalar(_child(root, "kind")) != "Config":
+            continue
+        items = lambda key: getattr(_child(root, key), "value", ()) if getattr(_child(root, key), "id", "") == "sequence" else ()  # noqa: B023, E731
+        servers = {_scalar(_child(n, "name")): _scalar(_child(_child(n, "cluster"), "server")) for n in items("clusters")}
+        cluster_of: dict[str, str] = {}
+        for n in items("contexts"):
+            if user := _scalar(_child(_child(n, "context"), "user")):
+                cluster_of.setdefault(user, _scalar(_child(_child(n, "context"), "cluster")))
+        for n in items("users"):
+            own = {k: _scalar(_child(_child(n, "user"), k)) for k in ("client-certificate-data", "client-key-data", "token", "username", "password")}
+            server = servers.get(cluster_of.get(_scalar(_child(n, "name")), ""), "")
+            place, said = at + int(where[n.start_mark.index]), f", server {server}" if server else ""
+            secret = json.dumps({"server": server} | {k: v for k, v in own.items() if v})
+            if own["client-certificate-data"] and own["client-key-data"]:
+                if (cert := _pem_bytes(own["client-certificate-data"])) and _pem_bytes(own["client-key-data"]):
+                    yield _token("kubernetes", "kubernetes-client-certificate", "SHA256:" + hashlib.sha256(cert).hexdigest(), place, "client certificate" + said, secret, verified=True)
+            elif own["token"]:
+                account, issuer = _claims(own["token"])
+                kind = "kubernetes-service-account-token" if account else "kubernetes-token"
+                yield _token("kubernetes", kind, own["token"], place, (f"service account {account}" if account else f"JWT issued by {issuer}" if issuer else "bearer token") + said, secret)
+            elif own["username"] and own["password"]:
+                host = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://|/.*$", "", server)
+                yield _token("kubernetes", "kubernetes-basic-auth", (host + "/" if host else "") + own["username"], place, f"user {own['username']}" + said, secret)
+
+
+def _pem_bytes(data: str) -> bytes | None:
+    """The first block of base64 data that holds PEM."""
+    try:
+        m = re.search(rb"-----BEGIN [^-]+-----([^-]+)-----END", base64.b64decode(re.sub(r"\s", "", data), validate=True))
+        return base64.b64decode(re.sub(rb"\s", b"", m[1]), validate=True) if m else None
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _claims(token: str) -> tuple[str, str]:
+    """Namespace and name of the service account that a signed token states, and its issuer; empty if it states none."""
+    try:
+        part = token.split(".")[1]
+        claims = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+        m = re.fullmatch("system:serviceaccount:([^:]+):([^:]+)", str(claims.get("sub", "")))
+        return "/".join(m.groups()) if m else "", str(claims.get("iss", ""))
+    except (IndexError, ValueError, AttributeError):
+        return "", ""
+
+
+#: The parameters of a shared access signature; a bare one starts with one of them.
+SAS = ("sv", "ss", "srt", "sp", "se", "st", "spr", "sig", "sr", "si", "sip", "sdd", "skoid", "sktid", "skt", "ske", "sks", "skv")
+_QUERY = re.compile(rb"[A-Za-z0-9%&=._~:/+?@!$*-]*")
+_BARE = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(SAS) + ")=")
+
+
+def signatures(content: bytes) -> Iterator[Row]:
+    """Shared access signatures: a query with version, expiry and signature, bare or behind its address."""
+    done = 0
+    for m in re.finditer(rb"(?<![A-Za-z0-9_])sig=", content):
+        if m.start() < done:
+            continue
+        start = m.start()
+        while start > 0 and _QUERY.fullmatch(content, start - 1, start):
+            start -= 1
+        done = _QUERY.match(content, m.start()).end()
+        raw = content[start:done].rstrip(b".,;:").decode()
+        address, mark, query = raw.partition("?")
+        if not mark or "://" not in address:
+            first = _BARE.search(raw)
+            address, query = "", raw[first.start() :] if first else ""
+            start, raw = start + (first.start() if first else 0), query
+        fields = parse_qs(query)
+        if all(fields.get(k) for k in ("sv", "se", "sig")):
+            host = re.sub(r"^[^:]*://|/.*$", "", address)
+            said = ", ".join(x for x in (host, "permissions " + fields["sp"][0] if "sp" in fields else "", "expires " + fields["se"][0]) if x)
+            yield _token("azure", "azure-sas-token", fields["sig"][0], start, said, raw)
+
+
+#: Fixed value: the letters of Bech32.
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+
+
+def _bech32_sum(prefix: str, data: list[int]) -> int:
+    total = 1
+    for v in [*(ord(c) >> 5 for c in prefix), 0, *(ord(c) & 31 for c in prefix), *data]:
+        top = total >> 25
+        total = (total & 0x1FFFFFF) << 5 ^ v
+        for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+            total ^= g if top >> i & 1 else 0
+    return total
+
+
+def _regrouped(data: list[int], width: int, wanted: int) -> list[int]:
+    """Numbers of `width` bits as numbers of `wanted` bits; what is left is padding."""
+    bits = "".join(f"{x:0{width}b}" for x in data)
+    bits += "0" * (-len(bits) % wanted) if width > wanted else ""
+    return [int(bits[i : i + wanted], 2) for i in range(0, len(bits) - wanted + 1, wanted)]
+
+
+def x25519_public(secret: bytes) -> bytes:
+    """The public half of a secret scalar: the base point times it, on the curve's u coordinate (RFC 7748)."""
+    p, k = 2**255 - 19, int.from_bytes(secret, "little") & (1 << 255) - 8 | 1 << 254
+    x1, x2, z2, x3, z3 = 9, 1, 0, 9, 1
+    for t in range(254, -1, -1):
+        bit = k >> t & 1
+        if bit:
+            x2, z2, x3, z3 = x3, z3, x2, z2
+        a, b, c, d = x2 + z2, x2 - z2, x3 + z3, x3 - z3
+        da, cb, aa, bb = d * a % p, c * b % p, a * a % p, b * b % p
+        e = aa - bb
+        x3, z3, x2, z2 = (da + cb) ** 2 % p, x1 * (da - cb) ** 2 % p, aa * bb % p, e * (aa + 121665 * e) % p
+        if bit:
+            x2, z2, x3, z3 = x3, z3, x2, z2
+    return (x2 * pow(z2, p - 2, p) % p).to_bytes(32, "little")
+
+
+def age_identities(content: bytes) -> Iterator[Row]:
+    """Identities whose checksum holds, with the recipient that they stand for."""
+    for m in re.finditer(rb"(?<![A-Za-z0-9])AGE-SECRET-KEY-1([QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7L]{58})(?![A-Za-z0-9])", content):
+        data = [BECH32.index(c) for c in m[1].decode().lower()]
+        if _bech32_sum("age-secret-key-", data) != 1:
+            continue
+        public = _regrouped(list(x25519_public(bytes(_regrouped(data[:-6], 5, 8)))), 8, 5)
+        check = _bech32_sum("age", [*public, *[0] * 6]) ^ 1
+        recipient = "age1" + "".join(BECH32[x] for x in [*public, *(check >> 5 * (5 - i) & 31 for i in range(6))])
+        yield _token("sops", "age-identity", m[0].decode(), m.start(), "recipient " + recipient, verified=True)
+
+
+def _values(der: bytes) -> list[tuple[int, bytes, bytes]]:
+    """(tag, content, whole) of each DER value that stands in der one after another."""
+    out, at = [], 0
+    while at < len(der):
+        n, start = _der_length(der, at + 1)
+        out.append((der[at], der[start : start + n], der[at : start + n]))
+        at = start + n
+    return out
+
+
+def _der(tag: int, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+#: The identifiers of RSA and elliptic-curve public keys.
+RSA_ID, EC_ID = bytes.fromhex("06092a864886f70d010101"), bytes.fromhex("06072a8648ce3d0201")
+
+
+def spki_of(label: str, der: bytes) -> bytes | None:
+    """The SubjectPublicKeyInfo of an unencrypted key: RSA, or of a curve where the key holds its public half; None otherwise."""
+    try:
+        inner = _values(_values(der)[0][1])
+        if label == "PRIVATE KEY":
+            algorithm = _values(inner[1][1])
+            kind, curve, inner = algorithm[0][2], algorithm[1][2] if len(algorithm) > 1 else b"", _values(_values(inner[2][1])[0][1])
+        else:
+            kind, curve = (RSA_ID, b"") if label == "RSA PRIVATE KEY" else (EC_ID, b"")
+        if kind == RSA_ID and len(inner) >= 9:
+            return _der(0x30, _der(0x30, RSA_ID, b"\x05\x00"), _der(0x03, b"\0", _der(0x30, inner[1][2], inner[2][2])))
+        if kind == EC_ID:
+            parts = {t: v for t, v, _ in inner}
+            curve = parts.get(0xA0, curve)
+            return _der(0x30, _der(0x30, EC_ID, curve), _values(parts[0xA1])[0][2]) if curve and 0xA1 in parts else None
+    except (IndexError, ValueError):
+        pass
+    return None
+
+
 def _is_sequence(der: bytes) -> bool:
     """One DER sequence, nothing missing."""
     if len(der) < 2 or der[0] != 0x30:
@@ -246,7 +427,7 @@ def _is_sequence(der: bytes) -> bool:
 
 
 def private_keys(content: bytes) -> Iterator[Row]:
-    """PEM private keys. OpenSSH keys are named by the fingerprint of the public half they contain; others by a hash of their block."""
+    """PEM private keys. OpenSSH keys are named by the fingerprint of the public half they contain, others by the hash of their SubjectPublicKeyInfo, as certificates are, or where that can't be read by a hash of their block."""
     for m in re.finditer(rb"(?:(?<![A-Za-z0-9-])|(?<=\\[nr]))-----BEGIN ([A-Z0-9 ]{0,53}PRIVATE KEY)-----", content):
         label, offset = m[1].decode(), m.start()
         stop = content.find(b"-----END " + m[1] + b"-----", m.end(), m.end() + MAX_BLOCK)
@@ -279,23 +460,36 @@ def private_keys(content: bytes) -> Iterator[Row]:
             if not public:
                 continue
             locked = parts[0] != b"none"
-            yield _token(content, "privatekey", "ssh-private-key", "SHA256:" + base64.b64encode(hashlib.sha256(public).digest()).decode().rstrip("="), offset, algorithm + (", passphrase-protected" if locked else ""), None, locked, True)
+            yield _token("privatekey", "ssh-private-key", "SHA256:" + base64.b64encode(hashlib.sha256(public).digest()).decode().rstrip("="), offset, algorithm + (", passphrase-protected" if locked else ""), None, locked, True)
         elif "SIGSTORE" in label or "COSIGN" in label:
             try:
                 doc = json.loads(raw)
             except ValueError:
                 continue
             if doc.get("ciphertext"):
-                yield _token(content, "privatekey", "cosign-private-key", block, offset, f"{doc.get('kdf', {}).get('name', '')}, {doc.get('cipher', {}).get('name', '')}", None, True)
+                yield _token("privatekey", "cosign-private-key", block, offset, f"{doc.get('kdf', {}).get('name', '')}, {doc.get('cipher', {}).get('name', '')}", None, True)
         elif _is_sequence(raw) or b"ENCRYPTED" in headers:
             locked = label.startswith("ENCRYPTED") or b"ENCRYPTED" in headers
-            yield _token(content, "privatekey", "ssh-private-key" if label.startswith("DSA") else "tls-private-key", block, offset, label.removesuffix(" PRIVATE KEY").lower() + (" passphrase-protected" if locked else ""), None, locked)
+            spki = None if locked else spki_of(label, raw)
+            yield _token("privatekey", "ssh-private-key" if label.startswith("DSA") else "tls-private-key", hashlib.sha256(spki).hexdigest() if spki else block, offset, label.removesuffix(" PRIVATE KEY").lower() + (" passphrase-protected" if locked else ""), None, locked)
+
+
+def _whole(helper: Callable[[bytes], Iterator[Row]]) -> Callable[[bytes, object], Iterator[Row]]:
+    """A helper that searches no values, as rows of the pass."""
+    return lambda content, tokens_in: (r | {"cls": "token", "shape": -1, "end": r["offset"]} for r in helper(content))
+
+
+#: Needles and helpers of all document formats.
+FORMATS: tuple[detectors.Format, ...] = (
+    (("service_account", "authorized_user"), _whole(cloud_documents)), (("auths", "dockerconfigjson", "eyJhdXRocyI6"), _whole(registry_logins)), (("PRIVATE KEY",), _whole(private_keys)),
+    (("Secret",), manifest_rows), (("Config",), _whole(kubeconfigs)), (("sig=",), _whole(signatures)), (("AGE-SECRET-KEY-1",), _whole(age_identities)),
+)
 
 
 def find(objects: DataFrame, content: str = "content", keep: tuple[str, ...] = ("object_key",)) -> DataFrame:
-    """Tokens of all document formats; the columns of detectors.find, and secret and encrypted."""
-    read = lambda helper, *needles: _rows(objects, helper, needles, TOKEN_FIELDS, TOKEN_DDL, content, keep)
-    return read(cloud_documents, "service_account", "authorized_user").unionByName(read(registry_logins, "auths", "dockerconfigjson", "eyJhdXRocyI6")).unionByName(read(private_keys, "PRIVATE KEY"))
+    """Tokens of all document formats but Secret manifests; the columns of detectors.find, and secret and encrypted."""
+    found = detectors.hits(objects, (), tuple(f for f in FORMATS if f[1] is not manifest_rows), content=content, keep=keep)
+    return found.select(*keep, "provider", "kind", "value", "offset", "line", "checksum_verified", "attribution", "secret", "encrypted")
 
 
 def fingerprinted(tokens: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """From tokens to findings: distinct credentials with everything known about them.
 
-Every aggregation is keyed by target and value, or by fingerprint, with partial sums before the shuffle. Locations are
-distinct (object, line) pairs, summed as rows of their own first, so that a value that leaks into a third of all objects
-isn't gathered from raw hits.
+Every aggregation is keyed by target and value, or by fingerprint, with partial sums before the shuffle. Locations are rows,
+distinct (object, line) pairs (locations()); a finding counts them all and nests the first LISTED, which are cut from each
+task's rows before the shuffle, so a value that leaks into a third of all objects isn't gathered into one row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 
+#: Locations that a finding lists; locations() has all of them as rows.
+LISTED = 1000
+
 
 def ignored(tokens: DataFrame, ignore: DataFrame | None) -> DataFrame:
     """Without tokens whose fingerprint or kind is on the list. ignore: a column value."""
@@ -24,19 +27,27 @@ def ignored(tokens: DataFrame, ignore: DataFrame | None) -> DataFrame:
     return out.drop("_f").select(*tokens.columns)
 
 
+def locations(tokens: DataFrame) -> DataFrame:
+    """target, fingerprint, object_key, line and hits: a row for each place of each value."""
+    return tokens.groupBy("target", V.fingerprint(F.col("value")).alias("fingerprint"), "object_key", "line").agg(F.count("*").alias("hits"))
+
+
 def findings(tokens: DataFrame, public: tuple[str, ...] = ()) -> DataFrame:
     """One row for each target and value. tokens: target, object_key, line, provider, kind, value, offset, checksum_verified, attribution and, if there is one, secret.
 
     Kind and attribution are those of the occurrence with the longest secret, ties going to the smaller kind and then to the
-    smaller object and offset. occurrences counts hits, locations are distinct.
+    smaller object and offset. occurrences counts hits, n_locations distinct places, of which locations lists the first LISTED.
     """
     if "secret" not in tokens.columns:
         tokens = tokens.withColumn("secret", F.lit(None).cast("string"))
     n = F.length(F.coalesce("secret", F.lit("")))
     best = F.min_by(F.struct("provider", "kind", "attribution", "secret", "checksum_verified"), F.struct(-n, "kind", "object_key", "offset"))
     per_line = tokens.groupBy("target", "value", "object_key", "line").agg(F.count("*").alias("hits"), best.alias("best"), F.min(F.struct((-n).alias("n"), "kind", "object_key", "offset")).alias("first"))
-    whole = per_line.groupBy("target", "value").agg(F.min_by("best", "first").alias("best"), F.sum("hits").alias("occurrences"), F.array_sort(F.collect_list(F.struct("object_key", "line"))).alias("locations"))
-    return whole.select("target", "best.provider", "best.kind", V.fingerprint(F.col("value")).alias("fingerprint"), V.redact(F.col("value"), F.col("best.kind").isin(*public) if public else False).alias("redacted"), "best.checksum_verified", "best.attribution", "best.secret", "value", "occurrences", "locations")
+    whole = per_line.groupBy("target", "value").agg(F.min_by("best", "first").alias("best"), F.sum("hits").alias("occurrences"), F.count("*").alias("n_locations"))
+    place = W.partitionBy("target", "value").orderBy("object_key", "line")
+    some = tokens.select("target", "value", "object_key", "line").distinct().withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= LISTED)
+    listed = some.groupBy("target", "value").agg(F.array_sort(F.collect_list(F.struct("object_key", "line"))).alias("locations"))
+    return whole.join(listed, ["target", "value"]).select("target", "best.provider", "best.kind", V.fingerprint(F.col("value")).alias("fingerprint"), V.redact(F.col("value"), F.col("best.kind").isin(*public) if public else False).alias("redacted"), "best.checksum_verified", "best.attribution", "best.secret", "value", "occurrences", "n_locations", "locations")
 
 
 def rank(status: Column, opaque: Column) -> Column:
@@ -51,20 +62,22 @@ def ordered(found: DataFrame) -> DataFrame:
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """One row for each fingerprint over all targets, in the order of targets: locations together, occurrences summed, the longest secret's attribution, the first verdict."""
+    """One row for each fingerprint over all targets, in the order of targets: occurrences and n_locations summed, the longest secret's attribution, the first verdict, and the locations that the findings of the first LISTED targets list."""
     n = F.length(F.coalesce("secret", F.lit("")))
     status = F.col("status") if "status" in found.columns else F.lit(None).cast("string")
+    nth = F.row_number().over(W.partitionBy("fingerprint").orderBy("target"))
+    listed = found.select("fingerprint", "target", "locations").withColumn("_n", nth).filter(F.col("_n") <= LISTED).groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("target", "locations"))).alias("by_target"))
     out = found.groupBy("fingerprint").agg(
         F.min_by("kind", "target").alias("kind"),
         F.min_by("redacted", "target").alias("redacted"),
         F.min_by("attribution", F.struct(-n, "target")).alias("attribution"),
         F.sum("occurrences").alias("occurrences"),
         F.count("*").alias("targets"),
-        F.array_sort(F.collect_list(F.struct("target", "locations"))).alias("by_target"),
+        F.sum("n_locations").alias("n_locations"),
         F.min_by(status, F.when(status.isNotNull(), F.col("target"))).alias("status"),
     )
     flat = F.flatten(F.transform("by_target", lambda t: F.transform(t["locations"], lambda x: F.struct(t["target"].alias("target"), x["object_key"].alias("object_key"), x["line"].alias("line")))))
-    return out.withColumn("locations", flat).drop("by_target")
+    return out.join(listed, "fingerprint").withColumn("locations", F.slice(flat, 1, LISTED)).drop("by_target")
 
 
 def summary(results: DataFrame, found: DataFrame) -> DataFrame:

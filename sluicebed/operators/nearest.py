@@ -1,67 +1,122 @@
 """Companions of a credential: the candidate of the same object that most likely belongs to it.
 
-A key's best candidate is always the nearest before or the nearest after it within a class of candidates, so no pairs are
-formed: keys and candidates are laid out by position and two windows carry the last candidate and the next one to each key.
-That is linear in an object with thousands of candidates, where a join on the object would be quadratic. An object is the
-unit of work, bounded by its size.
+Candidates are rows of the pass that found the credential (detectors.hits): the helpers below look for them only in objects
+with a token of their provider. A key's best candidate is always the nearest before or the nearest after it within a class of
+candidates, so no pairs are formed: keys and candidates lie in one table by position, and one window carries the last and
+the next candidate of each class to each key. That is linear in an object with thousands of candidates, where a join on the
+object would be quadratic. An object is the unit of work, bounded by its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import values as V
+from .detectors import WINDOW, Companions, Row
 
-
-def runs(objects: DataFrame, pattern: str, left: str = "", right: str = "", content: str = "content", keep: tuple[str, ...] = ("object_key",), window: int = 0) -> DataFrame:
-    """Every match of a pattern: kept columns, start, end, value, before (up to `window` bytes of its line before it), line."""
-    look = (f"(?<!{left})" if left else "") + f"(?={pattern}" + (f"(?!{right})" if right else "") + ")"
-    c = F.col(content)
-
-    def found(v: Column) -> Column:
-        pieces = F.split(F.concat(F.lit("\n"), v), look)
-        at = lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(-1).cast("bigint"), lambda a, x: a + F.length(x))
-        starts = F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), at))
-        text = lambda o, n: F.decode(F.substring(c, o + 1, n), "ISO-8859-1")
-        return F.transform(
-            starts,
-            lambda o: F.struct(
-                o.alias("start"),
-                F.regexp_extract(text(o, F.lit(8192)), f"^(?:{pattern})", 0).alias("value"),
-                F.substring_index(text(F.greatest(o - window, F.lit(0)), F.least(o, F.lit(window)).cast("int")), "\n", -1).alias("before"),
-                (F.length(text(F.lit(0), o.cast("int"))) - F.length(F.translate(text(F.lit(0), o.cast("int")), "\n", ""))).alias("line"),
-            ),
-        )
-
-    r = F.col("_r")
-    rows = objects.select(*keep, F.explode(F.transform(F.array(V.bytes_view(c)), found)[0]).alias("_r"))
-    return rows.select(*keep, r["start"].alias("start"), (r["start"] + F.length(r["value"])).alias("end"), r["value"].alias("value"), r["before"].alias("before"), r["line"].alias("line"))
-
-
-def nearest(keys: DataFrame, candidates: DataFrame, rank: Callable[[Column, Column], Column], group: tuple[str, ...] = ("object_key",), classes: tuple[str, tuple] | None = None) -> DataFrame:
-    """keys with a struct `companion` (null if there is none): the nearest candidate before or after with the largest rank.
-
-    keys: group columns, start, end, line (where it ends). candidates: the same, value and, where `classes` has it, a column of
-    which the named values are kept apart. rank: a struct over k (a key) and c (a candidate), compared field by field; on equal
-    ranks the candidate that starts first wins.
+GUID = rb"(?<![A-Za-z0-9_])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])"
+#: The words that a tenant, a client id, or a storage account stands behind, and how far.
+TENANT = ("tenant", "microsoftonline.com/", "sts.windows.net/")
+CLIENT = ("client_id", "clientid", "client-id", "appid", "app_id", "app-id", "applicationid", "application_id", "application-id")
+ACCOUNT = ("accountname", "account_name", "account-name", "storage_account", "storageaccount", "storage-account")
+STORAGE_HOSTS = "blob|dfs|file|queue|table|web"
+BEHIND, BEFORE = 120, 48
+#: What findings say about their companions.
+SAID = {
+    "no secret": ", key id only, secret not found nearby", "pair": ", key pair", "session": ", key pair with session token", "no session": ", key pair, session token not found nearby",
+    "app": "app ", "in tenant": " in tenant ", "no tenant": ", tenant id not found nearby", "tenant": "tenant ", "no client": ", client id not found nearby", "neither": "tenant and client id not found nearby",
+    "account": "storage account ", "user": "user ", "no user": "username not found nearby", "username": "username ", "registry": "in an .npmrc for ", "default": "the default registry",
+}
+DEPLOY_USER = re.compile(rb"gitlab\+deploy-token-[0-9]{1,20}(?![A-Za-z0-9])")
+_RUN = re.compile(rb"[A-Za-z0-9/+]+")
+_HEX = re.compile(rb"[0-9A-Fa-f]+")
+_BEHIND = {cls: re.compile(b"(?i:" + b"|".join(re.escape(w.encode()) for w in words) + b")") for cls, words in (("tenant", TENANT), ("client", CLIENT))}
+_GUID = re.compile(GUID)
+_HOST = re.compile(rf"(?<![A-Za-z0-9_-])([a-z0-9]{{3,24}})\.(?i:(?:{STORAGE_HOSTS})\.core\.windows\.net)".encode())
+_NAMED = re.compile(rf"(?i:{'|'.join(ACCOUNT)})[A-Za-z0-9_-]{{0,80}}+[ \t=:\"'>]{{0,80}}+([a-z0-9]{{3,24}})(?![A-Za-z0-9])".encode())
+_USER = re.compile(rb"(?<![A-Za-z0-9])(?:(?i:username|user)(?![A-Za-z0-9])|-[uU] )[ \t:=\"']{0,64}+([A-Za-z0-9_.@-]{1,128})")
+_REGISTRY = re.compile(rb"//([^\s\"']*?)/?:\Z")
+
+
+def _candidate(cls: str, start: int, end: int, value: bytes, keyword: bool = False) -> Row:
+    return {"cls": cls, "offset": start, "end": end, "value": value.decode("latin-1"), "keyword": keyword}
+
+
+def key_candidates(content: bytes) -> Iterator[Row]:
+    """Runs that are secret keys or session tokens by their letters, and whether their line names them before."""
+    for m in _RUN.finditer(content):
+        n = m.end() - m.start()
+        if n == 40 and re.search(b"[A-Z]", m[0]) and re.search(b"[a-z]", m[0]) and not _HEX.fullmatch(m[0]) or n >= 100:
+            before = content[max(0, m.start() - BEFORE) : m.start()].rpartition(b"\n")[2].lower()
+            cls, word = ("aws-secret", b"secret") if n == 40 else ("aws-session", b"session")
+            end = m.end() if n == 40 else re.compile(b"=*").match(content, m.end()).end()
+            yield _candidate(cls, m.start(), end, content[m.start() : end], word in before)
+
+
+def principal_candidates(content: bytes) -> Iterator[Row]:
+    """The first GUID behind each word for a tenant or a client, and the accounts of storage hosts and settings."""
+    for cls, words in _BEHIND.items():
+        seen = set()
+        for m in words.finditer(content):
+            g = _GUID.search(content, m.end(), m.end() + BEHIND + 36)
+            if g and g.start() - m.end() < BEHIND and g.start() not in seen:
+                seen.add(g.start())
+                yield _candidate(f"azure-{cls}", g.start(), g.end(), g[0])
+    for start, value in {m.start(1): m[1] for p in (_HOST, _NAMED) for m in p.finditer(content)}.items():
+        yield _candidate("azure-account", start, start + len(value), value)
+
+
+def user_candidates(content: bytes) -> Iterator[Row]:
+    for m in _USER.finditer(content):
+        if not m[1].startswith(b"dckr_"):
+            yield _candidate("hub-user", m.start(), m.end(), m[1])
+
+
+def deploy_users(content: bytes) -> Iterator[Row]:
+    """The first user name of a deploy token."""
+    if m := DEPLOY_USER.search(content):
+        yield _candidate("deploy-user", m.start(), m.end(), m[0])
+
+
+def registries(content: bytes) -> Iterator[Row]:
+    """The registry, with its scheme, that the line of each setting names before it; none for the default one."""
+    for m in re.finditer(rb"_authToken[ \t]{0,4}=[ \t]{0,4}[\"']?", content):
+        before = content[content.rfind(b"\n", 0, m.start()) + 1 : m.start()]
+        host = _REGISTRY.search(before[before.rfind(b"//") :]) if b"//" in before else None
+        yield _candidate("npm-registry", m.end(), m.end(), b"https://" + host[1] if host and host[1] else b"")
+
+
+COMPANIONS: Companions = {"aws": key_candidates, "azure": principal_candidates, "oci": user_candidates, "gitlab": deploy_users, "npm": registries}
+
+
+def paired(hits: DataFrame, is_key: Column, classes: dict[str, list[Column]], rank: Callable[[Column, Column], Column], start: str = "offset", end: str = "end", group: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """The keys among hits with a struct for each name of `classes` (null if there is none): the nearest candidate before or after with the largest rank.
+
+    classes: for each name the conditions of candidates that are kept apart. rank: a struct over k (a key) and c (a
+    candidate), compared field by field; on equal ranks the candidate that starts first wins. start, end: a key's columns.
     """
-    classes, names = classes or (None, (None,))
-    item = F.struct("start", "end", "line", "value", *([classes] if classes else []))
-    key = F.struct(*(c for c in keys.columns if c not in group))
-    laid = keys.select(*group, F.col("start").alias("_at"), F.lit(1).alias("_key"), key.alias("k"), F.lit(None).cast(candidates.select(item.alias("c")).schema["c"].dataType).alias("c"))
-    laid = laid.unionByName(candidates.select(*group, F.col("start").alias("_at"), F.lit(0).alias("_key"), item.alias("c")), allowMissingColumns=True)
-    order = W.partitionBy(*group).orderBy("_at", "_key")
+    conds = [c for cs in classes.values() for c in cs]
+    is_key = F.coalesce(is_key, F.lit(False))
+    wanted = is_key
+    for c in conds:
+        wanted = wanted | F.coalesce(c, F.lit(False))
+    item = F.struct(F.col("offset").alias("start"), "end", "line", "value", "keyword")
+    laid = hits.filter(wanted).withColumns({"_key": is_key.cast("int"), "_cand": item})
+    order = W.partitionBy(*group).orderBy("offset", "_key", "kind", "value")
     last, following = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
-    of = lambda name: F.when(F.col(f"c.{classes}").eqNullSafe(F.lit(name)), F.col("c")) if classes else F.col("c")
-    near = laid.withColumns({f"_n{i}{side}": pick(of(n), ignorenulls=True).over(w) for i, n in enumerate(names) for side, pick, w in (("b", F.last, last), ("a", F.first, following))})
-    near = near.filter(F.col("_key") == 1)
-    scored = F.filter(F.array(*(F.col(f"_n{i}{s}") for i in range(len(names)) for s in "ba")), lambda c: c.isNotNull())
-    best = F.array_max(F.transform(scored, lambda c: F.struct(rank(F.col("k"), c).alias("r"), (-c["start"]).alias("s"), c.alias("c"))))
-    return near.withColumn("companion", best["c"]).select(*group, "k.*", "companion")
+    sides = {f"_n{i}{side}": pick(F.when(c, F.col("_cand")), ignorenulls=True).over(w) for i, c in enumerate(conds) for side, pick, w in (("b", F.last, last), ("a", F.first, following))}
+    out = laid.withColumns(sides).filter(F.col("_key") == 1)
+    key = F.struct(F.col(start).alias("start"), F.col(end).alias("end"), "line")
+    at, best = 0, {}
+    for name, cs in classes.items():
+        near = F.filter(F.array(*(F.col(f"_n{i}{s}") for i in range(at, at + len(cs)) for s in "ba")), lambda c: c.isNotNull())
+        best[name] = F.array_max(F.transform(near, lambda c: F.struct(rank(key, c).alias("r"), (-c["start"]).alias("s"), c.alias("c"))))["c"]
+        at += len(cs)
+    return out.withColumns(best).drop("_key", "_cand", *sides)
 
 
 def after_first(k: Column, c: Column) -> Column:
@@ -76,73 +131,67 @@ def before_first(k: Column, c: Column) -> Column:
     return F.struct(F.when(c["start"] >= k["end"], -2 * (c["start"] - k["end"])).otherwise(-F.abs(k["start"] - c["end"])).alias("gap"))
 
 
-def key_pairs(objects: DataFrame, tokens: DataFrame, content: str = "content") -> DataFrame:
-    """Access key ids with secret and attribution: the secret key and, for temporary ones, the session token found near."""
-    ids = tokens.filter(F.col("provider") == "aws").select("object_key", F.col("offset").alias("start"), (F.col("offset") + F.length("value")).alias("end"), (F.col("line") - 1).alias("line"), "kind", "value", "attribution")
-    own = objects.join(ids.select("object_key").distinct(), "object_key", "left_semi")
-    b64 = "[A-Za-z0-9/+]"
-    secrets = runs(own, rf"(?={b64}*[A-Z])(?={b64}*[a-z])(?![0-9A-Fa-f]{{40}}){b64}{{40}}", b64, b64, content, window=48).withColumn("keyword", F.lower("before").contains("secret"))
-    sessions = runs(own, f"{b64}{{100,}}+=*+", b64, "", content, window=48).withColumn("keyword", F.lower("before").contains("session"))
-    paired = nearest(ids, secrets, after_first, classes=("keyword", (True, False))).withColumnRenamed("companion", "secret")
-    paired = nearest(paired, sessions, after_first, classes=("keyword", (True, False))).withColumnRenamed("companion", "session")
-    temporary = F.col("kind") == "aws-temporary-access-key"
-    said = F.when(F.col("secret").isNull(), ", key id only, secret not found nearby").when(~temporary, ", key pair").when(F.col("session").isNotNull(), ", key pair with session token").otherwise(", key pair, session token not found nearby")
-    secret = F.when(temporary & F.col("session").isNotNull(), F.concat("secret.value", F.lit("\n"), "session.value")).otherwise(F.col("secret.value"))
-    return paired.select("object_key", F.col("start").alias("offset"), (F.col("line") + 1).cast("int").alias("line"), "kind", "value", secret.alias("secret"), F.concat("attribution", said).alias("attribution"))
-
-
-GUID = r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
-#: The words that a tenant, a client id, or a storage account stands behind.
-TENANT = ("tenant", "microsoftonline.com/", "sts.windows.net/")
-CLIENT = ("client_id", "clientid", "client-id", "appid", "app_id", "app-id", "applicationid", "application_id", "application-id")
-ACCOUNT = ("accountname", "account_name", "account-name", "storage_account", "storageaccount", "storage-account")
-STORAGE_HOSTS = "blob|dfs|file|queue|table|web"
+def _by_keyword(cls: str) -> list[Column]:
+    own = F.col("cls") == cls
+    return [own & F.col("keyword"), own & ~F.col("keyword")]
 
 
-def guids_behind(objects: DataFrame, words: tuple[str, ...], content: str = "content") -> DataFrame:
-    """The first GUID within 120 bytes after each of the words."""
-    behind = runs(objects, r"(?i:" + "|".join(w.replace(".", r"\.") for w in words) + r")[\s\S]{0,156}", "", "", content)
-    word = rf"^(?i:{'|'.join(w.replace('.', chr(92) + '.') for w in words)})"
-    gap = F.regexp_extract("value", rf"{word}([\s\S]{{0,119}}?)(?<![A-Za-z0-9_]){GUID}(?![A-Za-z0-9])", 1)
-    full = F.regexp_extract("value", rf"{word}[\s\S]{{0,119}}?(?<![A-Za-z0-9_])({GUID})(?![A-Za-z0-9])", 1)
-    said = F.length(F.regexp_extract("value", word, 0))
-    found = behind.filter(full != "").select("object_key", (F.col("start") + said + F.length(gap)).alias("start"), full.alias("value"), "line")
-    return found.dropDuplicates(["object_key", "start"]).select("object_key", "start", (F.col("start") + 36).alias("end"), "line", "value")
+def _made(out: DataFrame, group: tuple[str, ...], secret: Column, said: Column, *more: str) -> DataFrame:
+    return out.select(*group, "offset", "line", "kind", "value", *more, secret.alias("secret"), said.alias("attribution"))
 
 
-def principals(objects: DataFrame, tokens: DataFrame, content: str = "content") -> DataFrame:
+def key_pairs(hits: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """Access key ids with secret and attribution: the secret key and, for temporary ones, the session token found near."""
+    out = paired(hits, (F.col("cls") == "token") & (F.col("provider") == "aws"), {"_secret": _by_keyword("aws-secret"), "_session": _by_keyword("aws-session")}, after_first, group=group)
+    temporary, secret, session = F.col("kind") == "aws-temporary-access-key", F.col("_secret"), F.col("_session")
+    said = F.when(secret.isNull(), SAID["no secret"]).when(~temporary, SAID["pair"]).when(session.isNotNull(), SAID["session"]).otherwise(SAID["no session"])
+    both = F.when(temporary & session.isNotNull(), F.concat("_secret.value", F.lit("\n"), "_session.value")).otherwise(F.col("_secret.value"))
+    return _made(out, group, both, F.concat("attribution", said))
+
+
+def principals(hits: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
     """Client secrets with the tenant and application nearest to them."""
-    keys = tokens.filter(F.col("kind") == "azure-client-secret").select("object_key", F.col("offset").alias("start"), F.col("offset").alias("end"), "line", "kind", "value")
-    own = objects.join(keys.select("object_key").distinct(), "object_key", "left_semi")
-    out = nearest(keys, guids_behind(own, TENANT, content), before_first).withColumn("tenant", F.col("companion.value")).drop("companion")
-    out = nearest(out, guids_behind(own, CLIENT, content), before_first).withColumn("client", F.col("companion.value"))
+    out = paired(hits, F.col("kind") == "azure-client-secret", {"_t": [F.col("cls") == "azure-tenant"], "_c": [F.col("cls") == "azure-client"]}, before_first, end="offset", group=group)
+    out = out.withColumns({"tenant": F.col("_t.value"), "client": F.col("_c.value")})
     t, c = F.col("tenant"), F.col("client")
-    said = F.when(t.isNotNull() & c.isNotNull(), F.concat(F.lit("app "), c, F.lit(" in tenant "), t)).when(c.isNotNull(), F.concat(F.lit("app "), c, F.lit(", tenant id not found nearby"))).when(t.isNotNull(), F.concat(F.lit("tenant "), t, F.lit(", client id not found nearby"))).otherwise("tenant and client id not found nearby")
-    return out.select("object_key", F.col("start").alias("offset"), "line", "kind", "value", "tenant", "client", said.alias("attribution"))
+    lit = lambda k: F.lit(SAID[k])
+    said = F.when(t.isNotNull() & c.isNotNull(), F.concat(lit("app"), c, lit("in tenant"), t)).when(c.isNotNull(), F.concat(lit("app"), c, lit("no tenant"))).when(t.isNotNull(), F.concat(lit("tenant"), t, lit("no client"))).otherwise(lit("neither"))
+    return _made(out, group, F.to_json(F.struct("tenant", "client")), said, "tenant", "client")
 
 
-def storage_accounts(objects: DataFrame, tokens: DataFrame, content: str = "content") -> DataFrame:
+def storage_accounts(hits: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
     """Storage keys with the account named nearest to them; keys without one are dropped: lock files are full of hashes of that shape."""
-    keys = tokens.filter(F.col("kind") == "azure-storage-account-key").select("object_key", F.col("offset").alias("start"), (F.col("offset") + 88).alias("end"), "line", "kind", "value")
-    own = objects.join(keys.select("object_key").distinct(), "object_key", "left_semi")
-    name = "[a-z0-9]{3,24}"
-    hosts = runs(own, rf"{name}\.(?i:(?:{STORAGE_HOSTS})\.core\.windows\.net)", "[A-Za-z0-9_-]", "", content).withColumn("value", F.regexp_extract("value", "^[a-z0-9]+", 0))
-    words = "|".join(ACCOUNT)
-    named = runs(own, rf"(?i:{words})[A-Za-z0-9_-]{{0,80}}+[ \t=:\"'>]{{0,80}}+{name}(?![A-Za-z0-9])", "", "", content)
-    value = F.regexp_extract("value", rf"^(?i:{words})[A-Za-z0-9_-]{{0,80}}+[ \t=:\"'>]{{0,80}}+({name})", 1)
-    named = named.withColumn("start", F.col("end") - F.length(value)).withColumn("value", value)
-    found = hosts.unionByName(named).select("object_key", "start", (F.col("start") + F.length("value")).alias("end"), "line", "value").dropDuplicates(["object_key", "start"])
-    out = nearest(keys, found, before_first).filter(F.col("companion").isNotNull())
-    return out.select("object_key", F.col("start").alias("offset"), "line", "kind", "value", F.col("companion.value").alias("secret"), F.concat(F.lit("storage account "), "companion.value").alias("attribution"))
-
-
-def registry_users(objects: DataFrame, tokens: DataFrame, content: str = "content", window: int = 512) -> DataFrame:
+    out = paired(hits, F.col("kind") == "azure-storage-account-key", {"_a": [F.col("cls") == "azure-account"]}, before_first, group=group).filter(F.col("_a").isNotNull())
+    return _made(out, group, F.col("_a.value"), F.concat(F.lit(SAID["account"]), "_a.value"))
+
+
+def registry_users(hits: DataFrame, group: tuple[str, ...] = ("object_key",), window: int = WINDOW) -> DataFrame:
     """Hub tokens with the username written nearest to them, within a window on either side."""
-    keys = tokens.filter(F.col("kind").isin("docker-hub-pat", "docker-hub-oat")).select("object_key", F.col("offset").alias("start"), (F.col("offset") + F.length("value")).alias("end"), "line", "kind", "value")
-    own = objects.join(keys.select("object_key").distinct(), "object_key", "left_semi")
-    word = r"(?i:(?:username|user)(?![A-Za-z0-9])|-u )"
-    said = runs(own, rf"{word}[ \t:=\"']{{0,64}}+[A-Za-z0-9_.@-]{{1,128}}", "[A-Za-z0-9]", "", content).withColumn("value", F.regexp_extract("value", rf"^{word}[ \t:=\"']{{0,64}}+([A-Za-z0-9_.@-]+)", 1))
-    near = nearest(keys, said.filter(~F.col("value").startswith("dckr_")), lambda k, c: F.struct((-F.greatest(k["start"] - c["start"], c["start"] - k["end"], F.lit(0))).alias("gap")))
-    far = F.greatest(F.col("start") - F.col("companion.start"), F.col("companion.start") - F.col("end"))
-    user = F.when(far <= window, F.col("companion.value"))
-    return near.select("object_key", F.col("start").alias("offset"), "line", "kind", "value", user.alias("secret"), F.coalesce(F.concat(F.lit("user "), user), F.lit("username not found nearby")).alias("attribution"))
+    gap = lambda k, c: F.greatest(k["start"] - c["start"], c["start"] - k["end"], F.lit(0))
+    out = paired(hits, F.col("kind").isin("docker-hub-pat", "docker-hub-oat"), {"_u": [F.col("cls") == "hub-user"]}, lambda k, c: F.struct((-gap(k, c)).alias("gap")), group=group)
+    far = F.greatest(F.col("offset") - F.col("_u.start"), F.col("_u.start") - F.col("end"))
+    user = F.when(far <= window, F.col("_u.value"))
+    return _made(out, group, user, F.coalesce(F.concat(F.lit(SAID["user"]), user), F.lit(SAID["no user"])))
+
+
+def deploy_tokens(hits: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """Deploy tokens with the user name that their object has first."""
+    out = paired(hits, F.col("kind") == "gitlab-deploy-token", {"_u": [F.col("cls") == "deploy-user"]}, before_first, group=group)
+    return _made(out, group, F.col("_u.value"), F.coalesce(F.concat(F.lit(SAID["username"]), "_u.value"), F.lit(SAID["no user"])))
+
+
+def registry_tokens(hits: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """Package tokens in settings, with their line's registry (null for the default one)."""
+    out = paired(hits, F.col("kind").isin("npm-access-token", "npm-legacy-token"), {"_r": [F.col("cls") == "npm-registry"]}, before_first, group=group)
+    out = out.filter(F.col("_r.start") == F.col("offset"))
+    named = F.when(F.col("_r.value") != "", F.col("_r.value"))
+    return _made(out, group, named, F.concat(F.lit(SAID["registry"]), F.coalesce(F.regexp_extract(named, "^https://([^/]+)", 1), F.lit(SAID["default"]))))
+
+
+def all_companions(hits: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """Secret and attribution of every token that has a companion or could have one: group columns, offset, value."""
+    parts = [f(hits, group).select(*group, "offset", "value", "kind", "secret", "attribution") for f in (key_pairs, principals, storage_accounts, registry_users, deploy_tokens, registry_tokens)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

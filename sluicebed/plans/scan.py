@@ -1,7 +1,7 @@
 """The whole job: objects to findings.
 
 objects have target, object_key, object_type, path, size and content. Only blobs and files are observed for what keys open;
-every object is searched. Contents stay in the extraction stage; what follows is as small as the tokens.
+every object is searched. Contents stay in the passes that read them; what follows is as small as the hits.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import detectors, documents, findings, hosts, nearest
+from ..operators import attribution, detectors, documents, findings, hosts, nearest
 from ..sources.tables import cut
 
 MAX_OBJECT = 10 << 20
@@ -27,7 +27,7 @@ class Result:
 
 
 def scanned(objects: DataFrame, max_object: int = MAX_OBJECT) -> DataFrame:
-    """Blobs, commits, tags and files of at most max_object bytes (0: of any size), each content once."""
+    """Blobs, commits, tags and files of at most max_object bytes (0: of any size)."""
     small = objects.filter(F.col("object_type").isin("blob", "commit", "tag", "file") & F.col("content").isNotNull())
     return small.filter(F.col("size") <= max_object) if max_object else small
 
@@ -38,32 +38,47 @@ def stats(objects: DataFrame, max_object: int = MAX_OBJECT) -> DataFrame:
     return objects.groupBy("target").agg(F.count("*").alias("objects"), F.count_if(~large).alias("scanned"), F.count_if(large).alias("skipped_large"), F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("bytes"))
 
 
-def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = MAX_OBJECT) -> Result:
-    """Tokens with their companions, findings by target, counts and server addresses."""
+def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = MAX_OBJECT, history: dict[str, DataFrame] | None = None) -> Result:
+    """Tokens with their companions, findings by target, counts and server addresses.
+
+    Contents are read by two narrow passes, for tokens and for addresses, and go no further: what is shuffled are hits. history: the tables of sources.trees.history,
+    with target as repo; with it, tokens get path, commit, refs and how they can be reached.
+    """
     own = scanned(objects, max_object)
-    by_content = own.withColumn("sha", F.sha2("content", 256))
-    once = by_content.dropDuplicates(["sha"]).select(F.col("sha").alias("object_key"), "content")
-    found = cut(documents.rescanned(once, detectors.find(once)))
-    pairs = nearest.key_pairs(once, found).select("object_key", "offset", "value", "secret", F.col("attribution").alias("_said"))
-    names = nearest.principals(once, found).select("object_key", "offset", "value", F.to_json(F.struct("tenant", "client")).alias("secret"), F.col("attribution").alias("_said"))
-    stores = nearest.storage_accounts(once, found).select("object_key", "offset", "value", "secret", F.col("attribution").alias("_said"))
-    users = nearest.registry_users(once, found).filter(F.col("secret").isNotNull()).select("object_key", "offset", "value", "secret", F.col("attribution").alias("_said"))
-    companions = pairs.unionByName(names).unionByName(stores).unionByName(users)
-    tokens = found.join(companions, ["object_key", "offset", "value"], "left").filter((F.col("kind") != "azure-storage-account-key") | F.col("_said").isNotNull())
-    nameless = F.col("kind").isin("docker-hub-pat", "docker-hub-oat") & F.col("_said").isNull() & (F.col("attribution") == "")
-    tokens = tokens.withColumn("attribution", F.when(nameless, "username not found nearby").otherwise(F.coalesce("_said", "attribution"))).drop("_said").withColumn("encrypted", F.lit(False))
-    docs = documents.find(once)
-    named_secrets = documents.secret_manifests(once).join(once.select("object_key", F.col("content").alias("_c")), "object_key").withColumn("line", detectors.line(F.col("_c"), F.col("offset"))).drop("_c")
-    named_secrets = named_secrets.withColumns({"checksum_verified": F.lit(False), "secret": F.lit(None).cast("string"), "encrypted": F.lit(False)})
-    inside = docs.filter(F.col("kind") == "gcp-oauth-user-credentials").select("object_key", F.col("value"), F.lit("gcp-oauth-refresh-token").alias("kind"))
-    tokens = tokens.join(inside, ["object_key", "value", "kind"], "left_anti").unionByName(docs).unionByName(named_secrets)  # a refresh token in a document is the document's
-    places = by_content.select(F.col("sha").alias("_sha"), "target", F.col("object_key").alias("_key"), "path", "object_type")
-    tokens = tokens.join(places, F.col("object_key") == F.col("_sha")).drop("object_key", "_sha").withColumnRenamed("_key", "object_key")
-    tokens = cut(findings.ignored(findings.classified(tokens), ignore))
+    sha = F.sha2("content", 256)
+    hits = cut(detectors.hits(own.withColumn("sha", sha), detectors.SHAPES, documents.FORMATS, nearest.COMPANIONS, keep=("target", "object_key", "object_type", "path", "sha")))
+    group = ("target", "object_key", "sha")
+    found = documents.rescanned(hits, group)
+    said = nearest.all_companions(hits, group).withColumnsRenamed({"secret": "_secret", "attribution": "_said"})
+    tokens = found.join(said, [*group, "offset", "value", "kind"], "left").filter((F.col("kind") != "azure-storage-account-key") | F.col("_said").isNotNull())
+    within = F.when(F.col("within").isNotNull(), F.col("attribution"))
+    tokens = tokens.withColumns({"attribution": F.coalesce(within, "_said", "attribution"), "secret": F.coalesce("_secret", "secret")})
+    inside = found.filter(F.col("kind") == "gcp-oauth-user-credentials").select(*group, "value", F.lit("gcp-oauth-refresh-token").alias("kind"))
+    tokens = tokens.join(inside, [*group, "value", "kind"], "left_anti")  # a refresh token in a document is the document's
+    tokens = tokens.select("target", "object_key", "object_type", "path", "provider", "kind", "value", "offset", "line", "checksum_verified", "attribution", "secret", "encrypted")
+    tokens = findings.ignored(findings.classified(tokens), ignore)
+    if history:
+        tokens = located(tokens, history)
+    tokens = cut(tokens)
     seen = own.filter(F.col("object_type").isin("blob", "file"))
     text = V.bytes_view(F.col("content"))
-    named = [seen.filter(F.contains("content", F.lit(f"{p}.".encode()))).select("target", "object_key", F.lit(p).alias("provider"), F.explode(hosts.instances(text, p)).alias("origin")) for p in hosts.VENDORS]
-    return Result(tokens, findings.findings(tokens), stats(objects, max_object), named[0].unionByName(named[1]))
+    origins = F.concat(*(F.when(F.contains("content", F.lit(f"{p}.".encode())), F.transform(hosts.instances(text, p), lambda o, p=p: F.struct(F.lit(p).alias("provider"), o.alias("origin")))).otherwise(F.array().cast("array<struct<provider:string,origin:string>>")) for p in hosts.VENDORS))
+    named = seen.select("target", "object_key", F.explode(origins).alias("o")).select("target", "object_key", "o.provider", "o.origin")
+    return Result(tokens, findings.findings(tokens), stats(objects, max_object), named)
+
+
+def located(tokens: DataFrame, history: dict[str, DataFrame]) -> DataFrame:
+    """Tokens with path, commit, refs and reachable: where each came from and how it can still be reached."""
+    hits = tokens.withColumnRenamed("target", "repo").withColumnRenamed("path", "_path")
+    hits = attribution.with_commits(attribution.with_paths(hits, history["object_paths"]), history["object_intro"], history["commits"])
+    wanted = hits.filter(F.col("commit").isNotNull()).select("repo", F.col("commit.sha").alias("sha")).distinct()
+    refs = attribution.refs_containing(history["commits"], history["refs"], wanted)
+    hits = hits.join(refs.withColumnRenamed("sha", "_sha"), (hits["repo"] == refs["repo"]) & (F.col("commit.sha") == F.col("_sha")), "left").drop(refs["repo"]).drop("_sha")
+    lost = hits.filter(F.col("commit").isNotNull() & F.col("refs").isNull()).select("repo", F.col("commit.sha").alias("sha")).distinct()
+    rewrite = attribution.rewrites_of(lost, history["commits"], history["rewrites"]) if "rewrites" in history else lost.withColumn("rewrite", F.lit(None).cast("string"))
+    hits = hits.join(rewrite.withColumnRenamed("sha", "_sha").withColumnRenamed("repo", "_repo"), (hits["repo"] == F.col("_repo")) & (F.col("commit.sha") == F.col("_sha")), "left").drop("_sha", "_repo")
+    how = attribution.reachability(F.col("object_type"), F.col("commit").isNotNull(), F.col("refs").isNull(), F.col("rewrite"), F.coalesce("refs", F.array().cast("array<string>")), F.col("object_type") == "file")
+    return hits.withColumns({"path": F.coalesce("path", "_path"), "reachable": how}).drop("_path", "rewrite").withColumnRenamed("repo", "target")
 
 
 def report(found: DataFrame, show_secrets: bool = False) -> DataFrame:

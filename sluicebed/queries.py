@@ -1,7 +1,7 @@
 """Registered queries of the credential operators, and the same in SQL.
 
-The given tables hold no credentials, so queries that need some plant them: a document's text gets lines with values made from
-its id, on both sides by the same rule. No literal here has the shape of a credential; prefixes are put together at run time.
+The given tables hold no credentials, so queries that need some plant them: a document's whole text gets lines with values made
+from its id, on both sides by the same rule. No literal here has the shape of a whole credential.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import values as V
@@ -179,7 +180,7 @@ def aws_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.concat(F.lit("[a]\nid = "), k1, F.lit("\nsecret_key = "), _secret("s1"), F.lit("\n[b]\nid = "), k2)
     line = F.when(F.col("doc_id") % 3 == 0, F.concat(both, F.lit("\nsecret_key = "), _secret("s2"), F.lit("\n"))).when(F.col("doc_id") % 3 == 1, F.concat(both, F.lit("\n"))).otherwise(F.concat(F.lit("id "), k1))
     objects = planted(spark, sf_dir, line)
-    pairs = nearest.key_pairs(objects, detectors.find(objects))
+    pairs = nearest.key_pairs(detectors.hits(objects, companions=nearest.COMPANIONS))
     return pairs.select("object_key", V.fingerprint(F.col("value")).alias("fingerprint"), "kind", V.fingerprint(F.col("secret")).alias("secret"), F.regexp_replace("attribution", r"^account \d{12}, ", "").alias("said"))
 
 
@@ -201,7 +202,7 @@ def azure_nearest_guid(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.when(F.col("doc_id") % 2 == 0, "").otherwise("x" * 300)
     line = F.concat(F.lit("tenant="), _guid("t1"), F.lit(" "), gap, F.lit("\nclient_id="), _guid("c1"), F.lit("\nsecret="), value, F.lit("\ntenant_id: "), _guid("t2"), F.lit("\n"))
     objects = planted(spark, sf_dir, line)
-    return nearest.principals(objects, detectors.find(objects)).select("object_key", V.fingerprint(F.col("value")).alias("fingerprint"), "tenant", "client")
+    return nearest.principals(detectors.hits(objects, companions=nearest.COMPANIONS)).select("object_key", V.fingerprint(F.col("value")).alias("fingerprint"), "tenant", "client")
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_sql_seeded("k1")} || substr({_sql_seeded("k2")}, 1, 22) || '==' AS value, 'acct' || doc_id::VARCHAR AS account FROM documents)
@@ -210,7 +211,7 @@ def storage_key_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat(seeded("k1"), F.substring(seeded("k2"), 1, 22), F.lit("=="))
     named = F.concat(F.lit("DefaultEndpointsProtocol=https;AccountName=acct"), F.col("doc_id").cast("string"), F.lit(";AccountKey="))
     objects = planted(spark, sf_dir, F.concat(F.when(F.col("doc_id") % 2 == 0, named).otherwise("integrity "), value, F.lit("\n")))
-    return nearest.storage_accounts(objects, detectors.find(objects)).select("object_key", V.fingerprint(F.col("value")).alias("fingerprint"), F.col("secret").alias("account"))
+    return nearest.storage_accounts(detectors.hits(objects, companions=nearest.COMPANIONS)).select("object_key", V.fingerprint(F.col("value")).alias("fingerprint"), F.col("secret").alias("account"))
 
 
 @query("""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([0-9A-Fa-f]{40})(?:[^A-Za-z0-9]|$)', 1)) AS x FROM documents)
@@ -238,9 +239,6 @@ def redact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.substring(F.sha2("text", 256), 1, 16).alias("fingerprint"), V.redact(F.col("text")).alias("redacted"))
 
 
-_WORDS = "('CHANGE_ME', 'REPLACE_' || turn::VARCHAR, '<your token>', 'xxXX', '****', 'Change-Me', '${VAR}', '{{ .x }}', 'a.Values.b', text)"
-
-
 @query(f"""WITH v AS (SELECT conv_id, turn, text, (conv_id + turn) % 10 AS k FROM conversations), p AS (SELECT conv_id, turn, CASE k WHEN 0 THEN 'CHANGE_ME' WHEN 1 THEN 'REPLACE_' || turn::VARCHAR WHEN 2 THEN '<your token>' WHEN 3 THEN 'xxXX' WHEN 4 THEN '****' WHEN 5 THEN 'Change-Me' WHEN 6 THEN '${{VAR}}' WHEN 7 THEN '{{{{ .x }}}}' WHEN 8 THEN 'a.Values.b' ELSE coalesce(text, '') END AS s, k FROM v)
 SELECT conv_id, turn, k < 6 OR (s <> '' AND length(s) <= 64 AND (regexp_matches(s, '^([xX]+|[*]+)$') OR (starts_with(s, '<') AND ends_with(s, '>') AND s <> '<') OR lower(translate(s, '-_ ', '')) IN ('replaceme', 'changeme', 'changeit', 'placeholder', 'todo', 'tbd', 'fixme', 'dummy') OR (upper(s) = s AND regexp_matches(s, '^(REPLACE_|CHANGE_|YOUR_|TODO_|FIXME_)')))) AS placeholder,
 contains(s, '{{{{') OR contains(s, '${{') OR contains(s, '.Values') AS templated FROM p""")
@@ -315,27 +313,31 @@ def unlocks_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.unlocked(keys, seen)
 
 
-# A history from orders: commit k's parent is k - 1 within blocks of 20, blocks 0 and 1 of every three have a ref at their end.
-_COMMITS = "c AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= 400)"
+# A history from orders, a customer's orders being a repository: every order is a commit on the one before it, every fifth also
+# merges the third before it. A tag is at every seventh order, a branch at the third last one, so the last two are orphans.
+_ORDERED = "o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS last FROM orders)"
 
 
-def _history(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    k = F.col("id")
-    sha = lambda n: F.concat(F.lit("c"), n.cast("string"))
-    commits = spark.range(400).select(F.lit("r").alias("repo"), sha(k).alias("sha"), F.when(k % 20 == 0, F.array().cast("array<string>")).otherwise(F.array(sha(k - 1))).alias("parents"))
-    refs = spark.range(20).filter(k % 3 != 2).select(F.lit("r").alias("repo"), F.when(k % 3 == 0, F.concat(F.lit("refs/heads/b"), k.cast("string"))).otherwise(F.concat(F.lit("refs/tags/t"), k.cast("string"))).alias("refname"), sha(k * 20 + 12).alias("sha"))
-    return commits, refs
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    of = W.partitionBy("o_custkey")
+    o = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(of.orderBy("o_orderkey"))).withColumn("last", F.count("*").over(of))
+    sha, repo = F.concat(F.lit("c"), F.col("o_orderkey").cast("string")), F.col("o_custkey").cast("string")
+    before = lambda k: F.lag(sha, k).over(of.orderBy("o_orderkey"))
+    o = o.withColumns({"one": before(1), "three": F.when(F.col("n") % 5 == 0, before(3))})
+    commits = o.select(repo.alias("repo"), sha.alias("sha"), F.array_compact(F.array("one", "three")).alias("parents"))
+    tags = o.filter("n % 7 = 0").select(repo.alias("repo"), F.concat(F.lit("refs/tags/t"), F.col("n").cast("string")).alias("refname"), sha.alias("sha"))
+    return commits, o.filter("n = last - 2").select(repo.alias("repo"), F.lit("refs/heads/main").alias("refname"), sha.alias("sha")).union(tags)
 
 
-@query("""WITH RECURSIVE c AS (SELECT range AS k FROM range(400)), r AS (SELECT range AS b FROM range(20) WHERE range % 3 <> 2), reach AS (SELECT b, b * 20 + 12 AS k FROM r UNION ALL SELECT b, k - 1 FROM reach WHERE k % 20 <> 0)
-SELECT 'c' || k::VARCHAR AS sha, CASE WHEN b % 3 = 0 THEN 'refs/heads/b' ELSE 'refs/tags/t' END || b::VARCHAR AS refs FROM reach""")
+@query(f"""WITH {_ORDERED} SELECT 'c' || a.k::VARCHAR AS sha, string_agg(r.name, ',' ORDER BY r.name) AS refs FROM o a JOIN (SELECT c, n, 'refs/heads/main' AS name FROM o WHERE n = last - 2 UNION ALL SELECT c, n, 'refs/tags/t' || n::VARCHAR FROM o WHERE n % 7 = 0) r ON r.c = a.c AND r.n >= a.n GROUP BY a.k""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.refs_containing(*_history(spark)).select("sha", F.array_join("refs", ",").alias("refs"))
+    """The refs that contain each order's commit."""
+    return attribution.refs_containing(*_history(spark, sf_dir)).select("sha", F.array_join("refs", ",").alias("refs"))
 
 
-@query("SELECT 'c' || range::VARCHAR AS sha FROM range(400) WHERE (range // 20) % 3 = 2 OR range % 20 > 12")
+@query(f"WITH {_ORDERED} SELECT 'c' || k::VARCHAR AS sha FROM o WHERE n > greatest(last - 2, last // 7 * 7)")
 def orphan_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.orphans(*_history(spark)).select("sha")
+    return attribution.orphans(*_history(spark, sf_dir)).select("sha")
 
 
 @query("""WITH n AS (SELECT n_regionkey, n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN 'tag ' || n_name WHEN 2 THEN 'PR #' || n_nationkey::VARCHAR WHEN 3 THEN 'origin/main' ELSE 'refs/notes/' || n_name END AS label,
@@ -398,25 +400,25 @@ def content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Secret with a good value, one to be filled in, and one in clear; every fourth is encrypted as a whole."""
+    """The whole text, and after it a Secret with a good value, one to be filled in, and one in clear; every fourth is encrypted as a whole."""
     token = F.concat(F.lit("np" + "m_"), F.substring(seeded("mf"), 1, 36))
     sops = F.when(F.col("doc_id") % 4 == 0, "sops: {version: 3}\n").otherwise("")
     k = F.col("doc_id").cast("string")
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    text = F.concat(F.lit("kind: Secret\nmetadata: {namespace: ns, name: s"), k, F.lit("}\ndata:\n  a: "), F.base64(token.cast("binary")), F.lit("\n  b: "), F.base64(F.lit("changeme").cast("binary")), F.lit("\nstringData:\n  c: plain"), k, F.lit("\n"), sops)
-    return d.select(F.col("doc_id").alias("object_key"), text.cast("binary").alias("content"))
+    text = F.concat(F.lit("---\nkind: Secret\nmetadata: {namespace: ns, name: s"), k, F.lit("}\ndata:\n  a: "), F.base64(token.cast("binary")), F.lit("\n  b: "), F.base64(F.lit("changeme").cast("binary")), F.lit("\nstringData:\n  c: plain"), k, F.lit("\n"), sops)
+    return planted(spark, sf_dir, text)
 
 
 @query("SELECT doc_id AS object_key, 'ns/s' || doc_id::VARCHAR AS value, 'keys a, c' AS attribution FROM documents WHERE doc_id % 4 <> 0")
 def secret_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.secret_manifests(_manifest(spark, sf_dir)).select("object_key", "value", "attribution")
+    found = detectors.hits(_manifest(spark, sf_dir), (), documents.FORMATS)
+    return found.filter(F.col("kind") == "kubernetes-secret-manifest").select("object_key", "value", "attribution")
 
 
-@query(f"SELECT doc_id AS object_key, substr(sha256('np' || 'm_' || substr({_sql_seeded('mf')}, 1, 36)), 1, 16) AS fingerprint, 4::INT AS line, 'in Secret ns/s' || doc_id::VARCHAR || ', key a' AS attribution FROM documents WHERE doc_id % 4 <> 0")
+@query(f"SELECT doc_id AS object_key, substr(sha256('np' || 'm_' || substr({_sql_seeded('mf')}, 1, 36)), 1, 16) AS fingerprint, ({_LINE} + 4)::INT AS line, 'in Secret ns/s' || doc_id::VARCHAR || ', key a' AS attribution FROM documents WHERE doc_id % 4 <> 0")
 def secret_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens inside encoded values, at their key's line."""
-    objects = _manifest(spark, sf_dir)
-    return documents.rescanned(objects, detectors.find(objects)).select("object_key", V.fingerprint(F.col("value")).alias("fingerprint"), "line", "attribution")
+    found = documents.rescanned(detectors.hits(_manifest(spark, sf_dir), formats=documents.FORMATS)).filter(F.col("provider") == "npm")
+    return found.select("object_key", V.fingerprint(F.col("value")).alias("fingerprint"), "line", "attribution")
 
 
 @query("SELECT doc_id AS object_key, CASE doc_id % 3 WHEN 0 THEN 'ghcr-login' WHEN 1 THEN 'quay-login' ELSE 'registry-login' END AS kind, CASE doc_id % 3 WHEN 0 THEN 'ghcr.io' WHEN 1 THEN 'quay.io' ELSE 'r.example.com' END || '/u' || doc_id::VARCHAR AS value FROM documents WHERE doc_id % 5 <> 0")
@@ -426,8 +428,8 @@ def registry_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.when(k % 3 == 0, "https://ghcr.io/v1/").when(k % 3 == 1, "quay.io").otherwise("r.example.com")
     auth = F.base64(F.concat(F.lit("u"), k.cast("string"), F.lit(":"), F.when(k % 5 == 0, "${P}").otherwise("pw")).cast("binary"))
     text = F.concat(F.lit('{"auths":{"'), host, F.lit('":{"auth":"'), auth, F.lit('"}}}'))
-    d = table(spark, sf_dir, "documents").select(k.alias("object_key"), F.when(k % 2 == 0, text).otherwise(F.concat(F.lit("dockerconfigjson: "), F.base64(text.cast("binary")))).cast("binary").alias("content"))
-    return documents.find(d).select("object_key", "kind", "value")
+    line = F.when(k % 2 == 0, text).otherwise(F.concat(F.lit("dockerconfigjson: "), F.base64(text.cast("binary"))))
+    return documents.find(planted(spark, sf_dir, line)).select("object_key", "kind", "value")
 
 
 _PEM_SQL = """WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS pos, doc_id % 3 AS m, '3020' || sha256('pem' || doc_id::VARCHAR) AS raw FROM documents)
@@ -446,6 +448,38 @@ def private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.find(planted(spark, sf_dir, line)).filter(F.col("provider") == "privatekey").select("object_key", "kind", "value", "offset", "encrypted")
 
 
+@query("SELECT doc_id AS object_key, CASE WHEN doc_id % 20 = 0 THEN 1 ELSE 0 END::BIGINT AS named FROM documents")
+def lockfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred integrity hashes after each text, which have a storage key's shape; in every twentieth an account is named, and its keys are the hashes."""
+    hashes = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit('"integrity": "sha512-'), F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("lock"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string")), 512))), "\r\n", ""), F.lit('",'))), "\n")
+    account = F.when(F.col("doc_id") % 20 == 0, "\nAccountName=store1;").otherwise("")
+    objects = planted(spark, sf_dir, F.concat(hashes, account))
+    found = nearest.storage_accounts(detectors.hits(objects, companions=nearest.COMPANIONS)).groupBy("object_key").agg(F.count("*").alias("n"))
+    return objects.select("object_key").join(found, "object_key", "left").select("object_key", F.when(F.col("n") == 200, 1).when(F.col("n").isNull(), 0).otherwise(-1).cast("bigint").alias("named"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id::VARCHAR AS k, {_LINE} AS line FROM documents)
+SELECT doc_id AS object_key, CASE WHEN doc_id % 2 = 0 THEN 'kubernetes-token' ELSE 'kubernetes-basic-auth' END AS kind, CASE WHEN doc_id % 2 = 0 THEN 'secret-' || k ELSE 'api' || k || '.example.com:6443/u' || k END AS value,
+CASE WHEN doc_id % 2 = 0 THEN 'bearer token' ELSE 'user u' || k END || ', server https://api' || k || '.example.com:6443' AS attribution, (line + 5)::INT AS line FROM d""")
+def kubeconfig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cluster configuration after each text, with a user's token or login and its server."""
+    k = F.col("doc_id").cast("string")
+    user = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("token: secret-"), k)).otherwise(F.concat(F.lit("username: u"), k, F.lit(", password: p")))
+    text = F.concat(F.lit("---\nkind: Config\nclusters:\n- {name: c, cluster: {server: 'https://api"), k, F.lit(".example.com:6443'}}\nusers:\n- {name: a, user: {"), user, F.lit("}}\ncontexts:\n- {name: x, context: {cluster: c, user: a}}\n"))
+    found = detectors.hits(planted(spark, sf_dir, text), (), documents.FORMATS)
+    return found.select("object_key", "kind", "value", "attribution", "line")
+
+
+@query(f"""SELECT doc_id AS object_key, substr({_sql_seeded("sas")}, 1, 40) AS value, CASE WHEN doc_id % 2 = 0 THEN 'a' || doc_id::VARCHAR || '.blob.core.windows.net, ' ELSE '' END || 'permissions rl, expires 2030-01-01' AS attribution,
+({_FIRST} + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 6 END)::BIGINT AS "offset" FROM documents WHERE doc_id % 3 <> 0""")
+def shared_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed addresses and bare signatures after each text; without an expiry it is none."""
+    query_ = F.concat(F.lit("sv=2022-11-02&"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("se=2030-01-01&"), F.lit("sp=rl&sig="), F.substring(seeded("sas"), 1, 40))
+    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u = https://a"), F.col("doc_id").cast("string"), F.lit(".blob.core.windows.net/c?"), query_, F.lit("."))).otherwise(F.concat(F.lit("TOKEN="), query_, F.lit("\n")))
+    found = documents.find(planted(spark, sf_dir, line)).filter(F.col("kind") == "azure-sas-token")
+    return found.select("object_key", "value", "attribution", "offset")
+
+
 @query("SELECT count(*)::BIGINT AS tokens FROM documents WHERE regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{36}|xox[bp]-[0-9]{10}|AIza[A-Za-z0-9_-]{35}')")
 def gate_and_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detector over the documents as they are: the throughput of the gate."""

@@ -19,12 +19,12 @@ def start(objects: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     from ..functions import values as V
 
     def put(batch: DataFrame, number: int) -> None:
-        sums = batch.groupBy(V.fingerprint(F.col("value")).alias("fingerprint"), "kind").agg(F.count("*").alias("occurrences"), F.count_distinct("object_key").alias("objects"))
+        sums = batch.groupBy(V.fingerprint(F.col("value")).alias("fingerprint"), "kind").agg(F.count("*").alias("occurrences"), F.hll_sketch_agg(F.col("object_key").cast("string")).alias("objects"))
         sums.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return tokens(objects).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged(spark, table: str) -> DataFrame:
-    """All batches together."""
-    return spark.read.parquet(table).groupBy("fingerprint", "kind").agg(F.sum("occurrences").alias("occurrences"), F.sum("objects").alias("objects"))
+    """All batches together. objects is an estimate (of sketches merged over batches), so an object seen twice counts once."""
+    return spark.read.parquet(table).groupBy("fingerprint", "kind").agg(F.sum("occurrences").alias("occurrences"), F.hll_sketch_estimate(F.hll_union_agg("objects")).alias("objects"))

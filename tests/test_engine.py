@@ -4,11 +4,15 @@ import base64
 import hashlib
 import json
 import os
+import re
 import string
 import struct
 import subprocess
+import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sluicebed import queries
 from sluicebed.functions import values as V
-from sluicebed.operators import attribution, detectors, documents, findings, hosts
+from sluicebed.operators import attribution, detectors, documents, findings, hosts, nearest, scanner
 from sluicebed.plans import scan, verdicts
 from sluicebed.sources import trees
 from sluicebed.streaming import incremental
@@ -99,7 +103,7 @@ def test_manifests(spark):
     objects = spark.createDataFrame([(1, b"a: 1\n---\n" + manifest("k", t)), (2, b"kind: Secret\n  broken: ["), (3, b"kind: Secret\nstringData: {k: " + t.encode() + b"}\nmetadata: {name: s}\n")], "object_key long, content binary")
     values = {(r["object_key"], r["key"]): (r["value"], r["skipped"]) for r in documents.secret_values(objects).collect()}
     assert values[1, "k"] == (t.encode(), None) and values[1, "skip"][1] == "placeholder" and values[1, "t"][1] == "templated"
-    got = {r["object_key"]: r for r in documents.rescanned(objects, detectors.find(objects)).collect()}
+    got = {r["object_key"]: r for r in documents.rescanned(detectors.hits(objects, formats=documents.FORMATS)).filter("provider = 'github'").collect()}
     assert got[1]["attribution"] == "in Secret ns/n, key k" and got[1]["line"] == 7 and got[3]["attribution"] == "in Secret s, key k"
     assert {r["object_key"]: r["value"] for r in documents.secret_manifests(objects).collect()} == {1: "ns/n", 3: "s"}
 
@@ -209,6 +213,112 @@ def test_verdicts(spark):
     assert d.filter(verdicts.verdict(F.col("provider"), F.col("kind"), F.col("status"), F.col("error")) != F.col("want")).count() == 0
 
 
+def test_many_hashes_of_a_keys_shape_take_linear_time(spark):
+    lines = lambda n: "\n".join('"integrity": "sha512-' + base64.b64encode(hashlib.sha512(str(i).encode()).digest()).decode() + '",' for i in range(n))
+    objects = spark.createDataFrame([(1, lines(20_000).encode()), (2, f"{lines(5)}\nAccountName=store1;".encode())], "object_key long, content binary")
+    began = time.perf_counter()
+    hits = detectors.hits(objects, companions=nearest.COMPANIONS)
+    got = nearest.storage_accounts(hits).collect()
+    assert time.perf_counter() - began < 10
+    assert {(r["object_key"], r["secret"]) for r in got} == {(2, "store1")} and len(got) == 5
+    assert detectors.find(objects).groupBy("object_key").count().orderBy("object_key").collect()[0]["count"] == 20_000
+
+
+def test_named_and_windowed_kinds(spark):
+    robot, oauth = body(64, "q", "ABCXYZ0123"), body(40)
+    far = " " * 600
+    contents = [f"org+bot {robot}", f"org+bot{far}{robot}", f"quay.io {oauth}", f"Quay.IO{far}{oauth}", f"x_{oauth} quay.io", f"//r.example.com/:_authToken=np{'m_'}{body(36)}", "gl" + f"dt-{body(20)} gitlab+deploy-token-42"]
+    objects = spark.createDataFrame([(i, c.encode()) for i, c in enumerate(contents)], "object_key long, content binary")
+    hits = detectors.hits(objects, companions=nearest.COMPANIONS)
+    got = {r["object_key"]: (r["kind"], r["secret"], r["attribution"]) for r in hits.filter("cls = 'token' and kind like 'quay%'").collect()}
+    assert got == {0: ("quay-robot-token", "org+bot", "robot org+bot"), 2: ("quay-oauth-token", None, "")}
+    said = {r["object_key"]: (r["secret"], r["attribution"]) for r in nearest.all_companions(hits).collect()}
+    assert said == {5: ("https://r.example.com", "in an .npmrc for r.example.com"), 6: ("gitlab+deploy-token-42", "username gitlab+deploy-token-42")}
+
+
+def test_scanner_finds_what_a_plain_search_finds():
+    rng = np.random.default_rng(2)
+    names = [b"ab", b"abc", b"==", b"gh_x", b"Q~"]
+    needles = scanner.Needles(names)
+    for _ in range(200):
+        values = [bytes(rng.choice(list(b"abcgh_xQ~= "), int(rng.integers(0, 30)))) for _ in range(4)]
+        column = pa.array([b"skipped", *values, None, b""], pa.binary()).slice(1)
+        data, offsets = scanner.flat(column)
+        at, which = needles.find(data)
+        got = [(r, p, names[w]) for r, ps, ws in scanner.by_value(at, np.array([len(n) for n in names])[which], offsets, which) for p, w in zip(ps, ws, strict=True)]
+        assert sorted(got) == sorted((r, p, n) for r, v in enumerate(values) for n in names for p in range(len(v)) if v.startswith(n, p))
+        start, length = scanner.runs(data, offsets, (3,))
+        wanted = [(int(offsets[r]) + m.start(), 3) for r, v in enumerate(values) for m in re.finditer(rb"[A-Za-z0-9]+", v) if len(m[0]) == 3]
+        assert list(zip(start.tolist(), length.tolist(), strict=True)) == wanted
+
+
+def test_age_identity_and_recipient(spark):
+    secret = bytes(range(1, 33))
+    data = documents._regrouped(list(secret), 8, 5)
+    check = documents._bech32_sum("age-secret-key-", [*data, *[0] * 6]) ^ 1
+    text = ("AGE-SECRET-KEY-" + "1" + "".join(documents.BECH32[x] for x in [*data, *(check >> 5 * (5 - i) & 31 for i in range(6))])).upper()
+    wrong = text[:-1] + ("Q" if text[-1] != "Q" else "P")
+    got = documents.find(spark.createDataFrame([(1, f"k: {text}\n".encode()), (2, wrong.encode())], "object_key long, content binary")).collect()
+    assert [(r["object_key"], r["kind"], r["offset"], r["value"]) for r in got] == [(1, "age-identity", 3, text)] and got[0]["attribution"].startswith("recipient age1")
+
+
+def test_scalar_multiplication_fixes_its_bits():
+    """The bits that the curve's rules fix make no difference, the others do."""
+    private = bytes.fromhex("77076d0a7318a57d3c16c17251b26645c6c2f6c929b1f8b1d3a1ab9a2ad8f1f5")
+    assert documents.x25519_public(private) == documents.x25519_public(bytes([private[0] | 7]) + private[1:31] + bytes([private[31] | 0x80])) != bytes(32)
+
+
+def test_keys_are_named_as_their_certificates_are(spark):
+    rsa = documents._der(0x30, *(documents._der(0x02, bytes([k])) for k in (0, 55, 3, 27, 5, 11, 3, 7, 1)))
+    wrapped = documents._der(0x30, documents._der(0x02, b"\0"), documents._der(0x30, documents.RSA_ID, b"\x05\x00"), documents._der(0x04, rsa))
+    curve = bytes.fromhex("06082a8648ce3d030107")
+    point = documents._der(0x03, b"\0\x04" + bytes(64))
+    ec = documents._der(0x30, documents._der(0x02, b"\1"), documents._der(0x04, bytes(32)), documents._der(0xA0, curve), documents._der(0xA1, point))
+    want = documents._der(0x30, documents._der(0x30, documents.RSA_ID, b"\x05\x00"), documents._der(0x03, b"\0", documents._der(0x30, documents._der(0x02, b"\x37"), documents._der(0x02, b"\x03"))))
+    assert documents.spki_of("RSA PRIVATE KEY", rsa) == documents.spki_of("PRIVATE KEY", wrapped) == want
+    assert documents.spki_of("EC PRIVATE KEY", ec) == documents._der(0x30, documents._der(0x30, documents.EC_ID, curve), point)
+    assert documents.spki_of("PRIVATE KEY", b"0 junk") is None
+
+
+def test_reachability_over_deep_merged_histories(spark):
+    """Deeper than any number of rounds of a level each; against a search in plain Python."""
+    rng = np.random.default_rng(5)
+    parents = {k: sorted({k - 1} | ({int(rng.integers(max(0, k - 40), k))} if k % 90 == 0 else set())) if k % 1500 else [] for k in range(3000)}
+    commits = spark.createDataFrame([("r", f"c{k}", [f"c{p}" for p in ps]) for k, ps in parents.items()], "repo string, sha string, parents array<string>")
+    heads = {"refs/heads/a": 1480, "refs/tags/b": 700, "refs/heads/c": 2990}
+    refs = spark.createDataFrame([("r", n, f"c{k}") for n, k in heads.items()], "repo string, refname string, sha string")
+    want: dict[str, list[str]] = {}
+    for name, k in heads.items():
+        todo, seen = [k], set()
+        while todo:
+            if (at := todo.pop()) not in seen:
+                seen.add(at)
+                todo += parents[at]
+        for s in seen:
+            want.setdefault(f"c{s}", []).append(name)
+    assert {r["sha"]: r["refs"] for r in attribution.refs_containing(commits, refs).collect()} == {k: sorted(v) for k, v in want.items()}
+    wanted = spark.createDataFrame([("r", "c5"), ("r", "c2999")], "repo string, sha string")
+    assert [r["sha"] for r in attribution.refs_containing(commits, refs, wanted).collect()] == ["c5"]
+
+
+def test_scan_with_history_says_how_tokens_are_reached(spark, repo):
+    trees.register(spark)
+    objects = spark.read.format("gitobjects").option("path", str(repo)).option("target", "repo").load()
+    out = scan.run(objects, history=trees.history(spark, str(repo), "repo"))
+    rows = {r["value"]: r for r in out.tokens.collect()}
+    assert rows[classic("old")]["reachable"].startswith("orphaned") and rows[classic("old")]["path"] == ".env"
+    assert rows[classic("kept")]["reachable"] == "on main" and rows[classic("kept")]["commit"]["subject"] == "second"
+
+
+def test_locations_beyond_the_list_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(findings, "LISTED", 3)
+    rows = [("t", f"o{i:02}", 1, "npm", "npm-access-token", "v", 0, False, "") for i in range(10)]
+    tokens = spark.createDataFrame(rows, "target string, object_key string, line int, provider string, kind string, value string, offset long, checksum_verified boolean, attribution string")
+    one = findings.findings(tokens).first()
+    assert (one["n_locations"], one["occurrences"], [x["object_key"] for x in one["locations"]]) == (10, 10, ["o00", "o01", "o02"])
+    assert findings.locations(tokens).count() == 10 and findings.merged(findings.findings(tokens)).first()["n_locations"] == 10
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"{classic(str(i % 3))} {classic('z')}".encode()) for i in range(9)], "object_key long, content binary")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
