@@ -301,9 +301,10 @@ def _judged(shapes: tuple[Shape, ...]) -> tuple[Column, Column]:
             return otherwise if out is F else out.otherwise(otherwise)
 
         # a lambda's body is interpreted: there are few matches, and generated code would be larger than a method may be
-        return F.transform(F.array(F.struct(F.col("value").alias("v"), F.col("shape").alias("n"))), case)[0]
+        made = F.transform(F.array(F.struct(F.col("value").alias("v"), F.col("shape").alias("n"))), case)[0]
+        return F.when(F.col("shape").isin([i for i, s in enumerate(shapes) if getattr(s, attribute)]), made).otherwise(otherwise)
 
-    return F.coalesce(F.col("shape") < 0, F.lit(True)) | F.coalesce(by("verify", F.lit(True)), F.lit(False)), by("attribution", F.lit(""))
+    return F.coalesce(by("verify", F.lit(True)), F.lit(False)), by("attribution", F.lit(""))
 
 
 def find(objects: DataFrame, shapes: tuple[Shape, ...] = SHAPES, content: str = "content", keep: tuple[str, ...] = ("object_key",)) -> DataFrame:

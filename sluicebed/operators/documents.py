@@ -28,23 +28,27 @@ MAX_VALUE, MAX_BLOCK, MAX_JSON = 1 << 20, 1 << 20, 32 << 10
 Row = detectors.Row
 
 
-def _yaml_documents(content: bytes) -> Iterator[tuple[int, object, np.ndarray]]:
-    """(byte offset, root node, byte offset of each character) of each document that parses."""
+def _yaml_documents(content: bytes, kind: bytes) -> Iterator[tuple[int, object, np.ndarray]]:
+    """(byte offset, root node, byte offset of each character) of each document that spells the kind and parses."""
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     at = 0
     for part in re.split(rb"(?m)^(?=---)", content):
         try:
+            if kind not in part or b"kind" not in part:
+                continue
             text = part.decode("utf-8")
             body = re.sub(r"\A---[^\n]*", lambda m: " " * len(m[0]), text)
-            root = yaml.compose(body, Loader=yaml.SafeLoader)
+            root = yaml.compose(body, Loader=loader)
             if root is not None:
                 points = np.frombuffer(text.encode("utf-32-le"), "<u4")
                 where = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
                 yield at, root, where
         except (UnicodeDecodeError, yaml.YAMLError):
             pass
-        at += len(part)
+        finally:
+            at += len(part)
 
 
 def _child(node: object, key: str) -> object:
@@ -84,7 +88,7 @@ def _decoded(value: object, encoded: bool) -> tuple[bytes | None, str]:
 
 def secrets_of(content: bytes) -> Iterator[Row]:
     """Every value of every Secret manifest, lists expanded: namespace, name, type, key, offset, end, value or skipped, offset of the kind."""
-    for at, root, where in _yaml_documents(content):
+    for at, root, where in _yaml_documents(content, b"Secret"):
         for doc in (root, *(getattr(_child(root, "items"), "value", ()) if _scalar(_child(root, "kind")).endswith("List") else ())):
             kind = _child(doc, "kind")
             if _scalar(kind) != "Secret":
@@ -252,7 +256,7 @@ def kubeconfigs(content: bytes) -> Iterator[Row]:
     """Users of cluster configurations with a certificate and key, a token, or a login; their cluster is that of the first context that names them."""
     if b"users" not in content:
         return
-    for at, root, where in _yaml_documents(content):
+    for at, root, where in _yaml_documents(content, b"Config"):
         if _scalar(_child(root, "kind")) != "Config":
             continue
         items = lambda key: getattr(_child(root, key), "value", ()) if getattr(_child(root, key), "id", "") == "sequence" else ()  # noqa: B023, E731

@@ -2,7 +2,7 @@
 
 Candidates are rows of the pass that found the credential (detectors.hits): the helpers below look for them only in objects
 with a token of their provider. A key's best candidate is always the nearest before or the nearest after it within a class of
-candidates, so no pairs are formed: keys and candidates lie in one table by position, and one window carries the last and
+candidates, so no pairs are formed: keys and candidates lie in one table by position, and two windows carry the last and
 the next candidate of each class to each key. That is linear in an object with thousands of candidates, where a join on the
 object would be quadratic. An object is the unit of work, bounded by its size.
 """
@@ -106,9 +106,10 @@ def paired(hits: DataFrame, is_key: Column, classes: dict[str, list[Column]], ra
         wanted = wanted | F.coalesce(c, F.lit(False))
     item = F.struct(F.col("offset").alias("start"), "end", "line", "value", "keyword")
     laid = hits.filter(wanted).withColumns({"_key": is_key.cast("int"), "_cand": item})
-    order = W.partitionBy(*group).orderBy("offset", "_key", "kind", "value")
-    last, following = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
-    sides = {f"_n{i}{side}": pick(F.when(c, F.col("_cand")), ignorenulls=True).over(w) for i, c in enumerate(conds) for side, pick, w in (("b", F.last, last), ("a", F.first, following))}
+    # what follows is what precedes in the other order: frames that grow take linear time, frames that shrink don't
+    place = ("offset", "_key", "kind", "value")
+    orders = (("b", [F.asc(c) for c in place]), ("a", [F.desc(c) for c in place]))
+    sides = {f"_n{i}{side}": F.last(F.when(c, F.col("_cand")), ignorenulls=True).over(W.partitionBy(*group).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)) for side, by in orders for i, c in enumerate(conds)}
     out = laid.withColumns(sides).filter(F.col("_key") == 1)
     key = F.struct(F.col(start).alias("start"), F.col(end).alias("end"), "line")
     at, best = 0, {}
