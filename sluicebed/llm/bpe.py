@@ -6,7 +6,7 @@ tokens. A sequence in which every pair is compatible is what merging by rank giv
 are merged step by step. Tokens that merging can't reach from their own letters are never proposed.
 
 Texts are cut at special tokens, then at white space, and each distinct piece is normalised (NFC, lower case) and encoded
-once per task while it stays in a bounded cache. Decoding joins token strings with one space, as a tokenizer without a
+once per task while it stays in a bounded cache, which the task frees at its end. Decoding joins token strings with one space, as a tokenizer without a
 decoder does.
 
 Defined results: null and blank texts have no tokens and decode to the empty text; repeated rows are encoded alike; an
@@ -21,7 +21,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces that a task remembers; beyond that it starts afresh.
-CACHE = 400_000
+#: Distinct pieces in each half of what a task remembers, about 170 bytes a piece; and the characters that are cut at once.
+CACHE = 150_000
+AT_ONCE = 1 << 19
 END = "</w>"
 #: The rank of what never merges.
 NEVER = 1 << 60
@@ -69,13 +69,15 @@ class Bpe:
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merges.values()], dtype=np.int64)[order]
         self.spot = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cut = None
-        self.cache: dict[str, tuple[str, str, tuple[int, ...]]] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
         self.letters = byte_letters()
         self.usable = {t: i for t, i in self.vocab.items() if self.rank[i] < 0 or self._merged(self._units(t)) == [i]}
         self.greedy = self._automaton()
         self.ends = np.array([t.endswith(END) and t != END for t in self.tokens])
         self.last = {c: chr(ord(c) + LAST) for c in self.letters}
         self.names = list(map(str, range(size)))
+        self.token_of = dict(zip(self.names, self.tokens, strict=True))
 
     @staticmethod
     def _units(token: str) -> list[str]:
@@ -159,18 +161,31 @@ class Bpe:
             return [piece[:-1].lower(), piece[-1]]
         return ["".join(map(self.letters.__getitem__, w.encode())) for w in self.cut.findall(piece.lower())]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put new pieces into the cache: ids and tokens as text, and the ids."""
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(pieces)
+    def learn(self, pieces: set[str]) -> dict[str, str]:
+        """The ids of each piece as text, of new ones too. Pieces used lately stay: the older half goes when the younger is full."""
+        if len(self.young) + len(pieces) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for p in pieces:
+            if p not in young:
+                if (known := old.get(p)) is not None:
+                    young[p] = known
+                else:
+                    new.append(p)
         words = list(map(self._words, new))
         distinct = list({w for ws in words for w in ws})
         ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
+        names = self.names
         for p, ws in zip(new, words, strict=True):
-            own = tuple(t for w in ws for t in ids[w])
-            self.cache[p] = " ".join(map(self.names.__getitem__, own)), " ".join(map(self.tokens.__getitem__, own)), own
+            young[p] = " ".join([names[t] for w in ws for t in ids[w]])
+        for s in self.special:
+            if s in pieces:
+                young[s] = str(self.special[s])
+        return young
+
+    def forget(self) -> None:
+        """Free what a task has remembered; the tables, which the vocabulary bounds, stay."""
+        self.old, self.young = {}, {}
 
     def pieces(self, text: str) -> list[str]:
         """Special tokens and what stands between white space, in order."""
@@ -181,19 +196,21 @@ class Bpe:
     def _split(self, text: str) -> list[str]:
         return text.split() if not re.search("[\x1c-\x1f]", text) else [p for p in re.split("[ \t\n\x0b\x0c\r\x85\xa0  -     　]+", text) if p]
 
-    def texts(self, texts: list[str]) -> Iterator[list[tuple[str, str, tuple[int, ...]]]]:
-        """For each text the pieces that have tokens: ids and tokens as text, and the ids."""
-        for lo in range(0, len(texts), 256):
-            cut = list(map(self.pieces, texts[lo : lo + 256]))
-            wanted = set().union(*cut) if cut else set()
-            for s, i in self.special.items():
-                self.cache.setdefault(s, (str(i), s, (i,)))
-            self.learn(wanted)
-            for s, i in self.special.items():
-                self.cache[s] = (str(i), s, (i,))
-            get = self.cache.__getitem__
-            for ps in cut:
-                yield [e for e in map(get, ps) if e[2]]
+    def decoded(self, ids: str) -> str:
+        return " ".join(map(self.token_of.__getitem__, ids.split(" "))) if ids else ""
+
+    def texts(self, texts: list[str]) -> Iterator[str]:
+        """Each text's ids, as text."""
+        start, size = 0, 0
+        for k, t in enumerate(texts, 1):
+            size += len(t)
+            if size >= AT_ONCE or k == len(texts):
+                cut = list(map(self.pieces, texts[start:k]))
+                get = self.learn(set().union(*cut)).__getitem__
+                for ps in cut:
+                    found = list(map(get, ps))
+                    yield " ".join(filter(None, found) if "" in found else found)
+                start, size = k, 0
 
 
 @lru_cache(maxsize=2)
@@ -209,13 +226,16 @@ def _spec(path: str) -> str:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, decoded string."""
-    return _run(docs, path, id_col, text_col, "ids array<int>, decoded string", lambda runs: (np.fromiter(chain.from_iterable(e[2] for e in runs), np.int32), " ".join(e[1] for e in runs)))
+    return _run(docs, path, id_col, text_col, "ids array<int>, decoded string", lambda bpe, ids: (np.array(ids.split(), np.int32), bpe.decoded(ids)))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids in decimal and of the decoded text, made where the text is encoded."""
-    sha = lambda runs, k: hashlib.sha256(" ".join([e[k] for e in runs]).encode()).hexdigest()
-    return _run(docs, path, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda runs: (sum([len(e[2]) for e in runs]), sha(runs, 0), sha(runs, 1)))
+
+    def row(bpe: Bpe, ids: str) -> tuple[int, str, str]:
+        return ids.count(" ") + (ids != ""), *(hashlib.sha256(x.encode()).hexdigest() for x in (ids, bpe.decoded(ids)))
+
+    return _run(docs, path, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row)
 
 
 def _run(docs: DataFrame, path: str, id_col: str, text_col: str, made: str, row) -> DataFrame:
@@ -224,14 +244,17 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, made: str, row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _built(spec.value)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                rows = [row(x) for x in bpe.texts([t or "" for t in part.column(1).to_pylist()])]
-                cols = [pa.array(c) for c in zip(*rows, strict=True)]
-                if "ids" in names:
-                    cols[0] = pa.array([r[0] for r in rows], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
+        try:
+            for b in batches:
+                for lo in range(0, b.num_rows, 512):
+                    part = b.slice(lo, 512)
+                    rows = [row(bpe, x) for x in bpe.texts([t or "" for t in part.column(1).to_pylist()])]
+                    cols = [pa.array(c) for c in zip(*rows, strict=True)]
+                    if "ids" in names:
+                        cols[0] = pa.array([r[0] for r in rows], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
+        finally:
+            bpe.forget()  # workers are used again by other stages
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {made}")

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ FIT_ROWS = 1000
 FIT_BYTES = 65536
 EPOCHS = 10
 #: Bytes that are convolved at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 
 Model = dict[str, np.ndarray]
 
@@ -158,41 +157,34 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in _groups(b):
-                yield pa.RecordBatch.from_arrays([ids, pa.array(score(held.value, texts))], names=["doc_id", "score"])
+            for start, texts in _groups(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(score(held.value, texts))], names=["doc_id", "score"])
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def _groups(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """Runs of rows with about AT_ONCE bytes of text."""
+def _groups(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about AT_ONCE bytes, and where each starts."""
     texts, start, size = [], 0, 0
-    for i, t in enumerate(b.column(1).cast(pa.binary())):
-        texts.append(t.as_py() or b"")
+    for i, t in enumerate(column):
+        texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
         size += len(texts[-1])
-        if size >= AT_ONCE or i + 1 == b.num_rows:
-            yield b.column(0).slice(start, len(texts)), texts
+        if size >= AT_ONCE or i + 1 == len(column):
+            yield start, texts
             texts, start, size = [], i + 1, 0
 
 
-def keep_good(docs: DataFrame, model: Model | None, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that score `least` or more, with their columns; scored where they are read, without a shuffle. Without a model all rows stay."""
+def keep_good(docs: DataFrame, model: Model | None, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows that score `least` or more, with their columns; scored where they are read, in runs of bounded bytes, without a shuffle. Without a model all rows stay."""
     if model is None:
         return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def quality(texts: pd.Series) -> pd.Series:
-        out = [np.empty(0)]
-        own, size = [], 0
-        for t in texts:
-            own.append((t or "").encode("utf-8", "surrogatepass"))
-            size += len(own[-1])
-            if size >= AT_ONCE:
-                out.append(score(held.value, own))
-                own, size = [], 0
-        out.append(score(held.value, own))
-        return pd.Series(np.concatenate(out))
-
-    return docs.filter(quality(F.col(text_col)) >= least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, texts in _groups(b.column(place)):
+                yield b.slice(start, len(texts)).filter(pa.array(score(held.value, texts) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

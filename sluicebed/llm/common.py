@@ -24,12 +24,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode; elsewhere an error, since no other machine would see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         folder = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -40,7 +42,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialize() has written, once nothing reads them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Scratch:
+    """Tables between the steps of one operator; clear() removes them once its result no longer reads them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables.clear()
 
 
 def is_held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
