@@ -1,28 +1,32 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a column that is true where a text is rejected. On a bounded sample the cascade times every rule and
-counts what it rejects, orders the rules by rejections per second, and evaluates them as one CASE expression, so that
-a text which an early rule rejects never reaches the later, dearer ones. The order changes the cost of a verdict, never
-the verdict. Native: no Python runs on the executors.
-
-Defined results: null and blank texts have no words and zero measures, and are rejected; ties and repeated rows are
-judged row by row; an empty table gives an empty result; columns beyond id and text are ignored.
+Each rule is a column that is true where a text is rejected. On a random sample over the whole table the cascade times
+every rule and counts what the rules reject together, puts first the rule that rejects most per second, then the one that
+does so among the rows it leaves, and so on, and evaluates them as one CASE expression: a text that an early rule rejects
+never reaches the later, dearer ones, and what only those measure isn't measured. The order changes the cost of a verdict,
+never the verdict. Native: no Python runs on the executors.
+
+Defined results: null and blank texts have no words and zero measures, and are rejected; repeated rows are judged row by
+row; rules that tie in rejections per cost keep their order; an empty table gives an empty result; extra columns are kept,
+but for _j, _m and _rejected_by, the operator's own.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import discard, let, materialize, words
 
 WINDOW = 8
-#: Rows on which costs and selectivities are estimated.
-SAMPLE_ROWS = 2048
+#: Rows, about, on which costs and selectivities are estimated; the partitions they are dealt into; runs of each rule; the least cost in seconds.
+SAMPLE_ROWS, SAMPLE_PARTS, REPEATS, STEP = 2048, 8, 3, 0.02
 
 
 def word_chars(w: Column) -> Column:
@@ -93,49 +97,90 @@ RULES = (
 )
 
 
-def measures(text: Column, names: tuple[str, ...], body: Callable[[Column], Column] = lambda m: m) -> Column:
-    """body of a struct of the named measures; the text is split once."""
-    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda w: let(F.struct(*(MEASURES[n](t, w).alias(n) for n in names)), body)))
+#: What a measure is, from a text without null and its words; measures that are known already can stand in for these.
+Get = Callable[[str], Column]
+
+
+def verdict(get: Get, order: list[Rule]) -> Column:
+    """The first rule in the order that rejects, by name; null if none does. CASE stops there: what only later rules ask for isn't measured."""
+    out = F
+    for r in order:
+        out = out.when(let(F.struct(*(get(n).alias(n) for n in r.needs)), r.reject), F.lit(r.name))
+    return out.otherwise(F.lit(None).cast("string"))
+
+
+def with_words(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body of a text without null and its words; the text is split once."""
+    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda w: body(t, w)))
 
 
 def rejects(text: Column, rule: Rule) -> Column:
-    return measures(text, rule.needs, rule.reject)
-
-
-def plan_order(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) by rejections per second, best first; at most sample_rows rows are timed."""
-    sample = df.select(F.col(text).alias("_text")).limit(sample_rows).persist()
-    try:
-        n = sample.count()
-        if not n:
-            return [(r, 0.0, 0.0) for r in rules]
-        found = []
-        for r in rules:
+    return with_words(text, lambda t, w: let(F.struct(*(MEASURES[n](t, w).alias(n) for n in rule.needs)), rule.reject))
+
+
+@dataclass(frozen=True)
+class Estimate:
+    """Of one rule: seconds on the sample beyond splitting the texts, and the share that it rejects of what the rules before it leave."""
+
+    rule: Rule
+    cost: float
+    share: float
+
+
+def greedy(rules: tuple[Rule, ...], costs: list[float], masks: dict[int, int]) -> list[Estimate]:
+    """Rules by rejections per cost, each judged on the rows that those before it leave. masks: how many rows each set of rules rejects, as bits."""
+    left, out = list(range(len(rules))), []
+    while left:
+        open_rows = sum(masks.values())
+        gone = {k: sum(n for m, n in masks.items() if m >> k & 1) for k in left}
+        best = max(left, key=lambda k: (gone[k] / costs[k], -costs[k], -k))
+        out.append(Estimate(rules[best], costs[best], gone[best] / max(open_rows, 1)))
+        masks = {m: n for m, n in masks.items() if not m >> best & 1}
+        left.remove(best)
+    return out
+
+
+def plan_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
+    """The cascade's order, from a sample of about sample_rows rows spread over the whole table.
+
+    A rule's cost is the shortest of REPEATS runs over the sample less that of a run that only splits the texts, rounded to
+    a power of two of STEP, so that noise doesn't reorder rules of like cost. What rules reject is counted jointly.
+    """
+    n = df.count()
+    if not n:
+        return [Estimate(r, 0.0, 0.0) for r in rules]
+    share = min(1.0, sample_rows / n)
+    own = df.select(F.col(text).alias("_text"))
+    sample = materialize((own.sample(False, share, 11) if share < 1 else own).repartition(SAMPLE_PARTS), "rules-sample")
+
+    def seconds(rejected: Column) -> float:
+        times = []
+        for _ in range(REPEATS):
             began = time.perf_counter()
-            rejected = sample.filter(rejects(F.col("_text"), r)).count()
-            found.append((r, time.perf_counter() - began, rejected / n))
-        return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-3))
-    finally:
-        sample.unpersist()
+            sample.agg(F.count_if(rejected)).collect()
+            times.append(time.perf_counter() - began)
+        return min(times)
 
+    base = seconds(with_words(F.col("_text"), lambda t, w: F.size(w) < 0))
+    costs = [STEP * 2 ** round(math.log2(max(seconds(rejects(F.col("_text"), r)) - base, STEP) / STEP)) for r in rules]
+    bits = reduce(lambda a, b: a + b, (F.when(rejects(F.col("_text"), r), 1 << k).otherwise(0) for k, r in enumerate(rules)))
+    masks = {r["mask"]: r["count"] for r in sample.groupBy(bits.alias("mask")).count().collect()}  # at most a row for each set of rules
+    discard(sample)
+    return greedy(rules, costs, masks)
 
-def measure_and_judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """All columns, a struct _m of every measure and _rejected_by, null where a row is kept. Where measures aren't wanted, keep() is cheaper."""
-    names = tuple(sorted({n for r in rules for n in r.needs}))
-    first = F
-    for r, _, _ in plan_order(df, text, rules, sample_rows):
-        first = first.when(r.reject(F.col("_m")), F.lit(r.name))
-    return df.withColumn("_m", measures(F.col(text), names)).withColumn("_rejected_by", first.otherwise(F.lit(None).cast("string")))
 
+def measure_and_judge(df: DataFrame, names: tuple[str, ...], text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """All columns, a struct _m of the named measures, and _rejected_by, null where a row is kept. Rules read named measures as they are; others are made in the cascade, where a row gets that far."""
+    order = [e.rule for e in plan_order(df, text, rules, sample_rows)]
 
-def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows that no rule rejects, with their columns. A text is split once; CASE stops at the first rule that rejects, so the measures of a later one are made only for rows that reach it."""
-    order = [r for r, _, _ in plan_order(df, text, rules, sample_rows)]
+    def both(t: Column, w: Column) -> Column:
+        ready = F.struct(*(MEASURES[n](t, w).alias(n) for n in names))
+        return let(ready, lambda m: F.struct(m.alias("m"), verdict(lambda n: m[n] if n in names else MEASURES[n](t, w), order).alias("by")))
 
-    def gone(t: Column, w: Column) -> Column:
-        out = F
-        for r in order:
-            out = out.when(let(F.struct(*(MEASURES[n](t, w).alias(n) for n in r.needs)), r.reject), F.lit(True))
-        return out.otherwise(F.lit(False))
+    return df.withColumn("_j", with_words(F.col(text), both)).select(*df.columns, F.col("_j.m").alias("_m"), F.col("_j.by").alias("_rejected_by"))
 
-    return df.filter(~let(F.coalesce(F.col(text), F.lit("")), lambda t: let(words(t), lambda w: gone(t, w))))
+
+def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows that no rule rejects, with their columns. Nothing is measured before the cascade asks for it."""
+    order = [e.rule for e in plan_order(df, text, rules, sample_rows)]
+    return df.filter(with_words(F.col(text), lambda t, w: verdict(lambda n: MEASURES[n](t, w), order)).isNull())

@@ -17,10 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = quality_rules.measure_and_judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    d = quality_rules.measure_and_judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), names)
     m = F.col("_m")
     failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-    return d.select("doc_id", *(m[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), (~failed & F.col("_rejected_by").isNull()).alias("kept"))
+    return d.select("doc_id", *(m[n].alias(n) for n in names), failed.alias("base_failed"), (~failed & F.col("_rejected_by").isNull()).alias("kept"))
 
 
 OP9_SQL = r"""
