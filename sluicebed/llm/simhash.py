@@ -15,14 +15,14 @@ empty table gives an empty result; a component of only null ids has a null compo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 BITS = 3
 SEGMENT = 16
@@ -104,7 +104,9 @@ def _verified(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, bits: int) ->
 
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """a, b: a forest for each task over the pairs within the distance; fps: one column fp, distinct."""
+    """a, b: a forest for each task over the pairs within the distance, which may be up to BITS; fps: one column fp, distinct."""
+    if not 0 <= bits <= BITS:
+        raise ValueError(f"candidates are complete for distances up to {BITS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
@@ -128,10 +130,10 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return _ring_rows(fps).repartition("key").sortWithinPartitions("key", "probe").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable; nodes without an edge are left out."""
+def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
+    """node, root: the smallest node reachable; nodes without an edge are left out. cut: writes a table and reads it again."""
     both = lambda e: e.union(e.select("b", "a"))
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         size = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -143,16 +145,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = around.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = materialize(small, "edges")
+        edges = cut(small, "edges")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """doc_id, fp, root (the component's smallest fingerprint as a number) and component_id (its smallest id)."""
-    rows = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    rows = cut(fingerprints(docs, words, id_col, text_col), "fingerprints")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(own.select("fp"), bits))
+    roots = components(links(own.select("fp"), bits), cut)
     known = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = materialize(known, "components")
+    known = cut(known, "components")
     groups = known.groupBy("root").agg(F.min("first").alias("component_id"))
     known = known.join(groups, "root").select("fp", "root", "component_id")
     return rows.join(known, "fp").select("doc_id", "fp", "root", "component_id")
@@ -168,6 +170,9 @@ def one_of_each(numbered: DataFrame, groups: DataFrame, id_col: str) -> DataFram
 
 def keep_one(docs: DataFrame, words: int = 3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that with its smallest id, with all the columns it came with. Rows are told apart by a number, not by id."""
+    scratch = Scratch()
     numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(numbered, words, bits, "_row", text_col).select(F.col("doc_id").alias("row"), "root")
-    return one_of_each(numbered, groups, id_col)
+    groups = near_duplicates(numbered, words, bits, "_row", text_col, scratch.cut).select(F.col("doc_id").alias("row"), "root")
+    out = one_of_each(numbered, groups, id_col)
+    scratch.clear()
+    return out
