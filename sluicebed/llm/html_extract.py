@@ -314,9 +314,9 @@ def _lstm_back(gh: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray, n
     return gx, gu
 
 
-def _forward(m: Model, path_rows: np.ndarray, path_of: np.ndarray, shape: np.ndarray, sizes: np.ndarray, keep: bool = False) -> dict:
-    """Probabilities of all blocks; pages are laid out one after another. path_rows: the vectors of the paths that path_of names."""
-    e = np.tanh((path_rows @ m["path"])[path_of] + shape @ m["shape"])
+def _forward(m: Model, path_rows: np.ndarray, path_of: np.ndarray, shape: np.ndarray, sizes: np.ndarray, keep: bool = False, ready: np.ndarray | None = None) -> dict:
+    """Probabilities of all blocks; pages are laid out one after another. path_rows: the vectors of the paths that path_of names; ready: what the network makes of them, if known."""
+    e = np.tanh((path_rows @ m["path"] if ready is None else ready)[path_of] + shape @ m["shape"])
     both = {}
     padded = _padded(sizes)
     states = []
@@ -387,6 +387,7 @@ def label(m: Model, pages: list[str]) -> list[list[tuple[str, float]]]:
     paths, words = Paths(), _Words()
     cut = [blocks(p, paths) for p in pages]
     vectors = np.array(paths.vectors)
+    ready = vectors @ m["path"]  # once for all groups of pages
     out: list[list[tuple[str, float]]] = [[] for _ in pages]
     order = sorted((i for i, c in enumerate(cut) if c), key=lambda i: len(cut[i]))
     while order:
@@ -396,7 +397,7 @@ def label(m: Model, pages: list[str]) -> list[list[tuple[str, float]]]:
             n += 1
         own, order = order[:n], order[n:]
         found = [b for i in own for b in cut[i]]
-        prob = _forward(m, vectors, np.array([b[0] for b in found]), _shapes(found, words), np.array([len(cut[i]) for i in own]))["prob"].tolist()
+        prob = _forward(m, vectors, np.array([b[0] for b in found]), _shapes(found, words), np.array([len(cut[i]) for i in own]), ready=ready)["prob"].tolist()
         at = 0
         for i in own:
             out[i] = [(b[1], p) for b, p in zip(cut[i], prob[at : at + len(cut[i])], strict=True)]

@@ -18,7 +18,8 @@ meets bounded blocks and no leaf, however hot, meets in one. A query keeps its k
 the tree, by the sample's bound, with the group of each leaf.
 
 Defined results: vectors that are null, zero, of another length than the most common, or hold null or non-finite numbers take
-no part, neither do null ids; repeated rows of one id count as one; ties go to the smaller id; fewer candidates than k are all
+no part, neither do null ids; repeated rows of one id count as one, and of an id with several vectors the one with the
+smallest hash asks; ties go to the smaller id; fewer candidates than k are all
 returned; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -45,6 +46,7 @@ RECALL = 0.94
 BLOCK = 1024
 VISITS = 8192
 SALTS = 64
+EMPTY = "query_id bigint, rank int, vec_id bigint, score double, leaf_visits int, calibrated_recall double"
 
 
 def valid(vec: Column, dims: int | None = None) -> Column:
@@ -199,13 +201,13 @@ def calibrated(rows: DataFrame, queries: np.ndarray, tree: Tree, k: int, dims: i
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = FIT_ROWS, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id and score: each query's k nearest other rows. is_query: over the table's columns."""
+    """query_id, rank, vec_id and score: each query's k nearest other rows; leaf_visits and calibrated_recall say how many leaves were visited and what share of the calibration queries' neighbours that found. is_query: over the table's columns."""
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query")).filter(F.col("id").isNotNull())
     rows = rows.filter(valid(F.col("vec")))
     sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return spark.createDataFrame([], EMPTY)
     dims = sizes["n"]
     number = "float" if rows.schema["vec"].dataType.elementType == T.FloatType() else "double"
     rows = rows.filter(F.size("vec") == dims).withColumn("vec", F.col("vec").cast(f"array<{number}>"))
@@ -220,8 +222,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     tree = Tree(_matrix(fitted.column(0).combine_chunks(), dims), top)
     trial = distinct_asked.orderBy(F.xxhash64("h"), "h").select("vec").limit(CALIBRATE).toArrow()
     if not trial.num_rows:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    visits, _ = calibrated(own, _matrix(trial.column(0).combine_chunks(), dims), tree, k, dims, recall)
+        return spark.createDataFrame([], EMPTY)
+    visits, reached = calibrated(own, _matrix(trial.column(0).combine_chunks(), dims), tree, k, dims, recall)
     held = spark.sparkContext.broadcast(tree)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,5 +329,6 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     best = materialize(found, "ann-best")
     one = F.flatten(F.transform(F.arrays_zip("ids", "scores"), lambda e: F.transform(e["ids"], lambda i: F.struct((-e["scores"]).alias("less"), i.alias("vec_id")))))
     class_of = asked.join(distinct_asked.select("q", "h", "vec"), ["h", "vec"]).select("id", "q", "h")
-    out = class_of.dropDuplicates(["id"]).join(best, ["q", "h"]).select(F.col("id").alias("query_id"), F.slice(F.array_sort(F.filter(one, lambda e: e["vec_id"] != F.col("id"))), 1, k).alias("near"))
-    return out.select("query_id", F.posexplode("near").alias("at", "e")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.less")).alias("score"))
+    class_of = class_of.groupBy("id").agg(F.min(F.struct("h", "q")).alias("c")).select("id", "c.*")
+    out = class_of.join(best, ["q", "h"]).select(F.col("id").alias("query_id"), F.slice(F.array_sort(F.filter(one, lambda e: e["vec_id"] != F.col("id"))), 1, k).alias("near"))
+    return out.select("query_id", F.posexplode("near").alias("at", "e")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.less")).alias("score"), F.lit(visits).alias("leaf_visits"), F.lit(reached).alias("calibrated_recall"))

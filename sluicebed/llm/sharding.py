@@ -5,8 +5,9 @@ node is split along the dimension in which its bytes spread widest, at the weigh
 that holds it, a second pass over that bin orders its texts by hash. Both histograms have a fixed number of bins, so what
 meets in one task or reaches the driver is bounded (15 cuts for 16 shards). Native: no Python runs on the executors.
 
-Law: `bytes`. Equal texts have equal coordinates and hash, so they share a shard, unless the group alone is over 1/32 of a
-shard; the copies of such a group are dealt by id, since no shard could hold a group of a third of all rows.
+Law: `bytes`. Equal texts have equal coordinates and hash, so they share a shard, unless the group alone is over TORN of a
+shard's bytes: sizes couldn't be near equal with it whole, and no shard holds a group of a third of all rows. The copies of
+such a group are dealt by id, and the column `torn` says so.
 
 Defined results: null texts count as empty (1 byte); null ids are ordinary ids; repeated rows are dealt like other copies;
 an empty table gives an empty result; extra columns are ignored.
@@ -22,6 +23,8 @@ from .common import let, materialize
 
 DIMS = ("d_size", "d_wide", "d_space")
 TIE_BINS = 16384
+#: The share of a shard's bytes beyond which a group of equal texts is dealt over shards, as 1 / TORN.
+TORN = 8
 
 
 def coordinates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,12 +82,10 @@ def _below(node: Column, cuts: list[tuple[int, str, int, int]]) -> Column:
 
 
 def kd_shards(docs: DataFrame, levels: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard in [0, 2^levels), slot and grown_shard (null under this law)."""
+    """doc_id, size, text_crc32, law, shard in [0, 2^levels), slot, grown_shard (null under this law) and torn (the copies of this text are dealt over shards)."""
     rows = materialize(coordinates(docs, id_col, text_col), "shard-rows")
     n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    # at most 32 * 2^levels groups can be over that bound
-    hot = rows.groupBy("h", "text_crc32").agg(F.sum("size").alias("w")).filter(F.col("w") > max(1, total // (32 << levels))).select("h", F.lit(True).alias("hot"))
-    hot = hot.limit(32 << levels)
+    hot = rows.groupBy("h", "text_crc32").agg(F.sum("size").alias("w"), F.count("*").alias("n")).filter((F.col("w") > max(1, total // (TORN << levels))) & (F.col("n") > 1)).select("h", F.lit(True).alias("hot"))  # at most TORN * 2^levels groups are so large
     rows = rows.join(F.broadcast(hot), "h", "left").withColumn("tie", F.pmod(F.xxhash64("h", F.when(F.col("hot"), F.col("doc_id"))), F.lit(TIE_BINS)))
     node: Column = F.lit(0)
     for _ in range(levels):
@@ -97,6 +98,6 @@ def kd_shards(docs: DataFrame, levels: int = 4, id_col: str = "doc_id", text_col
     starts = sizes.select("node", "bucket", (F.sum("n").over(W.partitionBy("node").orderBy("bucket")) - F.col("n")).alias("start"))
     place = W.partitionBy("node", "bucket").orderBy("doc_id", "h")
     return (
-        dealt.withColumn("place", F.row_number().over(place)).join(starts, ["node", "bucket"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("node").cast("int").alias("shard"), (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        dealt.withColumn("torn", F.coalesce("hot", F.lit(False))).withColumn("place", F.row_number().over(place)).join(starts, ["node", "bucket"])
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("node").cast("int").alias("shard"), (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "torn")
     )

@@ -112,10 +112,11 @@ class _Record:
         kind = self.fields["warc-type"]
         named = self.fields.get("warc-payload-digest", "").removeprefix("sha1:")
         b32 = lambda h: base64.b32encode(h.digest()).decode()
-        good = self.fields.get("warc-block-digest") == f"sha1:{b32(self.block_sum)}" and (kind == "revisit" or named == b32(self.payload_sum))
+        own = named if kind == "revisit" else b32(self.payload_sum)  # a revisit has no payload of its own
+        good = self.fields.get("warc-block-digest") == f"sha1:{b32(self.block_sum)}" and named == own
         urn = lambda k: self.fields.get(k, "").removeprefix("<urn:page:").removesuffix(">") or None
         return {
-            "record_id": urn("warc-record-id"), "url": self.fields.get("warc-target-uri"), "record_type": kind, "payload_digest": named, "refers_to": urn("warc-refers-to"), "verified": good,
+            "record_id": urn("warc-record-id"), "url": self.fields.get("warc-target-uri"), "record_type": kind, "payload_digest": own, "refers_to": urn("warc-refers-to"), "verified": good,
             "payload_bytes": int(self.http_fields["content-length"]) if kind == "revisit" else self.payload_bytes, "payload": bytes(self.payload) if self.keep and kind == "response" else None,
         }
 
@@ -180,8 +181,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     return materialize(rows.mapInArrow(run, "path string, records bigint, octets bigint").withColumn("folder", F.lit(folder)), "warc-list")
 
 
-def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each record of the listed archives, one file at a time: record_id, url, record_type, payload_digest, refers_to, verified, payload_bytes, payload (null unless asked for)."""
+def read_archives(archives: DataFrame, payloads: bool = False, strict: bool = True) -> DataFrame:
+    """A row for each record of the listed archives, one file at a time; payload_digest is that of the octets read. strict: a record whose digests don't hold is an error. record_id, url, record_type, payload_digest, refers_to, verified, payload_bytes, payload (null unless asked for)."""
     n = max(1, archives.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +194,8 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                 rows, size = [], 0
                 with store.open_input_stream(path, compression=None) as stream:
                     for r in read_records(stream, payloads):
+                        if strict and not r["verified"]:
+                            raise ValueError(f"the digests of record {r['record_id']} in {path} don't hold")
                         rows.append(r)
                         size += 200 + len(r["payload"] or b"")
                         if size >= 4 << 20:

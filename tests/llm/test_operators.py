@@ -136,6 +136,28 @@ def test_warc_reader_finds_damage():
     assert [r["verified"] for r in warc.read_records(io.BytesIO(z.compress(member) + z.flush()))] == [False]
 
 
+def test_warc_damage_is_an_error_unless_asked_for(spark, tmp_path):
+    member = zlib.decompress(warc.record(b"abc", 1, "http://x/", None, False), 31).replace(b"abc\r\n", b"abd\r\n")
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (tmp_path / "a.warc.gz").write_bytes(z.compress(member) + z.flush())
+    listed = spark.createDataFrame([(str(tmp_path / "a.warc.gz"), str(tmp_path))], "path string, folder string")
+    row = warc.read_archives(listed, strict=False).first()
+    assert not row["verified"] and row["payload_digest"] == base64.b32encode(hashlib.sha1(b"abd").digest()).decode()
+    with pytest.raises(Exception, match="digests of record 1"):
+        warc.read_archives(listed).collect()
+
+
+def test_shards_keep_equal_texts_together(spark):
+    """Groups of copies below the bound share a shard; one with a third of all rows is dealt, and says so."""
+    rows = [(i, f"copy {i % 40} " + "w" * 200) for i in range(800)] + [(800 + i, " ".join(f"own{i}x{j}" for j in range(40))) for i in range(1500)] + [(5000 + i, "hot text " * 20) for i in range(1100)]
+    d = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    of = d.assign(text=d.doc_id.map(dict(rows))).groupby("text")
+    assert all(g.shard.nunique() == 1 for t, g in of if not g.torn.iloc[0])
+    assert set(d[d.torn].doc_id) == set(range(5000, 6100)) and d[d.torn].shard.nunique() > 1
+    size = d.groupby("shard")["size"].sum()
+    assert size.max() / size.mean() < 1.2 and size.min() / size.mean() > 0.8
+
+
 def test_salted_roles_equal_broadcast(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "u", "same" if i % 3 else f"own{i}") for i in range(60)], "page_id long, url string, html string")
     pick = lambda: sorted((r["record_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(pages)).collect())
@@ -291,6 +313,40 @@ def test_simhash_pigeonring_loses_no_link(spark):
                 assert of[a] == of[b]
 
 
+def test_simhash_distances_beyond_its_candidates_are_refused(spark):
+    fps = spark.createDataFrame([(1,), (2,)], "fp long")
+    with pytest.raises(ValueError, match="up to 3"):
+        simhash.links(fps, 4)
+    assert simhash.links(fps, 1).count() == 0 and simhash.links(fps, 2).count() == 1
+
+
+def test_shingle_links_equal_brute_force_over_blocks(spark, monkeypatch):
+    """Copies of one text with few and many edits: a hot key, in blocks of five members."""
+    monkeypatch.setattr(shingle_pairs, "MEMBERS", 5)
+    r = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for at in r.choice(120, int(r.integers(0, 12)), replace=False):
+            w[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(w)))
+    got = {x["row"]: x["root"] for x in shingle_pairs.roots(spark.createDataFrame(rows, "row long, text string"), 5, (4, 5)).collect()}
+    sets = [set(shingle_pairs.shingles(t, 5).tolist()) for _, t in rows]
+    up = list(range(60))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(60):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root(a) != root(b):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    assert got == {k: root(k) for k in range(60)} and 1 < len(set(got.values())) < 60
+
+
 def test_simhash_odd_rows(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r["fp"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
@@ -322,11 +378,39 @@ def _measures(text):
 def test_quality_rules_equal_brute_force(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame([(99, "a b c d e f g h i a b c d e f g h\nq\nq\n")], "doc_id long, text string"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    got = sorted((r["text"] or "", *(r["_m"][n] for n in names)) for r in quality_rules.measure_and_judge(docs).collect())
+    judged = quality_rules.measure_and_judge(docs, names).collect()
+    got = sorted((r["text"] or "", *(r["_m"][n] for n in names)) for r in judged)
     assert got == sorted((r["text"] or "", *_measures(r["text"])) for r in docs.collect())
     kept = quality_rules.keep(docs).select("doc_id").collect()
-    judged = quality_rules.measure_and_judge(docs).filter("_rejected_by is null").select("doc_id").collect()
-    assert sorted(kept) == sorted(judged) and quality_rules.keep(none).count() == 0
+    assert sorted(r["doc_id"] for r in kept) == sorted(r["doc_id"] for r in judged if r["_rejected_by"] is None)
+    assert quality_rules.keep(none).count() == 0 and quality_rules.measure_and_judge(none, names).count() == 0
+
+
+def test_cascade_orders_by_what_is_left():
+    rules = quality_rules.RULES[:3]
+    # the second rejects all that the first does, and the third other rows
+    order = quality_rules.greedy(rules, [0.02, 0.02, 0.08], {0b000: 50, 0b011: 30, 0b010: 10, 0b100: 10})
+    assert [e.rule.name for e in order] == [rules[1].name, rules[2].name, rules[0].name]
+    assert [round(e.share, 3) for e in order] == [0.4, 0.167, 0.0]
+    tied = quality_rules.greedy(rules, [0.02] * 3, {0b111: 5, 0: 5})
+    assert [e.rule.name for e in tied] == [r.name for r in rules]
+
+
+def test_cascade_measures_nothing_that_it_needs_not(spark):
+    """A measure that fails: only rows that reach its rule may ask for it."""
+    boom = quality_rules.Rule("boom", ("n_boom",), lambda m: m["n_boom"] > 0)
+    rules = [quality_rules.RULES[0], boom]
+    get = lambda n: F.raise_error(F.lit("measured")).cast("long") if n == "n_boom" else F.size(F.split("t", " ")).cast("long")
+    short = spark.createDataFrame([("a b",), ("c",)], "t string")
+    assert [r[0] for r in short.select(quality_rules.verdict(get, rules)).collect()] == ["few_words"] * 2
+    with pytest.raises(Exception, match="measured"):
+        spark.createDataFrame([("w " * 30,)], "t string").select(quality_rules.verdict(get, rules)).collect()
+
+
+def test_cascade_order_is_stable_on_a_clear_case(spark):
+    docs = spark.createDataFrame([(i, "x" if i % 2 else " ".join(f"w{j}" for j in range(400))) for i in range(2000)], "doc_id long, text string")
+    first = {quality_rules.plan_order(docs)[0].rule.name for _ in range(3)}
+    assert first == {"few_words"}
 
 
 def test_shards(spark, odd, none):
