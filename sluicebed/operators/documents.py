@@ -483,6 +483,11 @@ def _whole(helper: Callable[[bytes], Iterator[Row]]) -> Callable[[bytes, object]
     return lambda content, tokens_in: (r | {"cls": "token", "shape": -1, "end": r["offset"]} for r in helper(content))
 
 
+#: The kinds that the formats and the windowed runs give.
+KINDS = (
+    ("gcp", "gcp-service-account-key"), ("gcp", "gcp-oauth-user-credentials"), *(("oci", k) for k, _ in REGISTRIES), ("oci", "registry-login"), ("oci", "quay-robot-token"), ("oci", "quay-oauth-token"),
+    *(("privatekey", k) for k in ("ssh-private-key", "tls-private-key", "cosign-private-key")), *(("kubernetes", f"kubernetes-{k}") for k in ("secret-manifest", "client-certificate", "token", "basic-auth")), ("azure", "azure-sas-token"), ("sops", "age-identity"),
+)
 #: Needles and helpers of all document formats.
 FORMATS: tuple[detectors.Format, ...] = (
     (("service_account", "authorized_user"), _whole(cloud_documents)), (("auths", "dockerconfigjson", "eyJhdXRocyI6"), _whole(registry_logins)), (("PRIVATE KEY",), _whole(private_keys)),

@@ -6,6 +6,8 @@ provider, the first row that fits deciding, anything else being unknown. Revocat
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,5 +83,19 @@ def expired(expires: Column, now: Column) -> Column:
     return F.when(expires < now, "revoked")
 
 
+def kinds(spark: SparkSession) -> DataFrame:
+    """The kinds dimension: provider, kind, checksum (its shape is verified offline), opaque (nothing can verify it), revocable (no, yes, admin)."""
+    from ..operators import detectors, documents
+
+    checked = {(s.provider, s.kind): s.checksum for s in detectors.SHAPES}
+    every = {(s.provider, s.kind): False for s in detectors.SHAPES} | {k: False for k in documents.KINDS}
+    rows = []
+    for provider, kind in every:
+        opaque = any(p == provider and said == "unverifiable" and not status and re.fullmatch(kinds_ or ".*", kind) for p, kinds_, status, _, said in ANSWERS)
+        how = "yes" if kind in REVOCABLE.get(provider, ()) else "admin" if kind in WITH_ADMIN.get(provider, ()) else "no"
+        rows.append((provider, kind, checked.get((provider, kind), False), opaque, how))
+    return spark.createDataFrame(sorted(rows), "provider string, kind string, checksum boolean, opaque boolean, revocable string")
+
+
 def answers_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(ANSWERS)], "ord int, provider string, kinds string, http_status int, pattern string, status string")

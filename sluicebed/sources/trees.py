@@ -11,7 +11,9 @@ import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PART_BYTES = 64 << 20
@@ -138,27 +140,52 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def history(spark: SparkSession, path: str, repo: str) -> dict[str, DataFrame]:
-    """commits, refs and object_paths of a repository as tables, from git's own listings of names; no contents pass the driver."""
+#: Commits that one task describes.
+COMMITS = 2000
 
-    def git(*args: str) -> list[str]:
-        return subprocess.run(["git", "-C", path, *args], check=True, capture_output=True).stdout.decode("utf-8", "replace").splitlines()
 
-    shas = [x.split()[0] for x in git("cat-file", "--batch-all-objects", "--batch-check") if x.split()[1] == "commit"]
-    shown = subprocess.run(["git", "-C", path, "log", "--no-walk=unsorted", "--stdin", "--format=%H%x1f%P%x1f%an%x1f%ae%x1f%aI%x1f%s"], input="\n".join(shas), text=True, check=True, capture_output=True).stdout.splitlines() if shas else []
-    commits = [(repo, h, p.split(), a, e, d, s) for h, p, a, e, d, s in (x.split("\x1f") for x in shown)]
+def history(spark: SparkSession, path: str, repo: str, per_task: int = COMMITS) -> dict[str, DataFrame]:
+    """commits, refs, object_paths and object_intro of a repository as tables.
+
+    The driver lists the names of commits and refs only. Commits are dealt into partitions; each task asks git about its own:
+    their header fields, and what they change against their parents, so the work is linear in changes, not commits times files.
+    An object's path is reachable if a commit that is reached by a ref or a reflog brings it; the earliest commit introduces it.
+    """
+
+    def git(*args: str, given: list[str] | None = None) -> Iterator[str]:
+        done = subprocess.run(["git", "-C", path, "-c", "core.quotePath=false", *args], check=True, stdout=subprocess.PIPE, input="".join(f"{x}\n" for x in given).encode() if given is not None else None)
+        return iter(done.stdout.decode("utf-8", "replace").split("\n")[:-1])
+
     refs = [(repo, *x.split(" ")[::-1]) for x in git("for-each-ref", "--format=%(objectname) %(refname)")]
-    reached = {x.split(" ", 1)[0] for x in git("rev-list", "--objects", "--all", "--reflog")} if refs else set()
-    paths, intro = {}, {}
-    for sha in sorted(shas, key=lambda h: next((c[5] for c in commits if c[1] == h), "")):
-        for x in git("ls-tree", "-r", sha):
-            meta, name = x.split("\t", 1)
-            blob = meta.split(" ")[2]
-            paths.setdefault((blob, name), blob in reached)
-            intro.setdefault(blob, sha)
+    reached = set(git("rev-list", "--all", "--reflog")) if refs else set()
+    shas = [(x.split()[0], x.split()[0] in reached) for x in git("cat-file", "--batch-all-objects", "--batch-check") if x.split()[1] == "commit"]
+    named = spark.createDataFrame(shas, "sha string, reached boolean").repartition(max(1, -(-len(shas) // per_task)))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = git("log", "--no-walk=unsorted", "--stdin", "--format=%H%x1f%P%x1f%an%x1f%ae%x1f%aI%x1f%ct%x1f%s", given=b.column(0).to_pylist()) if b.num_rows else ()
+            rows = [x.split("\x1f", 6) for x in lines]
+            yield pa.RecordBatch.from_pylist([{"repo": repo, "sha": h, "parents": p.split(), "author": n, "email": e, "date": d, "subject": s, "at": int(t)} for h, p, n, e, d, t, s in rows], schema)
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, sha = [], ""
+            for x in git("diff-tree", "--stdin", "-r", "--root", "-m", "--no-renames", "--raw", "--no-abbrev", given=b.column(0).to_pylist()) if b.num_rows else ():
+                if not x.startswith(":"):
+                    sha = x[:40] if x else sha
+                    continue
+                meta, _, name = x.partition("\t")
+                blob = meta.split(" ")[3]
+                if blob.strip("0"):
+                    rows.append({"sha": sha, "object_key": blob, "path": name})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.string()) for n in ("sha", "object_key", "path")]))
+
+    schema = pa.schema([(n, pa.list_(pa.string()) if n == "parents" else pa.int64() if n == "at" else pa.string()) for n in ("repo", "sha", "parents", "author", "email", "date", "subject", "at")])
+    commits = named.mapInArrow(described, "repo string, sha string, parents array<string>, author string, email string, date string, subject string, at bigint")
+    brought = named.mapInArrow(changed, "sha string, object_key string, path string")
     return {
-        "commits": spark.createDataFrame(commits, "repo string, sha string, parents array<string>, author string, email string, date string, subject string"),
+        "commits": commits.drop("at"),
         "refs": spark.createDataFrame(refs, "repo string, refname string, sha string"),
-        "object_paths": spark.createDataFrame([(repo, b, n, r) for (b, n), r in paths.items()], "repo string, object_key string, path string, reachable boolean"),
-        "object_intro": spark.createDataFrame([(repo, b, s) for b, s in intro.items()], "repo string, object_key string, commit_sha string"),
+        "object_paths": brought.join(named, "sha").groupBy("object_key", "path").agg(F.bool_or("reached").alias("reachable")).select(F.lit(repo).alias("repo"), "object_key", "path", "reachable"),
+        "object_intro": brought.join(commits.select("sha", "at"), "sha").groupBy("object_key").agg(F.min_by("sha", F.struct("at", "sha")).alias("commit_sha")).select(F.lit(repo).alias("repo"), "object_key", "commit_sha"),
     }

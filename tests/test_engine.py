@@ -319,6 +319,32 @@ def test_locations_beyond_the_list_are_counted(spark, monkeypatch):
     assert findings.locations(tokens).count() == 10 and findings.merged(findings.findings(tokens)).first()["n_locations"] == 10
 
 
+def test_kinds_cover_every_provider(spark):
+    rows = {(r["provider"], r["kind"]): r for r in verdicts.kinds(spark).collect()}
+    assert {p for p, _ in rows} == set(detectors.PROVIDERS)
+    assert rows["sops", "age-identity"]["opaque"] and rows["github", "github-pat"]["checksum"] and rows["openai", "openai-admin-key"]["revocable"] == "admin"
+
+
+def test_history_is_the_same_however_commits_are_dealt(spark, repo):
+    one, many = trees.history(spark, str(repo), "r"), trees.history(spark, str(repo), "r", per_task=1)
+    for name in one:
+        rows = sorted(map(str, one[name].collect()))
+        assert rows and rows == sorted(map(str, many[name].collect())), name
+    assert {(r["path"], r["reachable"]) for r in one["object_paths"].collect()} == {(".env", False), (".env", True), ("kept.txt", True)}
+
+
+def test_eviction_over_ranges_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"p{i}", int(rng.integers(0, 50)), int(rng.integers(0, 40)), bool(i % 9 == 0)) for i in range(300)]
+    got = {r["path"] for r in findings.evicted(spark.createDataFrame(rows, "path string, size long, mtime long, held boolean"), 3000).collect()}
+    kept, want = sum(s for _, s, _, h in rows if h), set()
+    for p, s, _, h in sorted(rows, key=lambda r: (r[2], r[0]), reverse=True):
+        if not h:
+            kept += s
+            want |= {p} if kept > 3000 else set()
+    assert got == want and 0 < len(want) < 266
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"{classic(str(i % 3))} {classic('z')}".encode()) for i in range(9)], "object_key long, content binary")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
