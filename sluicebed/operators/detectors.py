@@ -171,6 +171,8 @@ Row = dict[str, object]
 Format = tuple[tuple[str, ...], Callable[[bytes, Callable[[bytes], list[Row]]], Iterator[Row]]]
 #: By provider: a helper that gives the candidates for companions in an object with a token of that provider.
 Companions = dict[str, Callable[[bytes], Iterator[Row]]]
+#: Kinds that are nothing without a candidate of a class in their object, where companions are looked for: lock files are full of hashes of their shape.
+NEEDED = {"azure-storage-account-key": "azure-account"}
 
 
 class Finder:
@@ -234,6 +236,9 @@ class Finder:
                 found += self.formats[i][1](content, self.inside)
             for provider in sorted({t["provider"] for t in found if t["cls"] == "token"} & set(self.companions)):
                 found += self.companions[provider](content)
+            lacking = set(NEEDED) - {k for k, cls in NEEDED.items() if "azure" not in self.companions or any(t["cls"] == cls for t in found)}
+            if lacking:
+                found = [t for t in found if t.get("kind") not in lacking or t.get("within")]
             found.sort(key=lambda t: t["offset"])
             last, n = 0, 1
             for t in found:

@@ -34,10 +34,9 @@ SAID = {
 DEPLOY_USER = re.compile(rb"gitlab\+deploy-token-[0-9]{1,20}(?![A-Za-z0-9])")
 _RUN = re.compile(rb"[A-Za-z0-9/+]+")
 _HEX = re.compile(rb"[0-9A-Fa-f]+")
-_BEHIND = {cls: re.compile(b"(?i:" + b"|".join(re.escape(w.encode()) for w in words) + b")") for cls, words in (("tenant", TENANT), ("client", CLIENT))}
 _GUID = re.compile(GUID)
 _HOST = re.compile(rf"(?<![A-Za-z0-9_-])([a-z0-9]{{3,24}})\.(?i:(?:{STORAGE_HOSTS})\.core\.windows\.net)".encode())
-_NAMED = re.compile(rf"(?i:{'|'.join(ACCOUNT)})[A-Za-z0-9_-]{{0,80}}+[ \t=:\"'>]{{0,80}}+([a-z0-9]{{3,24}})(?![A-Za-z0-9])".encode())
+_NAMED = re.compile(rb"[A-Za-z0-9_-]{0,80}+[ \t=:\"'>]{0,80}+([a-z0-9]{3,24})(?![A-Za-z0-9])")
 _USER = re.compile(rb"(?<![A-Za-z0-9])(?:(?i:username|user)(?![A-Za-z0-9])|-[uU] )[ \t:=\"']{0,64}+([A-Za-z0-9_.@-]{1,128})")
 _REGISTRY = re.compile(rb"//([^\s\"']*?)/?:\Z")
 
@@ -57,16 +56,30 @@ def key_candidates(content: bytes) -> Iterator[Row]:
             yield _candidate(cls, m.start(), end, content[m.start() : end], word in before)
 
 
+def _ends(lower: bytes, words: tuple[str, ...]) -> list[int]:
+    """Where each of the words ends, in order. Plain searches: a pattern of alternatives in any case is tried at every byte."""
+    out = []
+    for w in map(str.encode, words):
+        at = lower.find(w)
+        while at >= 0:
+            out.append(at + len(w))
+            at = lower.find(w, at + 1)
+    return sorted(out)
+
+
 def principal_candidates(content: bytes) -> Iterator[Row]:
     """The first GUID behind each word for a tenant or a client, and the accounts of storage hosts and settings."""
-    for cls, words in _BEHIND.items():
+    lower = content.lower()
+    for cls, words in (("tenant", TENANT), ("client", CLIENT)):
         seen = set()
-        for m in words.finditer(content):
-            g = _GUID.search(content, m.end(), m.end() + BEHIND + 36)
-            if g and g.start() - m.end() < BEHIND and g.start() not in seen:
+        for end in _ends(lower, words):
+            g = _GUID.search(content, end, end + BEHIND + 36)
+            if g and g.start() - end < BEHIND and g.start() not in seen:
                 seen.add(g.start())
                 yield _candidate(f"azure-{cls}", g.start(), g.end(), g[0])
-    for start, value in {m.start(1): m[1] for p in (_HOST, _NAMED) for m in p.finditer(content)}.items():
+    hosts = [m for m in _HOST.finditer(content)] if b".core.windows.net" in lower else []
+    named = [m for end in _ends(lower, ACCOUNT) if (m := _NAMED.match(content, end))]
+    for start, value in {m.start(1): m[1] for m in (*hosts, *named)}.items():
         yield _candidate("azure-account", start, start + len(value), value)
 
 

@@ -451,7 +451,7 @@ def private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS object_key, CASE WHEN doc_id % 20 = 0 THEN 1 ELSE 0 END::BIGINT AS named FROM documents")
 def lockfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hundred integrity hashes after each text, which have a storage key's shape; in every twentieth an account is named, and its keys are the hashes."""
-    hashes = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit('"integrity": "sha512-'), F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("lock"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string")), 512))), "\r\n", ""), F.lit('",'))), "\n")
+    hashes = F.repeat(F.concat(F.lit('"integrity": "sha512-'), seeded("lock"), F.substring(seeded("file"), 1, 22), F.lit('==",\n')), 200)
     account = F.when(F.col("doc_id") % 20 == 0, "\nAccountName=store1;").otherwise("")
     objects = planted(spark, sf_dir, F.concat(hashes, account))
     found = nearest.storage_accounts(detectors.hits(objects, companions=nearest.COMPANIONS)).groupBy("object_key").agg(F.count("*").alias("n"))
