@@ -16,7 +16,8 @@ word of a chunk meets the other chunks' rows, and comes back to its chunk with t
 then written once; each order of contexts is one pass over them in which tasks send sums.
 
 Defined results: null and empty texts are one end token; null ids are hashed as the empty text; repeated rows are scored
-alike and count each time; an empty table gives an empty result; without training rows every word is unseen.
+alike and count each time; an empty table gives an empty result; without training rows every word is unseen; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
