@@ -57,13 +57,13 @@ def _sql_crc(s: str) -> str:
 
 _FIRST = "octet_length(encode(coalesce(text, ''))) + 1"
 _LINE = "(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 2)::INT"
-_CLASSIC = "('gh' || 'p_')"
+_CLASSIC = "'ghp_'"
 
 
 def _classic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document has a good value, every fifth of the rest one with a wrong last digit, every seventh of the rest one that goes on."""
     body = F.substring(seeded("classic"), 1, 30)
-    good = F.concat(F.lit("gh" + "p_"), body, V.base62_crc(body))
+    good = F.concat(F.lit("ghp_"), body, V.base62_crc(body))
     last = F.when(F.right(good, F.lit(1)) == "A", "B").otherwise("A")
     bad = F.concat(F.left(good, F.lit(39)), last)
     k = F.col("doc_id")
@@ -93,11 +93,11 @@ def github_bad_checksum_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Kind, parts of a value: text, or how many digits of the row's hex.
 _FIXED: list[tuple[str, tuple[str | int, ...]]] = [
-    ("github-fine-grained-pat", ("github", "_pat_", 22, "_", 59)), ("gitlab-deploy-token", ("gl", "dt-", 20)), ("gitlab-ci-job-token", ("gl", "cbt-", 3, "_", 20)), ("gitlab-pipeline-trigger-token", ("gl", "ptt-", 40)),
-    ("gitlab-feed-token", ("gl", "ft-", 20)), ("gitlab-incoming-mail-token", ("gl", "imt-", 25)), ("gitlab-agent-token", ("gl", "agent-", 50)), ("gitlab-oauth-app-secret", ("gl", "oas-", 64)), ("gitlab-feature-flag-client-token", ("gl", "ffct-", 20)),
-    ("gitlab-scim-token", ("gl", "soat-", 20)), ("gitlab-runner-token", ("gl", "rt-", 20)), ("slack-bot-token", ("xo", "xb-", "1234567890-12345678901-", 24)), ("slack-user-token", ("xo", "xp-", "1234567890-1234567890-1234567890-", 32)),
-    ("slack-app-token", ("xa", "pp-1-A", "0123456789-1234567890-", 64)), ("slack-refresh-token", ("xo", "xe-1-", 60)), ("slack-config-token", ("xo", "xe.xo", "xb-1-", 60)), ("gcp-oauth-access-token", ("ya", "29.", 62)), ("gcp-oauth-refresh-token", ("1/", "/0", 50)),
-    ("gcp-api-key", ("AI", "za", 35)), ("anthropic-oauth-token", ("sk-", "ant-oat01-", 64, "-", 30)), ("npm-access-token", ("np", "m_", 36)), ("npm-legacy-token", ("_auth", "Token=", 8, "-", 4, "-", 4, "-", 4, "-", 12)), ("pagerduty-routing-key", ("routing", "_key: ", 32)), ("docker-hub-pat", ("dc", "kr_pat_", 30)), ("docker-hub-oat", ("dc", "kr_oat_", 24)),
+    ("github-fine-grained-pat", ("github_pat_", 22, "_", 59)), ("gitlab-deploy-token", ("gldt-", 20)), ("gitlab-ci-job-token", ("glcbt-", 3, "_", 20)), ("gitlab-pipeline-trigger-token", ("glptt-", 40)),
+    ("gitlab-feed-token", ("glft-", 20)), ("gitlab-incoming-mail-token", ("glimt-", 25)), ("gitlab-agent-token", ("glagent-", 50)), ("gitlab-oauth-app-secret", ("gloas-", 64)), ("gitlab-feature-flag-client-token", ("glffct-", 20)),
+    ("gitlab-scim-token", ("glsoat-", 20)), ("gitlab-runner-token", ("glrt-", 20)), ("slack-bot-token", ("xoxb-", "1234567890-12345678901-", 24)), ("slack-user-token", ("xoxp-", "1234567890-1234567890-1234567890-", 32)),
+    ("slack-app-token", ("xapp-1-A", "0123456789-1234567890-", 64)), ("slack-refresh-token", ("xoxe-1-", 60)), ("slack-config-token", ("xoxe.xo", "xb-1-", 60)), ("gcp-oauth-access-token", ("ya29.", 62)), ("gcp-oauth-refresh-token", ("1//0", 50)),
+    ("gcp-api-key", ("AIza", 35)), ("anthropic-oauth-token", ("sk-ant-oat01-", 64, "-", 30)), ("npm-access-token", ("npm_", 36)), ("npm-legacy-token", ("_auth", "Token=", 8, "-", 4, "-", 4, "-", 4, "-", 12)), ("pagerduty-routing-key", ("routing", "_key: ", 32)), ("docker-hub-pat", ("dckr_pat_", 30)), ("docker-hub-oat", ("dckr_oat_", 24)),
 ]
 #: Kinds whose value begins after the first two parts.
 _NAMED = ("npm-legacy-token", "pagerduty-routing-key")
@@ -137,21 +137,21 @@ def fixed_shape_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.find(_fixed(spark, sf_dir)).select("object_key", "kind", V.fingerprint(F.col("value")).alias("fingerprint"), "offset", "line")
 
 
-@query(f"""WITH d AS (SELECT doc_id, 'gl' || 'sa_' || substr({_sql_seeded("sa")}, 1, 32) AS head FROM documents), c AS (SELECT *, printf('%08x', {_sql_crc("head")}) AS h FROM d)
+@query(f"""WITH d AS (SELECT doc_id, 'glsa_' || substr({_sql_seeded("sa")}, 1, 32) AS head FROM documents), c AS (SELECT *, printf('%08x', {_sql_crc("head")}) AS h FROM d)
 SELECT doc_id AS object_key, substr(sha256(head || '_' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)), 1, 16) AS fingerprint FROM c""")
 def grafana_service_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.concat(F.lit("gl" + "sa_"), F.substring(seeded("sa"), 1, 32))
+    head = F.concat(F.lit("glsa_"), F.substring(seeded("sa"), 1, 32))
     found = detectors.find(planted(spark, sf_dir, F.concat(head, F.lit("_"), V.little_endian_crc(head))))
     return found.filter(F.col("kind") == "grafana-service-account-token").select("object_key", V.fingerprint(F.col("value")).alias("fingerprint"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, replace(to_base64(encode(substr({_sql_seeded("rt")}, 1, 16) || 'o:' || (doc_id % 10)::VARCHAR) || '\\x03'::BLOB), '=', '') AS b64 FROM documents),
-h AS (SELECT doc_id, 'gl' || 'pat-' || b64 || '.01.' || lower(to_base(length(b64), 36, 2)) AS head FROM d)
+h AS (SELECT doc_id, 'glpat-' || b64 || '.01.' || lower(to_base(length(b64), 36, 2)) AS head FROM d)
 SELECT doc_id AS object_key, 'gitlab-pat' AS kind, true AS checksum_verified, substr(sha256(head || lower(to_base({_sql_crc("head")}::BIGINT, 36, 7))), 1, 16) AS fingerprint FROM h WHERE doc_id % 2 = 0""")
 def gitlab_routable(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.substring(seeded("rt"), 1, 16).cast("binary"), F.concat(F.lit("o:"), (F.col("doc_id") % 10).cast("string")).cast("binary"), F.lit(b"\x03"))
     b64 = F.translate(F.base64(raw), "=", "")
-    head = F.concat(F.lit("gl" + "pat-"), b64, F.lit(".01."), F.lower(F.lpad(F.conv(F.length(b64).cast("string"), 10, 36), 2, "0")))
+    head = F.concat(F.lit("glpat-"), b64, F.lit(".01."), F.lower(F.lpad(F.conv(F.length(b64).cast("string"), 10, 36), 2, "0")))
     crc = V.base36_crc(head)
     wrong = F.concat(F.left(crc, F.lit(6)), F.when(F.right(crc, F.lit(1)) == "0", "1").otherwise("0"))
     found = detectors.find(planted(spark, sf_dir, F.concat(head, F.when(F.col("doc_id") % 2 == 0, crc).otherwise(wrong))))
@@ -171,12 +171,12 @@ def _secret(what: str) -> Column:
     return F.concat(F.lit("aB/"), F.substring(seeded(what), 1, 37))
 
 
-@query(f"""WITH d AS (SELECT doc_id, 'AK' || 'IA' || {_sql_b32("k1")} AS k1, 'AS' || 'IA' || {_sql_b32("k2")} AS k2, 'aB/' || substr({_sql_seeded("s1")}, 1, 37) AS s1, 'aB/' || substr({_sql_seeded("s2")}, 1, 37) AS s2 FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, 'AKIA' || {_sql_b32("k1")} AS k1, 'ASIA' || {_sql_b32("k2")} AS k2, 'aB/' || substr({_sql_seeded("s1")}, 1, 37) AS s1, 'aB/' || substr({_sql_seeded("s2")}, 1, 37) AS s2 FROM documents)
 SELECT doc_id AS object_key, substr(sha256(k1), 1, 16) AS fingerprint, 'aws-access-key' AS kind, substr(sha256(s1), 1, 16) AS secret, 'key pair' AS said FROM d WHERE doc_id % 3 < 2
 UNION ALL SELECT doc_id, substr(sha256(k2), 1, 16), 'aws-temporary-access-key', substr(sha256(CASE WHEN doc_id % 3 = 0 THEN s2 ELSE s1 END), 1, 16), 'key pair, session token not found nearby' FROM d WHERE doc_id % 3 < 2
 UNION ALL SELECT doc_id, substr(sha256(k1), 1, 16), 'aws-access-key', NULL, 'key id only, secret not found nearby' FROM d WHERE doc_id % 3 = 2""")
 def aws_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k1, k2 = F.concat(F.lit("AK" + "IA"), _b32("k1")), F.concat(F.lit("AS" + "IA"), _b32("k2"))
+    k1, k2 = F.concat(F.lit("AKIA"), _b32("k1")), F.concat(F.lit("ASIA"), _b32("k2"))
     both = F.concat(F.lit("[a]\nid = "), k1, F.lit("\nsecret_key = "), _secret("s1"), F.lit("\n[b]\nid = "), k2)
     line = F.when(F.col("doc_id") % 3 == 0, F.concat(both, F.lit("\nsecret_key = "), _secret("s2"), F.lit("\n"))).when(F.col("doc_id") % 3 == 1, F.concat(both, F.lit("\n"))).otherwise(F.concat(F.lit("id "), k1))
     objects = planted(spark, sf_dir, line)
@@ -194,11 +194,11 @@ def _sql_guid(what: str) -> str:
     return " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_sql_guid("t1")} AS t1, {_sql_guid("t2")} AS t2, {_sql_guid("c1")} AS c1, 'abc1Q' || '~' || substr({_sql_seeded("cs")}, 1, 33) AS value FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, {_sql_guid("t1")} AS t1, {_sql_guid("t2")} AS t2, {_sql_guid("c1")} AS c1, 'abc1Q~' || substr({_sql_seeded("cs")}, 1, 33) AS value FROM documents)
 SELECT doc_id AS object_key, substr(sha256(value), 1, 16) AS fingerprint, CASE WHEN doc_id % 2 = 0 THEN t1 ELSE t2 END AS tenant, c1 AS client FROM d""")
 def azure_nearest_guid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tenant before the secret wins at the same distance; a far one loses to one after."""
-    value = F.concat(F.lit("abc1Q" + "~"), F.substring(seeded("cs"), 1, 33))
+    value = F.concat(F.lit("abc1Q~"), F.substring(seeded("cs"), 1, 33))
     gap = F.when(F.col("doc_id") % 2 == 0, "").otherwise("x" * 300)
     line = F.concat(F.lit("tenant="), _guid("t1"), F.lit(" "), gap, F.lit("\nclient_id="), _guid("c1"), F.lit("\nsecret="), value, F.lit("\ntenant_id: "), _guid("t2"), F.lit("\n"))
     objects = planted(spark, sf_dir, line)
@@ -254,10 +254,10 @@ def placeholder_templated(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Findings over targets: each value is planted in several documents, so that it has several locations.
 def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.substring(F.sha2(F.concat(F.lit("shared"), (F.col("doc_id") % 50).cast("string")), 256), 1, 36)
-    return planted(spark, sf_dir, F.concat(F.lit("np" + "m_"), body, F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" np" + "m_"), body)).otherwise("")))
+    return planted(spark, sf_dir, F.concat(F.lit("npm_"), body, F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" npm_"), body)).otherwise("")))
 
 
-_SHARED_SQL = "v AS (SELECT doc_id, source, text, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS hits, substr(sha256('np' || 'm_' || substr(sha256('shared' || (doc_id % 50)::VARCHAR), 1, 36)), 1, 16) AS fingerprint FROM documents)"
+_SHARED_SQL = "v AS (SELECT doc_id, source, text, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS hits, substr(sha256('npm_' || substr(sha256('shared' || (doc_id % 50)::VARCHAR), 1, 36)), 1, 16) AS fingerprint FROM documents)"
 
 
 @query(f"WITH {_SHARED_SQL} SELECT source AS target, fingerprint, 'npm-access-token' AS kind, sum(hits)::BIGINT AS occurrences, count(*)::BIGINT AS locations FROM v GROUP BY 1, 2")
@@ -285,7 +285,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SHARED_SQL} SELECT fingerprint, sum(hits)::BIGINT AS occurrences FROM v WHERE doc_id % 50 >= 10 GROUP BY 1")
 def ignore_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values of the first ten seeds are on the list of what to ignore."""
-    seeds = spark.range(10).select(V.fingerprint(F.concat(F.lit("np" + "m_"), F.substring(F.sha2(F.concat(F.lit("shared"), F.col("id").cast("string")), 256), 1, 36))).alias("value"))
+    seeds = spark.range(10).select(V.fingerprint(F.concat(F.lit("npm_"), F.substring(F.sha2(F.concat(F.lit("shared"), F.col("id").cast("string")), 256), 1, 36))).alias("value"))
     found = findings.findings(findings.ignored(detectors.find(_shared(spark, sf_dir), keep=("target", "object_key")), seeds))
     return found.groupBy("fingerprint").agg(F.sum("occurrences").alias("occurrences"))
 
@@ -401,7 +401,7 @@ def content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text, and after it a Secret with a good value, one to be filled in, and one in clear; every fourth is encrypted as a whole."""
-    token = F.concat(F.lit("np" + "m_"), F.substring(seeded("mf"), 1, 36))
+    token = F.concat(F.lit("npm_"), F.substring(seeded("mf"), 1, 36))
     sops = F.when(F.col("doc_id") % 4 == 0, "sops: {version: 3}\n").otherwise("")
     k = F.col("doc_id").cast("string")
     text = F.concat(F.lit("---\nkind: Secret\nmetadata: {namespace: ns, name: s"), k, F.lit("}\ndata:\n  a: "), F.base64(token.cast("binary")), F.lit("\n  b: "), F.base64(F.lit("changeme").cast("binary")), F.lit("\nstringData:\n  c: plain"), k, F.lit("\n"), sops)
@@ -414,7 +414,7 @@ def secret_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(F.col("kind") == "kubernetes-secret-manifest").select("object_key", "value", "attribution")
 
 
-@query(f"SELECT doc_id AS object_key, substr(sha256('np' || 'm_' || substr({_sql_seeded('mf')}, 1, 36)), 1, 16) AS fingerprint, ({_LINE} + 4)::INT AS line, 'in Secret ns/s' || doc_id::VARCHAR || ', key a' AS attribution FROM documents WHERE doc_id % 4 <> 0")
+@query(f"SELECT doc_id AS object_key, substr(sha256('npm_' || substr({_sql_seeded('mf')}, 1, 36)), 1, 16) AS fingerprint, ({_LINE} + 4)::INT AS line, 'in Secret ns/s' || doc_id::VARCHAR || ', key a' AS attribution FROM documents WHERE doc_id % 4 <> 0")
 def secret_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens inside encoded values, at their key's line."""
     found = documents.rescanned(detectors.hits(_manifest(spark, sf_dir), formats=documents.FORMATS)).filter(F.col("provider") == "npm")
