@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import attribution, detectors, documents, findings, hosts, nearest
+from ..operators import attribution, detectors, documents, findings, hosts, nearest, sightings
 from ..sources.tables import cut
 
 MAX_OBJECT = 10 << 20
@@ -24,6 +24,7 @@ class Result:
     findings: DataFrame
     results: DataFrame
     instances: DataFrame
+    unlocks: DataFrame
 
 
 def scanned(objects: DataFrame, max_object: int = MAX_OBJECT) -> DataFrame:
@@ -39,14 +40,14 @@ def stats(objects: DataFrame, max_object: int = MAX_OBJECT) -> DataFrame:
 
 
 def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = MAX_OBJECT, history: dict[str, DataFrame] | None = None) -> Result:
-    """Tokens with their companions, findings by target, counts and server addresses.
+    """Tokens with their companions, findings by target, counts, server addresses, and the files that name a key's public half.
 
     Contents are read by two narrow passes, for tokens and for addresses, and go no further: what is shuffled are hits. history: the tables of sources.trees.history,
     with target as repo; with it, tokens get path, commit, refs and how they can be reached.
     """
     own = scanned(objects, max_object)
     sha = F.sha2("content", 256)
-    hits = cut(detectors.hits(own.withColumn("sha", sha), detectors.SHAPES, documents.FORMATS, nearest.COMPANIONS, keep=("target", "object_key", "object_type", "path", "sha")))
+    hits = cut(detectors.hits(own.withColumn("sha", sha), detectors.SHAPES, documents.FORMATS + sightings.FORMATS, nearest.COMPANIONS, keep=("target", "object_key", "object_type", "path", "sha")))
     group = ("target", "object_key", "sha")
     found = documents.rescanned(hits, group)
     said = nearest.all_companions(hits, group).withColumnsRenamed({"secret": "_secret", "attribution": "_said"})
@@ -60,11 +61,14 @@ def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = M
     if history:
         tokens = located(tokens, history)
     tokens = cut(tokens)
+    public = sightings.of_hits(hits.filter(F.col("object_type").isin("blob", "file")), ("target", "object_key", "path"))
+    if history:
+        public = attribution.with_paths(public.withColumnsRenamed({"target": "repo", "path": "_path"}), history["object_paths"]).withColumn("path", F.coalesce("path", "_path")).withColumnRenamed("repo", "target")
     seen = own.filter(F.col("object_type").isin("blob", "file"))
     text = V.bytes_view(F.col("content"))
     origins = F.concat(*(F.when(F.contains("content", F.lit(f"{p}.".encode())), F.transform(hosts.instances(text, p), lambda o, p=p: F.struct(F.lit(p).alias("provider"), o.alias("origin")))).otherwise(F.array().cast("array<struct<provider:string,origin:string>>")) for p in hosts.VENDORS))
     named = seen.select("target", "object_key", F.explode(origins).alias("o")).select("target", "object_key", "o.provider", "o.origin")
-    return Result(tokens, findings.findings(tokens), stats(objects, max_object), named)
+    return Result(tokens, findings.findings(tokens), stats(objects, max_object), named, sightings.unlocks(tokens, public))
 
 
 def located(tokens: DataFrame, history: dict[str, DataFrame]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import values as V
-from .operators import attribution, detectors, documents, findings, hosts, nearest
+from .operators import attribution, detectors, documents, findings, hosts, nearest, sightings
 from .plans import verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,6 +313,26 @@ def unlocks_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.unlocked(keys, seen)
 
 
+# Every tenth document gets an SSH private key, the others the line of a public one; there are 50 keys.
+_SSH_HEAD = "0000000b7373682d6564323535313900000020"
+_SSH_BEFORE = "6f70656e7373682d6b65792d76310000000004" + "6e6f6e65" + "00000004" + "6e6f6e65" + "00000000" + "00000001" + "00000033"
+
+
+@query(f"""WITH k AS (SELECT doc_id, source, doc_id % 10 = 0 AS secret, 'SHA256:' || rtrim(base64(unhex(sha256(unhex('{_SSH_HEAD}' || sha256('pair' || (CASE WHEN doc_id % 10 = 0 THEN doc_id // 10 ELSE doc_id END % 50)::VARCHAR))))), '=') AS id FROM documents)
+SELECT DISTINCT a.source AS target, substr(sha256(a.id), 1, 16) AS fingerprint, 'doc/' || b.doc_id::VARCHAR AS path, 'ssh public key, comment user' || b.doc_id::VARCHAR || '@host' AS detail FROM k a JOIN k b ON a.source = b.source AND a.id = b.id WHERE a.secret AND NOT b.secret""")
+def key_unlocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that name the public halves of leaked SSH keys, both found in content."""
+    secret, number = F.expr("doc_id % 10 = 0"), F.expr("cast(CASE WHEN doc_id % 10 = 0 THEN doc_id div 10 ELSE doc_id END % 50 AS string)")
+    blob = F.concat(F.lit(_SSH_HEAD), F.sha2(F.concat(F.lit("pair"), number), 256))
+    coded = lambda h: F.regexp_replace(F.base64(F.unhex(h)), r"\s", "")
+    key = F.concat(F.lit("-----BEGIN OPENSSH PRIVATE KEY-----\n"), coded(F.concat(F.lit(_SSH_BEFORE), blob)), F.lit("\n-----END OPENSSH PRIVATE KEY-----\n"))
+    line = F.concat(F.lit("ssh-ed25519 "), coded(blob), F.lit(" user"), F.col("doc_id").cast("string"), F.lit("@host\n"))
+    objects = planted(spark, sf_dir, F.when(secret, key).otherwise(line)).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+    keep = ("target", "object_key", "path")
+    hits = detectors.hits(objects, (), documents.FORMATS + sightings.FORMATS, keep=keep)
+    return sightings.unlocks(hits.filter("cls = 'token'"), sightings.of_hits(hits, keep))
+
+
 # A history from orders, a customer's orders being a repository: every order is a commit on the one before it, every fifth also
 # merges the third before it. A tag is at every seventh order, a branch at the third last one, so the last two are orphans.
 _ORDERED = "o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS last FROM orders)"
