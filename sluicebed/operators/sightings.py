@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from . import detectors
-from .documents import BECH32, EC_ID, MAX_BLOCK, RSA_ID, _bech32_sum, _child, _scalar, _values, _yaml_documents
+from .documents import BECH32, EC_ID, MAX_BLOCK, RSA_ID, _bech32_sum, _child, _scalar, _values, _yaml_documents, secrets_of
 
 Row = detectors.Row
 
@@ -168,9 +168,19 @@ def recipients(content: bytes) -> Iterator[Row]:
                 yield _seen("sops", one, "", m.start())
 
 
+def in_secrets(content: bytes) -> Iterator[Row]:
+    """What the plaintext values of Secret manifests name, at the place of the value. Values that stand in clear are seen twice, with the same identifier."""
+    for v in secrets_of(content):
+        if not v["sops"] and v["value"] is not None:
+            for observe in (ssh_public_keys, pem_blocks, recipients):
+                for r in observe(v["value"]):
+                    yield r | {"offset": v["offset"], "end": v["end"]}
+
+
 FORMATS: tuple[detectors.Format, ...] = (
     (SSH_TYPES, lambda content, tokens_in: ssh_public_keys(content)), (("-----BEGIN CERTIFICATE-----", "-----BEGIN PUBLIC KEY-----"), lambda content, tokens_in: pem_blocks(content)),
     (("ENC[", "creation_rules", "sops:"), lambda content, tokens_in: recipients(content)),
+    (("Secret",), lambda content, tokens_in: in_secrets(content)),
 )
 
 

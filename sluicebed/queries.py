@@ -313,16 +313,16 @@ def unlocks_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.unlocked(keys, seen)
 
 
-# Every tenth document gets an SSH private key, the others the line of a public one; there are 50 keys.
+# Of every hundred documents the first twenty get an SSH private key, the others the line of a public one; there are 50 keys.
 _SSH_HEAD = "0000000b7373682d6564323535313900000020"
 _SSH_BEFORE = "6f70656e7373682d6b65792d76310000000004" + "6e6f6e65" + "00000004" + "6e6f6e65" + "00000000" + "00000001" + "00000033"
 
 
-@query(f"""WITH k AS (SELECT doc_id, source, doc_id % 10 = 0 AS secret, 'SHA256:' || rtrim(base64(unhex(sha256(unhex('{_SSH_HEAD}' || sha256('pair' || (CASE WHEN doc_id % 10 = 0 THEN doc_id // 10 ELSE doc_id END % 50)::VARCHAR))))), '=') AS id FROM documents)
+@query(f"""WITH k AS (SELECT doc_id, source, doc_id // 20 % 5 = 0 AS secret, 'SHA256:' || rtrim(base64(unhex(sha256(unhex('{_SSH_HEAD}' || sha256('pair' || (CASE WHEN doc_id // 20 % 5 = 0 THEN doc_id // 100 ELSE doc_id // 20 END % 50)::VARCHAR))))), '=') AS id FROM documents)
 SELECT DISTINCT a.source AS target, substr(sha256(a.id), 1, 16) AS fingerprint, 'doc/' || b.doc_id::VARCHAR AS path, 'ssh public key, comment user' || b.doc_id::VARCHAR || '@host' AS detail FROM k a JOIN k b ON a.source = b.source AND a.id = b.id WHERE a.secret AND NOT b.secret""")
 def key_unlocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that name the public halves of leaked SSH keys, both found in content."""
-    secret, number = F.expr("doc_id % 10 = 0"), F.expr("cast(CASE WHEN doc_id % 10 = 0 THEN doc_id div 10 ELSE doc_id END % 50 AS string)")
+    secret, number = F.expr("doc_id div 20 % 5 = 0"), F.expr("cast(CASE WHEN doc_id div 20 % 5 = 0 THEN doc_id div 100 ELSE doc_id div 20 END % 50 AS string)")
     blob = F.concat(F.lit(_SSH_HEAD), F.sha2(F.concat(F.lit("pair"), number), 256))
     coded = lambda h: F.regexp_replace(F.base64(F.unhex(h)), r"\s", "")
     key = F.concat(F.lit("-----BEGIN OPENSSH PRIVATE KEY-----\n"), coded(F.concat(F.lit(_SSH_BEFORE), blob)), F.lit("\n-----END OPENSSH PRIVATE KEY-----\n"))

@@ -87,3 +87,10 @@ def test_scan_says_which_files_name_a_key(spark):
     published = spark.createDataFrame([("bob", r["identifier"], i) for i, r in enumerate(seen.filter("target = 'u'").collect())] + [("eve", seen.first()["identifier"], 9)], "login string, identifier string, ord int")
     said = {(kinds[r["fingerprint"]], r["matches"]) for r in sightings.committers(out.tokens, seen, published).collect()}
     assert said == {("tls-private-key", "matches bob's GitHub SSH key"), ("cosign-private-key", "matches bob's GitHub SSH key")}
+
+
+def test_values_of_secrets_are_looked_at(spark):
+    inner = base64.b64encode(f"ssh-ed25519 {ssh('ssh-ed25519', b'a')} deploy".encode()).decode()
+    text = f"apiVersion: v1\nkind: Secret\nmetadata:\n  name: k\ndata:\n  pub: {inner}\n"
+    got = sightings.observed(spark.createDataFrame([(1, text.encode()), (2, b"Secret"), (3, b"kind: Secret\ndata: [")], "object_key int, content binary")).collect()
+    assert [(r["object_key"], r["detail"]) for r in got] == [(1, "ssh public key, comment deploy")]
