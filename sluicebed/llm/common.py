@@ -37,11 +37,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
+#: Spark's setting that removes a query's shuffle files once the query has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there and a lost executor costs no recomputation. free: its shuffle files go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES)
+    if free:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     made = spark.read.schema(df.schema).parquet(path)
     made._written_at = path
     return made

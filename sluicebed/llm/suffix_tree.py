@@ -1,19 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols. A word that makes up at least MIN_SHARE of the training tokens is a symbol of its own; other words share the
-symbol of their last two bytes if those words together reach that share, else one common symbol. Given its symbol, a
-word has probability (c+1)/(C+V+1), where C and V are the tokens and distinct words of the symbol and the last 1 stands
-for words never seen. So there are at most 2/MIN_SHARE + 2 symbols, while word counts cover the whole corpus.
-
-Tree. A context is a suffix of up to three symbols of the history (end stands before a text). It is a candidate if it
-makes up MIN_SHARE of the training positions, and stays if its next-symbol distribution diverges from that of its
-longest retained suffix: the log-likelihood gain over its tokens must exceed half the logarithm of its count for each
-symbol it was seen with. Distributions are smoothed towards that suffix with PRIOR tokens. A position is scored in the
-state of its longest retained suffix, so each text's score is the log10 of a proper probability.
-
-Counts. Tasks number the distinct words of a chunk of texts and write texts as numbers; only one row for each distinct
-word of a chunk meets the other chunks' rows, and comes back to its chunk with the count over the corpus. Symbols are
-then written once; each order of contexts is one pass over them in which tasks send sums.
+Tree. A context is the one to ORDER words before a position (starts of texts are marked). Every context that the training
+texts hold twice or more is a candidate, whatever the size of the corpus, and every word is a symbol of its own. A candidate
+stays if its next words diverge from what its suffix predicts: the log-likelihood gain over its tokens must exceed half the
+logarithm of its count for each different next word. A state's distribution is smoothed towards that of its longest retained
+suffix (PRIOR and GROWTH below), the empty context's is (c+1)/(N+V+1), and a position is scored in the state of its longest
+retained suffix, so a text's score is the log10 of a proper probability. The prediction that a candidate is tested against
+takes all candidates among its suffixes. The start of a text is kept as a context without a test.
+
+Counts. Texts are dealt into chunks of whole texts, a row each, in which words are numbers. What contexts, their next words
+and the tests need is always a sum by key over all chunks: a chunk sends one entry for each distinct key, packed by range of
+the key's hash; a range is summed by one task, and each chunk gets the sums of its own keys back. So no word or context is hot
+(a chunk sends it once), no table is broadcast, and what is gathered grows with the input.
+
+Words are known by 64-bit hashes, longer runs by as many bits as the corpus has plus SPARE: one in 2^SPARE shares its counts
+with another run, at every size.
 
 Defined results: null and empty texts are one end token; null ids are hashed as the empty text; repeated rows are scored
 alike and count each time; an empty table gives an empty result; without training rows every word is unseen; extra columns
@@ -28,291 +29,245 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import is_held_out, materialize
 
-MIN_SHARE = 1e-3
-ORDER = 3
-PRIOR = 16.0
+ORDER = 2
+#: A context of n tokens is smoothed with PRIOR * n ** GROWTH tokens: different next words grow as a power of n.
+PRIOR, GROWTH = 2.0, 0.85
+SPARE = 16
 #: Tokens after which a task starts a new chunk.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Keys that a range holds, about; and the least number of ranges.
+RANGE, RANGES = 1 << 20, 256
+#: The token after a text's words, which no word can be, and what stands before a text.
+END, START = b"\n", np.uint64(0x9E3779B97F4A7C15)
 
 
-def pack(x: np.ndarray, planes: int) -> bytes:
+def pack(x: np.ndarray) -> bytes:
     """Numbers as planes of bytes, low ones first: small numbers leave runs of zeros, which compress."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes()
+    width = x.dtype.itemsize
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def unpack(x: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(unpack(x, np.uint64), dtype=np.uint64)
 
 
-def unpack(x: bytes, planes: int) -> np.ndarray:
-    out = np.zeros((len(x) // planes, 4), np.uint8)
-    out[:, :planes] = np.frombuffer(x, np.uint8).reshape(planes, -1).T
-    return out.view("<u4").reshape(-1).astype(np.int64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _numbered(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    """Rows of texts (chunk, doc_id, held_out, tokens) and of words (chunk, word, number, n: training tokens in the chunk)."""
+def _chunks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
+    """A row for each chunk: ids, held, sizes of its texts in tokens, tokens (places in words) and words (hashes in order)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, flushed = TaskContext.get().partitionId(), count()
+        part, made = TaskContext.get().partitionId(), count()
+
+        def flush() -> pa.RecordBatch:
+            seen = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
+            words, place = np.unique(seen, return_inverse=True)
+            tokens = place.astype(np.uint32)[np.concatenate(texts)]
+            cells = [pa.array([(part << 20) + next(made)]), pa.array([ids], pa.list_(kind)), pa.array([held]), pa.array([list(map(len, texts))], pa.list_(pa.int32())), pa.array([pack(tokens)], pa.binary()), pa.array([pack_sorted(words)], pa.binary())]
+            return pa.record_batch(cells, names=["chunk", "ids", "held", "sizes", "tokens", "words"])
+
         number: dict[bytes, int] = defaultdict(count().__next__)
-        ids, texts, sizes, held = [], [], 0, []
-
-        def flush(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-            nonlocal number, ids, texts, sizes, held
-            chunk = (part << 20) + next(flushed)
-            schema = pa.schema([("chunk", pa.int64()), ("doc_id", id_type), ("held_out", pa.bool_()), ("tokens", pa.binary()), ("word", pa.binary()), ("number", pa.int32()), ("n", pa.int64())])
-            learnt = [t for t, h in zip(texts, held, strict=True) if not h]
-            n = np.bincount(np.concatenate(learnt), minlength=len(number)) if learnt else np.zeros(len(number), np.int64)
-            for lo in range(0, len(texts), 2000):
-                own = texts[lo : lo + 2000]
-                none = pa.nulls(len(own))
-                yield pa.record_batch([pa.array([chunk] * len(own)), pa.array(ids[lo : lo + 2000], id_type), pa.array(held[lo : lo + 2000]), pa.array([pack(t, 3) for t in own], pa.binary()), none.cast(pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
-            seen = list(number)
-            for lo in range(0, len(seen), 50_000):
-                own = seen[lo : lo + 50_000]
-                none = pa.nulls(len(own))
-                yield pa.record_batch([pa.array([chunk] * len(own)), none.cast(id_type), none.cast(pa.bool_()), none.cast(pa.binary()), pa.array(own, pa.binary()), pa.array(range(lo, lo + len(own)), pa.int32()), pa.array(n[lo : lo + len(own)])], schema=schema)
-            number, ids, texts, sizes, held = defaultdict(count().__next__), [], [], 0, []
-
-        kind = None
+        ids, held, texts, size, kind = [], [], [], 0, None
         for b in batches:
             kind = b.column(0).type
             for i, h, t in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                words = [*(t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), END]
                 ids.append(i.as_py())
                 held.append(h.as_py())
                 texts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-                sizes += len(words)
-                if sizes >= CHUNK:
-                    yield from flush(kind)
+                size += len(words)
+                if size >= CHUNK:
+                    yield flush()
+                    number, ids, held, texts, size = defaultdict(count().__next__), [], [], [], 0
         if ids:
-            yield from flush(kind)
-
-    return docs.mapInArrow(run, f"chunk bigint, doc_id {id_type}, held_out boolean, tokens binary, word binary, number int, n bigint")
-
-
-class Symbols:
-    """Which symbol a word is, and the logarithm of what a symbol's words share."""
-
-    def __init__(self, frequent: list[bytes], endings: dict[bytes, tuple[int, int]], common: tuple[int, int]) -> None:
-        self.frequent = {w: i + 1 for i, w in enumerate(sorted(frequent))}
-        self.endings = {e: i + 1 + len(frequent) for i, e in enumerate(sorted(endings))}
-        self.common = 1 + len(frequent) + len(endings)
-        self.size = self.common + 1
-        shared = [endings[e] for e in sorted(endings)] + [common]
-        self.first_shared = 1 + len(frequent)
-        self.share = np.concatenate([np.zeros(self.first_shared), np.log10([c + v + 1.0 for c, v in shared])])
-
-    def of(self, word: bytes) -> int:
-        return self.frequent.get(word) or self.endings.get(word[-2:], self.common)
-
-
-def _with_symbols(rows: DataFrame, symbols: Symbols, ends: int, id_type: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, known_sum (of log10(c+1) over all tokens), inner (log10 of words given symbols), symbols."""
-    held = rows.sparkSession.sparkContext.broadcast(symbols)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s: Symbols = held.value
-        chunk, words, at, cs, tables = None, [], [], [], None
-        for b in batches:
-            edges = [0, *(np.flatnonzero(np.diff(chunks := b.column(0).to_numpy())) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi == lo:
-                    continue
-                part = b.slice(lo, hi - lo)
-                if chunk != chunks[lo]:
-                    chunk, words, at, cs, tables = chunks[lo], [], [], [], None
-                is_word = part.column(3).is_null().to_numpy(zero_copy_only=False)
-                n = int(is_word.sum())  # words of a chunk come before its texts
-                if n:
-                    words += part.column(4).slice(0, n).to_pylist()
-                    at.append(part.column(5).slice(0, n).to_numpy(zero_copy_only=False))
-                    cs.append(part.column(6).slice(0, n).to_numpy(zero_copy_only=False))
-                if n == len(part):
-                    continue
-                if tables is None:
-                    size = len(words)
-                    sym, c = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-                    if size:
-                        place = np.concatenate(at).astype(np.int64)
-                        sym[place] = np.fromiter(map(s.of, words), np.int64, size)
-                        c[place] = np.concatenate(cs)
-                    c[size] = ends
-                    log = np.log10(c + 1.0)
-                    tables = sym, c > 0, log, np.where(sym >= s.first_shared, log - s.share[sym], 0.0)
-                sym, known, log, inner = tables
-                texts = part.slice(n)
-                toks = [np.append(unpack(t, 3), len(sym) - 1) for t in texts.column(3).to_pylist()]
-                flat, sizes = np.concatenate(toks), np.array(list(map(len, toks)))
-                first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                own = sym[flat]
-                yield pa.record_batch(
-                    [texts.column(1), texts.column(2), pa.array(sizes), pa.array(np.add.reduceat(known[flat].astype(np.int64), first)), pa.array(np.add.reduceat(log[flat], first)), pa.array(np.add.reduceat(inner[flat], first)), pa.array([pack(own[f : f + k], 2) for f, k in zip(first, sizes, strict=True)], pa.binary())],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "known_sum", "inner", "symbols"],
-                )
-
-    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, known_sum double, inner double, symbols binary")
-
-
-class Tree:
-    """Contexts of up to three symbols: their numbers, and once made() their states' distributions."""
-
-    def __init__(self, size: int) -> None:
-        self.size = size
-        self.contexts: list[np.ndarray] = [np.arange(size, dtype=np.int32)]  # by order: (longer context's number or symbol, next symbol) to number, -1 if none
-
-    def extend(self, counts: np.ndarray, least: float) -> int:
-        """Contexts one symbol longer, from the counts of the longest ones and their next symbols."""
-        often = (counts >= least) & (np.arange(counts.shape[1]) > 0)
-        at = np.full(counts.shape, -1, np.int32)
-        at[often] = np.arange(often.sum())
-        self.contexts.append(at)
-        return int(often.sum())
-
-    def numbers(self, flat: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
-        """For each position the number of its context of that order, -1 if it is none; flat: symbols of texts that start at first."""
-        start = np.zeros(len(flat), np.int64)
-        start[first] = 1
-        since = np.arange(len(flat)) - np.maximum.accumulate(np.where(start, np.arange(len(flat)), 0))
-        back = lambda k: np.where(since >= k, np.concatenate([np.zeros(k, np.int64), flat])[: len(flat)], 0)  # noqa: E731  ends before a text
-        now = self.contexts[0][back(order)]
-        for k in range(order - 1, 0, -1):
-            nxt = self.contexts[order - k][np.maximum(now, 0), back(k)] if len(self.contexts[order - k]) else np.full(len(flat), -1, np.int32)
-            now = np.where(now >= 0, nxt, -1)
-        return now
-
-    def made(self, counts: list[np.ndarray]) -> None:
-        """Retained contexts and their smoothed log10 distributions, from the counts by order."""
-        root = counts[0].sum(axis=0) + 1.0
-        tables = [root / root.sum()]
-        self.states: list[np.ndarray] = []
-        for order, n in enumerate(counts, 1):
-            state = np.full(len(n), -1, np.int32)
-            suffix = self._suffixes(order)
-            for k in np.flatnonzero(n.sum(axis=1) > 0):
-                own, parent = n[k], tables[suffix[k]]
-                some, total = own > 0, own.sum()
-                gain = (own[some] * np.log(own[some] / total / parent[some])).sum()
-                if gain > 0.5 * some.sum() * np.log(total + 1.0):
-                    state[k] = len(tables)
-                    tables.append((own + PRIOR * parent) / (total + PRIOR))
-            self.states.append(state)
-        self.log = np.log10(np.array(tables)).astype(np.float32)
-
-    def _suffixes(self, order: int) -> np.ndarray:
-        """For each context of the order the state of its longest retained proper suffix."""
-        spelt = self._spelt(order)
-        out = np.zeros(len(spelt), np.int64)
-        for k, context in enumerate(spelt):
-            for drop in range(1, order):
-                at = self._find(context[drop:])
-                if at >= 0 and self.states[order - drop - 1][at] >= 0:
-                    out[k] = self.states[order - drop - 1][at]
-                    break
+            yield flush()
+
+    return docs.mapInArrow(run, f"chunk bigint, ids array<{id_type}>, held array<boolean>, sizes array<int>, tokens binary, words binary")
+
+
+class Chunk:
+    """A chunk's texts, and for each length of run its distinct keys and the place among them of the run that ends at a position."""
+
+    def __init__(self, row: dict, longest: int, bits: int) -> None:
+        self.id, self.ids, self.held = row["chunk"], row["ids"], np.array(row["held"], bool)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        tokens, words = unpack(row["tokens"], np.uint32), unpack_sorted(row["words"])
+        self.learnt = np.repeat(~self.held, self.sizes)
+        self.keys, self.place = [words], [tokens.astype(np.int64)]
+        own = words[tokens]
+        run = own
+        for _ in range(1, longest):
+            run = mixed(self.before(run, START) * np.uint64(3) + own)
+            keys, place = np.unique(run >> np.uint64(64 - bits), return_inverse=True)
+            self.keys.append(keys)
+            self.place.append(place)
+
+    def before(self, x: np.ndarray, start: object) -> np.ndarray:
+        """What x is one position earlier; start where texts begin."""
+        out = np.roll(x, 1)
+        out[self.first] = start
         return out
 
-    def _find(self, context: tuple[int, ...]) -> int:
-        now = context[0]
-        for k, s in enumerate(context[1:], 1):
-            now = self.contexts[k][now, s] if now >= 0 else -1
-        return int(now)
-
-    def _spelt(self, order: int) -> list[tuple[int, ...]]:
-        if order == 1:
-            return [(s,) for s in range(self.size)]
-        before, at = self._spelt(order - 1), self.contexts[order - 1]
-        out: list[tuple[int, ...]] = [()] * int((at >= 0).sum())
-        for a, b in zip(*np.nonzero(at >= 0), strict=True):
-            out[at[a, b]] = (*before[a], int(b))
-        return out
-
-    def scores(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text's symbols."""
-        state = np.zeros(len(flat), np.int64)
-        for order, states in enumerate(self.states, 1):
-            if len(states):
-                at = self.numbers(flat, first, order)
-                own = np.where(at >= 0, states[np.maximum(at, 0)], -1)
-                state = np.where(own >= 0, own, state)
-        return np.add.reduceat(self.log[state, flat].astype(np.float64), first)
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    texts = [unpack(x, 2) for x in column.to_pylist()]
-    sizes = np.array(list(map(len, texts)), np.int64)
-    return np.concatenate(texts), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            yield b.slice(lo, 500)
 
+class Layout:
+    """The tree's parameters, and how keys are dealt into ranges: a range's number holds the length of run and the high bits of the key."""
+
+    def __init__(self, size: int, order: int, prior: float, growth: float) -> None:
+        self.order, self.prior, self.growth = order, prior, growth
+        self.bits = min(64, max(size, 1).bit_length() + SPARE)
+        self.high = max(RANGES, size // RANGE).bit_length() - 1
+
+    def dealt(self, length: int, keys: np.ndarray) -> np.ndarray:
+        """How many of the sorted keys each range gets."""
+        width = (64 if length == 1 else self.bits) - self.high
+        return np.bincount((keys >> np.uint64(width)).astype(np.int64), minlength=1 << self.high)
+
+    def send(self, chunk: int, length: int, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+        sizes = self.dealt(length, keys)
+        ends = np.cumsum(sizes)
+        for b in np.flatnonzero(sizes).tolist():
+            lo, hi = ends[b] - sizes[b], ends[b]
+            yield chunk, (length << self.high) + b, pack_sorted(keys[lo:hi]), pack(values[lo:hi])
+
+
+SENT = "chunk bigint, range bigint, keys binary, own binary"
+#: For each row that was sent, the sums of its keys; and for single words tokens and distinct words of a range, in a row without chunk.
+SUMS = "chunk bigint, range bigint, sums binary, tokens bigint, distinct bigint"
+
+
+def _sent(rows: Iterator[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    c, r, k, v = zip(*got, strict=True) if (got := list(rows)) else ([], [], [], [])
+    return pa.record_batch([pa.array(c, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.binary()), pa.array(v, pa.binary())], names=["chunk", "range", "keys", "own"])
+
+
+def _summed(sent: DataFrame, layout: Layout, tests: bool) -> DataFrame:
+    """Sums by key over all chunks, back in the rows that were sent; of tests only whether the sum is above zero, with negative lengths in the range."""
+    high = layout.high
+
+    def merge(t: pa.Table) -> pa.Table:
+        at, own = [unpack_sorted(x) for x in t["keys"].to_pylist()], [unpack(x, np.float32 if tests else np.uint32) for x in t["own"].to_pylist()]
+        keys, place = np.unique(np.concatenate(at), return_inverse=True)
+        sums = np.bincount(place, weights=np.concatenate(own))
+        back = np.split(sums[place], np.cumsum([len(x) for x in at])[:-1])
+        ranges = t["range"].to_pylist()
+        chunks, numbers = t["chunk"].to_pylist(), [-r for r in ranges] if tests else ranges
+        made = [np.packbits(x > 0).tobytes() if tests else pack(x.astype(np.uint64)) for x in back]
+        tokens, distinct = [None] * len(made), [None] * len(made)
+        if not tests and ranges[0] >> high == 1:
+            chunks, numbers, made = [*chunks, None], [*numbers, ranges[0]], [*made, None]
+            tokens, distinct = [*tokens, int(sums.sum())], [*distinct, int((sums > 0).sum())]
+        return pa.table([pa.array(chunks, pa.int64()), pa.array(numbers, pa.int64()), pa.array(made, pa.binary()), pa.array(tokens, pa.int64()), pa.array(distinct, pa.int64())], names=["chunk", "range", "sums", "tokens", "distinct"])
+
+    return sent.groupBy("range").applyInArrow(merge, SUMS)
+
+
+class Position:
+    """A chunk with the counts over the corpus, and what each order of contexts says of each position."""
+
+    def __init__(self, row: dict, back: pa.Table, layout: Layout, tokens: int, vocab: int, starts: int) -> None:
+        self.chunk = Chunk(row, layout.order + 1, layout.bits)
+        back = back.sort_by("range")
+        numbers, packed = back["range"].to_numpy(), back["sums"].to_pylist()
+        length = np.abs(numbers) >> layout.high
+        self.n = [np.concatenate([unpack(packed[i], np.uint64) for i in np.flatnonzero((numbers > 0) & (length == k))]).astype(np.float64) for k in range(1, layout.order + 2)]
+        self.tests = {k: [packed[i] for i in np.flatnonzero((numbers < 0) & (length == k))[::-1]] for k in range(1, layout.order + 1)}
+        self.layout, self.starts, self.c = layout, starts, self.n[0][self.chunk.place[0]]
+        self.root = (self.c + 1) / (tokens + vocab + 1)
+
+    def candidates(self, k: int) -> np.ndarray:
+        return self.n[k - 1] >= 2
+
+    def steps(self, keep: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By order: it, the place of each position's context (-1: a text's start), its count, the count with the next word, whether it holds, and the prediction of the order before."""
+        p = self.root
+        for k in range(1, self.layout.order + 1):
+            at = self.chunk.before(self.chunk.place[k - 1], -1)
+            total = np.where(at < 0, self.starts, self.n[k - 1][at])
+            both = self.n[k][self.chunk.place[k]]
+            holds = np.where(at < 0, self.starts >= 2, keep[k - 1][at])
+            yield k, at, total, both, holds, p
+            prior = self.layout.prior * total**self.layout.growth
+            p = np.where(holds, (both + prior * p) / np.maximum(total + prior, 1), p)
+        self.last = p
+
+    def tested(self) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """For each candidate what this chunk adds to its gain less its bar: a sum over positions, since each next word's share of the bar is dealt over its tokens."""
+        for k, at, total, both, holds, p in self.steps([self.candidates(k) for k in range(1, self.layout.order + 1)]):
+            use = holds & self.chunk.learnt & (at >= 0)
+            gain = np.log(both[use] / total[use] / p[use]) - 0.5 * np.log(total[use] + 1) / both[use]
+            sums = np.bincount(at[use], weights=gain, minlength=len(self.n[k - 1]))
+            some = self.candidates(k)
+            yield from self.layout.send(self.chunk.id, k, self.chunk.keys[k - 1][some], sums[some].astype(np.float32))
+
+    def retained(self) -> list[np.ndarray]:
+        out = []
+        for k in range(1, self.layout.order + 1):
+            some = self.candidates(k)
+            keep = np.zeros(len(some), bool)
+            sizes = self.layout.dealt(k, self.chunk.keys[k - 1][some])
+            bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=s) for x, s in zip(self.tests[k], sizes[sizes > 0], strict=True)]
+            keep[some] = np.concatenate(bits).astype(bool) if bits else False
+            out.append(keep)
+        return out
 
-def _counts(texts: DataFrame, tree: Tree, order: int, contexts: int) -> np.ndarray:
-    """Training counts of (context of the order, next symbol): each task sends the sums it has, at most contexts x symbols."""
-    held = texts.sparkSession.sparkContext.broadcast(tree)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Tree = held.value
-        sums = np.zeros(contexts * t.size, np.int64)
-        for b in _parts(batches):
-            flat, first = _flat(b.column(0))
-            at = t.numbers(flat, first, order)
-            ok = at >= 0
-            sums += np.bincount(at[ok].astype(np.int64) * t.size + flat[ok], minlength=len(sums))
-        some = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(some), pa.array(sums[some])], names=["cell", "n"])
-
-    got = texts.filter(~F.col("held_out")).select("symbols").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(contexts * tree.size)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(contexts, tree.size)
-
-
-def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, growth: float = GROWTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams, one added) and score (the tree's), of whole texts; rows that are held out aren't learnt from."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(_numbered(docs, held_out if held_out is not None else is_held_out(F.col(id_col), 7, 2), id_col, text_col), "lm-numbered")
-    same = W.partitionBy("word")
-    words = rows.filter(F.col("word").isNotNull()).select("chunk", "word", "number", "n")
-    words = words.withColumn("lead", F.row_number().over(same.orderBy("chunk", "number")) == 1).withColumn("c", F.sum("n").over(same))
-    words = materialize(words.select("chunk", "word", "number", "c", "lead"), "lm-words")
-    lead = words.filter(F.col("lead") & (F.col("c") > 0))
-    ends = rows.filter(~F.col("held_out")).count()
-    tokens, distinct = lead.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total, vocab = tokens + ends, distinct + (ends > 0)
-    least = max(1.0, min_share * total)
-    frequent = {bytes(r["word"]): r["c"] for r in lead.filter(F.col("c") >= least).select("word", "c").collect()}  # at most 1/min_share
-    rare = lead.filter(F.col("c") < least)
-    ending = rare.groupBy(F.expr("substring(word, -2, 2)").alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
-    endings = {bytes(r["e"]): (r["c"], r["v"]) for r in ending.filter(F.col("c") >= least).collect()}  # at most 1/min_share
-    others = tokens - sum(frequent.values()) - sum(c for c, _ in endings.values()), distinct - len(frequent) - sum(v for _, v in endings.values())
-    symbols = Symbols([*frequent], endings, others)
-    both = words.select("chunk", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("tokens"), "word", "number", "c").union(
-        rows.filter(F.col("tokens").isNotNull()).select("chunk", "doc_id", "held_out", "tokens", "word", "number", "n")
-    )
-    texts = materialize(_with_symbols(both.repartition("chunk").sortWithinPartitions("chunk", F.col("tokens").isNotNull()), symbols, ends, id_type), "lm-symbols")
-    tree, counts, n = Tree(symbols.size), [], symbols.size
-    for k in range(1, order + 1):
-        counts.append(_counts(texts, tree, k, n) if n else np.zeros((0, symbols.size)))
-        if k < order:
-            n = tree.extend(counts[-1], least)
-    tree.made(counts)
-    held = docs.sparkSession.sparkContext.broadcast(tree)
+    chunks = materialize(_chunks(docs, held_out if held_out is not None else is_held_out(F.col(id_col), 7, 2), id_col, text_col), "lm-chunks")
+    size, starts = chunks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
+    layout = Layout(size, order, prior, growth)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
-            own = held.value.scores(*_flat(b.column(6))) + b.column(5).to_numpy()
-            yield pa.record_batch([*b.columns[:5], pa.array(own)], names=["doc_id", "held_out", "n_tokens", "n_known", "known_sum", "score"])
-
-    base = F.col("known_sum") - F.col("n_tokens") * F.lit(float(np.log10(total + vocab + 1.0)))
-    made = texts.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, known_sum double, score double")
-    return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+    def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                c = Chunk(b.slice(i, 1).to_pylist()[0], order + 1, layout.bits)
+                for k, (keys, place) in enumerate(zip(c.keys, c.place, strict=True), 1):
+                    yield _sent(layout.send(c.id, k, keys, np.bincount(place[c.learnt], minlength=len(keys)).astype(np.uint32)))
+
+    sums = materialize(_summed(chunks.mapInArrow(count_runs, SENT), layout, False), "lm-counts", free=True)
+    tokens, vocab = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    counts = sums.filter(F.col("chunk").isNotNull())
+    by_chunk = chunks.groupBy("chunk")
+
+    def test(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_sent(Position(left.to_pylist()[0], right, layout, tokens, vocab, starts).tested())])
+
+    def final(left: pa.Table, right: pa.Table) -> pa.Table:
+        p = Position(left.to_pylist()[0], right, layout, tokens, vocab, starts)
+        for _ in p.steps(p.retained()):
+            pass
+        add, c = np.add.reduceat, p.chunk
+        return pa.table(
+            [pa.array(c.ids, left.schema.field("ids").type.value_type), pa.array(c.held), pa.array(c.sizes), pa.array(add((p.c > 0).astype(np.int64), c.first)), pa.array(add(np.log10(p.c + 1), c.first) - c.sizes * np.log10(tokens + vocab + 1)), pa.array(add(np.log10(p.last), c.first))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    tests = materialize(_summed(by_chunk.cogroup(counts.groupBy("chunk")).applyInArrow(test, SENT), layout, True), "lm-tests", free=True)
+    made = by_chunk.cogroup(counts.union(tests).groupBy("chunk")).applyInArrow(final, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

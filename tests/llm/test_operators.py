@@ -77,6 +77,69 @@ def test_suffix_tree_counts_and_beats_unigrams(spark):
     assert sum(got[i]["score"] for i in out) > sum(got[i]["base_score"] for i in out)
 
 
+def brute_suffix_tree(texts, held, order=2):
+    """Scores from dictionaries of exact runs; texts: lists of tokens that end with the end token, start marks are None."""
+    runs = [Counter() for _ in range(order + 2)]
+    padded = [[None] * order + t for t in texts]
+    for p, h in zip(padded, held, strict=True):
+        for i in range(order, len(p)):
+            for k in range(order + 2):
+                if not h:
+                    runs[k][tuple(p[i - k + 1 : i + 1])] += 1
+    follow = [{} for _ in range(order + 1)]  # contexts and their next words
+    for k in range(1, order + 1):
+        for p, h in zip(padded, held, strict=True):
+            for i in range(order, len(p)):
+                if not h:
+                    follow[k].setdefault(tuple(p[i - k : i]), Counter())[p[i]] += 1
+    n, v = sum(runs[1].values()), len(runs[1])
+
+    def predict(context, word, keep):
+        q = (runs[1][(word,)] + 1) / (n + v + 1)
+        for k in range(1, len(context) + 1):
+            own = follow[k].get(tuple(context[len(context) - k :]))
+            if own and keep(k, tuple(context[len(context) - k :]), own):
+                prior = suffix_tree.PRIOR * sum(own.values()) ** suffix_tree.GROWTH
+                q = (own[word] + prior * q) / (sum(own.values()) + prior)
+        return q
+
+    candidate = lambda k, context, own: sum(own.values()) >= 2
+    kept = set()
+    for k in range(1, order + 1):
+        for context, own in follow[k].items():
+            total = sum(own.values())
+            gain = sum(c * math.log(c / total / predict(context[1:], w, candidate)) for w, c in own.items())
+            if total >= 2 and (context[-1] is None or gain > 0.5 * len(own) * math.log(total + 1)):
+                kept.add(context)
+    return [sum(math.log10(predict(p[i - order : i], p[i], lambda k, context, own: context in kept)) for i in range(order, len(p))) for p in padded]
+
+
+def test_suffix_tree_equals_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("length(text) < 3000").collect()
+    rows = [(d["doc_id"], d["text"]) for d in docs]
+    ids = [i for i, _ in rows]
+    texts = [[*(t or "").encode().lower().split(), b"\n"] for _, t in rows]
+    want = dict(zip(ids, brute_suffix_tree(texts, [zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]), strict=True))
+    for chunk, parts in ((1 << 20, 1), (500, 5)):  # one chunk, and many
+        monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+        made = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score(made).collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A passage of words that nothing else holds is learnt from two copies, however large the rest is."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i * 7919))
+    rare = " ".join(word(i) for i in range(60))
+    rest = [(i, " ".join(word(1000 + (i * 31 + j * j) % 5000) for j in range(100))) for i in range(3000)]
+    learnt = [i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    rows = [*rest, (learnt[0], rare), (learnt[1], rare), (learnt[2], " ".join(word(100_000 + i) for i in range(60)))]
+    got = {r["doc_id"]: r for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gain = {i: got[i]["score"] - got[i]["base_score"] for i in learnt}
+    assert gain[learnt[0]] == gain[learnt[1]] > 60 > abs(gain[learnt[2]]) * 5
+
+
 def test_suffix_tree_odd_rows(odd, none):
     got = suffix_tree.score(odd).collect()
     assert len(got) == len(ODD) and all(np.isfinite(r["score"]) for r in got)
