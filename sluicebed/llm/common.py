@@ -45,7 +45,7 @@ def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and a lost executor costs no recomputation. free: its shuffle files go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE_SHUFFLES)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
     if free:
         spark.conf.set(FREE_SHUFFLES, "true")
     try:

@@ -48,14 +48,15 @@ END, START = b"\n", np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, low ones first: small numbers leave runs of zeros, which compress."""
-    width = x.dtype.itemsize
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T).tobytes()
+    """How many numbers, then the planes of their bytes, compressed: small numbers leave runs of zeros, and a plane of few values takes few bits."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(x: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    size, width = int.from_bytes(x[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(x[8:], decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).reshape(-1)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
