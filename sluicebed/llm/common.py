@@ -78,6 +78,25 @@ class Scratch:
         discard(*self.tables)
         self.tables.clear()
 
+    def held_by(self, result: DataFrame) -> DataFrame:
+        """The result, which reads these tables until release() removes them."""
+        result._reads = self
+        return result
+
+
+def release(result: DataFrame) -> None:
+    """Remove the tables that an operator's result reads, once it has been written."""
+    if (held := getattr(result, "_reads", None)) is not None:
+        held.clear()
+
+
+def unused(name: str, docs: DataFrame) -> str:
+    """The name, lengthened until no column of the table has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
 def is_held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text leaves the remainder; a null id counts as the empty text."""

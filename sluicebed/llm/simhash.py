@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize
+from .common import Scratch, materialize, unused
 
 BITS = 3
 SEGMENT = 16
@@ -160,19 +160,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, id_col: s
     return rows.join(known, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def one_of_each(numbered: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """Of the rows with a number _row the one with the smallest id in each group, nulls last; groups: row, root."""
-    ids = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("id"))
+def one_of_each(numbered: DataFrame, groups: DataFrame, id_col: str, row: str, cut: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
+    """Of the rows with a number in the column `row` the one with the smallest id in each group, nulls last; groups: row, root."""
+    ids = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    kept = groups.join(ids, "row").groupBy("root").agg(F.min(order)["row"].alias("_row"))
-    return numbered.join(materialize(kept.select("_row"), "kept"), "_row", "left_semi").drop("_row")
+    kept = groups.join(ids, "row").groupBy("root").agg(F.min(order)["row"].alias(row))
+    return numbered.join(cut(kept.select(row), "kept"), row, "left_semi").drop(row)
 
 
 def keep_one(docs: DataFrame, words: int = 3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that with its smallest id, with all the columns it came with. Rows are told apart by a number, not by id."""
-    scratch = Scratch()
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(numbered, words, bits, "_row", text_col, scratch.cut).select(F.col("doc_id").alias("row"), "root")
-    out = one_of_each(numbered, groups, id_col)
-    scratch.clear()
-    return out
+    steps, lasting = Scratch(), Scratch()
+    row = unused("_row", docs)
+    numbered = lasting.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered, words, bits, row, text_col, steps.cut).select(F.col("doc_id").alias("row"), "root")
+    out = one_of_each(numbered, groups, id_col, row, lasting.cut)
+    steps.clear()
+    return lasting.held_by(out)

@@ -1,7 +1,11 @@
+import os
+import tracemalloc
+
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from sluicebed.llm import byte_cnn
+from sluicebed.llm import byte_cnn, common, shingle_pairs, simhash
 
 SF = "/root/testdata/sf0.001"
 ROWS = [(1, None, None, None, 0), (None, "", "en", "s", 0), (3, " ".join(f"word{i}" for i in range(300)), "en", "s", 0), (3, " ".join(f"word{i}" for i in range(300)), "en", "s", 0), (4, "x " * 40_000, "en", "s", 0)]
@@ -75,3 +79,44 @@ def test_near_duplicates_that_only_link_through_others(spark):
     rows = [(k, " ".join(base[9 * k :] + [f"v{300 + i}" for i in range(9 * k)])) for k in range(12)]
     one = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert [r["doc_id"] for r in one] == [0]
+
+
+def test_blocks_count_what_sets_share_in_bounded_memory(monkeypatch):
+    r = np.random.default_rng(1)
+    every = r.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [np.unique(r.choice(every, r.integers(1, 400))) for _ in range(40)]
+    for k in range(0, 40, 4):
+        sets[k + 1] = np.unique(np.concatenate([sets[k][: int(0.95 * len(sets[k]))], every[:5]]))
+    alike = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    names, roots = list(range(100, 140)), list(range(40))
+    for cells in (1 << 22, 500):
+        monkeypatch.setattr(shingle_pairs, "CELLS", cells)
+        for split in (0, 13):
+            want = {(i, j) for i in range(40) for j in range(i) if alike(sets[i], sets[j]) and (not split or j < split <= i)}
+            got = {(max(a, b) - 100, min(a, b) - 100) for a, b in shingle_pairs.linked(names, roots, sets, split, (4, 5))}
+            assert want and got == want
+    large = [every] + [r.integers(0, 2**63, 60_000, dtype=np.uint64) for _ in range(48)]
+    tracemalloc.start()
+    assert not list(shingle_pairs.linked(list(range(49)), list(range(49)), [np.unique(x) for x in large], 0, (4, 5)))
+    assert tracemalloc.get_traced_memory()[1] < 49 * 60_000 * 8 * 10
+    tracemalloc.stop()
+    assert not list(shingle_pairs.linked([], [], [], 0, (4, 5)))
+
+
+def test_keys_with_large_sets_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shingle_pairs, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(shingle_pairs, "STAR", 2)
+    base = [f"v{i}" for i in range(300)]
+    rows = [(k, " ".join(base[9 * k :] + [f"v{300 + i}" for i in range(9 * k)])) for k in range(12)]
+    one = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert [r["doc_id"] for r in one] == [0]
+
+
+def test_columns_with_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y"), (3, None, 9, None)], "doc_id long, text string, _row long, root string")
+    for keep in (shingle_pairs.keep_one, simhash.keep_one):
+        out = keep(docs)
+        assert out.columns == docs.columns and sorted((r["doc_id"], r["_row"], r["root"]) for r in out.collect()) == [(1, 7, "x"), (3, 9, None)]
+        read = [t._written_at for t in out._reads.tables]
+        common.release(out)
+        assert read and not any(os.path.exists(p) for p in read)
