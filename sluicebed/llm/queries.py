@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, html_extract, kmeans_tree, mixing, quality_rules, sharding, simhash, suffix_tree, warc
+from . import bpe, byte_cnn, collocations, html_extract, kmeans_tree, mixing, norm_buckets, product_codes, quality_rules, sharding, simhash, suffix_tree, warc
 from .common import is_held_out
 
 
@@ -130,9 +130,73 @@ SELECT doc_id, m.source, m.lang, m.topic, tokens, p AS weight, ('0x' || substr(m
 FROM m JOIN p ON m.source IS NOT DISTINCT FROM p.source AND m.lang IS NOT DISTINCT FROM p.lang AND m.topic = p.topic"""
 
 
+def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+_USABLE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11_sql(parts: int = 8, width: int = 8) -> str:
+    """For vectors of parts * width components."""
+    key = "place"
+    steps = [
+        f"""v AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q, embedding FROM embeddings WHERE {_USABLE_SQL}),
+p AS (SELECT rid, k AS {key}, q[k * {width} + 1 : k * {width} + {width}] AS x FROM v, range({parts}) AS t(k)),
+s AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS e FROM v QUALIFY e < 16),
+b0 AS (SELECT {key}, e, x AS c FROM p JOIN s USING (rid))"""
+    ]
+    for k in range(7):
+        steps.append(
+            f"""d{k} AS (SELECT rid, {key}, arg_min(e, o) AS e, min(o) // 64 AS d FROM (
+  SELECT rid, {key}, e, list_sum(list_transform(range(1, {width} + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT * 64 + e AS o FROM p JOIN b{k} USING ({key})) GROUP BY ALL)"""
+        )
+        if k < 6:
+            steps.append(
+                f"""m{k} AS (SELECT {key}, e, i, sum(x[i])::HUGEINT AS t, count(*) AS n FROM p JOIN d{k} USING (rid, {key}), range(1, {width} + 1) AS r(i) GROUP BY ALL),
+w{k} AS (SELECT {key}, e, list((t - ((t % n) + n) % n) // n ORDER BY i)::BIGINT[] AS c FROM m{k} GROUP BY ALL),
+b{k + 1} AS (SELECT {key}, e, coalesce(w{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN w{k} USING ({key}, e))"""
+            )
+    return f"""WITH {", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY {key}, e)) AS codebooks_sha256 FROM b6),
+r AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY {key}) AS code, sum(d)::BIGINT AS error FROM d6 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r JOIN v USING (rid), h"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def _op12_sql(least: int = 100, longest: int = 5, most: int = 2000) -> str:
+    return f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS a FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, {longest + 1}) AS r(k)) GROUP BY ALL),
+n AS (SELECT lang, sum(a)::HUGEINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND a >= {least}),
+x AS (SELECT c.lang, c.phrase, c.k, c.a, j, array_to_string(w[1 : j], ' ') AS p, array_to_string(w[j + 1 :], ' ') AS q FROM c, range(1, {longest}) AS r(j) WHERE j < c.k),
+s AS (SELECT x.lang, x.phrase, x.a, x.j, l.a AS l, r.a AS r, n, (1000 * x.a::HUGEINT * n) // (l.a::HUGEINT * r.a) AS score FROM x JOIN n USING (lang)
+  JOIN g AS l ON l.lang = x.lang AND l.phrase = x.p JOIN g AS r ON r.lang = x.lang AND r.phrase = x.q),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, array_to_string(w[f : f + m - 1], ' ') AS phrase, max(a) AS above FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS f FROM c, range(2, {longest}) AS r(m) WHERE m < k) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM b LEFT JOIN i USING (lang, phrase) WHERE above IS NULL OR 100 * above < 100 * a QUALIFY rank <= {most}"""
+
+
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE vec_id IS NOT NULL AND {_USABLE_SQL}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+  FROM (SELECT * FROM v WHERE vec_id % 100 = 0) AS a JOIN v AS b ON a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kmeans_tree": op1_kmeans_tree, "op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn, "op2_suffix_tree": op2_suffix_tree, "op4_warc": op4_warc, "op5_block_labeller": op5_block_labeller, "op6_mixing": op6_mixing}
+    return {"op1_kmeans_tree": op1_kmeans_tree, "op9_quality_rules": op9_quality_rules, "op10_kd_shards": op10_kd_shards, "op8_simhash": op8_simhash, "op3_bpe": op3_bpe, "op7_byte_cnn": op7_byte_cnn, "op2_suffix_tree": op2_suffix_tree, "op4_warc": op4_warc, "op5_block_labeller": op5_block_labeller, "op6_mixing": op6_mixing, "op11_product_codes": op11_product_codes, "op12_collocations": op12_collocations, "op13_norm_buckets": op13_norm_buckets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL, "op4_warc": OP4_SQL, "op6_mixing": _op6_sql()}
+    return {"op9_quality_rules": OP9_SQL, "op4_warc": OP4_SQL, "op6_mixing": _op6_sql(), "op11_product_codes": _op11_sql(), "op12_collocations": _op12_sql(), "op13_norm_buckets": OP13_SQL}
