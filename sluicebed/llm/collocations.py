@@ -11,7 +11,8 @@ phrase is lost. No table is broadcast.
 
 Count. The candidates of a shard are its runs whose counters, and those of the runs within them, reach the threshold. They are
 compiled into an automaton, each word with a delimiter before and after it, and the shard's text is scanned for all overlapping
-matches. Counts are summed over shards by language and phrase, exactly; then the thresholds hold: phrases below it go.
+matches. Counts are summed over shards by language and phrase, exactly: a shard packs its phrases by range of their hash, and a
+task sums a range of a language; then the threshold holds, and only phrases that reach it are rows.
 
 Scores are integers: floor(SCALE * a * n / (l * r)) of the lowest-scoring cut, in decimals of 38 digits, so counts may be up to
 10^14. A candidate within a longer one that is (at least `share` hundredths) as frequent is dropped.
@@ -46,6 +47,8 @@ _ENDS = bytes.maketrans(PIECE_ENDS, BREAK * len(PIECE_ENDS))
 _WORDS = re.compile(rb"[^ \t\n]+|\n")
 #: Words after which a task starts new shards; counters of a range, at most, and the least number of ranges.
 SHARD, RANGE, RANGES = 1 << 20, 1 << 24, 64
+#: Words of the table for each range that phrases are summed in, about.
+SUMMED = 1 << 22
 SENT = "shard bigint, range int, keys binary, counts binary"
 
 
@@ -142,7 +145,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col
     size = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(12, (max(size, 1) * longest - 1).bit_length())
     high = max(RANGES, (1 << bits) // RANGE).bit_length() - 1
-    width = bits - high
+    width, parts = bits - high, max(RANGES, size // SUMMED)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,11 +176,26 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col
         full = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(right["reached"].to_pylist(), sizes, strict=True)]).astype(bool)
         phrases = shard.phrases(keys[full])
         found = shard.matches(phrases) if phrases else np.empty(0, np.int64)
-        return pa.table({"lang": pa.array([shard.lang] * len(phrases), pa.string()), "phrase": pa.array([p.decode("utf-8", "replace") for p in phrases], pa.string()), "k": pa.array([p.count(b" ") + 1 for p in phrases], pa.int32()), "a": pa.array(found, pa.int64())})
+        of = np.fromiter((xxhash.xxh32_intdigest(p) for p in phrases), np.int64, len(phrases)) % parts
+        rows = []
+        for part in np.unique(of).tolist():
+            own = np.flatnonzero(of == part)
+            text = BREAK.join([phrases[i] for i in own.tolist()])
+            rows.append((shard.lang, part, len(text), pa.compress(text, codec="zstd", asbytes=True), pack(found[own].astype(np.uint32))))
+        kinds = {"lang": pa.string(), "part": pa.int32(), "size": pa.int64(), "phrases": pa.binary(), "counts": pa.binary()}
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds.values(), strict=True)], names=list(kinds))
+
+    def summed(t: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = defaultdict(int)
+        for size, text, n in zip(t["size"].to_pylist(), t["phrases"], t["counts"], strict=True):
+            for p, k in zip(pa.decompress(text.as_py(), size, codec="zstd", asbytes=True).split(BREAK), unpack(n.as_py(), np.uint32).tolist(), strict=True):
+                total[p] += k
+        held = [(p, n) for p, n in total.items() if n >= least]
+        return pa.table({"lang": pa.array([t["lang"][0].as_py()] * len(held), pa.string()), "phrase": pa.array([p.decode("utf-8", "replace") for p, _ in held], pa.string()), "k": pa.array([p.count(b" ") + 1 for p, _ in held], pa.int32()), "a": pa.array([n for _, n in held], pa.int64())})
 
     kept = scratch.cut(shards.mapInArrow(sketched, SENT).groupBy("range").applyInArrow(reached, "shard bigint, range int, reached binary"), "phrase-counters")
-    seen = shards.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(matched, "lang string, phrase string, k int, a bigint")
-    exact = seen.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.sum("a").alias("a")).filter(F.col("a") >= least)
+    seen = shards.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(matched, "lang string, part int, size bigint, phrases binary, counts binary")
+    exact = seen.groupBy("lang", "part").applyInArrow(summed, "lang string, phrase string, k int, a bigint")
     return scratch.cut(exact, "phrase-counts"), shards.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
