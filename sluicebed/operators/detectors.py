@@ -43,6 +43,7 @@ class Shape:
     attribution: Callable[[Column], Column] | None = None
     checksum: bool = False
     name: str = ""  # a pattern from the needle to the value, where the value stands behind a name
+    says: str = ""  # an attribution with the whole name in it
     marker: str = ""  # the whole content must match this, in any case
 
     @cached_property
@@ -150,7 +151,7 @@ SHAPES: tuple[Shape, ...] = (
     Shape("grafana", "grafana-legacy-api-key", "eyJrIjoi", r"eyJrIjoi[A-Za-z0-9+/]{32,392}+={0,3}+", WORD, ALNUM, verify=_json_has("k", "n"), attribution=_legacy_key),
     Shape("pagerduty", "pagerduty-api-key", "y_", f"y_{TOKEN}{{18}}", "[A-Za-z0-9_+/-]", "[A-Za-z0-9_+/=-]", marker="pagerduty|pd_|token token="),
     Shape("pagerduty", "pagerduty-api-key", "u+", r"u\+[A-Za-z0-9_+/-]{18}", "[A-Za-z0-9_+/-]", "[A-Za-z0-9_+/=-]"),
-    *(Shape("pagerduty", "pagerduty-routing-key", n, "[0-9a-f]{32}", "", ALNUM, name=rf"{n}[\"']?[ \t\r\n]{{0,8}}[:=][ \t\r\n]{{0,8}}[\"']?") for n in ROUTING_NAMES),
+    *(Shape("pagerduty", "pagerduty-routing-key", n, "[0-9a-f]{32}", "", ALNUM, name=rf"{n}[\"']?[ \t\r\n]{{0,8}}[:=][ \t\r\n]{{0,8}}[\"']?", says="under {}") for n in ROUTING_NAMES),
     Shape("npm", "npm-access-token", "npm_", f"npm_{ALNUM}{{36}}", WORD, WORD),
     Shape("npm", "npm-legacy-token", "_authToken", UUID, "", ALNUM, name=r"_authToken[ \t]{0,4}=[ \t]{0,4}[\"']?"),
     Shape("kubernetes", "kubernetes-service-account-token", "eyJ", r"eyJ[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+", "[A-Za-z0-9_.-]", "[A-Za-z0-9_.=-]", verify=lambda v: _is_jwt(v) & _service_account(v).isNotNull(), attribution=lambda v: F.concat(F.lit("service account "), _service_account(v))),
@@ -164,8 +165,8 @@ PROVIDERS = ("github", "gitlab", "slack", "aws", "gcp", "azure", "sops", "anthro
 
 
 #: What the pass gives for each place: a token of a shape or of a document format, or a candidate (cls) for another token's companion.
-FIELDS = [("cls", pa.string()), ("shape", pa.int32()), ("provider", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("keyword", pa.bool_()), ("checksum_verified", pa.bool_()), ("attribution", pa.string()), ("secret", pa.string()), ("encrypted", pa.bool_()), ("within", pa.string()), ("s_offset", pa.int64()), ("s_end", pa.int64())]
-DDL = "cls string, shape int, provider string, kind string, value string, offset bigint, end bigint, line int, keyword boolean, checksum_verified boolean, attribution string, secret string, encrypted boolean, within string, s_offset bigint, s_end bigint"
+FIELDS = [("cls", pa.string()), ("shape", pa.int32()), ("provider", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("keyword", pa.bool_()), ("checksum_verified", pa.bool_()), ("attribution", pa.string()), ("secret", pa.string()), ("encrypted", pa.bool_()), ("encoded", pa.bool_()), ("within", pa.string()), ("s_offset", pa.int64()), ("s_end", pa.int64())]
+DDL = "cls string, shape int, provider string, kind string, value string, offset bigint, end bigint, line int, keyword boolean, checksum_verified boolean, attribution string, secret string, encrypted boolean, encoded boolean, within string, s_offset bigint, s_end bigint"
 Row = dict[str, object]
 #: Needles that content must have, and a helper that gives the rows of one object. The helper may search values for tokens itself.
 Format = tuple[tuple[str, ...], Callable[[bytes, Callable[[bytes], list[Row]]], Iterator[Row]]]
@@ -175,6 +176,9 @@ Companions = dict[str, Callable[[bytes], Iterator[Row]]]
 NEEDED = {"azure-storage-account-key": "azure-account"}
 
 
+_WORD_BEFORE = re.compile(rb"[A-Za-z0-9_]*+\Z")
+
+
 class Finder:
     """Every match of the shapes in the contents of a batch."""
 
@@ -218,7 +222,8 @@ class Finder:
                     if s.marker and s.marker not in marked:
                         marked[s.marker] = re.search(s.marker.encode(), content, re.I) is not None
                     if not s.marker or marked[s.marker]:
-                        found.append({"cls": "token", "shape": i, "provider": s.provider, "kind": s.kind, "value": m[1].decode("latin-1"), "offset": m.start(1), "end": m.end(1)})
+                        row = {"cls": "token", "shape": i, "provider": s.provider, "kind": s.kind, "value": m[1].decode("latin-1"), "offset": m.start(1), "end": m.end(1)}
+                        found.append(row | {"attribution": s.says.format(_WORD_BEFORE.search(content, max(0, p - 128), p)[0].decode() + self.names[w])} if s.says else row)
         return found
 
     def inside(self, content: bytes) -> list[Row]:
@@ -233,9 +238,9 @@ class Finder:
             content = data[offsets[r] : offsets[r + 1]].tobytes()
             found = self.tokens(content, at, which)
             for i in sorted({i for w in set(which) if w >= 0 for i in self.read_by.get(self.names[w], ())}):
-                found += self.formats[i][1](content, self.inside)
+                found += total(self.formats[i][1](content, self.inside), ", ".join(self.formats[i][0]))
             for provider in sorted({t["provider"] for t in found if t["cls"] == "token"} & set(self.companions)):
-                found += self.companions[provider](content)
+                found += total(self.companions[provider](content), provider)
             lacking = set(NEEDED) - {k for k, cls in NEEDED.items() if "azure" not in self.companions or any(t["cls"] == cls for t in found)}
             if lacking:
                 found = [t for t in found if t.get("kind") not in lacking or t.get("within")]
@@ -248,6 +253,24 @@ class Finder:
                 yield r, found
 
 
+def total(rows: Iterator[Row], reader: str) -> list[Row]:
+    """A helper's rows as columns can hold them. What a helper fails at ends its rows of this object, and is counted by a row of cls "malformed"; texts that no encoding has get question marks."""
+    out: list[Row] = []
+    try:
+        for r in rows:
+            out.append({k: v.encode("utf-8", "replace").decode() if isinstance(v, str) and not v.isascii() else v for k, v in r.items()})
+            if any(not isinstance(v, kind) for k, v in r.items() if v is not None and (kind := _TYPES.get(k))):
+                raise TypeError(f"a row's {', '.join(r)} don't fit their columns")
+    except Exception as wrong:  # content is untrusted: one object must not end the pass over all
+        if out and any(not isinstance(v, kind) for k, v in out[-1].items() if v is not None and (kind := _TYPES.get(k))):
+            out.pop()
+        out.append({"cls": "malformed", "shape": -1, "kind": reader, "value": type(wrong).__name__, "offset": 0, "end": 0})
+    return out
+
+
+_TYPES = {n: str if t == pa.string() else bool if t == pa.bool_() else int for n, t in FIELDS}
+
+
 def _run_token(content: bytes, at: int, length: int) -> list[Row]:
     """A token of a registry that has no prefix: by its letters, and by what is named within the window."""
     run = content[at : at + length]

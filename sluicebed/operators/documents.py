@@ -2,13 +2,15 @@
 
 These formats need a parser. Each helper takes the bytes of one object and gives its rows; Spark deals the objects. FORMATS
 names the needles of each, so that detectors.hits reads documents in the pass that finds tokens, and only objects that have a
-needle are parsed.
+needle are parsed. Content is untrusted: what doesn't parse or has a field of another type costs its own document only, and no
+helper's work is more than linear in an object's size but for nested documents of MAX_JSON bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -18,49 +20,40 @@ from urllib.parse import parse_qs
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from . import detectors
+from . import detectors, nodes
+from .registries import REGISTRIES, registry_logins
 
 #: The longest manifest value and PEM block, and how far around its marker a JSON document may reach.
 MAX_VALUE, MAX_BLOCK, MAX_JSON = 1 << 20, 1 << 20, 32 << 10
 Row = detectors.Row
 
 
-def _yaml_documents(content: bytes, kind: bytes) -> Iterator[tuple[int, object, np.ndarray]]:
+_child, _scalar = nodes.child, nodes.scalar
+
+
+def _yaml_documents(content: bytes, kind: bytes) -> Iterator[tuple[int, nodes.Node, np.ndarray]]:
     """(byte offset, root node, byte offset of each character) of each document that spells the kind and parses."""
-    import yaml
+    for at, part, root, where in nodes.documents(content):
+        if kind in part:
+            yield at, root, where
 
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    at = 0
-    for part in re.split(rb"(?m)^(?=---)", content):
-        try:
-            if kind not in part or b"kind" not in part:
-                continue
-            text = part.decode("utf-8")
-            body = re.sub(r"\A---[^\n]*", lambda m: " " * len(m[0]), text)
-            root = yaml.compose(body, Loader=loader)
-            if root is not None:
-                points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-                where = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
-                yield at, root, where
-        except (UnicodeDecodeError, yaml.YAMLError):
-            pass
-        finally:
-            at += len(part)
-
-
-def _child(node: object, key: str) -> object:
-    if getattr(node, "id", "") == "mapping":
-        for k, v in node.value:
-            if getattr(k, "value", None) == key:
-                return v
-    return None
+
+def _json(text: str) -> object:
+    """What JSON text stands for; None if it isn't JSON, or is nested too deeply."""
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
 
 
-def _scalar(node: object) -> str:
-    return node.value if getattr(node, "id", "") == "scalar" else ""
+def _field(doc: object, name: str) -> str:
+    """A field's text; empty if it is none."""
+    s = doc.get(name) if isinstance(doc, dict) else None
+    return s if isinstance(s, str) else ""
 
 
 def _decoded(value: object, encoded: bool) -> tuple[bytes | None, str]:
@@ -74,7 +67,7 @@ def _decoded(value: object, encoded: bool) -> tuple[bytes | None, str]:
         return None, "encrypted"
     if "{{" in s or "${" in s or ".Values" in s:
         return None, "templated"
-    out = s.encode("utf-8")
+    out = s.encode("utf-8", "replace")
     if encoded:
         plain = re.sub(r"[\r\n\s]", "", s)
         try:
@@ -89,18 +82,18 @@ def _decoded(value: object, encoded: bool) -> tuple[bytes | None, str]:
 def secrets_of(content: bytes) -> Iterator[Row]:
     """Every value of every Secret manifest, lists expanded: namespace, name, type, key, offset, end, value or skipped, offset of the kind."""
     for at, root, where in _yaml_documents(content, b"Secret"):
-        for doc in (root, *(getattr(_child(root, "items"), "value", ()) if _scalar(_child(root, "kind")).endswith("List") else ())):
+        for doc in (root, *(nodes.items(_child(root, "items")) if _scalar(_child(root, "kind")).endswith("List") else ())):
             kind = _child(doc, "kind")
             if _scalar(kind) != "Secret":
                 continue
             meta = _child(doc, "metadata")
             sops = _child(doc, "sops") is not None
             for field, encoded in (("data", True), ("stringData", False)):
-                for k, v in getattr(_child(doc, field), "value", ()) if getattr(_child(doc, field), "id", "") == "mapping" else ():
+                for k, v in nodes.items(_child(doc, field), "mapping"):
                     value, why = _decoded(v, encoded)
                     if value is not None and len(value) <= 64 and re.fullmatch(rb"<.*>|[xX]+|\*+|(?i:replace[-_ ]?me|change[-_ ]?me|change[-_ ]?it|placeholder|todo|tbd|fixme|dummy)|(?:REPLACE|CHANGE|YOUR|TODO|FIXME)_[^a-z]*", value):
                         value, why = None, "placeholder"
-                    yield {"namespace": _scalar(_child(meta, "namespace")), "name": _scalar(_child(meta, "name")), "type": _scalar(_child(doc, "type")), "sops": sops, "key": _scalar(k), "offset": at + int(where[k.start_mark.index]), "end": at + int(where[v.end_mark.index]), "value": value, "skipped": why or None, "kind_offset": at + int(where[kind.start_mark.index])}
+                    yield {"namespace": _scalar(_child(meta, "namespace")), "name": _scalar(_child(meta, "name")), "type": _scalar(_child(doc, "type")), "sops": sops, "key": _scalar(k), "offset": at + int(where[k.start]), "end": at + int(where[v.end]), "value": value, "skipped": why or None, "kind_offset": at + int(where[kind.start])}
 
 
 SECRET_FIELDS = [("namespace", pa.string()), ("name", pa.string()), ("type", pa.string()), ("sops", pa.bool_()), ("key", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("value", pa.binary()), ("skipped", pa.string()), ("kind_offset", pa.int64())]
@@ -172,76 +165,54 @@ def _token(provider: str, kind: str, value: str, offset: int, attribution: str =
     return {"provider": provider, "kind": kind, "value": value, "offset": offset, "checksum_verified": verified, "attribution": attribution, "secret": secret, "encrypted": encrypted}
 
 
+def _braces(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How deep in braces each brace stands (a pair has one number), their places, and which of them open; by depth, then place."""
+    data = np.frombuffer(content, np.uint8)
+    at = np.flatnonzero((data == 0x7B) | (data == 0x7D))
+    opens = data[at] == 0x7B
+    deep = np.cumsum(np.where(opens, 1, -1)) + ~opens
+    order = np.lexsort((at, deep))
+    return deep[order], at[order], opens[order]
+
+
+_TYPE = re.compile(rb'\\{0,8}"type\\{0,8}"\s{0,64}:\s{0,64}\\{0,8}"(service_account|authorized_user)["\\]')
+
+
 def cloud_documents(content: bytes) -> Iterator[Row]:
     """Service account keys and user credentials: JSON objects around their type, also where they stand escaped in a string."""
-    for m in re.finditer(rb'"(service_account|authorized_user)["\\]', content):
-        depth, start = 0, m.start()
-        while start > max(0, m.start() - MAX_JSON):
-            start -= 1
-            depth += {0x7D: 1, 0x7B: -1}.get(content[start], 0)
-            if depth < 0:
-                break
-        if depth >= 0:
+    marks = list(_TYPE.finditer(content))
+    if not marks:
+        return
+    deep, at, opens = _braces(content)
+    # in the order of places, how deep a place is in braces
+    by_place = np.sort(at)
+    depth = np.concatenate([[0], np.cumsum(np.where(np.frombuffer(content, np.uint8)[by_place] == 0x7B, 1, -1))])
+    size = len(content) + 1
+    code = deep.astype(np.int64) * size + at
+    known: set[int] = set()
+    for m in marks:
+        level = int(depth[np.searchsorted(by_place, m.start())])
+        k = int(np.searchsorted(code, level * size + m.start())) - 1
+        # braces of one depth open and close in turn, so the next one closes this
+        if k < 0 or k + 1 >= len(code) or not opens[k] or deep[k] != level or deep[k + 1] != level or k in known:
             continue
-        depth, end = 0, start
-        while end < min(len(content), start + MAX_JSON):
-            depth += {0x7B: 1, 0x7D: -1}.get(content[end], 0)
-            end += 1
-            if not depth:
-                break
+        start, end = int(at[k]), int(at[k + 1]) + 1
+        if m.start() - start > MAX_JSON or end - start > MAX_JSON:
+            continue
+        known.add(k)
         text = content[start:end].decode("utf-8", "replace")
-        doc = None
-        for t in (text, None):
-            try:
-                doc = json.loads(t if t is not None else json.loads(f'"{text}"'))
-                break
-            except ValueError:
-                continue
-        if not isinstance(doc, dict) or doc.get("type") != m[1].decode():
+        doc = _json(text)
+        if doc is None and isinstance(inner := _json(f'"{text}"'), str):
+            doc = _json(inner)
+        if _field(doc, "type") != m[1].decode():
             continue
         if m[1] == b"service_account":
-            mail, key = doc.get("client_email"), doc.get("private_key")
+            mail, key, name, project = (_field(doc, f) for f in ("client_email", "private_key", "private_key_id", "project_id"))
             if mail and key:
-                yield _token("gcp", "gcp-service-account-key", f"{mail}/{doc['private_key_id']}" if doc.get("private_key_id") else mail, start, f"project {doc['project_id']}" if doc.get("project_id") else "", json.dumps(doc))
-        elif doc.get("refresh_token"):
-            yield _token("gcp", "gcp-oauth-user-credentials", doc["refresh_token"], start, "ADC for OAuth client " + str(doc.get("client_id", "")).split("-")[0], json.dumps(doc))
-
-
-#: Registries by host.
-REGISTRIES = (("docker-hub-login", r"(?:^|\.)docker\.(?:io|com)$"), ("quay-login", r"^quay\.io$"), ("acr-login", r"\.azurecr\.io$"), ("ghcr-login", r"^ghcr\.io$"), ("gcr-login", r"(?:^|\.)gcr\.io$|-docker\.pkg\.dev$"), ("ecr-login", r"\.dkr\.ecr\.[a-z0-9-]+\.amazonaws\.com(?:\.cn)?$|^public\.ecr\.aws$"), ("harbor-login", r"(?:^|\.)harbor\."))
-
-
-def registry_logins(content: bytes) -> Iterator[Row]:
-    """Logins of container registries in configurations with `auths`, in clear or base64."""
-
-    def logins(text: bytes, at: int, layer: int) -> Iterator[Row]:
-        for m in re.finditer(rb'\{\s*"auths"\s*:', text):
-            try:
-                doc, _ = json.JSONDecoder().raw_decode(text[m.start() : m.start() + MAX_VALUE].decode("utf-8", "replace"))
-            except ValueError:
-                continue
-            for server, entry in sorted(doc["auths"].items()) if isinstance(doc["auths"], dict) else ():
-                if not isinstance(entry, dict):
-                    continue
-                user, password = entry.get("username") or "", entry.get("password") or ""
-                if entry.get("auth") and not password:
-                    try:
-                        user, _, password = base64.b64decode(entry["auth"], validate=True).decode("utf-8", "replace").partition(":")
-                    except (binascii.Error, ValueError):
-                        continue
-                if not password or "{{" in password or "${" in password:
-                    continue
-                host = re.sub(r"^https?://|/.*$", "", server).lower()
-                kind = next((k for k, p in REGISTRIES if re.search(p, host)), "registry-login")
-                yield _token("oci", kind, f"{host}/{user}", at if layer else at + m.start(), f"{host}, user {user or '<anonymous>'}" + (", temporary: expires within 12 hours of being minted" if kind == "ecr-login" else ""), password)
-        if layer < 2:
-            for m in re.finditer(rb"(?<![A-Za-z0-9+/])eyJ[A-Za-z0-9+/]{20,}={0,2}", text):
-                try:
-                    yield from logins(base64.b64decode(m[0] + b"=" * (-len(m[0]) % 4), validate=True), at if layer else at + m.start(), layer + 1)
-                except (binascii.Error, ValueError):
-                    continue
-
-    yield from logins(content, 0, 0)
+                yield _token("gcp", "gcp-service-account-key", f"{mail}/{name}" if name else mail, start, f"project {project}" if project else "", json.dumps(doc))
+                yield {"cls": "span", "provider": "gcp", "value": "", "offset": start, "end": end}
+        elif token := _field(doc, "refresh_token"):
+            yield _token("gcp", "gcp-oauth-user-credentials", token, start, "ADC for OAuth client " + _field(doc, "client_id").split("-")[0], json.dumps(doc))
 
 
 def _der_length(der: bytes, at: int) -> tuple[int, int]:
@@ -259,7 +230,7 @@ def kubeconfigs(content: bytes) -> Iterator[Row]:
     for at, root, where in _yaml_documents(content, b"Config"):
         if _scalar(_child(root, "kind")) != "Config":
             continue
-        items = lambda key: getattr(_child(root, key), "value", ()) if getattr(_child(root, key), "id", "") == "sequence" else ()  # noqa: B023, E731
+        items = lambda key: nodes.items(_child(root, key))  # noqa: B023, E731
         servers = {_scalar(_child(n, "name")): _scalar(_child(_child(n, "cluster"), "server")) for n in items("clusters")}
         cluster_of: dict[str, str] = {}
         for n in items("contexts"):
@@ -268,7 +239,7 @@ def kubeconfigs(content: bytes) -> Iterator[Row]:
         for n in items("users"):
             own = {k: _scalar(_child(_child(n, "user"), k)) for k in ("client-certificate-data", "client-key-data", "token", "username", "password")}
             server = servers.get(cluster_of.get(_scalar(_child(n, "name")), ""), "")
-            place, said = at + int(where[n.start_mark.index]), f", server {server}" if server else ""
+            place, said = at + int(where[n.start]), f", server {server}" if server else ""
             secret = json.dumps({"server": server} | {k: v for k, v in own.items() if v})
             if own["client-certificate-data"] and own["client-key-data"]:
                 if (cert := _pem_bytes(own["client-certificate-data"])) and _pem_bytes(own["client-key-data"]):
@@ -295,16 +266,17 @@ def _claims(token: str) -> tuple[str, str]:
     """Namespace and name of the service account that a signed token states, and its issuer; empty if it states none."""
     try:
         part = token.split(".")[1]
-        claims = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-        m = re.fullmatch("system:serviceaccount:([^:]+):([^:]+)", str(claims.get("sub", "")))
-        return "/".join(m.groups()) if m else "", str(claims.get("iss", ""))
-    except (IndexError, ValueError, AttributeError):
+        claims = _json(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)).decode("utf-8", "replace"))
+    except (IndexError, ValueError):
         return "", ""
+    m = re.fullmatch("system:serviceaccount:([^:]+):([^:]+)", _field(claims, "sub"))
+    return "/".join(m.groups()) if m else "", _field(claims, "iss")
 
 
 #: The parameters of a shared access signature; a bare one starts with one of them.
 SAS = ("sv", "ss", "srt", "sp", "se", "st", "spr", "sig", "sr", "si", "sip", "sdd", "skoid", "sktid", "skt", "ske", "sks", "skv")
-_QUERY = re.compile(rb"[A-Za-z0-9%&=._~:/+?@!$*-]*")
+_QUERY = re.compile(rb"[A-Za-z0-9%&=._~:/+?@!$*-]*+")
+_IN_QUERY = bytes(c for c in range(128) if _QUERY.fullmatch(bytes([c])))
 _BARE = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(SAS) + ")=")
 
 
@@ -315,8 +287,10 @@ def signatures(content: bytes) -> Iterator[Row]:
         if m.start() < done:
             continue
         start = m.start()
-        while start > 0 and _QUERY.fullmatch(content, start - 1, start):
-            start -= 1
+        while start > done and (before := content[max(done, start - 4096) : start]):
+            start -= len(before) - len(left := before.rstrip(_IN_QUERY))
+            if left:
+                break
         done = _QUERY.match(content, m.start()).end()
         raw = content[start:done].rstrip(b".,;:").decode()
         address, mark, query = raw.partition("?")
@@ -324,7 +298,10 @@ def signatures(content: bytes) -> Iterator[Row]:
             first = _BARE.search(raw)
             address, query = "", raw[first.start() :] if first else ""
             start, raw = start + (first.start() if first else 0), query
-        fields = parse_qs(query)
+        try:
+            fields = parse_qs(query, errors="replace")
+        except ValueError:
+            continue
         if all(fields.get(k) for k in ("sv", "se", "sig")):
             host = re.sub(r"^[^:]*://|/.*$", "", address)
             said = ", ".join(x for x in (host, "permissions " + fields["sp"][0] if "sp" in fields else "", "expires " + fields["se"][0]) if x)
@@ -430,13 +407,26 @@ def _is_sequence(der: bytes) -> bool:
     return at + n <= len(der)
 
 
+def blocks(content: bytes, begin: bytes) -> Iterator[tuple[re.Match[bytes], int]]:
+    """Each BEGIN line (its group is the label), and where its END line stands: the first thereafter of its label, within MAX_BLOCK and before the next BEGIN line, whose dashes no block may hold."""
+    started = list(re.finditer(begin, content))
+    if not started:
+        return
+    ends: dict[bytes, list[int]] = {}
+    for e in re.finditer(rb"-----END ([A-Z0-9 ]{0,64})-----", content):
+        ends.setdefault(e[1], []).append(e.start())
+    follows = [x.start() for x in re.finditer(rb"-----BEGIN ", content)]
+    for m in started:
+        own = ends.get(m[1], [])
+        k, after = bisect.bisect_left(own, m.end()), bisect.bisect_left(follows, m.end())
+        if k < len(own) and own[k] <= m.end() + MAX_BLOCK and (after == len(follows) or own[k] < follows[after]):
+            yield m, own[k]
+
+
 def private_keys(content: bytes) -> Iterator[Row]:
     """PEM private keys. OpenSSH keys are named by the fingerprint of the public half they contain, others by the hash of their SubjectPublicKeyInfo, as certificates are, or where that can't be read by a hash of their block."""
-    for m in re.finditer(rb"(?:(?<![A-Za-z0-9-])|(?<=\\[nr]))-----BEGIN ([A-Z0-9 ]{0,53}PRIVATE KEY)-----", content):
+    for m, stop in blocks(content, rb"(?:(?<![A-Za-z0-9-])|(?<=\\[nr]))-----BEGIN ([A-Z0-9 ]{0,53}PRIVATE KEY)-----"):
         label, offset = m[1].decode(), m.start()
-        stop = content.find(b"-----END " + m[1] + b"-----", m.end(), m.end() + MAX_BLOCK)
-        if stop < 0:
-            continue
         body = content[m.end() : stop].replace(b"\\r", b"").replace(b"\\n", b"\n")
         lines = body.split(b"\n")
         headers, rest = b"\n".join(x for x in lines if b":" in x), b"\n".join(x for x in lines if b":" not in x)
@@ -466,12 +456,9 @@ def private_keys(content: bytes) -> Iterator[Row]:
             locked = parts[0] != b"none"
             yield _token("privatekey", "ssh-private-key", "SHA256:" + base64.b64encode(hashlib.sha256(public).digest()).decode().rstrip("="), offset, algorithm + (", passphrase-protected" if locked else ""), None, locked, True)
         elif "SIGSTORE" in label or "COSIGN" in label:
-            try:
-                doc = json.loads(raw)
-            except ValueError:
-                continue
-            if doc.get("ciphertext"):
-                yield _token("privatekey", "cosign-private-key", block, offset, f"{doc.get('kdf', {}).get('name', '')}, {doc.get('cipher', {}).get('name', '')}", None, True)
+            doc = _json(raw.decode("utf-8", "replace"))
+            if _field(doc, "ciphertext"):
+                yield _token("privatekey", "cosign-private-key", block, offset, f"{_field(doc.get('kdf'), 'name')}, {_field(doc.get('cipher'), 'name')}", None, True)
         elif _is_sequence(raw) or b"ENCRYPTED" in headers:
             locked = label.startswith("ENCRYPTED") or b"ENCRYPTED" in headers
             spki = None if locked else spki_of(label, raw)
@@ -480,7 +467,44 @@ def private_keys(content: bytes) -> Iterator[Row]:
 
 def _whole(helper: Callable[[bytes], Iterator[Row]]) -> Callable[[bytes, object], Iterator[Row]]:
     """A helper that searches no values, as rows of the pass."""
-    return lambda content, tokens_in: (r | {"cls": "token", "shape": -1, "end": r["offset"]} for r in helper(content))
+    return lambda content, tokens_in: ({"cls": "token", "shape": -1, "end": r["offset"]} | r for r in helper(content))
+
+
+#: The setting that holds a receiver's keys, and the names of these.
+RECEIVER, RECEIVER_KEYS = "pagerduty_configs", ("routing_key", "service_key")
+
+
+def receiver_leaves(content: bytes, tokens_in: object) -> Iterator[Row]:
+    """The scalars of documents with receivers, as rows: path (as kind), value, place, and the document's offset."""
+    for at, path, value, start, end in nodes.leaves(content, RECEIVER.encode()):
+        yield {"cls": "leaf", "shape": -1, "provider": "pagerduty", "kind": path, "value": value, "offset": start, "end": end, "s_offset": at}
+
+
+def once(tokens: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """Tokens without the registry's own that stand where a login of the same object has them as its password."""
+    own = F.col("provider") == "oci"
+    first = F.row_number().over(W.partitionBy(*group, "kind", "value").orderBy(F.col("encoded").isNull(), "offset"))
+    return tokens.filter(~own).unionByName(tokens.filter(own).withColumn("_n", first).filter("_n = 1").drop("_n"))
+
+
+def receivers(hits: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """The keys of receivers in alerting configurations, with the receiver's name; the columns of hits."""
+    leaves = hits.filter(F.col("cls") == "leaf")
+    key = rf"^(.*)/{RECEIVER}/[0-9]+/({'|'.join(RECEIVER_KEYS)})\z"
+    keys = leaves.filter(F.col("kind").rlike(key) & F.col("value").rlike(r"^[0-9a-f]{32}\z")).withColumns({"_at": F.regexp_extract("kind", key, 1), "_key": F.regexp_extract("kind", key, 2)})
+    names = leaves.filter(F.endswith("kind", F.lit("/name"))).select(*group, "s_offset", F.regexp_replace("kind", r"/name\z", "").alias("_at"), F.col("value").alias("_name"))
+    said = F.concat("_key", F.lit(" of receiver "), F.coalesce("_name", F.lit("")), F.lit(" in Alertmanager config"))
+    quoted = F.col("end") - F.col("offset") == 34  # a value in quotes starts after the first
+    made = keys.join(names, [*group, "s_offset", "_at"], "left").withColumns({"cls": F.lit("token"), "kind": F.lit("pagerduty-routing-key"), "attribution": said, "offset": F.col("offset") + quoted.cast("int"), "s_offset": F.lit(None).cast("bigint")})
+    return made.select(*hits.columns)
+
+
+def with_receivers(hits: DataFrame, group: tuple[str, ...] = ("object_key",)) -> DataFrame:
+    """Hits with the keys of receivers; in an object a key is one token, the receiver's before those under a name, these in the order of names and places."""
+    routing = (F.col("cls") == "token") & (F.col("kind") == "pagerduty-routing-key") & F.col("within").isNull()
+    rest, named = hits.filter(~F.coalesce(routing, F.lit(False)) & (F.col("cls") != "leaf")), hits.filter(routing)
+    first = F.row_number().over(W.partitionBy(*group, "value").orderBy(F.col("shape") >= 0, "shape", "offset"))
+    return rest.unionByName(receivers(hits, group).unionByName(named).withColumn("_n", first).filter("_n = 1").drop("_n"))
 
 
 #: The kinds that the formats and the windowed runs give.
@@ -490,15 +514,15 @@ KINDS = (
 )
 #: Needles and helpers of all document formats.
 FORMATS: tuple[detectors.Format, ...] = (
-    (("service_account", "authorized_user"), _whole(cloud_documents)), (("auths", "dockerconfigjson", "eyJhdXRocyI6"), _whole(registry_logins)), (("PRIVATE KEY",), _whole(private_keys)),
-    (("Secret",), manifest_rows), (("Config",), _whole(kubeconfigs)), (("sig=",), _whole(signatures)), (("AGE-SECRET-KEY-1",), _whole(age_identities)),
+    (("service_account", "authorized_user"), _whole(cloud_documents)), (("auths", "dockerconfigjson", "Basic "), _whole(registry_logins)), (("PRIVATE KEY",), _whole(private_keys)),
+    (("Secret",), manifest_rows), (("Config",), _whole(kubeconfigs)), (("sig=",), _whole(signatures)), (("AGE-SECRET-KEY-1",), _whole(age_identities)), ((RECEIVER,), receiver_leaves),
 )
 
 
 def find(objects: DataFrame, content: str = "content", keep: tuple[str, ...] = ("object_key",)) -> DataFrame:
     """Tokens of all document formats but Secret manifests; the columns of detectors.find, and secret and encrypted."""
-    found = detectors.hits(objects, (), tuple(f for f in FORMATS if f[1] is not manifest_rows), content=content, keep=keep)
-    return found.select(*keep, "provider", "kind", "value", "offset", "line", "checksum_verified", "attribution", "secret", "encrypted")
+    found = detectors.hits(objects, (), tuple(f for f in FORMATS if f[1] not in (manifest_rows, receiver_leaves)), content=content, keep=keep)
+    return found.filter(F.col("cls") == "token").select(*keep, "provider", "kind", "value", "offset", "line", "checksum_verified", "attribution", "secret", "encrypted")
 
 
 def fingerprinted(tokens: DataFrame) -> DataFrame:

@@ -180,9 +180,9 @@ def storage_accounts(hits: DataFrame, group: tuple[str, ...] = ("object_key",))
 
 
 def registry_users(hits: DataFrame, group: tuple[str, ...] = ("object_key",), window: int = WINDOW) -> DataFrame:
-    """Hub tokens with the username written nearest to them, within a window on either side."""
+    """Hub tokens with the username written nearest to them, within a window on either side; a login's are its user's."""
     gap = lambda k, c: F.greatest(k["start"] - c["start"], c["start"] - k["end"], F.lit(0))
-    out = paired(hits, F.col("kind").isin("docker-hub-pat", "docker-hub-oat"), {"_u": [F.col("cls") == "hub-user"]}, lambda k, c: F.struct((-gap(k, c)).alias("gap")), group=group)
+    out = paired(hits, F.col("kind").isin("docker-hub-pat", "docker-hub-oat") & F.col("encoded").isNull(), {"_u": [F.col("cls") == "hub-user"]}, lambda k, c: F.struct((-gap(k, c)).alias("gap")), group=group)
     far = F.greatest(F.col("offset") - F.col("_u.start"), F.col("_u.start") - F.col("end"))
     user = F.when(far <= window, F.col("_u.value"))
     return _made(out, group, user, F.coalesce(F.concat(F.lit(SAID["user"]), user), F.lit(SAID["no user"])))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from . import detectors
-from .documents import BECH32, EC_ID, MAX_BLOCK, RSA_ID, _bech32_sum, _child, _scalar, _values, _yaml_documents, secrets_of
+from .documents import BECH32, EC_ID, RSA_ID, _bech32_sum, _child, _scalar, _values, _yaml_documents, blocks, secrets_of
 
 Row = detectors.Row
 
@@ -133,10 +133,7 @@ def pinned_by(content: bytes) -> str:
 def pem_blocks(content: bytes, now: datetime | None = None) -> Iterator[Row]:
     """Public keys and certificates by the hash of their SubjectPublicKeyInfo, which private keys are named by. now: what expiry is told against."""
     now, pinned = now or datetime.now(UTC), None
-    for m in re.finditer(rb"-----BEGIN (CERTIFICATE|PUBLIC KEY)-----", content):
-        stop = content.find(b"-----END " + m[1] + b"-----", m.end(), m.start() + MAX_BLOCK)
-        if stop < 0:
-            continue
+    for m, stop in blocks(content, rb"-----BEGIN (CERTIFICATE|PUBLIC KEY)-----"):
         try:
             body = content[m.end() : stop].replace(b"\\r", b"").replace(b"\\n", b"\n")
             der = base64.b64decode(re.sub(rb"[\s\"']+", b"", body), validate=True)

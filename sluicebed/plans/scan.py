@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import attribution, detectors, documents, findings, hosts, nearest, sightings
+from ..operators import attribution, detectors, documents, findings, hosts, nearest, peers, sightings, spans
 from ..sources.tables import cut
 
 MAX_OBJECT = 10 << 20
@@ -39,6 +39,15 @@ def stats(objects: DataFrame, max_object: int = MAX_OBJECT) -> DataFrame:
     return objects.groupBy("target").agg(F.count("*").alias("objects"), F.count_if(~large).alias("scanned"), F.count_if(large).alias("skipped_large"), F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("bytes"))
 
 
+def free(tokens: DataFrame, hits: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """Tokens without a registry's that stand in base64 text which was read as logins, and private keys in service account documents."""
+    of = F.when(F.col("provider") == "gcp", "privatekey").otherwise("oci")
+    held = hits.filter(F.col("cls") == "span").select(*group, "offset", "end", of.alias("provider"))
+    may = (F.col("provider") == "oci") & F.col("encoded").isNull() | (F.col("provider") == "privatekey")
+    may = F.coalesce(may & F.col("within").isNull(), F.lit(False))
+    return tokens.filter(~may).unionByName(spans.outside(tokens.filter(may), held, (*group, "provider")))
+
+
 def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = MAX_OBJECT, history: dict[str, DataFrame] | None = None) -> Result:
     """Tokens with their companions, findings by target, counts, server addresses, and the files that name a key's public half.
 
@@ -49,13 +58,15 @@ def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = M
     sha = F.sha2("content", 256)
     hits = cut(detectors.hits(own.withColumn("sha", sha), detectors.SHAPES, documents.FORMATS + sightings.FORMATS, nearest.COMPANIONS, keep=("target", "object_key", "object_type", "path", "sha")))
     group = ("target", "object_key", "sha")
-    found = documents.rescanned(hits, group)
+    hits = documents.with_receivers(hits, group)
+    found = free(documents.rescanned(hits, group), hits, group)
     said = nearest.all_companions(hits, group).withColumnsRenamed({"secret": "_secret", "attribution": "_said"})
     tokens = found.join(said, [*group, "offset", "value", "kind"], "left").filter((F.col("kind") != "azure-storage-account-key") | F.col("_said").isNotNull())
     within = F.when(F.col("within").isNotNull(), F.col("attribution"))
     tokens = tokens.withColumns({"attribution": F.coalesce(within, "_said", "attribution"), "secret": F.coalesce("_secret", "secret")})
     inside = found.filter(F.col("kind") == "gcp-oauth-user-credentials").select(*group, "value", F.lit("gcp-oauth-refresh-token").alias("kind"))
     tokens = tokens.join(inside, [*group, "value", "kind"], "left_anti")  # a refresh token in a document is the document's
+    tokens = peers.with_peers(documents.once(tokens, group))
     tokens = tokens.select("target", "object_key", "object_type", "path", "provider", "kind", "value", "offset", "line", "checksum_verified", "attribution", "secret", "encrypted")
     tokens = findings.ignored(findings.classified(tokens), ignore)
     if history:
