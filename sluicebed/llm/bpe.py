@@ -24,7 +24,6 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -266,8 +265,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
     held = encoded.sparkSession.sparkContext.broadcast(names)
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: "" if x is None else " ".join(held.value[int(i)] for i in x))
+    @F.arrow_udf("string")
+    def text(ids: pa.Array) -> pa.Array:
+        return pa.array(["" if x is None else " ".join(held.value[i] for i in x) for x in ids.to_pylist()], pa.string())
 
     return encoded.withColumn("decoded", text(F.col(ids_col)))
