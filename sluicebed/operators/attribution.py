@@ -27,69 +27,100 @@ def with_commits(hits: DataFrame, object_intro: DataFrame, commits: DataFrame) -
     return out.join(one, ["repo", "_intro"], "left").drop("_intro")
 
 
-def chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(repo, sha, head): the descendant that stands for each commit. A commit with one child that no start points at shares its child's head.
-
-    Pointers are doubled, one row a commit, so a history of depth n takes log2(n) rounds, each cut by a checkpoint.
-    """
-    from ..sources.tables import cut
-
-    every = edges.select("repo", "sha").union(edges.select("repo", "parent")).union(starts.select("repo", "sha")).distinct()
-    only = edges.groupBy("repo", F.col("parent").alias("sha")).agg(F.min("sha").alias("child"), F.max("sha").alias("other")).filter(F.col("child") == F.col("other")).select("repo", "sha", "child")
-    only = only.join(starts.select("repo", "sha"), ["repo", "sha"], "left_anti")
-    now = cut(every.join(only, ["repo", "sha"], "left").select("repo", "sha", F.coalesce("child", "sha").alias("head")))
-    while True:
-        further = now.select("repo", F.col("sha").alias("head"), F.col("head").alias("next"))
-        then = cut(now.join(further, ["repo", "head"]).select("repo", "sha", F.col("next").alias("head"), (F.col("next") != F.col("head")).alias("moved")))
-        now = then.drop("moved")
-        if then.filter("moved").isEmpty():
-            return now
+def edges_of(commits: DataFrame) -> DataFrame:
+    """repo, sha, parent, and whether it is the first."""
+    return commits.select("repo", "sha", F.posexplode("parents").alias("_n", "parent")).select("repo", "sha", "parent", (F.col("_n") == 0).alias("first"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(repo, start, sha): every commit that a start reaches, itself included; of the wanted ones (repo, sha) if given. edges: repo, sha, parent; starts: repo, start, sha.
+def chain_index(edges: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where commits stand in chains (repo, sha, chain, pos), and the links that change chains (repo, chain, pos, to_chain, to_pos). more: repo, sha of commits that no edge may have.
 
-    Chains are contracted first; what is followed breadth first are pairs of a start and a chain, each once, and a round is
-    as far as from one branching to the next. Rounds are as many as it takes; each is cut by a checkpoint of its own pairs.
+    A chain follows first parents, from a commit to that of its children which has most descendants by first parents, so a path
+    over first parents changes chains at most log2(n) times. Descendants are counted, and places found, by doubling pointers: one
+    row a commit and half of log2 of the longest chain of rounds, each cut by a written table.
     """
-    from functools import reduce
+    from ..sources.tables import cut
 
+    every = edges.select("repo", "sha").union(edges.select("repo", "parent")).union(more.select("repo", "sha")).distinct()
+    parent = edges.filter("first").groupBy("repo", "sha").agg(F.min("parent").alias("up"))
+    tree = cut(every.join(parent, ["repo", "sha"], "left"))
+    now = cut(tree.withColumn("size", F.lit(1).cast("bigint")))
+
+    def counted(now: DataFrame) -> DataFrame:
+        below = now.filter("up is not null").groupBy("repo", F.col("up").alias("sha")).agg(F.sum("size").alias("_more"))
+        further = now.select("repo", F.col("sha").alias("up"), F.col("up").alias("_next"))
+        then = now.join(below, ["repo", "sha"], "left").join(further, ["repo", "up"], "left")
+        return then.select("repo", "sha", F.col("_next").alias("up"), (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
+
+    while not now.filter("up is not null").isEmpty():
+        now = cut(counted(counted(now)), now)  # two steps a round
+    sized = tree.join(now.select("repo", "sha", "size"), ["repo", "sha"])
+    heavy = cut(sized.filter("up is not null").groupBy("repo", F.col("up").alias("sha")).agg(F.max_by("sha", F.struct("size", "sha")).alias("to")), now)
+    at = cut(tree.select("repo", "sha").join(heavy, ["repo", "sha"], "left").select("repo", "sha", F.coalesce("to", "sha").alias("to"), F.col("to").isNotNull().cast("bigint").alias("pos"), F.col("to").isNotNull().alias("moved")), tree)
+
+    def moved(at: DataFrame) -> DataFrame:
+        further = at.select("repo", F.col("sha").alias("to"), F.col("to").alias("_next"), F.col("pos").alias("_more"))
+        return at.join(further, ["repo", "to"]).select("repo", "sha", F.col("_next").alias("to"), (F.col("pos") + F.col("_more")).alias("pos"), (F.col("_more") > 0).alias("moved"))
+
+    while not at.filter("moved").isEmpty():
+        at = cut(moved(moved(at)), at)
+    heavy = heavy.select("repo", F.col("sha").alias("parent"), F.col("to").alias("sha"))
+    place = at.select("repo", "sha", F.col("to").alias("chain"), "pos")
+    links = edges.select("repo", "sha", "parent").distinct().join(heavy, ["repo", "sha", "parent"], "left_anti")
+    links = links.join(place, ["repo", "sha"]).join(place.select("repo", F.col("sha").alias("parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos")), ["repo", "parent"])
+    return place, cut(links.groupBy("repo", "chain", "to_chain", "to_pos").agg(F.max("pos").alias("pos")))
+
+
+def furthest(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(repo, start, chain, pos): the least position that each start reaches in each chain. labels: the same of the starts themselves; links: repo, chain, pos, to_chain, to_pos.
+
+    From a position all greater ones of its chain are reached, and with them their links. A round follows the links of the labels
+    that the last one has improved; there is one label a start and chain, and there are as many rounds as a path has to change chains.
+    """
     from ..sources.tables import cut
 
-    head_of = chains(edges, starts)
-    heads = head_of.filter(F.col("sha") == F.col("head")).select("repo", F.col("sha").alias("parent"))
-    steps = cut(edges.join(heads, ["repo", "parent"], "left_semi").join(head_of, ["repo", "sha"]).select("repo", "head", "parent").filter("head <> parent").distinct())
-    new = cut(starts.select("repo", "start", F.col("sha").alias("head")).distinct())
-    seen = [new]
-    while not new.isEmpty():
-        step = new.join(steps, ["repo", "head"]).select("repo", "start", F.col("parent").alias("head")).distinct()
-        new = cut(step.join(reduce(DataFrame.union, seen), ["repo", "start", "head"], "left_anti"))
-        seen.append(new)
-        if len(seen) > 16:
-            seen = [cut(reduce(DataFrame.union, seen))]
-    members = head_of.join(wanted.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi") if wanted is not None else head_of
-    return reduce(DataFrame.union, seen).join(members, ["repo", "head"]).select("repo", "start", "sha")
+    met = cut(labels.groupBy("repo", "start", "chain").agg(F.min("pos").alias("pos")).withColumn("improved", F.lit(True)))
+    by = links.select("repo", "chain", F.col("pos").alias("_from"), "to_chain", "to_pos")
+    while not met.filter("improved").isEmpty():
+        led = met.filter("improved").join(by, ["repo", "chain"]).filter(F.col("_from") >= F.col("pos")).groupBy("repo", "start", F.col("to_chain").alias("chain")).agg(F.min("to_pos").alias("_pos"))
+        both = met.drop("improved").join(led, ["repo", "start", "chain"], "full").withColumn("improved", F.coalesce(F.col("_pos") < F.col("pos"), F.col("pos").isNull()))
+        met = cut(both.select("repo", "start", "chain", F.least("pos", "_pos").alias("pos"), "improved"), met)
+    return met.drop("improved")
 
 
-def edges_of(commits: DataFrame) -> DataFrame:
-    return commits.select("repo", "sha", F.explode("parents").alias("parent"))
+def reachable(commits: DataFrame, starts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(repo, start, sha): every commit that a start reaches, itself included; of the wanted ones (repo, sha) if given. starts: repo, start, sha.
+
+    With wanted commits the walk is from these to what descends from them, so there are as many labels as wanted commits and
+    chains above them; else from the starts.
+    """
+    ends = starts.select("repo", "sha") if wanted is None else starts.select("repo", "sha").union(wanted.select("repo", "sha"))
+    place, links = chain_index(edges_of(commits), ends)
+    at = starts.select("repo", "start", "sha").distinct().join(place, ["repo", "sha"]).select("repo", "start", "chain", "pos")
+    if wanted is None:
+        reach = furthest(at, links)
+        return reach.withColumnRenamed("pos", "_least").join(place, ["repo", "chain"]).filter(F.col("pos") >= F.col("_least")).select("repo", "start", "sha")
+    back = links.select("repo", F.col("to_chain").alias("chain"), (-F.col("to_pos")).alias("pos"), F.col("chain").alias("to_chain"), (-F.col("pos")).alias("to_pos"))
+    own = wanted.select("repo", "sha").distinct().join(place, ["repo", "sha"]).select("repo", F.col("sha").alias("start"), "chain", (-F.col("pos")).alias("pos"))
+    above = furthest(own, back).select("repo", F.col("start").alias("sha"), "chain", (-F.col("pos")).alias("_most"))
+    return above.join(at, ["repo", "chain"]).filter(F.col("pos") <= F.col("_most")).select("repo", "start", "sha")
 
 
 def refs_containing(commits: DataFrame, refs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(repo, sha, refs): the names of the refs that contain each commit, or each of the wanted ones, sorted; orphaned commits are left out."""
-    closed = reachable(edges_of(commits), refs.select("repo", F.col("refname").alias("start"), "sha"), wanted)
+    closed = reachable(commits, refs.select("repo", F.col("refname").alias("start"), "sha"), wanted)
     return closed.groupBy("repo", "sha").agg(F.array_sort(F.collect_set("start")).alias("refs"))
 
 
 def orphans(commits: DataFrame, refs: DataFrame) -> DataFrame:
     """Commits that no ref reaches."""
-    closed = reachable(edges_of(commits), refs.select("repo", F.lit("").alias("start"), "sha"))
+    closed = reachable(commits, refs.select("repo", F.lit("").alias("start"), "sha"))
     return commits.join(closed.select("repo", "sha"), ["repo", "sha"], "left_anti")
 
 
 def rewrites_of(orphaned: DataFrame, commits: DataFrame, rewrites: DataFrame) -> DataFrame:
     """Orphaned commits with the first rewrite whose earlier head descends from them. rewrites: repo, before, ord, text."""
-    closed = reachable(edges_of(commits), rewrites.select("repo", F.col("before").alias("start"), F.col("before").alias("sha")), orphaned)
+    closed = reachable(commits, rewrites.select("repo", F.col("before").alias("start"), F.col("before").alias("sha")), orphaned)
     own = closed.join(rewrites.select("repo", F.col("before").alias("start"), "ord", "text"), ["repo", "start"])
     first = own.groupBy("repo", "sha").agg(F.min_by("text", "ord").alias("rewrite"))
     return orphaned.join(first, ["repo", "sha"], "left")

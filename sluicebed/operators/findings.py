@@ -57,10 +57,14 @@ def rank(status: Column, opaque: Column) -> Column:
     return F.when(status == "active", 0).when(status == "revoked", 3).when(opaque, 2).otherwise(1)
 
 
-def ordered(found: DataFrame) -> DataFrame:
+def order_of(found: DataFrame) -> Column:
     """By rank, passphrase-protected ones last, then kind and fingerprint."""
     col = lambda n, d: F.coalesce(F.col(n), F.lit(d)) if n in found.columns else F.lit(d)
-    return found.orderBy(rank(col("status", ""), col("opaque", False)), col("encrypted", False), "kind", "fingerprint")
+    return F.struct(rank(col("status", ""), col("opaque", False)).alias("rank"), col("encrypted", False).alias("encrypted"), F.col("kind"), F.col("fingerprint"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    return found.orderBy(order_of(found))
 
 
 def merged(found: DataFrame) -> DataFrame:

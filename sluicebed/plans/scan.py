@@ -48,11 +48,12 @@ def free(tokens: DataFrame, hits: DataFrame, group: tuple[str, ...]) -> DataFram
     return tokens.filter(~may).unionByName(spans.outside(tokens.filter(may), held, (*group, "provider")))
 
 
-def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = MAX_OBJECT, history: dict[str, DataFrame] | None = None) -> Result:
+def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = MAX_OBJECT, history: dict[str, DataFrame] | None = None, listing: DataFrame | None = None) -> Result:
     """Tokens with their companions, findings by target, counts, server addresses, and the files that name a key's public half.
 
     Contents are read by two narrow passes, for tokens and for addresses, and go no further: what is shuffled are hits. history: the tables of sources.trees.history,
-    with target as repo; with it, tokens get path, commit, refs and how they can be reached.
+    with target as repo; with it, tokens get path, commit, refs and how they can be reached. listing: the objects without their contents, from which
+    the counts are taken where it is given.
     """
     own = scanned(objects, max_object)
     sha = F.sha2("content", 256)
@@ -79,7 +80,7 @@ def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = M
     text = V.bytes_view(F.col("content"))
     origins = F.concat(*(F.when(F.contains("content", F.lit(f"{p}.".encode())), F.transform(hosts.instances(text, p), lambda o, p=p: F.struct(F.lit(p).alias("provider"), o.alias("origin")))).otherwise(F.array().cast("array<struct<provider:string,origin:string>>")) for p in hosts.VENDORS))
     named = seen.select("target", "object_key", F.explode(origins).alias("o")).select("target", "object_key", "o.provider", "o.origin")
-    return Result(tokens, findings.findings(tokens), stats(objects, max_object), named, sightings.unlocks(tokens, public))
+    return Result(tokens, findings.findings(tokens), stats(objects if listing is None else listing, max_object), named, sightings.unlocks(tokens, public))
 
 
 def located(tokens: DataFrame, history: dict[str, DataFrame]) -> DataFrame:
@@ -96,13 +97,47 @@ def located(tokens: DataFrame, history: dict[str, DataFrame]) -> DataFrame:
     return hits.withColumns({"path": F.coalesce("path", "_path"), "reachable": how}).drop("_path", "rewrite").withColumnRenamed("repo", "target")
 
 
+def shown(found: DataFrame, show_secrets: bool = False) -> DataFrame:
+    """Findings without values and secrets, unless these are asked for."""
+    return found if show_secrets else found.drop("value", "secret")
+
+
 def report(found: DataFrame, show_secrets: bool = False) -> DataFrame:
-    """Findings as JSON texts, one a row; values and secrets only where asked for."""
-    hidden = [] if show_secrets else ["value", "secret"]
-    rows = found.drop(*hidden)
+    """Findings as JSON texts, one a row."""
+    rows = shown(found, show_secrets)
     return rows.select("target", "fingerprint", F.to_json(F.struct(*rows.columns)).alias("json"))
 
 
+def document(results: DataFrame, found: DataFrame, show_secrets: bool = False) -> DataFrame:
+    """ord and line of one JSON document {"summary": ..., "results": [...]}: the summary's counts, then each target with its own, and after it its findings in the order of findings.ordered().
+
+    A line is one finding, or the head or tail of a target or of the document, so nothing is gathered: written by ranges of ord,
+    the files one after another are the document. results: target, files, error, skipped, objects, bytes.
+    """
+    rows = shown(found, show_secrets)
+    place = findings.order_of(found)
+    own = rows.select("target", F.struct(F.lit(1).alias("part"), place.alias("place")).alias("at"), F.to_json(F.struct(*(c for c in rows.columns if c != "target"))).alias("line"))
+    none = F.lit(None).cast(own.schema["at"].dataType["place"].dataType)
+    first = own.groupBy("target").agg(F.min("at").alias("first"))
+    own = own.join(first, "target").select("target", "at", F.concat(F.when(F.col("at") == F.col("first"), "").otherwise(","), "line").alias("line"))
+    least = results.agg(F.min("target").alias("_least"))
+    own_results = results.join(F.broadcast(least))  # one row
+    head = F.to_json(F.struct(*results.columns))
+    opened = F.concat(F.when(F.col("target") == F.col("_least"), "").otherwise(","), F.left(head, F.length(head) - 1), F.lit(',"findings":['))
+    heads = own_results.select("target", F.struct(F.lit(0).alias("part"), none.alias("place")).alias("at"), opened.alias("line"))
+    tails = own_results.select("target", F.struct(F.lit(2).alias("part"), none.alias("place")).alias("at"), F.lit("]}").alias("line"))
+    lines = heads.unionByName(own.join(results.select("target"), "target", "left_semi")).unionByName(tails).select(F.struct(F.lit(1).alias("part"), "target", "at").alias("ord"), "line")
+    counts = findings.summary(results, found)
+    edge = lambda part: F.struct(F.lit(part).alias("part"), F.lit(None).cast("string").alias("target"), F.lit(None).cast(lines.schema["ord"].dataType["at"].dataType).alias("at")).alias("ord")
+    top = counts.select(edge(0), F.concat(F.lit('{"summary":'), F.to_json(F.struct(*counts.columns)), F.lit(',"results":[')).alias("line"))
+    return top.unionByName(lines).unionByName(counts.select(edge(2), F.lit("]}").alias("line")))
+
+
+def write_document(lines: DataFrame, path: str, parts: int = 200) -> None:
+    """The lines of document() as text files whose names are in their order."""
+    lines.repartitionByRange(parts, "ord").sortWithinPartitions("ord").select("line").write.text(path)
+
+
 def exit_code(findings_: int, failed: int) -> int:
     """1 with findings, 2 if targets failed and nothing was found, else 0."""
     return 1 if findings_ else 2 if failed else 0

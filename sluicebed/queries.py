@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import values as V
 from .operators import attribution, detectors, documents, findings, hints, hosts, nearest, peers, servers, sightings, spans
-from .plans import verdicts
+from .plans import scan, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -360,6 +360,34 @@ def orphan_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.orphans(*_history(spark, sf_dir)).select("sha")
 
 
+# One repository of all orders: of ten commits five stand on the mainline and five on a side branch, which the next ten's first merges.
+@query("""WITH o AS (SELECT o_orderkey AS n FROM orders), r AS (SELECT n, 'refs/tags/t' || n::VARCHAR AS name FROM o WHERE n % 1000 = 7 UNION ALL SELECT n, 'refs/heads/b' || n::VARCHAR FROM o WHERE n % 3000 = 502)
+SELECT 'c' || o.n::VARCHAR AS sha, string_agg(name, ',' ORDER BY name) AS refs FROM o JOIN r ON r.n >= o.n AND (o.n // 10 < r.n // 10 OR r.n % 10 >= 5 OR o.n % 10 < 5) WHERE o.n % 1000 IN (333, 6) GROUP BY o.n""")
+def mainline_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refs that contain some commits of a long mainline with many merged branches, walked from these commits."""
+    n = F.col("o_orderkey")
+    sha = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    parents = F.when(n == 0, F.array().cast("array<string>")).when(n % 10 == 0, F.array(sha(n - 6), sha(n - 1))).otherwise(F.array(sha(n - 1)))
+    o = table(spark, sf_dir, "orders")
+    repo = F.lit("r").alias("repo")
+    tags = o.filter(n % 1000 == 7).select(repo, F.concat(F.lit("refs/tags/t"), n.cast("string")).alias("refname"), sha(n).alias("sha"))
+    refs = tags.union(o.filter(n % 3000 == 502).select(repo, F.concat(F.lit("refs/heads/b"), n.cast("string")), sha(n)))
+    wanted = o.filter((n % 1000).isin(333, 6)).select(repo, sha(n).alias("sha"))
+    return attribution.refs_containing(o.select(repo, sha(n).alias("sha"), parents.alias("parents")), refs, wanted).select("sha", F.array_join("refs", ",").alias("refs"))
+
+
+@query(f"WITH {_ORDERED} SELECT 'c' || k::VARCHAR AS sha, CASE WHEN n = last THEN 'second of ' ELSE 'first of ' END || c::VARCHAR AS rewrite FROM o WHERE n > greatest(last - 2, last // 7 * 7)")
+def rewritten_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewrite that orphaned each orphaned order: the first whose earlier head descends from it; the last order's own comes second."""
+    commits, refs = _history(spark, sf_dir)
+    of = W.partitionBy("o_custkey")
+    o = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(of.orderBy("o_orderkey"))).withColumn("last", F.count("*").over(of))
+    repo = F.col("o_custkey").cast("string")
+    word = F.when(F.col("n") == F.col("last"), "second of ").otherwise("first of ")
+    rewrites = o.filter("n >= last - 1").select(repo.alias("repo"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("before"), F.when(F.col("n") == F.col("last"), 2).otherwise(1).alias("ord"), F.concat(word, repo).alias("text"))
+    return attribution.rewrites_of(attribution.orphans(commits, refs).select("repo", "sha"), commits, rewrites).select("sha", "rewrite")
+
+
 @query("""WITH n AS (SELECT n_regionkey, n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN 'tag ' || n_name WHEN 2 THEN 'PR #' || n_nationkey::VARCHAR WHEN 3 THEN 'origin/main' ELSE 'refs/notes/' || n_name END AS label,
 CASE n_nationkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 0 ELSE 4 END AS g FROM nation), u AS (SELECT n_regionkey, label, min(g) AS g, min(n_nationkey) AS i FROM n GROUP BY 1, 2), o AS (SELECT n_regionkey, list(label ORDER BY g, i) AS l FROM u GROUP BY 1)
 SELECT n_regionkey, array_to_string(l[1:3], ', ') || CASE WHEN len(l) > 3 THEN ', +' || (len(l) - 3)::VARCHAR || ' more' ELSE '' END AS refs FROM o""")
@@ -540,6 +568,17 @@ def peer_passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.with_peers(tokens).select("object_key", "kind", "value", "attribution")
 
 
+@query(f"""WITH d AS (SELECT doc_id, source AS target, doc_id::VARCHAR AS k, doc_id % 3 AS m, 'npm_' || substr({_sql_seeded("peer")}, 1, 36) AS npm, 'dckr_pat_' || substr({_sql_seeded("peer")}, 1, 30) AS hub FROM documents),
+v AS (SELECT target, CASE m WHEN 1 THEN 'docker-hub-pat' ELSE 'ghcr-login' END AS kind, CASE m WHEN 1 THEN hub ELSE 'ghcr.io/u' || k END AS value, m = 0 AS peer FROM d UNION ALL SELECT target, 'npm-access-token', npm, false FROM d WHERE m = 0)
+SELECT target, kind, count(*)::BIGINT AS findings, count(CASE WHEN peer THEN 1 END)::BIGINT AS with_peers FROM v GROUP BY 1, 2""")
+def whole_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over documents as blobs of the repositories that their sources are: findings by target and kind, and how many logins' passwords are others' tokens."""
+    d = _logins(spark, sf_dir)
+    objects = d.select("target", "object_key", F.lit("blob").alias("object_type"), F.lit(None).cast("string").alias("path"), F.octet_length("content").cast("bigint").alias("size"), "content")
+    found = scan.run(objects, max_object=0).findings
+    return found.groupBy("target", "kind").agg(F.count("*").alias("findings"), F.count_if(F.col("attribution").contains("password is a npm access token")).alias("with_peers"))
+
+
 # Spans and places of a line table: a line is a span of its quantity's length from its part number, and a place at half of it.
 @query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS s, l_partkey + l_quantity::BIGINT * 20 AS e, l_partkey + (l_suppkey % 40) * 9 AS p FROM lineitem)
 SELECT a.k AS l_orderkey, a.n AS l_linenumber FROM l a ANTI JOIN (SELECT * FROM l WHERE n % 2 = 0) b ON a.k = b.k AND a.p >= b.s AND a.p < b.e""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder, so that later steps neither make it again nor plan it again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back, so that later steps neither make it again nor plan it again: what a checkpoint keeps of its plan (bounds of columns) grows with every round of a loop. done: tables of earlier cuts that nothing reads after this one."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    for t in done:
+        old = spark._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+    return made

@@ -1,7 +1,9 @@
 """File trees and git object databases as Spark sources.
 
 Both list what there is when the job is planned, without contents, and deal it into partitions of about PART_BYTES; each task
-reads the contents of its own. The folder must be one that every executor sees. Register with register(spark).
+reads the contents of its own. Filters on what the listing knows (type, size, path, key) are pushed into it, so that objects
+nobody wants are never read; with the option contents=false none is. The folder must be one that every executor sees. Register
+with register(spark).
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 PART_BYTES = 64 << 20
 MAX_OBJECT = 10 << 20
@@ -38,14 +40,36 @@ def dealt(items: Iterator[tuple[str, str, int]], limit: int) -> list[Part]:
     return [*parts, Part(now)]
 
 
+#: How filters that can be pushed test a value that isn't null.
+_TESTS = {
+    EqualTo: lambda v, x: v == x, In: lambda v, x: v in x, LessThan: lambda v, x: v < x, LessThanOrEqual: lambda v, x: v <= x, GreaterThan: lambda v, x: v > x, GreaterThanOrEqual: lambda v, x: v >= x,
+    StringStartsWith: lambda v, x: v.startswith(x), StringEndsWith: lambda v, x: v.endswith(x), StringContains: lambda v, x: x in v, IsNotNull: lambda v, x: True,
+}
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.root = os.path.abspath(options["path"])
         self.limit = int(options.get("max_object", MAX_OBJECT)) or 1 << 62
         self.target = options.get("target", os.path.basename(self.root))
+        if options.get("contents", "true").lower() == "false":
+            self.limit = -1
+        self.wanted: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Keeps those that the listing can answer; gives back the others."""
+        for f in filters:
+            if type(f) in _TESTS and f.attribute[0] in ("target", "object_key", "object_type", "path", "size"):
+                self.wanted.append(f)
+            else:
+                yield f
+
+    def fits(self, key: str, kind: str, path: str | None, size: int) -> bool:
+        known = {"target": self.target, "object_key": key, "object_type": kind, "path": path, "size": size}
+        return all((v := known[f.attribute[0]]) is not None and _TESTS[type(f)](v, getattr(f, "value", None)) for f in self.wanted)
 
     def row(self, key: str, kind: str, path: str | None, size: int, content: bytes | None) -> tuple:
-        return self.target, key, kind, path, size, size > self.limit, content
+        return self.target, key, kind, path, size, 0 <= self.limit < size, content
 
 
 class TreeReader(_Reader):
@@ -62,7 +86,7 @@ class TreeReader(_Reader):
                     yield full, os.path.relpath(full, os.path.realpath(self.root)).replace(os.sep, "/"), os.path.getsize(full)
 
     def partitions(self) -> list[Part]:
-        return dealt(self.files(), self.limit)
+        return dealt((f for f in self.files() if self.fits(f[1], "file", f[1], f[2])), self.limit)
 
     def read(self, partition: Part) -> Iterator[tuple]:
         for full, path, size in partition.items:
@@ -84,7 +108,8 @@ class GitReader(_Reader):
         """Every blob, commit and tag of the database, reached by a ref or not."""
         listed = self.git("cat-file", "--batch-all-objects", "--batch-check", "--unordered").stdout.decode().splitlines()
         objects = (line.split(" ") for line in listed)
-        return dealt(((sha, kind, int(size)) for sha, kind, size in (o for o in objects if len(o) == 3 and o[2].isdigit()) if kind in ("blob", "commit", "tag")), self.limit)
+        known = ((sha, kind, int(size)) for sha, kind, size in (o for o in objects if len(o) == 3 and o[2].isdigit()) if kind in ("blob", "commit", "tag"))
+        return dealt((o for o in known if self.fits(o[0], o[1], None, o[2])), self.limit)
 
     def read(self, partition: Part) -> Iterator[tuple]:
         for sha, kind, size in partition.items:
@@ -136,10 +161,35 @@ class GitObjects(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Both sources, and Spark's setting that pushes filters into them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (FileTree, GitObjects):
         spark.dataSource.register(source)
 
 
+def missing(names: DataFrame, objects: DataFrame) -> DataFrame:
+    """The object_keys that were asked for and don't exist; what exists is the semi-join of the same tables."""
+    return names.select("object_key").distinct().join(objects.select("object_key"), "object_key", "left_anti")
+
+
+#: The names that stand for no commit, and the kinds of activity that rewrite history.
+ZERO, REWRITES = "0" * 40, {"force_push": "force-pushed over", "branch_deletion": "branch deleted"}
+
+
+def activity(spark: SparkSession, path: str, repo: str) -> DataFrame:
+    """repo, before, after, ord and text of the rewrites in captured pages of a repository's activity: JSON arrays, one a file, whose names are in the order in which they were answered.
+
+    An activity without an earlier head is none; an after of zeros is empty. ord numbers them over files and rows of the page, latest
+    first, so the first rewrite of a commit is the one that the feed lists first.
+    """
+    fields = "array<struct<activity_type:string,before:string,after:string,ref:string,timestamp:string,actor:struct<login:string>>>"
+    pages = spark.read.format("text").option("wholetext", "true").load(path).select(F.col("_metadata.file_path").alias("_page"), F.from_json("value", fields).alias("rows"))
+    rows = pages.select("_page", F.posexplode("rows").alias("_n", "r")).filter(F.col("r.activity_type").isin(*REWRITES) & (F.coalesce("r.before", F.lit("")) != "") & (F.col("r.before") != ZERO))
+    said = F.coalesce(*(F.when(F.col("r.activity_type") == k, v) for k, v in REWRITES.items()))
+    text = F.concat_ws(" ", said, F.concat(F.lit("by "), F.col("r.actor.login")), F.concat(F.lit("on "), F.substring("r.timestamp", 1, 10)))
+    return rows.select(F.lit(repo).alias("repo"), F.col("r.before").alias("before"), F.when(F.col("r.after") == ZERO, "").otherwise(F.coalesce("r.after", F.lit(""))).alias("after"), F.struct("_page", "_n").alias("ord"), text.alias("text"))
+
+
 #: Commits that one task describes.
 COMMITS = 2000
 
