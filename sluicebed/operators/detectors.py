@@ -111,6 +111,23 @@ def _service_account(v: Column) -> Column:
     return F.when(subject != "", F.translate(subject, ":", "/")).when((legacy[0] != "") & (legacy[1] != ""), F.concat(legacy[0], F.lit("/"), legacy[1]))
 
 
+def _pod(v: Column) -> Column:
+    """The pod that a cluster's token is bound to."""
+    name = F.get_json_object(jwt_part(v, 2), "$['kubernetes.io']['pod']['name']")
+    return F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit(", bound to pod "), name)).otherwise("")
+
+
+def expiry_of(v: Column) -> Column:
+    """When a signed token's claims say that it expires, in seconds; null if they don't."""
+    return F.get_json_object(jwt_part(v, 2), "$.exp").try_cast("double").cast("bigint")
+
+
+def expiry_text(expires: Column, now: Column) -> Column:
+    """What is said of an expiry in seconds: its day, and whether that is past at the clock given; empty if there is none."""
+    at = F.timestamp_seconds(expires)
+    return F.when(expires.isNull(), "").otherwise(F.concat(F.when(at < now, ", expired ").otherwise(", expires "), F.date_format(at, "yyyy-MM-dd")))
+
+
 #: What stands in the middle of one issuer's keys, and the prefixes and names that the shapes have.
 KEY_MARKER = "T3BlbkFJ"
 _GITHUB = {"p": "github-pat", "o": "github-oauth", "u": "github-user-to-server", "s": "github-server-to-server", "r": "github-refresh"}
@@ -154,7 +171,7 @@ SHAPES: tuple[Shape, ...] = (
     *(Shape("pagerduty", "pagerduty-routing-key", n, "[0-9a-f]{32}", "", ALNUM, name=rf"{n}[\"']?[ \t\r\n]{{0,8}}[:=][ \t\r\n]{{0,8}}[\"']?", says="under {}") for n in ROUTING_NAMES),
     Shape("npm", "npm-access-token", "npm_", f"npm_{ALNUM}{{36}}", WORD, WORD),
     Shape("npm", "npm-legacy-token", "_authToken", UUID, "", ALNUM, name=r"_authToken[ \t]{0,4}=[ \t]{0,4}[\"']?"),
-    Shape("kubernetes", "kubernetes-service-account-token", "eyJ", r"eyJ[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+", "[A-Za-z0-9_.-]", "[A-Za-z0-9_.=-]", verify=lambda v: _is_jwt(v) & _service_account(v).isNotNull(), attribution=lambda v: F.concat(F.lit("service account "), _service_account(v))),
+    Shape("kubernetes", "kubernetes-service-account-token", "eyJ", r"eyJ[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+\.[A-Za-z0-9_-]{1,4096}+", "[A-Za-z0-9_.-]", "[A-Za-z0-9_.=-]", verify=lambda v: _is_jwt(v) & _service_account(v).isNotNull(), attribution=lambda v: F.concat(F.lit("serviceaccount "), _service_account(v), _pod(v))),
     *(Shape("oci", f"docker-hub-{k}", f"dckr_{k}_", f"dckr_{k}_{URL64}{{24,40}}", WORD, URL64) for k in ("pat", "oat")),
 )
 #: Runs of letters and digits that are tokens by length and by what stands near them: a robot's name, the registry's.
@@ -165,8 +182,8 @@ PROVIDERS = ("github", "gitlab", "slack", "aws", "gcp", "azure", "sops", "anthro
 
 
 #: What the pass gives for each place: a token of a shape or of a document format, or a candidate (cls) for another token's companion.
-FIELDS = [("cls", pa.string()), ("shape", pa.int32()), ("provider", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("keyword", pa.bool_()), ("checksum_verified", pa.bool_()), ("attribution", pa.string()), ("secret", pa.string()), ("encrypted", pa.bool_()), ("encoded", pa.bool_()), ("within", pa.string()), ("s_offset", pa.int64()), ("s_end", pa.int64())]
-DDL = "cls string, shape int, provider string, kind string, value string, offset bigint, end bigint, line int, keyword boolean, checksum_verified boolean, attribution string, secret string, encrypted boolean, encoded boolean, within string, s_offset bigint, s_end bigint"
+FIELDS = [("cls", pa.string()), ("shape", pa.int32()), ("provider", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("keyword", pa.bool_()), ("checksum_verified", pa.bool_()), ("attribution", pa.string()), ("secret", pa.string()), ("encrypted", pa.bool_()), ("encoded", pa.bool_()), ("expires", pa.int64()), ("within", pa.string()), ("s_offset", pa.int64()), ("s_end", pa.int64())]
+DDL = "cls string, shape int, provider string, kind string, value string, offset bigint, end bigint, line int, keyword boolean, checksum_verified boolean, attribution string, secret string, encrypted boolean, encoded boolean, expires bigint, within string, s_offset bigint, s_end bigint"
 Row = dict[str, object]
 #: Needles that content must have, and a helper that gives the rows of one object. The helper may search values for tokens itself.
 Format = tuple[tuple[str, ...], Callable[[bytes, Callable[[bytes], list[Row]]], Iterator[Row]]]
@@ -285,8 +302,8 @@ def _run_token(content: bytes, at: int, length: int) -> list[Row]:
     return []
 
 
-def hits(objects: DataFrame, shapes: tuple[Shape, ...] = SHAPES, formats: tuple[Format, ...] = (), companions: Companions | None = None, content: str = "content", keep: tuple[str, ...] = ("object_key",)) -> DataFrame:
-    """A row for each verified match, document token and candidate in each object: the kept columns and FIELDS. Null content has none."""
+def hits(objects: DataFrame, shapes: tuple[Shape, ...] = SHAPES, formats: tuple[Format, ...] = (), companions: Companions | None = None, content: str = "content", keep: tuple[str, ...] = ("object_key",), now: Column | None = None) -> DataFrame:
+    """A row for each verified match, document token and candidate in each object: the kept columns and FIELDS. Null content has none. now: the clock that expiries are told against."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shapes, formats, companions)
@@ -314,7 +331,12 @@ def hits(objects: DataFrame, shapes: tuple[Shape, ...] = SHAPES, formats: tuple[
     checked = [i for i, s in enumerate(shapes) if s.checksum]
     shaped = F.col("shape") >= 0
     verified = F.when(shaped, F.col("shape").isin(checked)).otherwise(F.coalesce("checksum_verified", F.lit(False)))
-    return rows.filter(good).withColumns({"checksum_verified": verified, "attribution": F.coalesce("attribution", F.when(shaped, said)), "encrypted": F.coalesce("encrypted", F.lit(False))})
+    signed = F.coalesce(F.col("kind") == "kubernetes-service-account-token", F.lit(False))
+    # as a lambda's body, for the same reason as in _judged
+    claimed = F.when(signed, F.transform(F.array("value"), expiry_of)[0])
+    rows = rows.filter(good).withColumns({"checksum_verified": verified, "attribution": F.coalesce("attribution", F.when(shaped, said)), "encrypted": F.coalesce("encrypted", F.lit(False)), "expires": F.coalesce("expires", claimed)})
+    legacy = F.when(signed & F.col("expires").isNull() & shaped, ", no expiry (legacy token)").otherwise("")
+    return rows.withColumn("attribution", F.concat("attribution", legacy, expiry_text(F.col("expires"), now if now is not None else F.current_timestamp())))
 
 
 @lru_cache(maxsize=8)

@@ -15,6 +15,8 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import UTC, datetime
 from urllib.parse import parse_qs
 
 import numpy as np
@@ -161,8 +163,8 @@ def secret_manifests(objects: DataFrame, content: str = "content") -> DataFrame:
     return keys.select("object_key", F.lit("kubernetes").alias("provider"), F.lit("kubernetes-secret-manifest").alias("kind"), ref.alias("value"), F.col("kind_offset").alias("offset"), F.concat(F.when(F.col("type") != "", F.concat(F.lit("type "), "type", F.lit(", "))).otherwise(""), F.lit("keys "), "keys").alias("attribution"))
 
 
-def _token(provider: str, kind: str, value: str, offset: int, attribution: str = "", secret: str | None = None, encrypted: bool = False, verified: bool = False) -> Row:
-    return {"provider": provider, "kind": kind, "value": value, "offset": offset, "checksum_verified": verified, "attribution": attribution, "secret": secret, "encrypted": encrypted}
+def _token(provider: str, kind: str, value: str, offset: int, attribution: str = "", secret: str | None = None, encrypted: bool = False, verified: bool = False, expires: int | None = None) -> Row:
+    return {"provider": provider, "kind": kind, "value": value, "offset": offset, "checksum_verified": verified, "attribution": attribution, "secret": secret, "encrypted": encrypted, "expires": expires}
 
 
 def _braces(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,35 +244,89 @@ def kubeconfigs(content: bytes) -> Iterator[Row]:
             place, said = at + int(where[n.start]), f", server {server}" if server else ""
             secret = json.dumps({"server": server} | {k: v for k, v in own.items() if v})
             if own["client-certificate-data"] and own["client-key-data"]:
-                if (cert := _pem_bytes(own["client-certificate-data"])) and _pem_bytes(own["client-key-data"]):
-                    yield _token("kubernetes", "kubernetes-client-certificate", "SHA256:" + hashlib.sha256(cert).hexdigest(), place, "client certificate" + said, secret, verified=True)
+                (_, cert), (label, key) = _pem(own["client-certificate-data"]), _pem(own["client-key-data"])
+                try:
+                    known = read_certificate(cert)
+                except (ValueError, IndexError):
+                    continue
+                spki = spki_of(label, key)
+                if not key or (spki is not None and spki != known.spki):
+                    continue  # a certificate without its key is no credential
+                who = f"CN={known.name(COMMON)}" + (" groups=" + ",".join(known.names(ORGANIZATION)) if known.names(ORGANIZATION) else "") + (f" issuer {known.issuer(COMMON)}" if known.issuer(COMMON) else "")
+                yield _token("kubernetes", "kubernetes-client-certificate", hashlib.sha256(cert).hexdigest(), place, who + said, secret, verified=spki is not None, expires=int(known.until.timestamp()))
             elif own["token"]:
-                account, issuer = _claims(own["token"])
+                account, issuer, expires = _claims(own["token"])
                 kind = "kubernetes-service-account-token" if account else "kubernetes-token"
-                yield _token("kubernetes", kind, own["token"], place, (f"service account {account}" if account else f"JWT issued by {issuer}" if issuer else "bearer token") + said, secret)
+                yield _token("kubernetes", kind, own["token"], place, (f"serviceaccount {account}" if account else f"JWT issued by {issuer}" if issuer else "bearer token") + said, secret, expires=expires)
             elif own["username"] and own["password"]:
                 host = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://|/.*$", "", server)
                 yield _token("kubernetes", "kubernetes-basic-auth", (host + "/" if host else "") + own["username"], place, f"user {own['username']}" + said, secret)
 
 
-def _pem_bytes(data: str) -> bytes | None:
-    """The first block of base64 data that holds PEM."""
+def _pem(data: str) -> tuple[str, bytes]:
+    """Label and bytes of the first block of base64 data that holds PEM; empty if there is none."""
     try:
-        m = re.search(rb"-----BEGIN [^-]+-----([^-]+)-----END", base64.b64decode(re.sub(r"\s", "", data), validate=True))
-        return base64.b64decode(re.sub(rb"\s", b"", m[1]), validate=True) if m else None
+        m = re.search(rb"-----BEGIN ([^-]+)-----([^-]+)-----END", base64.b64decode(re.sub(r"\s", "", data), validate=True))
+        return (m[1].decode("ascii", "replace"), base64.b64decode(re.sub(rb"\s", b"", m[2]), validate=True)) if m else ("", b"")
     except (binascii.Error, ValueError):
-        return None
+        return "", b""
+
+
+#: Identifiers of names in certificates.
+COMMON, ORGANIZATION = bytes.fromhex("0603550403"), bytes.fromhex("060355040a")
+
+
+@dataclass(frozen=True)
+class Certificate:
+    """The parts of a certificate's body, and until when it holds."""
+
+    tbs: list[tuple[int, bytes, bytes]]
+    first: int
+    until: datetime
+
+    def _names(self, at: int, which: bytes) -> list[str]:
+        pairs = [_values(pair)[:2] for _, entry, _ in _values(self.tbs[self.first + at][1]) for _, pair, _ in _values(entry)]
+        return [text[1].decode("utf-8", "replace") for kind, text in pairs if kind[2] == which]
+
+    def names(self, which: bytes) -> list[str]:
+        return self._names(4, which)
+
+    def name(self, which: bytes) -> str:
+        return next(iter(self.names(which)), "")
+
+    def issuer(self, which: bytes) -> str:
+        return next(iter(self._names(2, which)), "")
 
+    @property
+    def self_signed(self) -> bool:
+        return self.tbs[self.first + 2][2] == self.tbs[self.first + 4][2]
 
-def _claims(token: str) -> tuple[str, str]:
-    """Namespace and name of the service account that a signed token states, and its issuer; empty if it states none."""
+    @property
+    def spki(self) -> bytes:
+        return self.tbs[self.first + 5][2]
+
+
+def read_certificate(der: bytes) -> Certificate:
+    """ValueError or IndexError if it is none."""
+    tbs = _values(_values(_values(der)[0][1])[0][1])
+    first = 0 if tbs[0][0] == 0xA0 else -1  # without a version
+    tag, end, _ = _values(tbs[first + 4][1])[1]
+    text = end.decode("ascii")
+    if tag == 0x17:
+        text = ("19" if int(text[:2]) >= 50 else "20") + text
+    return Certificate(tbs, first + 1, datetime.strptime(text[:14], "%Y%m%d%H%M%S").replace(tzinfo=UTC))
+
+
+def _claims(token: str) -> tuple[str, str, int | None]:
+    """Namespace and name of the service account that a signed token states, its issuer, and its expiry in seconds; empty if it states none."""
     try:
         part = token.split(".")[1]
         claims = _json(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)).decode("utf-8", "replace"))
     except (IndexError, ValueError):
-        return "", ""
+        return "", "", None
     m = re.fullmatch("system:serviceaccount:([^:]+):([^:]+)", _field(claims, "sub"))
-    return "/".join(m.groups()) if m else "", _field(claims, "iss")
+    expires = claims.get("exp") if isinstance(claims, dict) else None
+    return "/".join(m.groups()) if m else "", _field(claims, "iss"), int(expires) if isinstance(expires, int | float) and 0 < expires < 1e11 else None
 
 
 #: The parameters of a shared access signature; a bare one starts with one of them.
@@ -280,6 +336,17 @@ _IN_QUERY = bytes(c for c in range(128) if _QUERY.fullmatch(bytes([c])))
 _BARE = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(SAS) + ")=")
 
 
+def _instant(text: str) -> int | None:
+    """The seconds of a time with or without seconds, or of a day; None if it is none."""
+    for layout in ("%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%MZ", "%Y-%m-%d"):
+        try:
+            at = datetime.strptime(text, layout)
+            return int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp())
+        except (ValueError, OverflowError):
+            continue
+    return None
+
+
 def signatures(content: bytes) -> Iterator[Row]:
     """Shared access signatures: a query with version, expiry and signature, bare or behind its address."""
     done = 0
@@ -303,9 +370,10 @@ def signatures(content: bytes) -> Iterator[Row]:
         except ValueError:
             continue
         if all(fields.get(k) for k in ("sv", "se", "sig")):
-            host = re.sub(r"^[^:]*://|/.*$", "", address)
-            said = ", ".join(x for x in (host, "permissions " + fields["sp"][0] if "sp" in fields else "", "expires " + fields["se"][0]) if x)
-            yield _token("azure", "azure-sas-token", fields["sig"][0], start, said, raw)
+            place = re.sub(r"^[^:]*://", "", address)
+            expires = _instant(fields["se"][0])
+            said = [f"resource {place}" if place else "bare token, resource unknown", *(["permissions " + fields["sp"][0]] if fields.get("sp") else []), *(["expiry unreadable"] if expires is None else [])]
+            yield _token("azure", "azure-sas-token", fields["sig"][0], start, ", ".join(said), raw, expires=expires)
 
 
 #: Fixed value: the letters of Bech32.
@@ -379,6 +447,22 @@ def _der(tag: int, *parts: bytes) -> bytes:
 RSA_ID, EC_ID = bytes.fromhex("06092a864886f70d010101"), bytes.fromhex("06072a8648ce3d0201")
 
 
+#: The identifiers of another algorithm and of curves.
+ED25519_ID = bytes.fromhex("06032b6570")
+CURVES = {bytes.fromhex("06082a8648ce3d030107"): "P-256", bytes.fromhex("06052b81040022"): "P-384", bytes.fromhex("06052b81040023"): "P-521"}
+
+
+def key_said(spki: bytes) -> str:
+    """The algorithm and size of a public key. ValueError or IndexError if it is none."""
+    algorithm, bits = _values(_values(spki)[0][1])[:2]
+    parts = _values(algorithm[1])
+    if parts[0][2] == RSA_ID:
+        return f"RSA {int.from_bytes(_values(_values(bits[1][1:])[0][1])[0][1], 'big').bit_length()}"
+    if parts[0][2] == EC_ID:
+        return f"ECDSA {CURVES[parts[1][2]]}" if parts[1][2] in CURVES else "unknown algorithm"
+    return "ed25519" if parts[0][2] == ED25519_ID else "unknown algorithm"
+
+
 def spki_of(label: str, der: bytes) -> bytes | None:
     """The SubjectPublicKeyInfo of an unencrypted key: RSA, or of a curve where the key holds its public half; None otherwise."""
     try:
@@ -423,6 +507,56 @@ def blocks(content: bytes, begin: bytes) -> Iterator[tuple[re.Match[bytes], int]
             yield m, own[k]
 
 
+def _fields(blob: bytes) -> list[bytes]:
+    """The strings of a blob, one after another, each behind its length; ends where one isn't whole."""
+    out, at = [], 0
+    while at + 4 <= len(blob):
+        n = int.from_bytes(blob[at : at + 4], "big")
+        if at + 4 + n > len(blob):
+            break
+        out.append(blob[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+#: SSH algorithms by name, and how many fields of each stand in a private key before its comment.
+_SSH_NAMES = {"ssh-ed25519": "ed25519", "ssh-rsa": "RSA", "ssh-dss": "DSA", "ecdsa-sha2-nistp256": "ECDSA P-256", "ecdsa-sha2-nistp384": "ECDSA P-384", "ecdsa-sha2-nistp521": "ECDSA P-521"}
+_SSH_FIELDS = {"ssh-ed25519": 2, "ssh-rsa": 6, "ssh-dss": 5, "ecdsa-sha2-nistp256": 3, "ecdsa-sha2-nistp384": 3, "ecdsa-sha2-nistp521": 3}
+
+
+def _ssh_said(public: bytes) -> str:
+    """The algorithm and size of a public key's blob."""
+    fields = _fields(public)
+    name = fields[0].decode("ascii", "replace") if fields else ""
+    number = {"ssh-rsa": 2, "ssh-dss": 1}.get(name)
+    size = f" {int.from_bytes(fields[number], 'big').bit_length()}" if number and len(fields) > number else ""
+    return _SSH_NAMES.get(name, name) + size
+
+
+def _ssh_comment(private: bytes) -> str:
+    """The comment in an unencrypted private section, behind two check numbers, the algorithm and the key's fields."""
+    fields = _fields(private[8:])
+    n = _SSH_FIELDS.get(fields[0].decode("ascii", "replace")) if fields else None
+    return fields[n + 1].decode("utf-8", "replace") if n and len(fields) > n + 1 else ""
+
+
+def _pem_said(label: str, spki: bytes | None, locked: bool) -> str:
+    """The algorithm of a PEM key as far as it can be told, and whether it is encrypted."""
+    if label.startswith("ENCRYPTED"):
+        return "PKCS#8, encrypted, algorithm unknown"
+    name = {"RSA PRIVATE KEY": "RSA", "EC PRIVATE KEY": "ECDSA", "DSA PRIVATE KEY": "DSA"}.get(label, "PKCS#8")
+    try:
+        name = key_said(spki) if spki else name
+    except (ValueError, IndexError):
+        pass
+    return name + (", encrypted" if locked else ", unencrypted")
+
+
+def _locked(kdf: str, cipher: str) -> str:
+    """What is said of an encrypted signing key."""
+    return "encrypted" + (f" with {kdf}/{cipher}" if kdf and cipher else "") + ", public key not derivable"
+
+
 def private_keys(content: bytes) -> Iterator[Row]:
     """PEM private keys. OpenSSH keys are named by the fingerprint of the public half they contain, others by the hash of their SubjectPublicKeyInfo, as certificates are, or where that can't be read by a hash of their block."""
     for m, stop in blocks(content, rb"(?:(?<![A-Za-z0-9-])|(?<=\\[nr]))-----BEGIN ([A-Z0-9 ]{0,53}PRIVATE KEY)-----"):
@@ -447,22 +581,23 @@ def private_keys(content: bytes) -> Iterator[Row]:
                     parts.append(raw[at + 4 : at + 4 + n])
                     at += 4 + n
                 n = int.from_bytes(raw[at + 4 : at + 8], "big")
-                public = raw[at + 8 : at + 8 + n]
-                algorithm = public[4 : 4 + int.from_bytes(public[:4], "big")].decode("ascii", "replace")
+                public, rest_at = raw[at + 8 : at + 8 + n], at + 8 + n
             except IndexError:
                 continue
             if not public:
                 continue
             locked = parts[0] != b"none"
-            yield _token("privatekey", "ssh-private-key", "SHA256:" + base64.b64encode(hashlib.sha256(public).digest()).decode().rstrip("="), offset, algorithm + (", passphrase-protected" if locked else ""), None, locked, True)
+            comment = "" if locked else _ssh_comment(raw[rest_at + 4 : rest_at + 4 + int.from_bytes(raw[rest_at : rest_at + 4], "big")])
+            said = _ssh_said(public) + (", encrypted" if locked else ", unencrypted") + (f", comment {comment}" if comment else "")
+            yield _token("privatekey", "ssh-private-key", "SHA256:" + base64.b64encode(hashlib.sha256(public).digest()).decode().rstrip("="), offset, said, None, locked, True)
         elif "SIGSTORE" in label or "COSIGN" in label:
             doc = _json(raw.decode("utf-8", "replace"))
             if _field(doc, "ciphertext"):
-                yield _token("privatekey", "cosign-private-key", block, offset, f"{_field(doc.get('kdf'), 'name')}, {_field(doc.get('cipher'), 'name')}", None, True)
+                yield _token("privatekey", "cosign-private-key", block, offset, _locked(_field(doc.get("kdf"), "name"), _field(doc.get("cipher"), "name")), None, True)
         elif _is_sequence(raw) or b"ENCRYPTED" in headers:
             locked = label.startswith("ENCRYPTED") or b"ENCRYPTED" in headers
             spki = None if locked else spki_of(label, raw)
-            yield _token("privatekey", "ssh-private-key" if label.startswith("DSA") else "tls-private-key", hashlib.sha256(spki).hexdigest() if spki else block, offset, label.removesuffix(" PRIVATE KEY").lower() + (" passphrase-protected" if locked else ""), None, locked)
+            yield _token("privatekey", "ssh-private-key" if label.startswith("DSA") else "tls-private-key", hashlib.sha256(spki).hexdigest() if spki else block, offset, _pem_said(label, spki, locked), None, locked)
 
 
 def _whole(helper: Callable[[bytes], Iterator[Row]]) -> Callable[[bytes, object], Iterator[Row]]:
@@ -514,7 +649,7 @@ KINDS = (
 )
 #: Needles and helpers of all document formats.
 FORMATS: tuple[detectors.Format, ...] = (
-    (("service_account", "authorized_user"), _whole(cloud_documents)), (("auths", "dockerconfigjson", "Basic "), _whole(registry_logins)), (("PRIVATE KEY",), _whole(private_keys)),
+    (("service_account", "authorized_user"), _whole(cloud_documents)), (("auths", "dockerconfigjson", "eyJhdXRocyI6", "Basic "), _whole(registry_logins)), (("PRIVATE KEY",), _whole(private_keys)),
     (("Secret",), manifest_rows), (("Config",), _whole(kubeconfigs)), (("sig=",), _whole(signatures)), (("AGE-SECRET-KEY-1",), _whole(age_identities)), ((RECEIVER,), receiver_leaves),
 )
 

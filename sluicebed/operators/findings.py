@@ -43,13 +43,14 @@ def findings(tokens: DataFrame, public: tuple[str, ...] = ()) -> DataFrame:
     if "secret" not in tokens.columns:
         tokens = tokens.withColumn("secret", F.lit(None).cast("string"))
     n = F.length(F.coalesce("secret", F.lit("")))
-    best = F.min_by(F.struct("provider", "kind", "attribution", "secret", "checksum_verified"), F.struct(-n, "kind", "object_key", "offset"))
+    own = [c for c in ("provider", "kind", "attribution", "secret", "checksum_verified", "encrypted", "expires") if c in tokens.columns]
+    best = F.min_by(F.struct(*own), F.struct(-n, "kind", "object_key", "offset"))
     per_line = tokens.groupBy("target", "value", "object_key", "line").agg(F.count("*").alias("hits"), best.alias("best"), F.min(F.struct((-n).alias("n"), "kind", "object_key", "offset")).alias("first"))
     whole = per_line.groupBy("target", "value").agg(F.min_by("best", "first").alias("best"), F.sum("hits").alias("occurrences"), F.count("*").alias("n_locations"))
     place = W.partitionBy("target", "value").orderBy("object_key", "line")
     some = tokens.select("target", "value", "object_key", "line").distinct().withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= LISTED)
     listed = some.groupBy("target", "value").agg(F.array_sort(F.collect_list(F.struct("object_key", "line"))).alias("locations"))
-    return whole.join(listed, ["target", "value"]).select("target", "best.provider", "best.kind", V.fingerprint(F.col("value")).alias("fingerprint"), V.redact(F.col("value"), F.col("best.kind").isin(*public) if public else False).alias("redacted"), "best.checksum_verified", "best.attribution", "best.secret", "value", "occurrences", "n_locations", "locations")
+    return whole.join(listed, ["target", "value"]).select("target", "best.provider", "best.kind", V.fingerprint(F.col("value")).alias("fingerprint"), V.redact(F.col("value"), F.col("best.kind").isin(*public) if public else False).alias("redacted"), *(f"best.{c}" for c in own if c not in ("provider", "kind")), "value", "occurrences", "n_locations", "locations")
 
 
 def rank(status: Column, opaque: Column) -> Column:

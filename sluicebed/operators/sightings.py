@@ -19,17 +19,15 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from . import detectors
-from .documents import BECH32, EC_ID, RSA_ID, _bech32_sum, _child, _scalar, _values, _yaml_documents, blocks, secrets_of
+from .documents import BECH32, COMMON, ORGANIZATION, _bech32_sum, _child, _scalar, _values, _yaml_documents, blocks, key_said, read_certificate, secrets_of
 
 Row = detectors.Row
 
 #: The algorithms of SSH public keys, the longest comment that is read, and how many names of a certificate are told.
 SSH_TYPES = ("ssh-ed25519", "ssh-rsa", "ssh-dss", "ecdsa-sha2-nistp256", "ecdsa-sha2-nistp384", "ecdsa-sha2-nistp521", "sk-ssh-ed25519@openssh.com", "sk-ecdsa-sha2-nistp256@openssh.com")
 MAX_COMMENT, MAX_NAMES = 128, 3
-#: Identifiers in certificates (names, authority, common name, organization) and of keys and curves.
-ALT_NAMES, CONSTRAINTS, COMMON, ORGANIZATION = (bytes.fromhex(x) for x in ("0603551d11", "0603551d13", "0603550403", "060355040a"))
-ED25519_ID = bytes.fromhex("06032b6570")
-CURVES = {bytes.fromhex("06082a8648ce3d030107"): "P-256", bytes.fromhex("06052b81040022"): "P-384", bytes.fromhex("06052b81040023"): "P-521"}
+#: Identifiers in certificates (names, authority).
+ALT_NAMES, CONSTRAINTS = bytes.fromhex("0603551d11"), bytes.fromhex("0603551d13")
 #: Fixed value: how what is said of a PEM public key begins; keys without a public half of their own adopt such keys beside them.
 PUBLIC_KEY = "public key ("
 
@@ -56,26 +54,6 @@ def ssh_public_keys(content: bytes) -> Iterator[Row]:
         yield _seen("privatekey", name, "ssh public key" + (f", comment {comment}" if comment else ""), m.start())
 
 
-def _key_said(spki: bytes) -> str:
-    """The algorithm and size of a public key. ValueError or IndexError if it is none."""
-    algorithm, bits = _values(_values(spki)[0][1])[:2]
-    parts = _values(algorithm[1])
-    if parts[0][2] == RSA_ID:
-        return f"RSA {int.from_bytes(_values(_values(bits[1][1:])[0][1])[0][1], 'big').bit_length()}"
-    if parts[0][2] == EC_ID:
-        return f"ECDSA {CURVES[parts[1][2]]}" if parts[1][2] in CURVES else "unknown algorithm"
-    return "ed25519" if parts[0][2] == ED25519_ID else "unknown algorithm"
-
-
-def _name_part(name: bytes, which: bytes) -> str:
-    for _, entry, _ in _values(name):
-        for _, pair, _ in _values(entry):
-            kind, text = _values(pair)[:2]
-            if kind[2] == which:
-                return text[1].decode("utf-8", "replace")
-    return ""
-
-
 def _extension(tbs: list[tuple[int, bytes, bytes]], which: bytes) -> bytes | None:
     for tag, body, _ in tbs:
         if tag == 0xA3:
@@ -88,28 +66,23 @@ def _extension(tbs: list[tuple[int, bytes, bytes]], which: bytes) -> bytes | Non
 
 def certificate(der: bytes, now: datetime) -> tuple[str, str]:
     """The hash of a certificate's SubjectPublicKeyInfo, and what it is for: names, expiry, issuer. ValueError or IndexError if it is none."""
-    tbs = _values(_values(_values(der)[0][1])[0][1])
-    issuer, validity, subject, spki = tbs[(at := 1 if tbs[0][0] == 0xA0 else 0) + 2 : at + 6]
-    tag, end, _ = _values(validity[1])[1]
-    text = end.decode("ascii")
-    if tag == 0x17:
-        text = ("19" if int(text[:2]) >= 50 else "20") + text
-    until = datetime.strptime(text[:14], "%Y%m%d%H%M%S").replace(tzinfo=UTC)
+    known = read_certificate(der)
+    tbs = known.tbs
     names: list[str] = []
     alt = _extension(tbs, ALT_NAMES)
     if alt is not None:
         own = _values(_values(alt)[0][1])
         for wanted in (0x82, 0x87, 0x81, 0x86):
             names += [_address(v) if wanted == 0x87 else v.decode("utf-8", "replace") for t, v, _ in own if t == wanted]
-    names = names or [n for n in [_name_part(subject[1], COMMON)] if n]
+    names = names or [n for n in [known.name(COMMON)] if n]
     more = f", +{len(names) - MAX_NAMES} more" if len(names) > MAX_NAMES else ""
     basic = _extension(tbs, CONSTRAINTS)
     authority = basic is not None and any(t == 1 and v != b"\0" for t, v, _ in _values(_values(basic)[0][1]))
-    who = _name_part(issuer[1], COMMON) or _name_part(issuer[1], ORGANIZATION)
+    who = known.issuer(COMMON) or known.issuer(ORGANIZATION)
     said = ("CA certificate" if authority else "certificate") + (f" for {', '.join(names[:MAX_NAMES])}{more}" if names else "")
-    said += f", {'expired' if until < now else 'expires'} {until:%Y-%m-%d}"
-    said += ", self-signed" if issuer[2] == subject[2] else f", issuer {who}" if who else ""
-    return hashlib.sha256(spki[2]).hexdigest(), said
+    said += f", {'expired' if known.until < now else 'expires'} {known.until:%Y-%m-%d}"
+    said += ", self-signed" if known.self_signed else f", issuer {who}" if who else ""
+    return hashlib.sha256(known.spki).hexdigest(), said
 
 
 def _address(raw: bytes) -> str:
@@ -140,7 +113,7 @@ def pem_blocks(content: bytes, now: datetime | None = None) -> Iterator[Row]:
             if m[1] == b"CERTIFICATE":
                 yield _seen("privatekey", *certificate(der, now), m.start())
             else:
-                said = _key_said(der)
+                said = key_said(der)
                 pinned = pinned_by(content) if pinned is None else pinned
                 yield _seen("privatekey", hashlib.sha256(der).hexdigest(), f"{PUBLIC_KEY}{said}){pinned}", m.start())
         except (ValueError, IndexError):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -48,16 +48,16 @@ def free(tokens: DataFrame, hits: DataFrame, group: tuple[str, ...]) -> DataFram
     return tokens.filter(~may).unionByName(spans.outside(tokens.filter(may), held, (*group, "provider")))
 
 
-def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = MAX_OBJECT, history: dict[str, DataFrame] | None = None, listing: DataFrame | None = None) -> Result:
+def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = MAX_OBJECT, history: dict[str, DataFrame] | None = None, listing: DataFrame | None = None, now: Column | None = None) -> Result:
     """Tokens with their companions, findings by target, counts, server addresses, and the files that name a key's public half.
 
     Contents are read by two narrow passes, for tokens and for addresses, and go no further: what is shuffled are hits. history: the tables of sources.trees.history,
     with target as repo; with it, tokens get path, commit, refs and how they can be reached. listing: the objects without their contents, from which
-    the counts are taken where it is given.
+    the counts are taken where it is given. now: the clock that expiries are told against.
     """
     own = scanned(objects, max_object)
     sha = F.sha2("content", 256)
-    hits = cut(detectors.hits(own.withColumn("sha", sha), detectors.SHAPES, documents.FORMATS + sightings.FORMATS, nearest.COMPANIONS, keep=("target", "object_key", "object_type", "path", "sha")))
+    hits = cut(detectors.hits(own.withColumn("sha", sha), detectors.SHAPES, documents.FORMATS + sightings.FORMATS, nearest.COMPANIONS, keep=("target", "object_key", "object_type", "path", "sha"), now=now))
     group = ("target", "object_key", "sha")
     hits = documents.with_receivers(hits, group)
     found = free(documents.rescanned(hits, group), hits, group)
@@ -68,7 +68,7 @@ def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = M
     inside = found.filter(F.col("kind") == "gcp-oauth-user-credentials").select(*group, "value", F.lit("gcp-oauth-refresh-token").alias("kind"))
     tokens = tokens.join(inside, [*group, "value", "kind"], "left_anti")  # a refresh token in a document is the document's
     tokens = peers.with_peers(documents.once(tokens, group))
-    tokens = tokens.select("target", "object_key", "object_type", "path", "provider", "kind", "value", "offset", "line", "checksum_verified", "attribution", "secret", "encrypted")
+    tokens = tokens.select("target", "object_key", "object_type", "path", "provider", "kind", "value", "offset", "line", "checksum_verified", "attribution", "secret", "encrypted", "expires")
     tokens = findings.ignored(findings.classified(tokens), ignore)
     if history:
         tokens = located(tokens, history)

@@ -55,9 +55,22 @@ def verdict(provider: Column, kind: Column, http_status: Column, error: Column)
     return out.otherwise("unknown")
 
 
-def verified(found: DataFrame, answers: DataFrame) -> DataFrame:
-    """Findings with a status; without an answer it is what the kind alone says, else unknown. answers: fingerprint, http_status, error."""
-    return found.join(answers.select("fingerprint", "http_status", "error"), "fingerprint", "left").withColumn("status", verdict(F.col("provider"), F.col("kind"), F.coalesce("http_status", F.lit(-1)), F.col("error"))).drop("http_status", "error")
+#: Kinds that nothing accepts past their expiry, and what is said of them then, after the day.
+EXPIRING = {"kubernetes-client-certificate": "; no API server accepts an expired certificate", "kubernetes-service-account-token": "; a bound token is not accepted past its expiry", "azure-sas-token": "; no storage service accepts an expired signature"}
+
+
+def expired(kind: Column, expires: Column, now: Column) -> Column:
+    """Why a credential is revoked offline, past the expiry (in seconds) that it states itself; null if it isn't."""
+    past, day = F.timestamp_seconds(expires) < now, F.date_format(F.timestamp_seconds(expires), "yyyy-MM-dd")
+    return F.coalesce(*(F.when((kind == k) & past, F.concat(F.lit("expired on "), day, F.lit(said))) for k, said in EXPIRING.items()))
+
+
+def verified(found: DataFrame, answers: DataFrame, now: Column | None = None) -> DataFrame:
+    """Findings with a status and, where it is known without asking, a detail; without an answer the status is what the kind alone says, else unknown. answers: fingerprint, http_status, error; now: the clock."""
+    out = found.join(answers.select("fingerprint", "http_status", "error"), "fingerprint", "left")
+    status = verdict(F.col("provider"), F.col("kind"), F.coalesce("http_status", F.lit(-1)), F.col("error"))
+    past = expired(F.col("kind"), F.col("expires"), now if now is not None else F.current_timestamp()) if "expires" in found.columns else F.lit(None).cast("string")
+    return out.withColumns({"status": F.when(past.isNotNull(), "revoked").otherwise(status), "detail": past}).drop("http_status", "error")
 
 
 def revocable(kind: Column, admin: bool = False) -> Column:
@@ -78,11 +91,6 @@ def after_request(before: Column, after: Column) -> Column:
     return F.when(after == "revoked", "revoked").when(after == "unknown", F.coalesce(before, F.lit("pending"))).otherwise("pending")
 
 
-def expired(expires: Column, now: Column) -> Column:
-    """Revoked offline: past the expiry that the credential itself states."""
-    return F.when(expires < now, "revoked")
-
-
 def kinds(spark: SparkSession) -> DataFrame:
     """The kinds dimension: provider, kind, checksum (its shape is verified offline), opaque (nothing can verify it), revocable (no, yes, admin)."""
     from ..operators import detectors, documents

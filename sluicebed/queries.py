@@ -437,7 +437,7 @@ def cluster_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = F.concat(F.lit('{"iss":"i","sub":"'), F.when(F.col("doc_id") % 2 == 0, who).otherwise("someone"), F.lit('"}'))
     token = F.concat_ws(".", b64(F.lit('{"alg":"RS256"}')), b64(claims), F.substring(seeded("sig"), 1, 43))
     found = detectors.find(planted(spark, sf_dir, F.concat(F.lit("Bearer "), token, F.lit("\n"))))
-    return found.select("object_key", F.regexp_replace("attribution", "^service account ", "").alias("account"))
+    return found.select("object_key", F.regexp_extract("attribution", "^serviceaccount ([^,]*), no expiry", 1).alias("account"))
 
 
 @query("""SELECT text_id AS object_key, copies FROM (SELECT min(doc_id) AS text_id, count(*)::BIGINT AS copies FROM documents GROUP BY text) WHERE copies > 1""")
@@ -447,6 +447,20 @@ def content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("sha").agg(F.min("doc_id").alias("object_key"), F.count("*").alias("copies")).filter("copies > 1").select("object_key", "copies")
 
 
+@query(f"""WITH d AS (SELECT doc_id, source AS target, '20' || lpad((10 + doc_id % 30)::VARCHAR, 2, '0') || '-03-04' AS day, substr({_sql_seeded("sas")}, 1, 40) AS sig FROM documents)
+SELECT target, substr(sha256(sig), 1, 16) AS fingerprint, 'bare token, resource unknown, ' || CASE WHEN day < '2025-06-01' THEN 'expired ' ELSE 'expires ' END || day AS attribution, CASE WHEN day < '2025-06-01' THEN 'revoked' WHEN doc_id % 2 = 0 THEN 'active' ELSE 'unknown' END AS status,
+CASE WHEN day < '2025-06-01' THEN 'expired on ' || day || '; no storage service accepts an expired signature' END AS detail FROM d""")
+def expiry_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures that say until when they hold, told against a clock that is given; what is past needs no answer."""
+    day = F.concat(F.lit("20"), F.lpad((10 + F.col("doc_id") % 30).cast("string"), 2, "0"), F.lit("-03-04"))
+    sig = F.substring(seeded("sas"), 1, 40)
+    objects = planted(spark, sf_dir, F.concat(F.lit("K=sv=2022-11-02&se="), day, F.lit("T12:00:00Z&sig="), sig, F.lit("\n")))
+    now = F.lit("2025-06-01").cast("timestamp")
+    found = findings.findings(detectors.hits(objects, (), documents.FORMATS, keep=("target", "object_key"), now=now).filter("kind = 'azure-sas-token'"))
+    answers = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(V.fingerprint(sig).alias("fingerprint"), F.lit(200).alias("http_status"), F.lit("").alias("error"))
+    return verdicts.verified(found, answers, now).select("target", "fingerprint", "attribution", "status", "detail")
+
+
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text, and after it a Secret with a good value, one to be filled in, and one in clear; every fourth is encrypted as a whole."""
     token = F.concat(F.lit("npm_"), F.substring(seeded("mf"), 1, 36))
@@ -518,7 +532,7 @@ def kubeconfig(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("object_key", "kind", "value", "attribution", "line")
 
 
-@query(f"""SELECT doc_id AS object_key, substr({_sql_seeded("sas")}, 1, 40) AS value, CASE WHEN doc_id % 2 = 0 THEN 'a' || doc_id::VARCHAR || '.blob.core.windows.net, ' ELSE '' END || 'permissions rl, expires 2030-01-01' AS attribution,
+@query(f"""SELECT doc_id AS object_key, substr({_sql_seeded("sas")}, 1, 40) AS value, CASE WHEN doc_id % 2 = 0 THEN 'resource a' || doc_id::VARCHAR || '.blob.core.windows.net/c' ELSE 'bare token, resource unknown' END || ', permissions rl, expires 2030-01-01' AS attribution,
 ({_FIRST} + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 6 END)::BIGINT AS "offset" FROM documents WHERE doc_id % 3 <> 0""")
 def shared_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed addresses and bare signatures after each text; without an expiry it is none."""

@@ -1,9 +1,10 @@
 """File trees and git object databases as Spark sources.
 
 Both list what there is when the job is planned, without contents, and deal it into partitions of about PART_BYTES; each task
-reads the contents of its own. Filters on what the listing knows (type, size, path, key) are pushed into it, so that objects
-nobody wants are never read; with the option contents=false none is. The folder must be one that every executor sees. Register
-with register(spark).
+reads the contents of its own. With the option pushdown=true filters on what the listing knows (type, size, path, key) are pushed
+into it, so that objects nobody wants are never read. Spark wants its setting spark.sql.python.filterPushdown.enabled for that, and
+keeps what it has pushed for all uses of a DataFrame, so load one for each use. With contents=false no contents are read. The folder
+must be one that every executor sees. Register with register(spark).
 """
 
 from __future__ import annotations
@@ -56,14 +57,6 @@ class _Reader(DataSourceReader):
             self.limit = -1
         self.wanted: list[Filter] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Keeps those that the listing can answer; gives back the others."""
-        for f in filters:
-            if type(f) in _TESTS and f.attribute[0] in ("target", "object_key", "object_type", "path", "size"):
-                self.wanted.append(f)
-            else:
-                yield f
-
     def fits(self, key: str, kind: str, path: str | None, size: int) -> bool:
         known = {"target": self.target, "object_key": key, "object_type": kind, "path": path, "size": size}
         return all((v := known[f.attribute[0]]) is not None and _TESTS[type(f)](v, getattr(f, "value", None)) for f in self.wanted)
@@ -136,6 +129,30 @@ class GitReader(_Reader):
                 yield self.row(sha, kind, None, size, content)
 
 
+def _asks(options: dict[str, str]) -> bool:
+    return options.get("pushdown", "false").lower() == "true"
+
+
+class _Pushed:
+    """A reader that takes filters."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Keeps those that the listing can answer; gives back the others."""
+        for f in filters:
+            if type(f) in _TESTS and f.attribute[0] in ("target", "object_key", "object_type", "path", "size"):
+                self.wanted.append(f)
+            else:
+                yield f
+
+
+class PushedTreeReader(_Pushed, TreeReader):
+    pass
+
+
+class PushedGitReader(_Pushed, GitReader):
+    pass
+
+
 class FileTree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -145,7 +162,7 @@ class FileTree(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> TreeReader:
-        return TreeReader(self.options)
+        return (PushedTreeReader if _asks(self.options) else TreeReader)(self.options)
 
 
 class GitObjects(DataSource):
@@ -157,12 +174,10 @@ class GitObjects(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> GitReader:
-        return GitReader(self.options)
+        return (PushedGitReader if _asks(self.options) else GitReader)(self.options)
 
 
 def register(spark: SparkSession) -> None:
-    """Both sources, and Spark's setting that pushes filters into them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (FileTree, GitObjects):
         spark.dataSource.register(source)
 

@@ -1,18 +1,22 @@
 """Spans, hints, peers, servers, endings, registry logins, receivers, and helpers on odd and hostile content."""
 
 import base64
+import hashlib
 import ipaddress
 import json
 import random
 import time
+from datetime import UTC, datetime
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import In, LessThanOrEqual, StringEndsWith
 
-from sluicebed.operators import detectors, documents, hints, nearest, nodes, peers, registries, servers, sightings, spans
-from sluicebed.plans import scan
+from sluicebed.operators import attribution, detectors, documents, findings, hints, nearest, nodes, peers, registries, servers, sightings, spans
+from sluicebed.plans import scan, verdicts
+from sluicebed.sources import tables, trees
 from tests.test_engine import body, classic
 
 b64 = lambda s: base64.b64encode(s.encode()).decode()
@@ -239,3 +243,127 @@ def test_leaves_are_the_scalars_of_json(doc):
     if found:  # YAML refuses some characters that JSON may have
         assert found.keys() == want.keys()
         assert all(json.loads(text[start:end]) == want[p] for p, (_, start, end) in found.items())
+
+
+def test_reachability_takes_few_rounds_over_many_merges(spark, monkeypatch):
+    """A mainline with a merged side branch at every tenth commit; against what a plain search finds."""
+    parents, prev = {}, None
+    for n in range(4000):
+        k = n % 10
+        parents[n] = [] if n == 0 else [n - 6, n - 1] if k == 0 else [n - 1]
+    commits = spark.createDataFrame([("r", f"c{n}", [f"c{p}" for p in ps]) for n, ps in parents.items()], "repo string, sha string, parents array<string>")
+    refs = spark.createDataFrame([("r", f"refs/heads/{n}", f"c{n}") for n in (3997, 1204, 7)], "repo string, refname string, sha string")
+    wanted = [0, 4, 6, 8, 1203, 1206, 2500, 3994, 3998, 3999]
+    rounds = []
+    real = tables.cut
+    monkeypatch.setattr(tables, "cut", lambda *a: rounds.append(1) or real(*a))
+    got = attribution.refs_containing(commits, refs, spark.createDataFrame([("r", f"c{n}") for n in wanted], "repo string, sha string")).collect()
+    want: dict[str, list[str]] = {}
+    for tip in (3997, 1204, 7):
+        todo, seen = [tip], set()
+        while todo:
+            if (at := todo.pop()) not in seen:
+                seen.add(at)
+                todo += parents[at]
+        for n in wanted:
+            if n in seen:
+                want.setdefault(f"c{n}", []).append(f"refs/heads/{tip}")
+    assert {r["sha"]: r["refs"] for r in got} == {k: sorted(v) for k, v in want.items()}
+    assert len(rounds) < 40 and prev is None
+
+
+def _s(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+def test_keys_say_their_algorithm_state_and_comment():
+    public = _s(b"ssh-rsa") + _s(b"\x01\x00\x01") + _s(b"\x00" + b"\xff" * 256)
+    private = bytes(8) + _s(b"ssh-rsa") + b"".join(_s(b"x") for _ in range(6)) + _s(b"me@host") + b"\x01"
+    raw = lambda cipher: b"openssh-key-v1\0" + _s(cipher) + _s(b"none") + _s(b"") + bytes([0, 0, 0, 1]) + _s(public) + _s(private)
+    pem = lambda label, der: b"-----BEGIN %s-----\n%s\n-----END %s-----\n" % (label, base64.b64encode(der), label)
+    said = lambda c: [(r["attribution"], r["encrypted"]) for r in documents.private_keys(c)]
+    assert said(pem(b"OPENSSH PRIVATE KEY", raw(b"none"))) == [("RSA 2048, unencrypted, comment me@host", False)]
+    assert said(pem(b"OPENSSH PRIVATE KEY", raw(b"aes256-ctr"))) == [("RSA 2048, encrypted", True)]
+    assert said(pem(b"ENCRYPTED PRIVATE KEY", b"\x30\x00")) == [("PKCS#8, encrypted, algorithm unknown", True)]
+    cosign = json.dumps({"kdf": {"name": "scrypt"}, "cipher": {"name": "nacl/secretbox"}, "ciphertext": "x"}).encode()
+    assert said(pem(b"ENCRYPTED SIGSTORE PRIVATE KEY", cosign)) == [("encrypted with scrypt/nacl/secretbox, public key not derivable", True)]
+
+
+def _cert(spki, until, name="me", org=(b"system:masters", b"dev"), issuer="ca"):
+    der = documents._der
+    rdn = lambda oid, text: der(0x31, der(0x30, oid, der(0x0C, text)))
+    names = lambda cn, o: der(0x30, *(rdn(documents.ORGANIZATION, x) for x in o), rdn(documents.COMMON, cn.encode()))
+    tbs = der(0x30, der(0xA0, der(0x02, b"\x02")), der(0x02, b"\x01"), der(0x30), names(issuer, ()), der(0x30, der(0x17, b"200101000000Z"), der(0x17, until)), names(name, org), spki)
+    return der(0x30, tbs, der(0x30), der(0x03, b"\0"))
+
+
+def test_client_certificates_need_their_key_and_say_until_when(spark):
+    der = documents._der
+    key = der(0x30, *(der(0x02, bytes([k])) for k in (0, 55, 3, 27, 5, 11, 3, 7, 1)))
+    other = der(0x30, *(der(0x02, bytes([k])) for k in (0, 57, 3, 27, 5, 11, 3, 7, 1)))
+    cert = _cert(documents.spki_of("RSA PRIVATE KEY", key), b"250601000000Z")
+    pem = lambda label, raw: b64(f"-----BEGIN {label}-----\n{base64.b64encode(raw).decode()}\n-----END {label}-----\n")
+    config = lambda k: f"kind: Config\nclusters: [{{name: c, cluster: {{server: 'https://h:6443'}}}}]\ncontexts: [{{context: {{cluster: c, user: u}}}}]\nusers:\n- name: u\n  user:\n    client-certificate-data: {pem('CERTIFICATE', cert)}\n    client-key-data: {pem('RSA PRIVATE KEY', k)}\n"
+    for now, word in (("2025-01-01", "expires"), ("2026-01-01", "expired")):
+        clock = F.lit(now).cast("timestamp")
+        hits = detectors.hits(objects(spark, config(key), config(other)), (), documents.FORMATS, now=clock).filter("cls = 'token' and provider = 'kubernetes'")
+        got = [(r["object_key"], r["value"], r["attribution"], r["checksum_verified"]) for r in hits.collect()]
+        assert got == [(0, hashlib.sha256(cert).hexdigest(), f"CN=me groups=system:masters,dev issuer ca, server https://h:6443, {word} 2025-06-01", True)]
+    said = [r["d"] for r in hits.select(verdicts.expired(F.col("kind"), F.col("expires"), clock).alias("d")).collect()]
+    assert said == ["expired on 2025-06-01; no API server accepts an expired certificate"]
+    assert sightings.certificate(cert, datetime(2026, 1, 1, tzinfo=UTC))[1] == "certificate for me, expired 2025-06-01, issuer ca"
+
+
+def test_signed_tokens_say_until_when_and_for_which_pod(spark):
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    token = lambda **c: f"{part({'alg': 'RS256'})}.{part({'sub': 'system:serviceaccount:ns:sa'} | c)}.{body(43)}"
+    pod = {"kubernetes.io": {"pod": {"name": "p-1"}}}
+    hits = detectors.hits(objects(spark, token(exp=1748736000), token(exp=1748736000.5, **pod), token(), token(exp="x")), now=F.lit("2025-05-01").cast("timestamp"))
+    got = {r["object_key"]: (r["attribution"], r["expires"]) for r in hits.collect()}
+    assert got == {0: ("serviceaccount ns/sa, expires 2025-06-01", 1748736000), 1: ("serviceaccount ns/sa, bound to pod p-1, expires 2025-06-01", 1748736000), 2: ("serviceaccount ns/sa, no expiry (legacy token)", None), 3: ("serviceaccount ns/sa, no expiry (legacy token)", None)}
+
+
+def test_filters_are_pushed_into_the_listing(spark, tmp_path):
+    for name, text in (("a.env", "x"), ("b.txt", "y" * 50), (".c.env", "z")):
+        (tmp_path / name).write_text(text)
+    reader = trees.PushedTreeReader({"path": str(tmp_path)})
+    other = LessThanOrEqual(("content",), b"x")
+    assert list(reader.pushFilters([LessThanOrEqual(("size",), 10), StringEndsWith(("path",), ".env"), In(("object_type",), ("blob", "file")), other])) == [other]
+    assert sorted(i[1] for p in reader.partitions() for i in p.items) == [".c.env", "a.env"]
+    trees.register(spark)
+    load = lambda: spark.read.format("filetree").option("path", str(tmp_path)).load()
+    objects = load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    small = spark.read.format("filetree").option("path", str(tmp_path)).option("pushdown", "true").load().filter("size <= 10 and object_type in ('file', 'blob') and path like '%.env' and content is not null")
+    assert sorted(r["path"] for r in small.collect()) == [".c.env", "a.env"]
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert sorted(r["path"] for r in objects.filter("size <= 10 and object_type in ('file', 'blob') and path like '%.env'").collect()) == [".c.env", "a.env"]
+    listing = spark.read.format("filetree").option("path", str(tmp_path)).option("contents", "false").load()
+    assert listing.filter("content is null and not skipped").count() == 3
+    assert [r["bytes"] for r in scan.run(objects, listing=listing).results.collect()] == [52]
+    assert [r["object_key"] for r in trees.missing(spark.createDataFrame([("a.env",), ("gone",)], "object_key string"), listing).collect()] == ["gone"]
+
+
+def test_activity_pages_give_rewrites_in_order(spark, tmp_path):
+    row = lambda kind, before, after, login="me": {"activity_type": kind, "before": before, "after": after, "ref": "refs/heads/x", "timestamp": "2024-05-06T07:08:09Z", "actor": {"login": login}}
+    pages = [[row("push", "c1", "c2"), row("force_push", "c3", "c4")], [row("branch_deletion", "c5", "0" * 40), row("force_push", "0" * 40, "c6"), row("force_push", "", "c7"), row("force_push", "c3", "c8", None)]]
+    for i, page in enumerate(pages):
+        (tmp_path / f"{i:03}.json").write_text(json.dumps(page))
+    (tmp_path / "009.json").write_text("[]")
+    rows = trees.activity(spark, str(tmp_path), "r").orderBy("ord").collect()
+    assert [(r["before"], r["after"], r["text"]) for r in rows] == [("c3", "c4", "force-pushed over by me on 2024-05-06"), ("c5", "", "branch deleted by me on 2024-05-06"), ("c3", "c8", "force-pushed over on 2024-05-06")]
+    commits = spark.createDataFrame([("r", "c3", ["c2"]), ("r", "c5", ["c2"]), ("r", "c2", [])], "repo string, sha string, parents array<string>")
+    lost = spark.createDataFrame([("r", "c2"), ("r", "c5")], "repo string, sha string")
+    got = {r["sha"]: r["rewrite"] for r in attribution.rewrites_of(lost, commits, trees.activity(spark, str(tmp_path), "r")).collect()}
+    assert got == {"c2": "force-pushed over by me on 2024-05-06", "c5": "branch deleted by me on 2024-05-06"}
+
+
+def test_the_report_is_one_document(spark, tmp_path):
+    results = spark.createDataFrame([("t2", False, None, False, 3, 30), ("t1", False, None, False, 1, 10), ("t3", True, "gone", False, 0, 0)], "target string, files boolean, error string, skipped boolean, objects long, bytes long")
+    found = spark.createDataFrame([(f"t{1 + i % 2}", f"f{i:02}", "npm-access-token" if i % 3 else "github-pat", ["active", "revoked", None][i % 3], "v", 'say "x"') for i in range(20)], "target string, fingerprint string, kind string, status string, value string, attribution string")
+    scan.write_document(scan.document(results, found), str(tmp_path / "out"), 5)
+    doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))))
+    assert [t["target"] for t in doc["results"]] == ["t1", "t2", "t3"] and doc["summary"]["findings"] == 20 and doc["summary"]["failed"] == 1
+    for t in doc["results"]:
+        want = [r["fingerprint"] for r in findings.ordered(found.filter(F.col("target") == t["target"])).collect()]
+        assert [f["fingerprint"] for f in t["findings"]] == want and all("value" not in f for f in t["findings"])
