@@ -59,13 +59,16 @@ def chance(doc_id: Column) -> Column:
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], fraction: float = FRACTION, sweeps: int = SWEEPS) -> DataFrame:
     """cells with their keeping probability p; cells: source, lang, topic, tokens. targets: (value, tokens wanted) by dimension."""
+    for dim in DIMS:
+        want = targets[dim].select(F.col("value").alias("_v"), F.col("want").alias(f"want_{dim}"))
+        cells = cells.join(want, F.col(dim).eqNullSafe(F.col("_v")), "left").drop("_v")
+    kept = [*DIMS, "tokens", *(f"want_{d}" for d in DIMS)]
     now = materialize(cells.withColumn("p", F.lit(float(fraction))), "mix-cells")
     for _ in range(sweeps):
         for dim in DIMS:
-            have = now.groupBy(F.col(dim).alias("v")).agg(F.sum(F.col("tokens") * F.col("p")).alias("have"))
-            want = targets[dim].select(F.col("value").alias("w"), "want")
-            factor = have.join(want, F.col("v").eqNullSafe(F.col("w")), "left").select("v", F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("factor"))
-            now = now.join(factor, F.col(dim).eqNullSafe(F.col("v"))).select(*DIMS, "tokens", F.round(F.least(F.lit(1.0), F.col("p") * F.col("factor")), 9).alias("p"))
+            have = now.groupBy(F.col(dim).alias("_v")).agg(F.sum(F.col("tokens") * F.col("p")).alias("have"))
+            factor = F.when(F.col("have") > 0, F.coalesce(f"want_{dim}", F.lit(0.0)) / F.col("have")).otherwise(1.0)
+            now = now.join(have, F.col(dim).eqNullSafe(F.col("_v"))).select(*kept, F.round(F.least(F.lit(1.0), F.col("p") * factor), 9).alias("p"))
         now = materialize(now, "mix-cells")
     return now.select(*DIMS, "tokens", F.round("p", PLACES).alias("p"))
 
