@@ -32,7 +32,7 @@ class Needles:
         self.by_pair: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, n in enumerate(needles):
             k = min(range(len(n) - 1), key=lambda k: (_common(n[k]) + _common(n[k + 1]), k))
-            code = n[k] << 8 | n[k + 1]
+            code = n[k] | n[k + 1] << 8
             self.table[code] = True
             self.by_pair[code].append((i, k))
 
@@ -41,21 +41,21 @@ class Needles:
         at, which = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for lo in range(0, max(len(data) - 1, 0), SLICE):
             part = data[lo : lo + SLICE + 1]
-            code = part[:-1].astype(np.uint16)
-            code <<= 8
-            code |= part[1:]
-            hit = np.flatnonzero(self.table[code])
-            codes = code[hit]
-            for pair in np.unique(codes).tolist():
-                places = hit[codes == pair] + lo
-                for i, k in self.by_pair[pair]:
-                    own, n = places - k, self.needles[i]
-                    own = own[(own >= 0) & (own + len(n) <= len(data))]
-                    for j, byte in enumerate(n.tolist()):
-                        if j not in (k, k + 1) and len(own):
-                            own = own[data[own + j] == byte]
-                    at.append(own)
-                    which.append(np.full(len(own), i))
+            for first in (0, 1):
+                # pairs that start at even or odd places are the same bytes as numbers of 16 bits
+                code = np.frombuffer(part[first : first + (len(part) - first) // 2 * 2].tobytes(), "<u2")
+                hit = np.flatnonzero(np.take(self.table, code))
+                codes = code[hit]
+                for pair in np.unique(codes).tolist():
+                    places = hit[codes == pair] * 2 + (lo + first)
+                    for i, k in self.by_pair[pair]:
+                        own, n = places - k, self.needles[i]
+                        own = own[(own >= 0) & (own + len(n) <= len(data))]
+                        for j, byte in enumerate(n.tolist()):
+                            if j not in (k, k + 1) and len(own):
+                                own = own[data[own + j] == byte]
+                        at.append(own)
+                        which.append(np.full(len(own), i))
         at, which = np.concatenate(at), np.concatenate(which)
         order = np.argsort(at, kind="stable")
         return at[order], which[order]
@@ -71,16 +71,37 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the maximal runs of letters and digits that have one of the lengths; a value's end ends a run."""
-    if not len(data):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of all maximal runs of letters and digits."""
     on = _LETTERS[data]
     before, after = np.zeros_like(on), np.zeros_like(on)
     before[1:], after[:-1] = on[:-1], on[1:]
     edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
     before[edges], after[edges - 1] = False, False
-    start, stop = np.flatnonzero(on & ~before), np.flatnonzero(on & ~after) + 1
+    return np.flatnonzero(on & ~before), np.flatnonzero(on & ~after) + 1
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the maximal runs of letters and digits that have one of the lengths; a value's end ends a run.
+
+    A run of n covers some step of n // 2 from one multiple of it to the next, so only these are tried, a byte at a time, and runs
+    are measured around what is left.
+    """
+    step, far = max(1, min(lengths) // 2), max(lengths) + 1
+    at = np.arange(0, max(len(data) - step, 0), step) if min(lengths) > 1 else np.empty(0, np.int64)
+    for j in sorted(range(step + 1), key=lambda j: -(j * 7 % (step + 1))):
+        at = at[_LETTERS[data[at + j]]]
+    if len(at) * 4 * far > len(data) or min(lengths) < 2:
+        start, stop = _edges(data, offsets)
+    else:
+        found = {}
+        for p in at.tolist():
+            row = int(np.searchsorted(offsets, p, side="right")) - 1
+            lo, hi = max(int(offsets[row]), p - far), min(int(offsets[row + 1]), p + step + far)
+            near = _LETTERS[data[lo:hi]]
+            left, right = np.flatnonzero(~near[: p - lo]), np.flatnonzero(~near[p - lo :])
+            found[lo + (int(left[-1]) + 1 if len(left) else 0)] = p + (int(right[0]) if len(right) else hi - p)
+        start, stop = np.array(sorted(found), np.int64), np.array([found[k] for k in sorted(found)], np.int64)
     fits = np.isin(stop - start, lengths)
     return start[fits], (stop - start)[fits]
 
