@@ -9,13 +9,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import attribution, detectors, documents, findings, hosts, nearest, peers, sightings, spans
 from ..sources.tables import cut
+from . import advice, verdicts
 
 MAX_OBJECT = 10 << 20
+#: Fixed value: the label of the step that says what a key opens.
+OPENS = "unlocks"
 
 
 @dataclass
@@ -25,6 +29,7 @@ class Result:
     results: DataFrame
     instances: DataFrame
     unlocks: DataFrame
+    seen: DataFrame
 
 
 def scanned(objects: DataFrame, max_object: int = MAX_OBJECT) -> DataFrame:
@@ -80,7 +85,7 @@ def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = M
     text = V.bytes_view(F.col("content"))
     origins = F.concat(*(F.when(F.contains("content", F.lit(f"{p}.".encode())), F.transform(hosts.instances(text, p), lambda o, p=p: F.struct(F.lit(p).alias("provider"), o.alias("origin")))).otherwise(F.array().cast("array<struct<provider:string,origin:string>>")) for p in hosts.VENDORS))
     named = seen.select("target", "object_key", F.explode(origins).alias("o")).select("target", "object_key", "o.provider", "o.origin")
-    return Result(tokens, findings.findings(tokens), stats(objects if listing is None else listing, max_object), named, sightings.unlocks(tokens, public))
+    return Result(tokens, findings.findings(tokens), stats(objects if listing is None else listing, max_object), named, sightings.unlocks(tokens, public), public)
 
 
 def located(tokens: DataFrame, history: dict[str, DataFrame]) -> DataFrame:
@@ -97,6 +102,38 @@ def located(tokens: DataFrame, history: dict[str, DataFrame]) -> DataFrame:
     return hits.withColumns({"path": F.coalesce("path", "_path"), "reachable": how}).drop("_path", "rewrite").withColumnRenamed("repo", "target")
 
 
+@dataclass
+class Completed:
+    findings: DataFrame
+    steps: DataFrame
+
+
+def completed(out: Result, answers: DataFrame | None = None, local: DataFrame | None = None, published: DataFrame | None = None, kinds: DataFrame | None = None, now: Column | None = None) -> Completed:
+    """Findings with all that is known of them, and the steps that follow.
+
+    findings: those of the job with status and detail (from recorded answers, and from expiries), opaque, local (where this machine
+    has them), matches (whose published key they are, which the attribution says too) and servers (addresses of their provider's
+    servers in their own objects, the first LISTED by name). steps: advice.steps() of each fingerprint, as its first target has it.
+    answers: fingerprint, http_status, error; local: fingerprint, source; published: login, identifier, ord; kinds: what advice.steps takes.
+    """
+    spark, found = out.findings.sparkSession, out.findings
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    matches = sightings.committers(out.tokens, out.seen, published if published is not None else none("login string, identifier string, ord int"))
+    found = found.join(matches, ["target", "fingerprint"], "left").withColumn("attribution", F.concat_ws(", ", F.nullif("attribution", F.lit("")), "matches"))
+    found = findings.with_local(found, local if local is not None else none("fingerprint string, source string"))
+    found = verdicts.verified(found, answers if answers is not None else none("fingerprint string, http_status int, error string"), now)
+    own = out.tokens.select("target", "provider", "object_key", V.fingerprint(F.col("value")).alias("fingerprint")).distinct()
+    near = own.join(out.instances, ["target", "provider", "object_key"]).select("target", "fingerprint", "origin").distinct()
+    nth = F.row_number().over(W.partitionBy("target", "fingerprint").orderBy("origin"))
+    near = near.withColumn("_n", nth).filter(F.col("_n") <= findings.LISTED).groupBy("target", "fingerprint").agg(F.array_sort(F.collect_list("origin")).alias("servers"))
+    dimension = verdicts.kinds(spark)
+    found = found.join(near, ["target", "fingerprint"], "left").join(F.broadcast(dimension.select("provider", "kind", "opaque")), ["provider", "kind"], "left")  # a row a kind
+    said = dimension.select("kind", "provider_name", F.lit(None).cast("string").alias("revoke_page"), (F.col("revocable") == "yes").alias("revocable"), *(F.lit(None).cast("string").alias(c) for c in ("revoke_note", "audit_note")), F.when(F.col("provider").isin("privatekey", "sops"), OPENS).alias("unlocks_label"), F.lit(None).cast("string").alias("unlocks_none"))
+    one = found.groupBy("fingerprint").agg(F.min_by(F.struct("kind", "status", "opaque", "local"), "target").alias("f")).select("fingerprint", "f.*")
+    one = one.withColumns({"app": F.lit(None).cast("string"), "revocation": F.lit(None).cast("string")})
+    return Completed(found, advice.steps(one, kinds if kinds is not None else said, out.unlocks))
+
+
 def shown(found: DataFrame, show_secrets: bool = False) -> DataFrame:
     """Findings without values and secrets, unless these are asked for."""
     return found if show_secrets else found.drop("value", "secret")

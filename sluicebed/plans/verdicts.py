@@ -92,8 +92,8 @@ def after_request(before: Column, after: Column) -> Column:
 
 
 def kinds(spark: SparkSession) -> DataFrame:
-    """The kinds dimension: provider, kind, checksum (its shape is verified offline), opaque (nothing can verify it), revocable (no, yes, admin)."""
-    from ..operators import detectors, documents
+    """The kinds dimension: provider, provider_name, kind, description, checksum (its shape is verified offline), opaque (nothing can verify it), revocable (no, yes, admin)."""
+    from ..operators import detectors, documents, names
 
     checked = {(s.provider, s.kind): s.checksum for s in detectors.SHAPES}
     every = {(s.provider, s.kind): False for s in detectors.SHAPES} | {k: False for k in documents.KINDS}
@@ -101,8 +101,8 @@ def kinds(spark: SparkSession) -> DataFrame:
     for provider, kind in every:
         opaque = any(p == provider and said == "unverifiable" and not status and re.fullmatch(kinds_ or ".*", kind) for p, kinds_, status, _, said in ANSWERS)
         how = "yes" if kind in REVOCABLE.get(provider, ()) else "admin" if kind in WITH_ADMIN.get(provider, ()) else "no"
-        rows.append((provider, kind, checked.get((provider, kind), False), opaque, how))
-    return spark.createDataFrame(sorted(rows), "provider string, kind string, checksum boolean, opaque boolean, revocable string")
+        rows.append((provider, names.PROVIDERS.get(provider, provider), kind, names.KINDS.get(kind, kind), checked.get((provider, kind), False), opaque, how))
+    return spark.createDataFrame(sorted(rows), "provider string, provider_name string, kind string, description string, checksum boolean, opaque boolean, revocable string")
 
 
 def answers_table(spark: SparkSession) -> DataFrame:

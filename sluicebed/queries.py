@@ -318,21 +318,46 @@ _SSH_HEAD = "0000000b7373682d6564323535313900000020"
 _SSH_BEFORE = "6f70656e7373682d6b65792d76310000000004" + "6e6f6e65" + "00000004" + "6e6f6e65" + "00000000" + "00000001" + "00000033"
 
 
-@query(f"""WITH k AS (SELECT doc_id, source, doc_id // 20 % 5 = 0 AS secret, 'SHA256:' || rtrim(base64(unhex(sha256(unhex('{_SSH_HEAD}' || sha256('pair' || (CASE WHEN doc_id // 20 % 5 = 0 THEN doc_id // 100 ELSE doc_id // 20 END % 50)::VARCHAR))))), '=') AS id FROM documents)
-SELECT DISTINCT a.source AS target, substr(sha256(a.id), 1, 16) AS fingerprint, 'doc/' || b.doc_id::VARCHAR AS path, 'ssh public key, comment user' || b.doc_id::VARCHAR || '@host' AS detail FROM k a JOIN k b ON a.source = b.source AND a.id = b.id WHERE a.secret AND NOT b.secret""")
-def key_unlocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files that name the public halves of leaked SSH keys, both found in content."""
+def _ssh(spark: SparkSession, sf_dir: str) -> DataFrame:
     secret, number = F.expr("doc_id div 20 % 5 = 0"), F.expr("cast(CASE WHEN doc_id div 20 % 5 = 0 THEN doc_id div 100 ELSE doc_id div 20 END % 50 AS string)")
     blob = F.concat(F.lit(_SSH_HEAD), F.sha2(F.concat(F.lit("pair"), number), 256))
     coded = lambda h: F.regexp_replace(F.base64(F.unhex(h)), r"\s", "")
     key = F.concat(F.lit("-----BEGIN OPENSSH PRIVATE KEY-----\n"), coded(F.concat(F.lit(_SSH_BEFORE), blob)), F.lit("\n-----END OPENSSH PRIVATE KEY-----\n"))
     line = F.concat(F.lit("ssh-ed25519 "), coded(blob), F.lit(" user"), F.col("doc_id").cast("string"), F.lit("@host\n"))
-    objects = planted(spark, sf_dir, F.when(secret, key).otherwise(line)).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+    return planted(spark, sf_dir, F.when(secret, key).otherwise(line)).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+
+
+@query(f"""WITH k AS (SELECT doc_id, source, doc_id // 20 % 5 = 0 AS secret, 'SHA256:' || rtrim(base64(unhex(sha256(unhex('{_SSH_HEAD}' || sha256('pair' || (CASE WHEN doc_id // 20 % 5 = 0 THEN doc_id // 100 ELSE doc_id // 20 END % 50)::VARCHAR))))), '=') AS id FROM documents)
+SELECT DISTINCT a.source AS target, substr(sha256(a.id), 1, 16) AS fingerprint, 'doc/' || b.doc_id::VARCHAR AS path, 'ssh public key, comment user' || b.doc_id::VARCHAR || '@host' AS detail FROM k a JOIN k b ON a.source = b.source AND a.id = b.id WHERE a.secret AND NOT b.secret""")
+def key_unlocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that name the public halves of leaked SSH keys, both found in content."""
+    objects = _ssh(spark, sf_dir)
     keep = ("target", "object_key", "path")
     hits = detectors.hits(objects, (), documents.FORMATS + sightings.FORMATS, keep=keep)
     return sightings.unlocks(hits.filter("cls = 'token'"), sightings.of_hits(hits, keep))
 
 
+@query(f"""WITH k AS (SELECT doc_id, source AS target, doc_id // 20 % 5 = 0 AS secret, CASE WHEN doc_id // 20 % 5 = 0 THEN doc_id // 100 ELSE doc_id // 20 END % 50 AS n FROM documents),
+i AS (SELECT *, 'SHA256:' || rtrim(base64(unhex(sha256(unhex('{_SSH_HEAD}' || sha256('pair' || n::VARCHAR))))), '=') AS id FROM k),
+f AS (SELECT target, n, substr(sha256(id), 1, 16) AS fingerprint, count(*) AS occurrences FROM i WHERE secret GROUP BY ALL), o AS (SELECT DISTINCT a.n FROM i a JOIN i b ON a.target = b.target AND a.n = b.n WHERE a.secret AND NOT b.secret)
+SELECT target, fingerprint, occurrences::BIGINT AS occurrences, 'ed25519, unencrypted' || CASE WHEN n % 2 = 0 THEN ', matches u' || n::VARCHAR || chr(39) || 's GitHub SSH key' ELSE '' END AS attribution, CASE n % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'revoked' ELSE 'unknown' END AS status,
+concat_ws(',', CASE WHEN o.n IS NOT NULL THEN 'unlocks' END, CASE WHEN f.n % 5 = 0 AND f.n % 3 <> 1 THEN 'local' END) AS steps FROM f LEFT JOIN o USING (n)""")
+def completed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over SSH keys and their public halves, with recorded answers, this machine's keys and published ones: what findings say, and the steps that follow."""
+    d = _ssh(spark, sf_dir)
+    objects = d.select("target", "object_key", F.lit("blob").alias("object_type"), "path", F.octet_length("content").cast("bigint").alias("size"), "content")
+    # what has been recorded elsewhere, by the key's number
+    n = F.expr("cast(doc_id div 100 % 50 AS int)")
+    blob = F.unhex(F.concat(F.lit(_SSH_HEAD), F.sha2(F.concat(F.lit("pair"), n.cast("string")), 256)))
+    own = F.concat(F.lit("SHA256:"), F.regexp_replace(F.base64(F.unhex(F.sha2(blob, 256))), "=", ""))
+    keys = table(spark, sf_dir, "documents").select(n.alias("n"), own.alias("identifier")).distinct().withColumn("fingerprint", V.fingerprint(F.col("identifier")))
+    answers = keys.filter("n % 3 < 2").select("fingerprint", F.when(F.col("n") % 3 == 0, 200).otherwise(0).alias("http_status"), F.when(F.col("n") % 3 == 0, "").otherwise("unable to authenticate").alias("error"))
+    published = keys.filter("n % 2 = 0").select(F.concat(F.lit("u"), F.col("n").cast("string")).alias("login"), "identifier", F.lit(1).alias("ord"))
+    done = scan.completed(scan.run(objects, max_object=0), answers, keys.filter("n % 5 = 0").select("fingerprint", F.lit("agent").alias("source")), published)
+    steps = done.steps.groupBy("fingerprint").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda x: x["label"]), ",").alias("steps"))
+    return done.findings.join(steps, "fingerprint", "left").select("target", "fingerprint", "occurrences", "attribution", "status", F.coalesce("steps", F.lit("")).alias("steps"))
+
+
 # A history from orders, a customer's orders being a repository: every order is a commit on the one before it, every fifth also
 # merges the third before it. A tag is at every seventh order, a branch at the third last one, so the last two are orphans.
 _ORDERED = "o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS last FROM orders)"
