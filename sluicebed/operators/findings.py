@@ -15,8 +15,8 @@ from ..functions import values as V
 
 #: Locations that a finding lists; locations() has all of them as rows.
 LISTED = 1000
-#: Ranges of time that cache entries are ranked in.
-RANGES = 64
+#: Ranges of time that cache entries are ranked in, at least and at most, and entries of a range, about.
+RANGES, MOST_RANGES, RANGE_ROWS = 64, 4096, 1 << 20
 
 
 def ignored(tokens: DataFrame, ignore: DataFrame | None) -> DataFrame:
@@ -140,15 +140,16 @@ def classified(found: DataFrame) -> DataFrame:
 def evicted(entries: DataFrame, budget: int) -> DataFrame:
     """Cache entries that go, oldest first, until the rest fits the budget; held ones stay. entries: path, size, mtime, held.
 
-    An entry goes if what is newer than it, with itself, is over the budget left by the held ones. Entries are cut into RANGES
-    by time, whose sums are a few rows; only within a range are they ranked.
+    An entry goes if what is newer than it, with itself, is over the budget left by the held ones. Entries are cut into ranges
+    of time, more for more entries, whose sums are a few rows; only within a range are they ranked.
     """
     held = entries.agg(F.coalesce(F.sum(F.when(F.col("held"), F.col("size"))), F.lit(0)).alias("held_bytes"))
     own = entries.filter(~F.col("held"))
-    bounds = own.agg(F.percentile_approx("mtime", [k / RANGES for k in range(1, RANGES)]).alias("bounds"))
+    ranges = min(MOST_RANGES, max(RANGES, own.count() // RANGE_ROWS))
+    bounds = own.agg(F.percentile_approx("mtime", [k / ranges for k in range(1, ranges)]).alias("bounds"))
     own = own.join(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("bounds", lambda b: b < F.col("mtime")))).drop("bounds")
     sums = own.groupBy("_range").agg(F.sum("size").alias("n"))
-    after = sums.alias("a").join(F.broadcast(sums.select(F.col("_range").alias("r"), F.col("n").alias("m"))), F.col("r") > F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("_newer"))  # at most RANGES rows
+    after = sums.alias("a").join(F.broadcast(sums.select(F.col("_range").alias("r"), F.col("n").alias("m"))), F.col("r") > F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("_newer"))  # at most MOST_RANGES rows
     newer = W.partitionBy("_range").orderBy(F.desc("mtime"), F.desc("path")).rowsBetween(W.unboundedPreceding, 0)
     free = own.withColumn("_within", F.sum("size").over(newer)).join(F.broadcast(after), "_range").withColumn("kept_bytes", F.col("_within") + F.col("_newer")).join(F.broadcast(held))
     return free.filter(F.col("kept_bytes") + F.col("held_bytes") > budget).select("path", "size", "mtime")

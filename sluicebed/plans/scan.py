@@ -83,7 +83,14 @@ def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = M
         public = attribution.with_paths(public.withColumnsRenamed({"target": "repo", "path": "_path"}), history["object_paths"]).withColumn("path", F.coalesce("path", "_path")).withColumnRenamed("repo", "target")
     seen = own.filter(F.col("object_type").isin("blob", "file"))
     text = V.bytes_view(F.col("content"))
-    origins = F.concat(*(F.when(F.contains("content", F.lit(f"{p}.".encode())), F.transform(hosts.instances(text, p), lambda o, p=p: F.struct(F.lit(p).alias("provider"), o.alias("origin")))).otherwise(F.array().cast("array<struct<provider:string,origin:string>>")) for p in hosts.VENDORS))
+    none = F.array().cast("array<struct<provider:string,origin:string>>")
+
+    def named_servers(p: str) -> Column:
+        """The servers of one provider. The lambda takes one argument: a second one would be the element's index."""
+        found_ = F.transform(hosts.instances(text, p), lambda o: F.struct(F.lit(p).alias("provider"), o.alias("origin")))
+        return F.when(F.contains("content", F.lit(f"{p}.".encode())), found_).otherwise(none)
+
+    origins = F.concat(*map(named_servers, hosts.VENDORS))
     named = seen.select("target", "object_key", F.explode(origins).alias("o")).select("target", "object_key", "o.provider", "o.origin")
     return Result(tokens, findings.findings(tokens), stats(objects if listing is None else listing, max_object), named, sightings.unlocks(tokens, public), public)
 

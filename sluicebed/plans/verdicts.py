@@ -39,6 +39,8 @@ REVOCABLE = {
 }
 WITH_ADMIN = {"anthropic": ("anthropic-api-key",), "openai": ("openai-project-key", "openai-service-account-key", "openai-admin-key")}
 BATCH = 1000
+#: Digits of a fingerprint that make a range.
+RANGE = 3
 
 
 def verdict(provider: Column, kind: Column, http_status: Column, error: Column) -> Column:
@@ -82,7 +84,13 @@ def revocation_plan(found: DataFrame, admin: bool = False, batch: int = BATCH) -
     from pyspark.sql import Window as W
 
     own = found.filter(revocable(F.col("kind"), admin) & (F.coalesce("status", F.lit("unknown")) != "revoked")) if "status" in found.columns else found.filter(revocable(F.col("kind"), admin))
-    ranked = own.select("provider", "fingerprint").distinct().withColumn("request", F.floor((F.row_number().over(W.partitionBy("provider").orderBy("fingerprint")) - 1) / batch))
+    own = own.select("provider", "fingerprint").distinct().withColumn("_range", F.left("fingerprint", F.lit(RANGE)))
+    # numbered in order by ranges of the fingerprint: how many come before a range is a sum over at most 16^RANGE rows a provider
+    sizes = own.groupBy("provider", "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("provider").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(W.partitionBy("provider", "_range").orderBy("fingerprint"))
+    ranked = own.withColumn("_nth", nth).join(sizes.select("provider", "_range", before.alias("_before")), ["provider", "_range"])
+    ranked = ranked.select("provider", "fingerprint", F.floor((F.col("_before") + F.col("_nth") - 1) / batch).alias("request"))
     return ranked.groupBy("provider", "request").agg(F.count("*").alias("credentials"), F.array_sort(F.collect_list("fingerprint")).alias("fingerprints"))
 
 

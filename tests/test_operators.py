@@ -6,6 +6,7 @@ import ipaddress
 import json
 import random
 import time
+import zlib
 from datetime import UTC, datetime
 
 import pytest
@@ -272,6 +273,31 @@ def test_reachability_takes_few_rounds_over_many_merges(spark, monkeypatch):
     assert len(rounds) < 40 and prev is None
 
 
+def test_completed_findings_say_what_is_known(spark):
+    token, grafana = classic(), "glsa_" + body(32)
+    crc = zlib.crc32(grafana.encode()).to_bytes(4, "little").hex()
+    texts = [f"{token} https://gitlab.corp.example.com/x", f"{grafana}_{crc} see http://grafana.corp.example.com:3000 and https://grafana.example.org"]
+    rows = [("t", str(i), "file", f"f{i}", len(t), t.encode()) for i, t in enumerate(texts)]
+    out = scan.run(spark.createDataFrame(rows, "target string, object_key string, object_type string, path string, size long, content binary"))
+    print_of = {r["kind"]: r["fingerprint"] for r in out.findings.collect()}
+    answers = spark.createDataFrame([(print_of["github-pat"], 401, "")], "fingerprint string, http_status int, error string")
+    local = spark.createDataFrame([(print_of["grafana-service-account-token"], "env"), ("other", "env")], "fingerprint string, source string")
+    done = scan.completed(out, answers, local)
+    got = {r["kind"]: (r["status"], r["local"], r["servers"], r["matches"], r["opaque"]) for r in done.findings.collect()}
+    servers_ = ["http://grafana.corp.example.com:3000", "https://grafana.example.org"]
+    assert got == {"github-pat": ("revoked", None, None, None, False), "grafana-service-account-token": ("unknown", ["env"], servers_, None, False)}
+    assert [(r["fingerprint"], r["label"]) for r in done.steps.collect()] == [(print_of["grafana-service-account-token"], "local")]
+
+
+def test_revocations_are_numbered_in_order(spark):
+    rows = [("npm" if i % 3 else "github", "npm-access-token" if i % 3 else "github-pat", hashlib.sha256(str(i % 170).encode()).hexdigest()[:16]) for i in range(200)]
+    got = verdicts.revocation_plan(spark.createDataFrame(rows, "provider string, kind string, fingerprint string"), batch=7).orderBy("provider", "request").collect()
+    for provider in ("github", "npm"):
+        own = [f for r in got if r["provider"] == provider for f in r["fingerprints"]]
+        assert own == sorted({f for p, _, f in rows if p == provider})
+        assert all(r["credentials"] == 7 for r in got if r["provider"] == provider and r["request"] < len(own) // 7)
+
+
 def _s(b):
     return len(b).to_bytes(4, "big") + b
 
