@@ -6,7 +6,7 @@ from .test_engine import body, classic
 
 
 def test_registry_users(spark):
-    token = "dc" + "kr_pat_" + body(27)
+    token = "dckr_pat_" + body(27)
     contents = [f"username: me\npassword: {token}", f"docker login -u you -p {token}", f"user=far{' ' * 600}{token}", f"superuser: x {token}", f"user: one {token} username: two"]
     objects = spark.createDataFrame([(i, c.encode()) for i, c in enumerate(contents)], "object_key long, content binary")
     got = {r["object_key"]: r["secret"] for r in nearest.registry_users(detectors.hits(objects, companions=nearest.COMPANIONS)).collect()}

@@ -61,7 +61,7 @@ def test_account_tokens_by_what_is_most_certain(spark):
 def test_registry_logins_in_every_form(spark):
     entry = {"auth": b64("user:pass word")}
     config = json.dumps({"credsStore": "x", "auths": {"https://index.docker.io/v1/": entry, "ghcr.io": {"username": "me", "password": "${P}"}, "bad": {"password": 7}, "none": {}, "also": ["x"], "q": {"auth": "*"}}})
-    hub = "dckr_" + f"pat_{body(30)}"
+    hub = f"dckr_pat_{body(30)}"
     contents = [
         config,
         'x: "' + config.replace('"', '\\"') + '"',
@@ -86,7 +86,7 @@ def test_registry_logins_in_every_form(spark):
 
 
 def test_scan_leaves_out_tokens_in_decoded_text_and_names_peers(spark):
-    npm, hub = "np" + f"m_{body(36)}", "dckr_" + f"pat_{body(30)}"
+    npm, hub = f"npm_{body(36)}", f"dckr_pat_{body(30)}"
     blob = b64(json.dumps({"auths": {"ghcr.io": {"auth": b64(f"u:{npm}")}, "docker.io": {"auth": b64(f"h:{hub}")}}}))
     texts = [f".dockerconfigjson: {blob}", json.dumps({"auths": {"docker.io": {"username": "h", "password": hub}, "r.io": {"username": "x", "password": npm}}})]
     rows = [("t", str(i), "file", f"f{i}", len(t), t.encode()) for i, t in enumerate(texts)]
