@@ -324,6 +324,23 @@ def test_every_way_of_walking_reaches_the_same(spark, monkeypatch, walked, said)
     assert lost == {(str(r), f"c{k}") for r, k in parents} - want.keys()
 
 
+@pytest.fixture
+def many(spark, monkeypatch):
+    """Two hundred repositories of twelve commits with a head two before the last, a rewrite of each of the last, and the tables that are written."""
+    written: list[int] = []
+    real = tables.cut
+    monkeypatch.setattr(tables, "cut", lambda *a: written.append(1) or real(*a))
+    commits = spark.createDataFrame([(f"r{r}", f"c{r}-{k}", [f"c{r}-{k - 1}"] if k else []) for r in range(200) for k in range(12)], "repo string, sha string, parents array<string>")
+    refs = spark.createDataFrame([(f"r{r}", "refs/heads/main", f"c{r}-9") for r in range(200)], "repo string, refname string, sha string")
+    rewrites = spark.createDataFrame([(f"r{r}", f"c{r}-11", 1, "gone") for r in range(200)], "repo string, before string, ord int, text string")
+    return commits, refs, rewrites, written
+
+
+def test_refs_of_many_repositories_take_no_rounds(many):
+    commits, refs, _, written = many
+    assert attribution.refs_containing(commits, refs).count() == 2000 and len(written) <= 1
+
+
 def test_completed_findings_say_what_is_known(spark):
     token, grafana = classic(), "glsa_" + body(32)
     crc = zlib.crc32(grafana.encode()).to_bytes(4, "little").hex()
