@@ -341,6 +341,11 @@ def test_refs_of_many_repositories_take_no_rounds(many):
     assert attribution.refs_containing(commits, refs).count() == 2000 and len(written) <= 1
 
 
+def test_orphans_of_many_repositories_take_no_rounds(many):
+    commits, refs, _, written = many
+    assert attribution.orphans(commits, refs).count() == 400 and len(written) <= 1
+
+
 def test_completed_findings_say_what_is_known(spark):
     token, grafana = classic(), "glsa_" + body(32)
     crc = zlib.crc32(grafana.encode()).to_bytes(4, "little").hex()
