@@ -346,6 +346,12 @@ def test_orphans_of_many_repositories_take_no_rounds(many):
     assert attribution.orphans(commits, refs).count() == 400 and len(written) <= 1
 
 
+def test_rewrites_of_many_repositories_take_no_rounds(many):
+    commits, refs, rewrites, written = many
+    got = attribution.rewrites_of(attribution.orphans(commits, refs).select("repo", "sha"), commits, rewrites)
+    assert got.filter("rewrite = 'gone'").count() == 400 and len(written) <= 2
+
+
 def test_completed_findings_say_what_is_known(spark):
     token, grafana = classic(), "glsa_" + body(32)
     crc = zlib.crc32(grafana.encode()).to_bytes(4, "little").hex()
