@@ -352,6 +352,13 @@ def test_rewrites_of_many_repositories_take_no_rounds(many):
     assert got.filter("rewrite = 'gone'").count() == 400 and len(written) <= 2
 
 
+def test_contents_are_searched_once_for_what_is_in_secrets(spark):
+    text = "---\nkind: Secret\nmetadata: {namespace: n, name: s}\ndata:\n  a: " + base64.b64encode(("npm_" + body(36)).encode()).decode() + "\n"
+    got = documents.rescanned(detectors.hits(spark.createDataFrame([(1, text.encode())], "object_key long, content binary"), formats=documents.FORMATS))
+    assert "mapinarrow" not in got._jdf.queryExecution().toString().lower()
+    assert [r["attribution"] for r in got.filter("provider = 'npm'").collect()] == ["in Secret n/s, key a"]
+
+
 def test_completed_findings_say_what_is_known(spark):
     token, grafana = classic(), "glsa_" + body(32)
     crc = zlib.crc32(grafana.encode()).to_bytes(4, "little").hex()
