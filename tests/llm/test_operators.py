@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,6 +175,27 @@ def test_bpe_digests(spark, library):
     assert r["decoded_sha256"] == hashlib.sha256(library.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_merges_many_words_at_once(library):
+    """Words whose longest matches fail are merged together by rank; marks, capitals and what composes with them are cut as the library does."""
+    r = np.random.default_rng(5)
+    made = ["".join(r.choice(list("abdeinorstßéÃ"), int(n))) for n in r.integers(1, 20, 3000)] + ["qu" * 90, "a" * 5000, "H\u0331, A\u030a. I\u0307!", "don't,x;Y", "a.B:C?D!"]
+    texts = [" ".join(made[k : k + 7]) for k in range(0, len(made), 7)] + ["", " a", "B", ",c ", "\x1ca\x1d,"]
+    b = bpe._built(bpe._spec(queries.tokenizer_path()))
+    one = b._merged  # a word at a time: only for long words
+    b._merged = lambda units: one(units) if len(units) > bpe.LONG else pytest.fail("a short word was merged alone")
+    try:
+        whole = pa.array(["", *texts[:5], *texts], pa.string()).slice(6)
+        ids, tokens = b.texts(whole)
+        again = [x.to_pylist() for x in b.texts(whole.slice(0, len(texts) - 1))]  # without the last one Arrow cuts
+    finally:
+        b._merged = one
+        b.forget()
+    assert again == [ids.to_pylist()[:-1], tokens.to_pylist()[:-1]]
+    for t, i, d in zip(texts, ids.to_pylist(), tokens.to_pylist(), strict=True):
+        e = library.encode(t, add_special_tokens=False)
+        assert (i, d) == (" ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False))
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/ b\r\nX: y", "<p>one"), (2, None, "<p>one"), (3, "http://c/", "<p>ö" * 50_000), (4, "http://d/", None), (5, "http://e/", ""), (None, "http://f/", "<p>one"), (6, "http://g/", "z"), (6, "http://g/", "z")]
     got = warc.read_archives(warc.write_archives(spark.createDataFrame([(*p, "more") for p in pages], "page_id long, url string, html string, record_type string")), payloads=True).collect()
