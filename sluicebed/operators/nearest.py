@@ -84,9 +84,12 @@ def principal_candidates(content: bytes) -> Iterator[Row]:
 
 
 def user_candidates(content: bytes) -> Iterator[Row]:
-    for m in _USER.finditer(content):
-        if not m[1].startswith(b"dckr_"):
-            yield _candidate("hub-user", m.start(), m.end(), m[1])
+    lower, done = content.lower(), 0
+    for at in sorted(m.start() for text in (b"user", b"-u ") for m in re.finditer(text, lower)):
+        if at >= done and (m := _USER.match(content, at)):
+            done = m.end()
+            if not m[1].startswith(b"dckr_"):
+                yield _candidate("hub-user", m.start(), m.end(), m[1])
 
 
 def deploy_users(content: bytes) -> Iterator[Row]:

@@ -30,9 +30,11 @@ def with_peers(tokens: DataFrame) -> DataFrame:
 
     tokens: the columns of detectors.hits.
     """
+    from ..sources.tables import cut
+
     is_login = F.coalesce((F.col("provider") == "oci") & F.col("kind").endswith("-login"), F.lit(False))
     others = tuple(s for s in detectors.SHAPES if s.provider != "oci")
-    known = peers(tokens.filter(is_login), "secret", others)
+    known = cut(peers(tokens.filter(is_login), "secret", others))
     known = known.select(F.col("value").alias("_password"), F.struct("provider", "kind", "checksum_verified", "attribution").alias("_peer"))
     both = tokens.join(known, is_login & (F.col("secret") == F.col("_password")), "left")
     called = F.create_map(*(F.lit(x) for s in {(s.provider, s.kind): s for s in others}.values() for x in (s.kind, names.called(s.provider, s.kind))))

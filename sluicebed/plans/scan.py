@@ -64,15 +64,16 @@ def run(objects: DataFrame, ignore: DataFrame | None = None, max_object: int = M
     sha = F.sha2("content", 256)
     hits = cut(detectors.hits(own.withColumn("sha", sha), detectors.SHAPES, documents.FORMATS + sightings.FORMATS, nearest.COMPANIONS, keep=("target", "object_key", "object_type", "path", "sha"), now=now))
     group = ("target", "object_key", "sha")
-    hits = documents.with_receivers(hits, group)
-    found = free(documents.rescanned(hits, group), hits, group)
+    hits = cut(documents.with_receivers(hits, group), hits)
+    found = cut(free(documents.rescanned(hits, group), hits, group))
     said = nearest.all_companions(hits, group).withColumnsRenamed({"secret": "_secret", "attribution": "_said"})
     tokens = found.join(said, [*group, "offset", "value", "kind"], "left").filter((F.col("kind") != "azure-storage-account-key") | F.col("_said").isNotNull())
     within = F.when(F.col("within").isNotNull(), F.col("attribution"))
     tokens = tokens.withColumns({"attribution": F.coalesce(within, "_said", "attribution"), "secret": F.coalesce("_secret", "secret")})
     inside = found.filter(F.col("kind") == "gcp-oauth-user-credentials").select(*group, "value", F.lit("gcp-oauth-refresh-token").alias("kind"))
     tokens = tokens.join(inside, [*group, "value", "kind"], "left_anti")  # a refresh token in a document is the document's
-    tokens = peers.with_peers(documents.once(tokens, group))
+    # each of the next steps reads its input several times, and would make all that is above anew each time
+    tokens = peers.with_peers(cut(documents.once(tokens, group), found))
     tokens = tokens.select("target", "object_key", "object_type", "path", "provider", "kind", "value", "offset", "line", "checksum_verified", "attribution", "secret", "encrypted", "expires")
     tokens = findings.ignored(findings.classified(tokens), ignore)
     if history:

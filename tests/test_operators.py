@@ -359,6 +359,27 @@ def test_contents_are_searched_once_for_what_is_in_secrets(spark):
     assert [r["attribution"] for r in got.filter("provider = 'npm'").collect()] == ["in Secret n/s, key a"]
 
 
+def test_the_job_makes_no_step_again(spark, monkeypatch):
+    """Steps that read their input several times read written tables: the plan of the tokens has few shuffles."""
+    plans = []
+    real = tables.cut
+    monkeypatch.setattr(scan, "cut", lambda df, *done: plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")) or real(df, *done))
+    text = '{"auths": {"ghcr.io": {"username": "u", "password": "npm_' + body(36) + '"}}}'
+    rows = [("t", "o", "blob", None, len(text), text.encode())]
+    out = scan.run(spark.createDataFrame(rows, "target string, object_key string, object_type string, path string, size long, content binary"))
+    assert {(r["kind"], "password is a npm" in r["attribution"]) for r in out.tokens.collect()} == {("ghcr-login", True), ("npm-access-token", False)}
+    assert max(plans) < 40
+
+
+@pytest.mark.parametrize("n", range(40))
+def test_users_are_found_as_one_pattern_finds_them(n):
+    rng = random.Random(n)
+    parts = ["user", "USER", "username", "UserName", "-u ", "-U ", "=", ": ", '"', "a", "u", "x.y", "dckr_pat", " ", "\n", "9", "-"]
+    text = "".join(rng.choice(parts) for _ in range(300)).encode()
+    want = [(m.start(), m.end(), m[1].decode()) for m in nearest._USER.finditer(text) if not m[1].startswith(b"dckr_")]
+    assert [(r["offset"], r["end"], r["value"]) for r in nearest.user_candidates(text)] == want
+
+
 def test_completed_findings_say_what_is_known(spark):
     token, grafana = classic(), "glsa_" + body(32)
     crc = zlib.crc32(grafana.encode()).to_bytes(4, "little").hex()
