@@ -371,7 +371,7 @@ def test_many_repositories_in_parts_go_to_a_table(spark, many, monkeypatch):
         assert len(written) == tables_
 
 
-@pytest.mark.parametrize("name", ["rewritten_commits", "reachability"])
+@pytest.mark.parametrize("name", ["rewritten_commits", "reachability", "orphan_commits"])
 def test_a_history_is_ordered_once(spark, name):
     """What is read of the ordered history is a written table, so no step orders it again."""
     assert "Window" not in queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
