@@ -131,12 +131,16 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
-    """node, root: the smallest node reachable; nodes without an edge are left out. cut: writes a table and reads it again."""
+    """node, root: the smallest node reachable, of each node that has an edge; others are their own root, as callers add. cut: writes a table and reads it again.
+
+    Both steps put one edge in an edge's place, with ends that are no greater. So if a round leaves as many edges, with the same sum of their ends, it has
+    changed none of them, and all are stars.
+    """
     both = lambda e: e.union(e.select("b", "a"))
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        size = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        size = edges.agg(F.count("*"), *(F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)) for c in "ab")).first()
         if size == before or not size[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
         before = size

@@ -120,3 +120,12 @@ def test_columns_with_clashing_names_stay(spark):
         read = [t._written_at for t in out._reads.tables]
         common.release(out)
         assert read and not any(os.path.exists(p) for p in read)
+
+
+def test_components_end_only_where_nothing_changes(spark):
+    """A path, and four others chosen so that the hashes of all edges have one sum before and after a round that isn't the last."""
+    paths = [[1, 2, 3, 4], *([x, x + 1, x + 2] for x in (1019477395, 2002695488, 3020156691, 4020166669))]
+    edges = spark.createDataFrame([(a, b) for p in paths for a, b in zip(p, p[1:], strict=False)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in simhash.components(edges).collect()} == {(n, p[0]) for p in paths for n in p}
+    negative = spark.createDataFrame([(k, k - 1) for k in range(5, -6, -1)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in simhash.components(negative).collect()} == {(n, -6) for n in range(-6, 6)}
